@@ -38,4 +38,44 @@ WITH RECURSIVE sized AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5, "op7_exact_dedup": OP7}
+OP6 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations
+), opened AS (
+  SELECT conv_id, n, row_number() OVER (PARTITION BY role, text ORDER BY conv_id) AS place,
+         min(conv_id) OVER (PARTITION BY role, text) AS first,
+         nth_value(conv_id, 2) OVER (PARTITION BY role, text ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
+  FROM turns WHERE k = 1
+), pairs AS (
+  SELECT conv_id, n, CASE WHEN place = 1 THEN second ELSE first END AS rejected_id FROM opened
+), differing AS (
+  SELECT p.conv_id, min(a.k) AS k
+  FROM pairs p JOIN turns a ON a.conv_id = p.conv_id LEFT JOIN turns b ON b.conv_id = p.rejected_id AND b.k = a.k
+  WHERE b.k IS NULL OR a.role <> b.role OR a.text <> b.text GROUP BY p.conv_id
+), cut AS (
+  SELECT p.conv_id, p.rejected_id, CASE WHEN p.rejected_id IS NULL THEN p.n - 1 ELSE coalesce(d.k - 1, p.n) END AS prefix
+  FROM pairs p LEFT JOIN differing d USING (conv_id)
+), parts AS (
+  SELECT c.conv_id, 'prompt' AS part, t.* EXCLUDE conv_id FROM cut c JOIN turns t ON t.conv_id = c.conv_id AND t.k <= c.prefix
+  UNION ALL SELECT c.conv_id, 'chosen', t.* EXCLUDE conv_id FROM cut c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.prefix
+  UNION ALL SELECT c.conv_id, 'rejected', t.* EXCLUDE conv_id FROM cut c JOIN turns t ON t.conv_id = c.rejected_id AND t.k > c.prefix
+), rendered AS (
+  SELECT conv_id, part, k, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece FROM parts
+), placed AS (
+  SELECT *, sum(len(piece)) OVER (PARTITION BY conv_id, part ORDER BY k) AS stop FROM rendered
+), joined AS (
+  SELECT conv_id, part, string_agg(piece, '' ORDER BY k) AS body,
+         coalesce(string_agg((stop - len(text) - 11)::BIGINT || ':' || stop::BIGINT, ',' ORDER BY k) FILTER (role = 'assistant'), '') AS spans
+  FROM placed GROUP BY conv_id, part
+)
+SELECT c.conv_id, c.rejected_id, c.prefix::BIGINT AS prefix_turns, sha256(coalesce(p.body, '')) AS prompt_sha256,
+       sha256(coalesce(a.body, '')) AS chosen_sha256, sha256(coalesce(b.body, '')) AS rejected_sha256,
+       coalesce(a.spans, '') AS chosen_mask, coalesce(b.spans, '') AS rejected_mask
+FROM cut c LEFT JOIN joined p ON p.conv_id = c.conv_id AND p.part = 'prompt'
+LEFT JOIN joined a ON a.conv_id = c.conv_id AND a.part = 'chosen' LEFT JOIN joined b ON b.conv_id = c.conv_id AND b.part = 'rejected'
+"""
+
+ORACLES: dict[str, str] = {"op5_mixing": OP5, "op6_chat": OP6, "op7_exact_dedup": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, toxicity
+from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, secrets, toxicity
 from .common import table
 
 
@@ -21,18 +21,32 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.formatted(chat.paired(chat.conversations(table(spark, sf_dir, "conversations"))))
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    return out.select(F.col("chosen_id").alias("conv_id"), "rejected_id", "prefix_turns", digest("prompt"), digest("chosen"), digest("rejected"), "chosen_mask", "rejected_mask")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_toxicity, op5_mixing, op7_exact_dedup, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_near_dedup, op5_mixing, op6_chat, op7_exact_dedup, op8_secrets, op10_quality)}
