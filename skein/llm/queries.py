@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, near_dedup, quality, secrets, toxicity, warc
+from . import bpe, chat, exact_dedup, media, mixing, near_dedup, quality, secrets, toxicity, warc
 from .common import table
 
 
@@ -47,10 +47,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_near_dedup, op5_mixing, op6_chat, op7_exact_dedup, op8_secrets, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_near_dedup, op5_mixing, op6_chat, op7_exact_dedup, op8_secrets, op9_media, op10_quality)}
