@@ -54,6 +54,8 @@ class Codec:
         for token, i in table.items():
             self.bytes_of[i] = token
         self.name_of = [str(i) for i in range(len(self.bytes_of))]
+        #: How ids are packed: two bytes each where all fit.
+        self.packing = "<u2" if len(self.bytes_of) <= 1 << 16 else "<u4"
         self.leaf, self.window = max(1, leaf), max(1, window)
 
     def encode(self, text: str) -> list[int]:
@@ -146,7 +148,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``token_ids`` (little-endian 32-bit ids, packed)."""
+    """``docs`` with ``n_tokens`` and ``token_ids`` (the ids packed in little-endian order, two bytes each if the vocabulary allows, else four)."""
     if clash := {"n_tokens", "token_ids"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
     ranks, pattern = _vocabulary(docs.sparkSession, path, pattern)
@@ -157,8 +159,8 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         import pandas as pd
 
         own = codec(ranks.value, pattern)
-        packed = [np.asarray(own.encode(t or ""), "<u4").tobytes() for t in texts]
-        return pd.DataFrame({"n_tokens": [len(p) // 4 for p in packed], "token_ids": packed})
+        packed = [np.asarray(own.encode(t or ""), own.packing) for t in texts]
+        return pd.DataFrame({"n_tokens": [len(p) for p in packed], "token_ids": [p.tobytes() for p in packed]})
 
     ids_of = ids_of.asNondeterministic()  # evaluated once, although two fields are read
     made = docs.withColumn("__ids", ids_of(F.col(text).cast("string")))
@@ -175,6 +177,6 @@ def decoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
         import pandas as pd
 
         own = codec(ranks.value, pattern)
-        return pd.Series([own.decode(np.frombuffer(p or b"", "<u4").tolist()) for p in packed])
+        return pd.Series([own.decode(np.frombuffer(p or b"", own.packing).tolist()) for p in packed])
 
     return docs.withColumn("decoded", bytes_of("token_ids"))

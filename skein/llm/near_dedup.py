@@ -24,7 +24,7 @@
 All links are confirmed on the full sets (64-bit hashes of all shingles).
 
 Defined cases: a null text, or one without words, has an empty set, size 0, and is
-its own component; fewer words than ``SHINGLE`` form one shingle; rows that repeat a
+its own component; fewer words than a shingle has form one; rows that repeat a
 doc_id each get a result (with texts that differ, each its own component's label);
 a null doc_id never is a label unless all of its component are null; extra columns
 are ignored by :func:`components` and kept by :func:`deduplicated`.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE = 4
+SHINGLE = 5
 THRESHOLD = 80  # per cent
 ROWS, BANDS = 5, 40
 COORDS = ROWS * BANDS
@@ -115,12 +115,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, n, s1 and s2 (digest of the set), t1 and t2 (of the text), bands; on shared files."""
     import xxhash
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t.as_py()) for t in batch.column("text")]
+        sets = [shingles(t.as_py(), width) for t in batch.column("text")]
         raw = [s.tobytes() for s in sets]
         full = [s for s in sets if len(s)]
         keys = iter(band_keys(sketches(full)).tolist()) if full else iter(())
@@ -149,7 +149,7 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return common.stored(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link, by their full sets; on shared files."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -162,7 +162,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 known.clear()
             for node, text in ((a, x), (b, y)):
                 if node not in known:
-                    known[node] = shingles(text.as_py())
+                    known[node] = shingles(text.as_py(), width)
             keep.append(linked(known[a], known[b]))
         return batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -185,7 +185,7 @@ def spread(links: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
 
 
-def _blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
+def _blocks(rest: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Links across components within large buckets, block by block: a forest for each two blocks."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
@@ -193,7 +193,7 @@ def _blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label").join(texts, "node")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t) for t in group["text"]]
+        sets = [shingles(t, width) for t in group["text"]]
         nodes, label = group["node"].to_numpy(), pd.factorize(group["label"])[0]
         sizes = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
@@ -229,7 +229,7 @@ def _blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def links(docs: DataFrame, found: DataFrame) -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(a, b) links between the classes in ``found`` that give all components."""
     keyed = found.select("node", "n", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -241,7 +241,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     alike = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
     stars = hits.join(middle, "key").where((F.col("node") != F.col("m.node")) & alike(F.col("n"), F.col("m.n")))
     stars = common.stored(stars.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct(), "stars")
-    first = _verified(stars, texts)
+    first = _verified(stars, texts, width)
     labels = spread(first)
     named = hits.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
@@ -249,26 +249,37 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     small = rest.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "label"))).alias("g"))
     small = small.select(F.col("g"), F.explode("g").alias("x")).select("x", F.explode(F.filter("g", lambda y: y["node"] > F.col("x.node"))).alias("y"))
     small = small.where((F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = _verified(small.join(stars, ["a", "b"], "left_anti"), texts)
-    third = common.stored(_blocks(rest.where(F.col("size") > SMALL), texts), "links")
+    second = _verified(small.join(stars, ["a", "b"], "left_anti"), texts, width)
+    third = common.stored(_blocks(rest.where(F.col("size") > SMALL), texts, width), "links")
     return first.unionByName(second).unionByName(third)
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
-    rows = sketched(docs)
+def _components(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, t1, t2, n and component_id for each row of ``docs``."""
+    rows = sketched(docs, width)
     found = classes(rows)
-    labels = spread(links(docs, found))
+    labels = spread(links(docs, found, width))
     named = found.select("node", "s1", "s2", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = common.stored(named, "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = named.join(least, "label").select("s1", "s2", "component_id")
-    out = rows.where("n > 0").select("doc_id", "n", "s1", "s2").join(by_set, ["s1", "s2"]).select("doc_id", "n", "component_id")
-    out = out.unionByName(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    columns = ["doc_id", "t1", "t2", "n", "component_id"]
+    out = rows.where("n > 0").join(by_set, ["s1", "s2"]).select(columns)
+    return out.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(columns))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is kept: one of each group, with all columns. doc_id has to be a key."""
-    kept = components(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+def components(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``, over shingles of ``width`` words."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return _components(docs, width).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that are kept, one document of each group, with all columns.
+
+    Rows that repeat the kept doc_id within its group stay too; exact dedup goes before.
+    """
+    kept = _components(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(F.lit(1), text) == F.col("__t2"))
+    return docs.join(kept, same, "left_semi")

@@ -26,7 +26,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.components(table(spark, sf_dir, "documents"))
+    return near_dedup.components(table(spark, sf_dir, "documents"), width=4)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
