@@ -51,7 +51,7 @@ def g_degrees(spark, d):
 
 @query
 def g_state_read_by(spark, d):
-    return views.neighbours(P.graph(spark, d), "order:1", "reads", True).select("id", "name")
+    return views.neighbours(P.graph(spark, d), "order:2", "reads", True).select("id", "name")
 
 
 @query
@@ -240,10 +240,8 @@ def g_tightest_owner(spark, d):
 
 @query
 def g_coalesce_spans(spark, d):
-    from pyspark.sql import Window
-
-    spans = P.address_space(spark, d).join(P.table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return intervals.coalesced(spans, ["lang", "source"])
+    spans = P.address_space(spark, d).join(P.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return intervals.coalesced(spans, ["lang"])
 
 
 @query
