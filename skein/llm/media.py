@@ -94,20 +94,21 @@ def _payloads(docs: DataFrame) -> DataFrame:
     return docs.select(F.sha2(text, 256).alias("media_id"), text.alias("text"))
 
 
-def _shared(docs: DataFrame) -> DataFrame:
-    """(chunk, owner): digests that more than one row has, with the smallest media_id that has them; on shared files."""
+def _uses(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunk, owner) of the digests that occur more than once, with the smallest media_id that has them; and
+    (media_id, foreign, lent): what each payload takes from others and what it owns for others. Only digests move."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, names = [], []
-        for i, text in zip(batch.column("media_id").to_pylist(), batch.column("text")):
-            own = [digest(c) for c in chunks(padded(text.as_py().encode()))]
-            ids += [i] * len(own)
-            names += own
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.binary())], ["media_id", "chunk"])
+        names = [[digest(c) for c in chunks(padded(text.as_py().encode()))] for text in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("media_id"), pa.array(names, pa.list_(pa.binary()))], ["media_id", "names"])
 
-    named = common.map_batches(_payloads(docs), step, "media_id string, chunk binary", "text")
-    counted = named.groupBy("chunk").agg(F.count("*").alias("n"), F.min("media_id").alias("owner"))
-    return common.stored(counted.where("n > 1").select("chunk", "owner"), "shared-chunks")
+    listing = common.stored(common.map_batches(_payloads(docs), step, "media_id string, names array<binary>", "text"), "chunk-lists")
+    every = listing.select("media_id", F.explode("names").alias("chunk"))
+    shared = every.groupBy("chunk").agg(F.count("*").alias("n"), F.min("media_id").alias("owner")).where("n > 1")
+    shared = common.stored(shared.select("chunk", "owner"), "shared-chunks")
+    uses = every.distinct().join(shared, "chunk")
+    mine = F.col("owner") == F.col("media_id")
+    return shared, uses.groupBy("media_id").agg(F.collect_set(F.when(~mine, F.col("chunk"))).alias("foreign"), F.collect_set(F.when(mine, F.col("chunk"))).alias("lent"))
 
 
 def _bitmap(shared: DataFrame) -> bytes:
@@ -121,8 +122,8 @@ def _bitmap(shared: DataFrame) -> bytes:
     return out.tobytes()
 
 
-_ROW = "media_id string, n_bytes long, names array<binary>, sizes array<int>, own array<boolean>, bytes binary"
-_ARROW = [("media_id", pa.string()), ("n_bytes", pa.int64()), ("names", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("own", pa.list_(pa.bool_())), ("bytes", pa.binary())]
+_ROW = "media_id string, n_bytes long, names array<binary>, sizes array<int>, own array<boolean>, lent array<boolean>, bytes binary"
+_ARROW = [("media_id", pa.string()), ("n_bytes", pa.int64()), ("names", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("own", pa.list_(pa.bool_())), ("lent", pa.list_(pa.bool_())), ("bytes", pa.binary())]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -133,7 +134,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def store(docs: DataFrame) -> DataFrame:
     """The stored media: one row a distinct payload with its chunk list and the bytes that it owns; on shared files."""
     spark = docs.sparkSession
-    shared = _shared(docs)
+    shared, uses = _uses(docs)
     bitmap = spark.sparkContext.broadcast(_bitmap(shared))
 
     def maybe(names: list[bytes]) -> bool:
@@ -148,43 +149,30 @@ def store(docs: DataFrame) -> DataFrame:
             parts = chunks(payload)
             names = [digest(c) for c in parts]
             if not maybe(names):
-                rows.append((i, len(raw), names, [len(c) for c in parts], [True] * len(parts), payload))
+                rows.append((i, len(raw), names, [len(c) for c in parts], [True] * len(parts), [False] * len(parts), payload))
         return _batch(rows)
 
-    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts, found = [], [], []
-        for i, text in zip(batch.column("media_id").to_pylist(), batch.column("text")):
-            value = text.as_py()
-            names = [digest(c) for c in chunks(padded(value.encode()))]
-            if maybe(names):
-                ids.append(i)
-                texts.append(value)
-                found.append(names)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.binary()))], ["media_id", "text", "names"])
+    def sharing(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([maybe([digest(c) for c in chunks(padded(text.as_py().encode()))]) for text in batch.column("text")]))
 
     def stripped(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for i, text, foreign in zip(batch.column("media_id").to_pylist(), batch.column("text"), batch.column("foreign").to_pylist()):
-            raw = text.as_py().encode()
+        for i, text, foreign, lent in zip(*(batch.column(c).to_pylist() for c in ("media_id", "text", "foreign", "lent"))):
+            raw = text.encode()
             parts = chunks(padded(raw))
             names = [digest(c) for c in parts]
-            others, seen, own = set(foreign or ()), set(), []
+            others, given, seen, own = set(foreign or ()), set(lent or ()), set(), []
             for name in names:
                 own.append(name not in others and name not in seen)
                 seen.add(name)
-            rows.append((i, len(raw), names, [len(c) for c in parts], own, b"".join(c for c, o in zip(parts, own) if o)))
+            rows.append((i, len(raw), names, [len(c) for c in parts], own, [o and n in given for n, o in zip(names, own)], b"".join(c for c, o in zip(parts, own) if o)))
         return _batch(rows)
 
-    sharing = common.map_batches(_payloads(docs), listed, "media_id string, text string, names array<binary>", "text")
-    sharing = common.stored(sharing.groupBy("media_id").agg(F.first("text").alias("text"), F.first("names").alias("names")), "sharing")
-    foreign = sharing.select("media_id", F.explode("names").alias("chunk")).join(shared, "chunk").where("media_id <> owner")
-    foreign = foreign.groupBy("media_id").agg(F.collect_set("chunk").alias("foreign"))
-    shared_rows = common.map_batches(sharing.select("media_id", "text").join(foreign, "media_id", "left"), stripped, _ROW, "text")
+    # Equal payloads are combined where they are read; the texts are shuffled once, to the join's key.
+    texts = common.map_batches(_payloads(docs), sharing, "media_id string, text string", "text").groupBy("media_id").agg(F.first("text").alias("text"))
+    shared_rows = common.map_batches(texts.join(uses, "media_id", "left"), stripped, _ROW, "text")
     out = common.map_batches(_payloads(docs), alone, _ROW, "text").unionByName(shared_rows)
-    path = common.shared_path(spark, "media")
-    out.write.option("compression", "zstd").parquet(path)
-    common.forget(spark, sharing)
-    return spark.read.schema(out.schema).parquet(path)
+    return common.stored(out, "media")
 
 
 def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -226,18 +214,17 @@ def described(stored: DataFrame) -> DataFrame:
 
     def given(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, parts = [], []
-        for every, sizes, own, held in zip(*(batch.column(c).to_pylist() for c in ("names", "sizes", "own", "bytes"))):
+        for every, sizes, own, lent, held in zip(*(batch.column(c).to_pylist() for c in ("names", "sizes", "own", "lent", "bytes"))):
             at = 0
-            for name, size, mine in zip(every, sizes, own):
-                if mine:
+            for name, size, mine, wanted in zip(every, sizes, own, lent):
+                if wanted:
                     names.append(name)
                     parts.append(held[at : at + size])
-                    at += size
+                at += size if mine else 0
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(parts, pa.binary())], ["chunk", "bytes"])
 
-    needed = wanted.select("chunk").distinct()
-    owners = stored.select("names", "sizes", "own", "bytes")
-    found = common.map_batches(owners, given, "chunk binary, bytes binary", "bytes").join(needed, "chunk")
+    owners = stored.where("exists(lent, x -> x)").select("names", "sizes", "own", "lent", "bytes")
+    found = common.map_batches(owners, given, "chunk binary, bytes binary", "bytes")
     others = wanted.join(found, "chunk").groupBy("media_id").agg(F.collect_list(F.struct("chunk", "bytes")).alias("others"))
     joined = common.map_batches(rows.where("size(wanted) > 0").drop("wanted").join(others, "media_id"), _described, _DESCRIBED, "bytes")
     return whole.unionByName(joined)
