@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ def binary(graph: GraphBundle, text: str, connect: bool = True) -> GraphBundle:
         raise ValueError("not a binary call graph: functions is missing")
     spark, artifact = graph.spark, data.get("artifact") or {}
     key = artifact.get("key") or artifact.get("name") or "binary"
-    number = lambda v: None if v is None else int(v, 0) if isinstance(v, str) else int(v)
+    number = lambda v: None if v is None else Decimal(int(v, 0) if isinstance(v, str) else int(v))
     rows = []
     for k, f in enumerate(data["functions"]):
         address, source = number(f.get("address")), f.get("source") or {}
@@ -75,8 +76,8 @@ def binary(graph: GraphBundle, text: str, connect: bool = True) -> GraphBundle:
     if connect:
         pairs = corresponding(functions, nodes).withColumns({"kind": F.lit("corresponds_to"), "confidence": F.lit("inferred"), "edge_seq": F.lit(top + 1 + len(data.get("calls") or [])) + F.monotonically_increasing_id()})
         added = GraphBundle.conform(added, "edges").unionByName(GraphBundle.conform(pairs, "edges"))
-    base = number(artifact.get("image_base")) or 0
-    ranges = functions.where("address is not null").select(F.lit(key).alias("artifact"), F.col("id").alias("node_id"), F.col("address").alias("start"), (F.col("address") + F.coalesce("size", F.lit(1))).alias("end"), (F.col("address") - F.lit(base)).alias("rva"), "section")
+    base = int(number(artifact.get("image_base")) or 0)
+    ranges = functions.where("address is not null").select(F.lit(key).alias("artifact"), F.col("id").alias("node_id"), F.col("address").alias("start"), (F.col("address") + F.coalesce("size", F.lit(1))).alias("end"), (F.col("address") - F.lit(base).cast("decimal(20,0)")).alias("rva"), "section")
     info = spark.createDataFrame([(key, artifact.get("name"), artifact.get("architecture"), artifact.get("hash"), artifact.get("path"))], "id string, name string, architecture string, sha256 string, path string")
     more = GraphBundle(spark, {"binary_artifacts": GraphBundle.conform(info, "binary_artifacts")})
     if not graph.binary_artifacts.where((F.col("id") == key) & ~F.col("sha256").eqNullSafe(F.lit(artifact.get("hash")))).isEmpty():

@@ -305,3 +305,51 @@ def test_streaming(spark, tmp_path, sf):
     assert {r["table"] for r in spark.table("facts").select("table").distinct().collect()} == {"nodes", "edges"}
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert arrivals.event_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_solidity_state():
+    text = "contract C { uint public total; uint constant K = 1; mapping(address => uint) held; function add(uint v) public { total += v; held[msg.sender] = v; } function get() public view returns (uint) { return total; } function hide(uint total) public { total = 2; } }"
+    rows = frontends.facts("c.sol", "solidity", text)
+    assert {r["id"] for t, r in rows if t == "nodes" and r["kind"] == "state_variable"} == {"c:C.total", "c:C.held"}
+    got = {(r["src"], r["kind"], r["dst"]) for t, r in rows if t == "edges" and r["kind"] in ("reads", "writes")}
+    assert {("c:C.add", "writes", "c:C.total"), ("c:C.add", "writes", "c:C.held"), ("c:C.get", "reads", "c:C.total")} <= got
+    assert not any(a == "c:C.hide" for a, _, _ in got) and ("c:C.get", "writes", "c:C.total") not in got
+
+
+def test_module_ids_that_clash():
+    assert frontends.module_ids([("a.py", "python"), ("a.js", "javascript"), ("b.py", "python")]) == {"a.py": "a\\.py", "a.js": "a\\.js", "b.py": "b"}
+
+
+def test_declarative_candidates(engine, spark):
+    from skein.operators import candidates
+    from skein.sources import literals
+
+    files = spark.createDataFrame([("conf.yaml", 'handler: m:view\nname: "view"\nother: pkg/o.other\n'), ("x.json", '{"a": "m:Base.help", "b": "nothing.here"}')], "path string, content string")
+    table = literals.literal_table(files)
+    assert ("x.json", 1, "m:Base.help") in {tuple(r) for r in table.collect()}
+    once = candidates.discover(engine.graph, table)
+    got = {(r["src"], r["dst"]) for r in once.edges.where("kind = 'references'").collect()}
+    assert got == {("@source:conf.yaml", "m:view"), ("@source:conf.yaml", "pkg.o:other"), ("@source:x.json", "m:Base.help")}
+    twice = candidates.discover(once, table)
+    assert twice.edges.count() == once.edges.count() and twice.evidence.count() == once.evidence.count()
+    assert QueryEngine(once).entrypoint_candidates("pkg.o:other").count() == 1
+
+
+def test_git_snapshots(tmp_path):
+    import subprocess
+
+    from skein.sources import snapshots
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    run("add", "a.py")
+    run("commit", "-qm", "one")
+    (tmp_path / "a.py").write_text("x = 2\n")
+    with snapshots.at_reference(str(tmp_path), "HEAD") as tree:
+        with open(f"{tree}/a.py") as f:
+            assert f.read() == "x = 1\n"
+    for wrong in ("nowhere", "--help"):
+        with pytest.raises(ValueError):
+            with snapshots.at_reference(str(tmp_path), wrong):
+                pass
