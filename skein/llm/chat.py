@@ -37,6 +37,8 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def paired(whole: DataFrame) -> DataFrame:
     """(chosen_id, chosen, rejected_id, rejected) by common opening turns."""
+    # Read from files, both sides of the last join are shuffled for it, so that a hot rejected_id can be split.
+    whole = common.stored(whole, "conversations")
     opened = whole.withColumn("opening", F.sha2(F.concat_ws("\u0000", F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"]), 256))
     ids = opened.groupBy("opening").agg(F.min("conv_id").alias("first"), F.count("*").alias("n"))
     # The second smallest id of an opening: the smallest of those that are not the smallest.
