@@ -128,7 +128,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reachable(found: DataFrame) -> DataFrame:
-    """(file, at) of the candidates that the chain from their file's start reaches."""
+    """Those candidates that the chain from their file's start reaches."""
     # Both sides grow with the archives and pack far smaller than they are: their file sizes must not lead to broadcasts.
     jump = found.select("file", "at", "next")
     reached = found.where("at = 0").select("file", "at")
@@ -141,10 +141,10 @@ def reachable(found: DataFrame) -> DataFrame:
         count = now
         over = jump.select("file", F.col("at").alias("next"), F.col("next").alias("further"))
         jump = common.stored(jump.join(over.hint("merge"), ["file", "next"]).select("file", "at", F.col("further").alias("next")), "jumps")
-    return reached
+    return found.join(reached.hint("merge"), ["file", "at"], "left_semi")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and intact for each record of the archives."""
     found = candidates(spark, path)
-    return found.join(reachable(found).hint("merge"), ["file", "at"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return reachable(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
