@@ -83,17 +83,40 @@ def paths_between(proj: DataFrame, src: str, dst: str, max_depth: int = 20) -> D
 
 
 def entrypoint_paths(proj: DataFrame, entrypoints: DataFrame, node_id: str, max_depth: int = 20) -> DataFrame:
-    return paths(proj, entrypoints.select(F.col("node_id").alias("src"), F.lit(node_id).alias("dst")), max_depth)
+    goal = proj.sparkSession.createDataFrame([(node_id,)], "node_id string")
+    return paths_to(proj, entrypoints, goal, max_depth)
 
 
-def connect(proj: DataFrame, left: DataFrame, right: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(path): paths from any member of ``left`` to any of ``right`` (node_id); a shared node is a path of its own.
+def paths_to(proj: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(src, dst, path): all simple paths of 1 to ``max_depth`` edges from any of ``starts`` to any of ``goals`` (node_id).
 
-    The pairs of the two (named, stated) sets are the question asked, not a join of all nodes.
+    Paths may pass through other starts and goals. The sets are never paired: walks grow
+    from all starts at once and only where some goal is near enough.
     """
-    a, b = left.select(F.col("node_id").alias("src")).distinct(), right.select(F.col("node_id").alias("dst")).distinct()
-    shared = a.join(b, a.src == b.dst).select(F.array("src").alias("path"))
-    return shared.unionByName(paths(proj, a.join(b, F.col("src") != F.col("dst")), max_depth).select("path")).distinct()
+    if max_depth < 1:
+        raise ValueError("max_depth must be at least 1")
+    edges = cut(proj.select("src", "dst").distinct())
+    wanted = goals.select(F.lit("").alias("root"), F.col("node_id").alias("node")).distinct()
+    left = cut(closure(reversed_edges(edges), wanted, with_roots=True, depth=max_depth).select(F.col("node").alias("next"), F.col("hops").alias("left")))
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    walk = starts.select(F.col("node_id").alias("src"), F.col("node_id").alias("node"), F.array("node_id").alias("path")).distinct()
+    out = None
+    for depth in range(1, max_depth + 1):
+        ahead = walk.join(step, "node").where(~F.array_contains("path", F.col("next")))
+        ahead = ahead.join(left, "next").where(F.col("left") <= max_depth - depth)
+        walk = cut(ahead.select("src", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), "left"))
+        found = walk.where("left = 0").select("src", F.col("node").alias("dst"), "path")
+        out = found if out is None else out.unionByName(found)
+        if walk.isEmpty():
+            break
+        walk = walk.drop("left")
+    return out
+
+
+def connect(proj: DataFrame, left: DataFrame, right: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(path): paths from any member of ``left`` to any of ``right`` (node_id); a shared node is a path of its own."""
+    shared = left.select("node_id").join(right.select("node_id"), "node_id", "left_semi").select(F.array("node_id").alias("path"))
+    return shared.unionByName(paths_to(proj, left, right, max_depth).select("path")).distinct()
 
 
 def ball(edges: DataFrame, node_id: str, depth: int, direction: str = "both") -> DataFrame:

@@ -118,8 +118,8 @@ def g_paths_trade_d3(spark, d):
 @query
 def g_paths_events_d4(spark, d):
     flows = cut(P.flows(spark, d))
-    ends = flows.select("src").distinct().join(flows.select("dst").distinct(), F.col("src") != F.col("dst"))  # five event types
-    return traverse.paths(flows, ends, 4).select("src", "dst", _path().alias("path"))
+    starts, goals = flows.select(F.col("src").alias("node_id")), flows.select(F.col("dst").alias("node_id"))
+    return traverse.paths_to(flows, starts, goals, 4).select("src", "dst", _path().alias("path"))
 
 
 @query
