@@ -31,8 +31,8 @@ RULES: list[dict] = [
     {"layer": 1, "rule": "nest", "language": "typescript", "when": f"{_DECORATORS} rlike '@(Get|Post|Put|Delete|Patch|All)\\\\('", "as": API},
     {"layer": 1, "rule": "erlang-export", "language": "erlang", "when": f"{_VISIBILITY} = 'exported'", "as": TASK},
     {"layer": 1, "rule": "rego", "language": "rego", "when": "name in ('allow', 'deny', 'violation')", "as": API},
-    {"layer": 1, "rule": "rpc", "when": "language in ('proto', 'thrift') and kind = 'method'", "as": API},
-    {"layer": 1, "rule": "graphql", "language": "graphql", "when": f"{_ATTR.format('root_operation')} = 'true'", "as": API},
+    {"layer": 1, "rule": "rpc", "when": f"{_ATTR.format('schema_role')} in ('rpc', 'service_function')", "as": API},
+    {"layer": 1, "rule": "graphql", "language": "graphql", "when": f"{_ATTR.format('schema_role')} = 'root_operation'", "as": API},
     {"layer": 1, "rule": "move", "language": "move", "when": f"{_VISIBILITY} in ('public', 'entry')", "as": API},
     {"layer": 1, "rule": "exported", "when": f"language in ('c', 'cpp', 'zig', 'dart', 'swift', 'objc') and {_ATTR.format('exported')} = 'true'", "as": API},
 ]

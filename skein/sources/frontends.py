@@ -51,7 +51,11 @@ def facts(path: str, language: str, text: str) -> list[Fact]:
     """All facts of one file, whatever happens within."""
     lines = text.count("\n") + 1
     try:
-        return list(python_facts(path, text) if language == "python" else scanned_facts(path, language, text))
+        if language == "python":
+            return list(python_facts(path, text))
+        from . import schemas
+
+        return list(schemas.facts(path, language, text) if language in schemas.LANGUAGES else scanned_facts(path, language, text))
     except (SyntaxError, ValueError, RecursionError) as e:
         line = getattr(e, "lineno", None) or 1
         return [module_node(path, language, lines), ("diagnostics", {"language": language, "file_path": path, "start_line": line, "kind": type(e).__name__, "message": str(e)[:200]})]

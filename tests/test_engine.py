@@ -245,8 +245,6 @@ SAMPLES = {
     "javascript": ("class C { run(a) { return a ? f(a) : 0; } }\nfunction f(x) { while (x) { x--; } }\nconst h = (y) => f(y);\n", "t:f", 2),
     "ruby": ("class C\n  def run(a)\n    if a\n      go(a)\n    end\n  end\nend\n", "t:C.run", 2),
     "c": ("/* f() */ static int f(int a) { return a ? 1 : 2; }\nint g(void) { return f(3); }\n", "t:f", 2),
-    "sql": ("CREATE TABLE s.t (a int);\nCREATE VIEW v AS SELECT 1;\ncreate function fn() returns int as $$ select 1 $$;\n", "t:fn", None),
-    "proto": ("service S { rpc Get (A) returns (B); }\nmessage A { string x = 1; }\n", "t:S.Get", None),
     "haskell": ("main :: IO ()\nmain = print 1\nadd :: Int -> Int\nadd x = x\n", "t:main", None),
     "php": ("<?php\nclass A { function f($x) { if ($x) { $this->g(); } } function g() {} }\n", "t:A.f", 2),
     "kotlin": ("class A { fun f(x: Int): Int { return when (x) { 1 -> 2 else -> 3 } } }\n", "t:A.f", 2),
@@ -353,3 +351,33 @@ def test_git_snapshots(tmp_path):
         with pytest.raises(ValueError):
             with snapshots.at_reference(str(tmp_path), wrong):
                 pass
+
+
+def shapes(language, text, name="t.x"):
+    rows = frontends.facts(name, language, text)
+    nodes = {r["id"]: r["kind"] for t, r in rows if t == "nodes"}
+    return nodes, {(r["src"], r["kind"], r["dst"]) for t, r in rows if t == "edges" and r["kind"] != "contains"}
+
+
+def test_sql_schema():
+    nodes, edges = shapes("sql", "CREATE SCHEMA a;\nCREATE TABLE a.e (id int);\nCREATE VIEW a.v AS SELECT id FROM a.e;\nCREATE FUNCTION a.n() RETURNS int LANGUAGE SQL\nAS $$ SELECT 1 FROM a.e JOIN e USING (id) $$;\n")
+    assert nodes == {"t": "module", "t:a": "schema", "t:a.e": "table", "t:a.v": "view", "t:a.n": "function"}
+    assert edges == {("t:a.v", "corresponds_to", "t:a.e"), ("t:a.n", "corresponds_to", "t:a.e")}
+
+
+def test_proto_and_thrift_schema():
+    nodes, edges = shapes("proto", 'syntax = "proto3";\npackage ex.auth;\nimport "c.proto";\nservice S {\n  rpc Login (In) returns (Out);\n}\nmessage In { string token = 1; message Inner { int32 x = 1; } Inner i = 2; }\nmessage Out { bool ok = 1; }\n')
+    assert nodes == {"ex.auth": "module", "ex.auth:S": "interface", "ex.auth:S.Login": "method", "ex.auth:In": "struct", "ex.auth:In.Inner": "struct", "ex.auth:In.Inner.x": "method", "ex.auth:In.token": "method", "ex.auth:In.i": "method", "ex.auth:Out": "struct", "ex.auth:Out.ok": "method"}
+    assert {("ex.auth", "imports", "c.proto"), ("ex.auth:S.Login", "type_uses", "ex.auth:In"), ("ex.auth:S.Login", "type_uses", "ex.auth:Out")} <= edges
+    nodes, edges = shapes("thrift", 'namespace py ex\ninclude "c.thrift"\nstruct In {\n  1: required string token\n}\nservice S {\n  bool login(1: In request),\n}\n')
+    assert nodes == {"t": "module", "t:In": "struct", "t:In.token": "method", "t:S": "interface", "t:S.login": "method"}
+    assert edges == {("t", "imports", "c.thrift"), ("t:S.login", "type_uses", "t:In")}
+
+
+def test_graphql_schema(spark):
+    text = "schema { query: Root }\ntype Root {\n  user(id: ID!): User\n}\ntype User implements Node {\n  id: ID!\n}\ninterface Node { id: ID! }\nenum E { A }\n"
+    nodes, edges = shapes("graphql", text)
+    assert nodes == {"t": "module", "t:Root": "interface", "t:Root.user": "method", "t:User": "interface", "t:User.id": "method", "t:Node": "interface", "t:Node.id": "method", "t:E": "enum"}
+    assert {("t:Root.user", "type_uses", "t:User"), ("t:User", "implements", "t:Node")} <= edges
+    tagged = entrypoints.detect(ingest.parse_text(spark, {"s.graphql": ("graphql", text)})).entrypoints
+    assert [r["node_id"] for r in tagged.collect()] == ["s:Root.user"]
