@@ -14,6 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts handed to one vectorised step are cut into slices of about this many bytes.
 SLICE_BYTES = 4 << 20
+#: Rows that a Python worker gets at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send Python workers ``BATCH`` rows at a time where the session has Spark's default: a row may hold a long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +77,8 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, sliced: str | None = None) -> DataFrame:
     """``mapInArrow`` with one step a batch (or a slice of it by the bytes of ``sliced``)."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, sliced) if sliced else [batch]:
