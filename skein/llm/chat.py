@@ -27,6 +27,8 @@ from . import common
 #: The rendering of a turn: head, role, after the role, text, tail.
 HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED = "assistant"
+#: Bins that the ids of an opening are dealt to.
+BINS = 1024
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -40,11 +42,7 @@ def paired(whole: DataFrame) -> DataFrame:
     # Read from files, both sides of the last join are shuffled for it, so that a hot rejected_id can be split.
     whole = common.stored(whole, "conversations")
     opened = whole.withColumn("opening", F.sha2(F.concat_ws("\u0000", F.element_at("turns", 1)["role"], F.element_at("turns", 1)["text"]), 256))
-    ids = opened.groupBy("opening").agg(F.min("conv_id").alias("first"), F.count("*").alias("n"))
-    # The second smallest id of an opening: the smallest of those that are not the smallest.
-    light = opened.select("opening", "conv_id")
-    second = light.join(ids.where("n > 1"), "opening").where(F.col("conv_id") > F.col("first")).groupBy("opening").agg(F.min("conv_id").alias("second"))
-    known = common.stored(ids.where("n > 1").join(second, "opening", "left"), "openings")
+    known = common.stored(_two_smallest(opened.select("opening", "conv_id")), "openings")
     chosen = opened.join(known, "opening", "left").select(
         F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen"), F.when(F.col("conv_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("rejected_id")
     )
@@ -53,6 +51,22 @@ def paired(whole: DataFrame) -> DataFrame:
     return chosen.join(rejected, "rejected_id", "left")
 
 
+def _two_smallest(rows: DataFrame) -> DataFrame:
+    """(opening, first, second): the two smallest ids of each opening that several conversations have.
+
+    Ids are dealt to bins, so that a hot opening is spread. The second smallest id is the
+    smallest of another bin, or the next one in the first id's bin.
+    """
+    binned = rows.withColumn("bin", F.pmod(F.xxhash64("conv_id"), F.lit(BINS)))
+    mins = common.stored(binned.groupBy("opening", "bin").agg(F.min("conv_id").alias("m"), F.count("*").alias("n")), "bins")
+    named = F.when(F.col("m").isNotNull(), F.struct("m", "bin"))
+    first = common.stored(mins.groupBy("opening").agg(F.min(named).alias("f"), F.sum("n").alias("n")).where("n > 1").select("opening", F.col("f.m").alias("first"), F.col("f.bin").alias("bin")), "firsts")
+    elsewhere = mins.join(first.withColumnRenamed("bin", "own"), "opening").where("bin <> own").select("opening", F.col("m").alias("second"))
+    beside = binned.join(first, ["opening", "bin"]).where("conv_id <> first").select("opening", F.col("conv_id").alias("second"))
+    second = elsewhere.unionByName(beside).groupBy("opening").agg(F.min("second").alias("second"))
+    return first.select("opening", "first").join(second, "opening", "left")
+
+
 def rendered(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), t["role"], F.lit(MIDDLE), t["text"], F.lit(TAIL))), "")
 
