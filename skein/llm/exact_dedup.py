@@ -36,15 +36,15 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
     """(cell, bucket, local_depth) for each used directory cell, and the global depth.
 
     ``keys`` has one row a key, in column ``key``. The directory has about
-    ``keys / capacity`` cells; it stays a table.
+    ``keys / capacity`` cells; it stays a table. The doublings that the number of keys
+    makes certain are done at once.
     """
-    depth = 0
+    depth = max(0, (keys.count() // capacity).bit_length() - 1)
     while True:
         cells = keys.groupBy(F.shiftrightunsigned("key", 64 - depth).alias("cell") if depth else F.lit(0).cast("long").alias("cell")).agg(F.count("*").alias("n"))
         if depth >= 40 or (cells.agg(F.max("n")).first()[0] or 0) <= capacity:
             break
-        depth += 1 if depth else 4
-    local = cells.select("cell", F.lit(depth).alias("local_depth"))
+        depth += 1
     cells = common.stored(cells, "directory")
     # A bucket's depth: the least d at which the cell's prefix of d bits is not overfull.
     prefixes = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("prefix", F.expr("shiftrightunsigned(cell, %d - d)" % depth))
