@@ -55,7 +55,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a table made by :func:`stored`, once nothing reads it any more."""
+    """Delete the files behind a table made by :func:`stored`, once nothing reads it any more (a round's table, after the next)."""
     for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

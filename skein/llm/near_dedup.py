@@ -180,7 +180,9 @@ def spread(links: DataFrame) -> DataFrame:
         # The label's own label is no larger and belongs to the same component.
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = common.stored(hooked.join(ahead, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels")
+        common.forget(links.sparkSession, labels)
         if after.where("label <> old").isEmpty():
+            common.forget(links.sparkSession, both)
             return after.select("node", "label")
         labels = after.select("node", "label")
 

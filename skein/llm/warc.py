@@ -132,15 +132,20 @@ def reachable(found: DataFrame) -> DataFrame:
     # Both sides grow with the archives and pack far smaller than they are: their file sizes must not lead to broadcasts.
     jump = found.select("file", "at", "next")
     reached = found.where("at = 0").select("file", "at")
-    count = 0
+    spark, count, rounds = found.sparkSession, 0, 0
     while True:
         ahead = reached.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at"))
-        reached = common.stored(reached.unionByName(ahead).distinct(), "reached")
+        before, reached = reached, common.stored(reached.unionByName(ahead).distinct(), "reached")
+        if rounds:
+            common.forget(spark, before)
         if (now := reached.count()) == count:
             break
         count = now
         over = jump.select("file", F.col("at").alias("next"), F.col("next").alias("further"))
-        jump = common.stored(jump.join(over.hint("merge"), ["file", "next"]).select("file", "at", F.col("further").alias("next")), "jumps")
+        before, jump = jump, common.stored(jump.join(over.hint("merge"), ["file", "next"]).select("file", "at", F.col("further").alias("next")), "jumps")
+        if rounds:
+            common.forget(spark, before)
+        rounds += 1
     return found.join(reached.hint("merge"), ["file", "at"], "left_semi")
 
 
