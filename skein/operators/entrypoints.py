@@ -34,6 +34,25 @@ RULES: list[dict] = [
     {"layer": 1, "rule": "rpc", "when": f"{_ATTR.format('schema_role')} in ('rpc', 'service_function')", "as": API},
     {"layer": 1, "rule": "graphql", "language": "graphql", "when": f"{_ATTR.format('schema_role')} = 'root_operation'", "as": API},
     {"layer": 1, "rule": "move", "language": "move", "when": f"{_VISIBILITY} in ('public', 'entry')", "as": API},
+    {"layer": 1, "rule": "servlet", "language": "java", "when": "kind = 'method' and name in ('doGet', 'doPost', 'doPut', 'doDelete', 'doPatch')", "as": API},
+    {"layer": 1, "rule": "android", "when": "language in ('java', 'kotlin') and kind = 'method' and name in ('onCreate', 'onReceive', 'onStartCommand', 'onBind', 'onNewIntent')", "as": CLI},
+    {"layer": 1, "rule": "lambda", "when": "language in ('javascript', 'typescript') and kind = 'function' and name in ('handler', 'lambdaHandler')", "as": API},
+    {"layer": 1, "rule": "file-route", "when": "language in ('javascript', 'typescript') and kind = 'function' and file_path rlike '(^|/)(pages/api|app/.*|routes)/' and name in ('GET', 'POST', 'PUT', 'PATCH', 'DELETE', 'handler', 'loader', 'action')", "as": API},
+    {"layer": 1, "rule": "go-handler", "language": "go", "when": f"{_SIGNATURE} rlike 'http\\\\.ResponseWriter|\\\\*gin\\\\.Context|echo\\\\.Context|\\\\*fiber\\\\.Ctx'", "as": API},
+    {"layer": 1, "rule": "rails", "language": "ruby", "when": "kind = 'method' and file_path rlike '(^|/)app/controllers/'", "as": API},
+    {"layer": 1, "rule": "sidekiq", "language": "ruby", "when": "kind = 'method' and name = 'perform'", "as": TASK},
+    {"layer": 1, "rule": "c-export", "when": f"language in ('c', 'cpp') and {_SIGNATURE} rlike 'dllexport|visibility\\\\(\"default\"\\\\)|EMSCRIPTEN_KEEPALIVE|JNIEXPORT|extern \"C\"'", "as": API},
+    {"layer": 1, "rule": "objc-delegate", "language": "objc", "when": "name in ('application', 'handleOpenURL', 'userNotificationCenter', 'webView')", "as": API},
+    {"layer": 1, "rule": "swift-main", "language": "swift", "when": f"{_DECORATORS} rlike '@main\\\\b|@UIApplicationMain'", "as": CLI},
+    {"layer": 1, "rule": "dart-pragma", "language": "dart", "when": f"{_DECORATORS} rlike 'vm:entry-point'", "as": API},
+    {"layer": 1, "rule": "cairo", "language": "cairo", "when": f"{_DECORATORS} rlike '#\\\\[(external|l1_handler|constructor|abi)'", "as": API},
+    {"layer": 1, "rule": "circom", "language": "circom", "when": "kind = 'template' and name = 'Main'", "as": API},
+    {"layer": 1, "rule": "masm", "language": "masm", "when": f"{_SIGNATURE} rlike '^export'", "as": API},
+    {"layer": 1, "rule": "tact", "language": "tact", "when": "name in ('receive', 'external', 'init')", "as": API},
+    {"layer": 1, "rule": "func", "language": "func", "when": f"name in ('recv_internal', 'recv_external', 'run_ticktock') or {_SIGNATURE} rlike 'method_id'", "as": API},
+    {"layer": 1, "rule": "sway", "language": "sway", "when": f"kind in ('function', 'method') and {_SIGNATURE} rlike '^(pub )?fn' and {_VISIBILITY} in ('pub', 'public')", "as": API},
+    {"layer": 1, "rule": "zig-export", "language": "zig", "when": f"{_SIGNATURE} rlike '\\\\bexport fn' or {_VISIBILITY} = 'export'", "as": API},
+    {"layer": 1, "rule": "aiken", "language": "aiken", "when": "name in ('spend', 'mint', 'withdraw', 'publish', 'vote', 'propose')", "as": API},
     {"layer": 1, "rule": "exported", "when": f"language in ('c', 'cpp', 'zig', 'dart', 'swift', 'objc') and {_ATTR.format('exported')} = 'true'", "as": API},
 ]
 

@@ -42,23 +42,23 @@ def module_ids(paths: list[tuple[str, str]]) -> dict[str, str]:
         ids |= wide
 
 
-def module_node(path: str, language: str, lines: int) -> Fact:
-    own = module_id(path, language)
+def module_node(path: str, language: str, lines: int, module: str | None = None) -> Fact:
+    own = module or module_id(path, language)
     return "nodes", {"id": own, "name": own.rsplit(".", 1)[-1] if "\\." not in own else own, "kind": "module", "origin": "source", "language": language, "file_path": path, "start_line": 1, "end_line": lines, "start_col": 0, "attrs": "{}"}
 
 
-def facts(path: str, language: str, text: str) -> list[Fact]:
-    """All facts of one file, whatever happens within."""
+def facts(path: str, language: str, text: str, module: str | None = None) -> list[Fact]:
+    """All facts of one file, whatever happens within. ``module`` is its id where paths alone would clash."""
     lines = text.count("\n") + 1
     try:
         if language == "python":
-            return list(python_facts(path, text))
+            return list(python_facts(path, text, module))
         from . import schemas
 
-        return list(schemas.facts(path, language, text) if language in schemas.LANGUAGES else scanned_facts(path, language, text))
+        return list(schemas.facts(path, language, text, module) if language in schemas.LANGUAGES else scanned_facts(path, language, text, module))
     except (SyntaxError, ValueError, RecursionError) as e:
         line = getattr(e, "lineno", None) or 1
-        return [module_node(path, language, lines), ("diagnostics", {"language": language, "file_path": path, "start_line": line, "kind": type(e).__name__, "message": str(e)[:200]})]
+        return [module_node(path, language, lines, module), ("diagnostics", {"language": language, "file_path": path, "start_line": line, "kind": type(e).__name__, "message": str(e)[:200]})]
 
 
 # -- Python ---------------------------------------------------------------
@@ -110,10 +110,10 @@ def _type_refs(node: ast.AST | None, path: str = "0") -> Iterator[tuple[str, str
         yield from _type_refs(node.right, f"{path}.1")
 
 
-def python_facts(path: str, text: str) -> Iterator[Fact]:
+def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fact]:
     tree = ast.parse(text)
-    module = module_id(path)
-    yield module_node(path, "python", text.count("\n") + 1)
+    module = module or module_id(path)
+    yield module_node(path, "python", text.count("\n") + 1, module)
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             yield from (("dependencies", {"name": a.name}) for a in n.names)
@@ -334,7 +334,7 @@ def _state(rows: list[tuple], clean: str, path: str, place) -> Iterator[Fact]:
                     yield "edges", {"src": r[3], "dst": var, "kind": "reads", "confidence": "certain", "file_path": path, "start_line": place(r[1])[0]}
 
 
-def scanned_facts(path: str, language: str, text: str) -> Iterator[Fact]:
+def scanned_facts(path: str, language: str, text: str, module: str | None = None) -> Iterator[Fact]:
     look = LOOKS.get(language, _DEFAULT)
     clean = cleaned(text, look)
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -345,8 +345,10 @@ def scanned_facts(path: str, language: str, text: str) -> Iterator[Fact]:
         line = bisect.bisect_right(starts, at)
         return line, at - starts[line - 1]
 
-    module = module_id(path, language)
-    yield module_node(path, language, len(starts))
+    module = module or module_id(path, language)
+    yield module_node(path, language, len(starts), module)
+    if look.body == "brace" and (open_left := clean.count("{") - clean.count("}")):
+        yield "diagnostics", {"language": language, "file_path": path, "start_line": len(starts), "kind": "unbalanced", "message": f"{abs(open_left)} braces are not {'closed' if open_left > 0 else 'opened'}"}
     for m in re.finditer(look.imports, text, re.M):
         yield "dependencies", {"name": m["name"]}
     found = []

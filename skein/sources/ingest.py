@@ -19,20 +19,41 @@ from .policy import SourcePolicy
 TABLES = ("nodes", "edges", "type_refs", "dependencies", "diagnostics")
 
 
+def named_modules(files: DataFrame) -> DataFrame:
+    """``files`` (path, language) with their module ids; all files of a group that would share one are named by their full file name."""
+    from .frontends import module_id
+
+    @F.pandas_udf("string")
+    def plain(path: pd.Series, language: pd.Series) -> pd.Series:
+        return pd.Series([module_id(p, x) for p, x in zip(path, language)])
+
+    part = lambda p: F.regexp_replace(F.regexp_replace(p, r"\\", r"\\\\"), r"\.", r"\\.")
+    wide = F.array_join(F.transform(F.split("path", "/"), part), ".")
+    out = cut(files.withColumn("module", plain("path", "language")).withColumn("wide", wide))
+    while True:
+        shared = out.groupBy("module").agg(F.count("*").alias("n")).where("n > 1").select("module", F.lit(True).alias("shared"))
+        after = cut(out.join(shared, "module", "left").withColumn("named", F.when(F.col("shared"), F.col("wide")).otherwise(F.col("module"))))
+        if after.where("named <> module").isEmpty():
+            return after.select(*files.columns, "module")
+        out = after.withColumn("module", F.col("named")).drop("named", "shared")
+
+
 def parsed(files: DataFrame) -> DataFrame:
-    """(table, path, seq, payload): the facts of ``files`` (path, language, content), as JSON by table."""
+    """(table, path, seq, payload): the facts of ``files`` (path, language, content[, module]), as JSON by table."""
+    if "module" not in files.columns:
+        files = files.withColumn("module", F.lit(None).cast("string"))
 
     def run(batches):
         from .frontends import facts
 
         for batch in batches:
             rows = []
-            for path, language, content in zip(batch["path"], batch["language"], batch["content"]):
+            for path, language, content, module in zip(batch["path"], batch["language"], batch["content"], batch["module"]):
                 text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
-                rows += [(table, path, k, json.dumps(row)) for k, (table, row) in enumerate(facts(path, language, text))]
+                rows += [(table, path, k, json.dumps(row)) for k, (table, row) in enumerate(facts(path, language, text, module))]
             yield pd.DataFrame(rows, columns=["table", "path", "seq", "payload"])
 
-    return files.select("path", "language", "content").mapInPandas(run, "table string, path string, seq long, payload string")
+    return files.select("path", "language", "content", "module").mapInPandas(run, "table string, path string, seq long, payload string")
 
 
 def assembled(spark: SparkSession, found: DataFrame) -> GraphBundle:
@@ -60,7 +81,8 @@ def linked(graph: GraphBundle) -> GraphBundle:
 def parse_text(spark: SparkSession, files: dict[str, tuple[str, str]]) -> GraphBundle:
     """A graph of {path: (language, text)}, linked."""
     df = spark.createDataFrame([(p, lang, text) for p, (lang, text) in files.items()], "path string, language string, content string")
-    return linked(assembled(spark, parsed(df)))
+    modules = named_modules(df.select("path", "language"))
+    return linked(assembled(spark, parsed(df.join(modules.select("path", "module"), "path"))))
 
 
 def parse_file(spark: SparkSession, path: str, language: str | None = None, strict: bool = False) -> GraphBundle:
@@ -104,7 +126,7 @@ def parse_directory(spark: SparkSession, root: str, language: str | list[str] |
                         texts.append(f.read())
                 yield batch.assign(content=texts)
 
-        read = own.select("path", "language").mapInPandas(run, "path string, language string, content string")
+        read = named_modules(own.select("path", "language")).mapInPandas(run, "path string, language string, module string, content string")
         graph = linked(assembled(spark, parsed(read)))
         graphs.append(graph.namespaced(one) if len(roots) > 1 else graph)
     out = graphs[0]

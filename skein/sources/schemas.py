@@ -53,8 +53,8 @@ class _File:
         return table, row | {"id": self.module, "name": name, "attrs": json.dumps(attrs, sort_keys=True)}
 
 
-def facts(path: str, language: str, text: str) -> Iterator[Fact]:
-    return {"proto": _proto, "thrift": _thrift, "graphql": _graphql, "sql": _sql}[language](path, text)
+def facts(path: str, language: str, text: str, module: str | None = None) -> Iterator[Fact]:
+    return {"proto": _proto, "thrift": _thrift, "graphql": _graphql, "sql": _sql}[language](path, text, module or base.module_id(path, language))
 
 
 def _imports(file: _File, pattern: str) -> Iterator[Fact]:
@@ -63,9 +63,9 @@ def _imports(file: _File, pattern: str) -> Iterator[Fact]:
         yield file.edge(file.module, m[1], "imports", m.start())
 
 
-def _proto(path: str, text: str) -> Iterator[Fact]:
+def _proto(path: str, text: str, module: str) -> Iterator[Fact]:
     package = re.search(r"^\s*package\s+([\w.]+)\s*;", text, re.M)
-    f = _File(path, "proto", text, package[1] if package else base.module_id(path, "proto"))
+    f = _File(path, "proto", text, package[1] if package else module)
     yield f.module_row()
     yield from _imports(f, r"^\s*import\s+(?:public\s+|weak\s+)?\"([^\"]+)\"")
     types, found = {}, []
@@ -91,8 +91,8 @@ def _proto(path: str, text: str) -> Iterator[Fact]:
                     yield f.edge(at, types[name], "type_uses", m.start())
 
 
-def _thrift(path: str, text: str) -> Iterator[Fact]:
-    f = _File(path, "thrift", text, base.module_id(path, "thrift"))
+def _thrift(path: str, text: str, module: str) -> Iterator[Fact]:
+    f = _File(path, "thrift", text, module)
     space = re.search(r"^\s*namespace\s+[\w.*]+\s+([\w.]+)", text, re.M)
     yield f.module_row(**({"target_namespace": space[1]} if space else {}))
     yield from _imports(f, r"^\s*include\s+[\"']([^\"']+)[\"']")
@@ -117,8 +117,8 @@ def _thrift(path: str, text: str) -> Iterator[Fact]:
                     yield f.edge(at, types[name], "type_uses", m.start())
 
 
-def _graphql(path: str, text: str) -> Iterator[Fact]:
-    f = _File(path, "graphql", text, base.module_id(path, "graphql"))
+def _graphql(path: str, text: str, module: str) -> Iterator[Fact]:
+    f = _File(path, "graphql", text, module)
     roots = {"query": "Query", "mutation": "Mutation", "subscription": "Subscription"}
     declared = re.search(r"\bschema\b[^{}]*\{([^}]*)\}", f.clean)
     if declared:
@@ -149,8 +149,8 @@ def _graphql(path: str, text: str) -> Iterator[Fact]:
                     yield f.edge(at, types[used], "type_uses", m.start())
 
 
-def _sql(path: str, text: str) -> Iterator[Fact]:
-    f = _File(path, "sql", text, base.module_id(path, "sql"))
+def _sql(path: str, text: str, module: str) -> Iterator[Fact]:
+    f = _File(path, "sql", text, module)
     yield f.module_row()
     plain = lambda name: name.replace('"', "")
     found, relations = [], {}

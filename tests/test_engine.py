@@ -381,3 +381,25 @@ def test_graphql_schema(spark):
     assert {("t:Root.user", "type_uses", "t:User"), ("t:User", "implements", "t:Node")} <= edges
     tagged = entrypoints.detect(ingest.parse_text(spark, {"s.graphql": ("graphql", text)})).entrypoints
     assert [r["node_id"] for r in tagged.collect()] == ["s:Root.user"]
+
+
+def test_clashing_modules_are_named_apart(spark):
+    files = {"a.py": ("python", "def f():\n    pass\n"), "a.js": ("javascript", "function f() {}\n"), "x/b.py": ("python", "y = 1\n")}
+    graph = ingest.parse_text(spark, files)
+    assert ids(graph.nodes) == ["a\\.js", "a\\.js:f", "a\\.py", "a\\.py:f", "x.b"]
+
+
+RULE_SAMPLES = {
+    "h.go": ("go", "package p\nfunc Serve(w http.ResponseWriter, r *http.Request) {\n}\n", "h:Serve"),
+    "W.java": ("java", "class W { void doGet(R r) { } }\n", "W:W.doGet"),
+    "j.rb": ("ruby", "class J\n  def perform(x)\n  end\nend\n", "j:J.perform"),
+    "k.fc": ("func", "() recv_internal(int a) impure {\n}\n", "k:recv_internal"),
+    "r.rs": ("rust", "#[no_mangle]\npub fn go_in() {}\n", "r:go_in"),
+    "p.rego": ("rego", "allow if {\n  input.x\n}\n", "p:allow"),
+}
+
+
+def test_rules_by_language(spark):
+    graph = ingest.parse_text(spark, {k: v[:2] for k, v in RULE_SAMPLES.items()})
+    tagged = {r["node_id"] for r in entrypoints.detect(graph).entrypoints.collect()}
+    assert tagged == {v[2] for v in RULE_SAMPLES.values()}
