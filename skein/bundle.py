@@ -30,6 +30,12 @@ class GraphBundle:
     def having(self, **tables: DataFrame) -> GraphBundle:
         return replace(self, tables=self.tables | tables)
 
+    def materialised(self) -> GraphBundle:
+        """All tables checkpointed, so that queries begin from files and not from what built the graph."""
+        from .functions.storage import cut
+
+        return replace(self, tables={name: cut(df) for name, df in self.tables.items()})
+
     @staticmethod
     def conform(df: DataFrame, name: str) -> DataFrame:
         """``df`` with all columns of the table, missing ones null."""

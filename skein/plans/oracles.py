@@ -160,4 +160,17 @@ ORACLES: dict[str, str] = {
     "g_overload_ids": """WITH u AS (SELECT 'm:f' || l_partkey AS base, l_orderkey AS l, l_linenumber AS c, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS k FROM lineitem)
         SELECT CASE WHEN k = 1 THEN base ELSE base || '@' || l || '_' || c END AS id, count(*) AS n FROM u GROUP BY ALL""",
     "g_escaped_symbols": _with(LINKS) + f" SELECT {ESCAPE.format('dst')} AS symbol, count(*) AS n FROM links GROUP BY ALL",
+    "g_binary_gaps": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem WHERE l_suppkey < 10),
+        c AS (SELECT artifact, greatest(s, 1000) AS s, least(e, 90000) AS e FROM f WHERE s < 90000 AND e > 1000),
+        m AS (SELECT s_suppkey AS artifact, 90000::BIGINT AS s, 90000::BIGINT AS e FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT * FROM c),
+        w AS (SELECT artifact, s, coalesce(max(e) OVER (PARTITION BY artifact ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000) AS reach FROM m)
+        SELECT artifact, reach AS "start", s AS "end" FROM w WHERE s > reach""",
+    "g_binary_calls": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey || '/' || l_linenumber AS id, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem WHERE l_suppkey < 10),
+        i AS (SELECT DISTINCT user_id % 10 AS artifact, event_id * 13 % 100000 AS address, event_id * 29 % 100000 AS target FROM events),
+        o AS (SELECT i.artifact, address, count(DISTINCT id) AS n FROM i JOIN f ON f.artifact = i.artifact AND target >= s AND target < e GROUP BY ALL),
+        c AS (SELECT i.artifact, i.address, id FROM i JOIN f ON f.artifact = i.artifact AND i.address >= s AND i.address < e)
+        SELECT artifact, count(*) AS n, count(CASE WHEN o.n = 1 THEN 1 END) AS resolved, count(DISTINCT id) AS callers FROM c LEFT JOIN o USING (artifact, address) GROUP BY artifact""",
+    "g_mapped_spans": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL)),
+        g AS (SELECT *, s - 4 * row_number() OVER (PARTITION BY artifact, line ORDER BY s) AS island FROM r)
+        SELECT artifact, line, min(s) AS "start", max(s) + 4 AS "end" FROM g GROUP BY artifact, line, island""",
 }

@@ -345,3 +345,36 @@ def g_overload_ids(spark, d):
 @query
 def g_escaped_symbols(spark, d):
     return P.links(spark, d).select(escaped(F.col("dst")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def _functions(spark, d):
+    """Parts of a supplier as functions of an image: stretches of the supplier's address space."""
+    li = P.table(spark, d, "lineitem").where("l_suppkey < 10")
+    return li.select(F.col("l_suppkey").alias("artifact"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("node_id"), (F.col("l_orderkey") * 40).alias("start"), (F.col("l_orderkey") * 40 + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query
+def g_binary_gaps(spark, d):
+    from ..operators import binaries
+
+    spans = P.table(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("artifact"), F.lit(1000).cast("long").alias("s_start"), F.lit(90_000).cast("long").alias("s_end"))
+    return binaries.gaps(_functions(spark, d), spans)
+
+
+@query
+def g_binary_calls(spark, d):
+    from ..operators import binaries
+
+    found = P.table(spark, d, "events").select((F.col("user_id") % 10).alias("artifact"), (F.col("event_id") * 13 % 100_000).alias("address"), (F.col("event_id") * 29 % 100_000).alias("target"), F.when(F.col("event_type") == "click", "direct").otherwise("tail").alias("how")).dropDuplicates(["artifact", "address"])
+    out = binaries.calls_by_owner(found, _functions(spark, d), 64)
+    return out.groupBy("artifact").agg(F.count("*").alias("n"), F.count("dst").alias("resolved"), F.count_distinct("src").alias("callers"))
+
+
+@query
+def g_mapped_spans(spark, d):
+    from ..operators import binaries
+
+    li = P.table(spark, d, "lineitem").where("l_suppkey < 10").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
+    none = F.lit(None).cast("int")
+    rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
+    return binaries.mapped_spans(rows).select("artifact", "line", "start", "end")

@@ -139,3 +139,27 @@ def test_ranked_lookup(spark):
         assert (row and row["id"]) == plain_lookup(r), r
     got = {r["ref"]: r["node_id"] for r in lookup.resolve_all(nodes, spark.createDataFrame([(r,) for r in refs], "ref string")).collect()}
     assert got == {r: plain_lookup(r) for r in refs if plain_lookup(r)}
+
+
+def test_binary_sets(spark):
+    from skein.operators import binaries
+
+    funcs = spark.createDataFrame([("a", "f", "f", ".text", 0, None), ("a", "g", "g", ".text", 16, 20), ("a", "c", "g.cold", ".text", 32, 40)], "artifact string, node_id string, name string, section string, start long, end long")
+    ended = binaries.function_ends(funcs)
+    assert {(r["node_id"], r["end"]) for r in ended.collect()} == {("f", 16), ("g", 20), ("c", 40)}
+    spans = spark.createDataFrame([("a", 8, 36), ("a", 38, 50)], "artifact string, s_start long, s_end long")
+    assert {(r["start"], r["end"]) for r in binaries.gaps(ended, spans).collect()} == {(20, 32), (40, 50)}
+    jumps = spark.createDataFrame([("a", 3, 16), ("a", 4, 32), ("a", 5, 0), ("a", 17, 18)], "artifact string, address long, target long")
+    assert [tuple(r) for r in binaries.tail_calls(jumps, ended).collect()] == [("a", 3, "f", "g")]
+    calls = {(r["address"], r["src"], r["dst"], r["confidence"]) for r in binaries.calls_by_owner(jumps.withColumn("how", F.lit("direct")), ended).collect()}
+    assert (4, "f", "c", "certain") in calls and (17, "g", "g", "certain") in calls
+    stubs = spark.createDataFrame([("s1", "x"), ("s2", "y"), ("s3", "z")], "stub string, symbol string")
+    exports = spark.createDataFrame([("x", "n1"), ("y", "n1"), ("y", "n2")], "symbol string, node_id string")
+    assert {tuple(r) for r in binaries.stub_links(stubs, exports).collect()} == {("s1", "n1", "inferred"), ("s2", None, "uncertain"), ("s3", None, "uncertain")}
+    names = spark.createDataFrame([("1", "_run"), ("2", "ns::C::go(int)"), ("3", "twin")], "id string, symbol string")
+    sources = spark.createDataFrame([("run", "m:run"), ("go", "m:go"), ("twin", "a:twin"), ("twin", "b:twin")], "name string, to string")
+    assert {tuple(r) for r in binaries.aliased(names, sources).collect()} == {("1", "m:run"), ("2", "m:go")}
+    arts, nodes = spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("f",)], "id string")
+    ranges = spark.createDataFrame([("a", "f", 0, 8), ("b", "f", 0, 8), ("a", "q", 4, 4)], "artifact string, node_id string, start long, end long")
+    maps = spark.createDataFrame([("a", "f", 2, 4), ("a", "f", 6, 12)], "artifact string, node_id string, start long, end long")
+    assert binaries.violations(arts, ranges, maps, nodes).count() == 4
