@@ -3,7 +3,8 @@
 *Writing.* Each page is one record, a response with its HTTP head and the html, or a
 revisit that names the response with the same payload. Spark's text writer puts the
 records in files on shared storage; its line separator is the record terminator, so
-the files are plain archives. A file holds at most ``RECORDS`` records.
+the files are plain archives. A file holds at most ``RECORDS`` records, fewer where
+that many of the longest page could pass ``FILE_BYTES``, so that one task can read it whole.
 
 *Reading.* Tasks look for the magic in each file and emit every candidate (offset,
 offset of its successor by its own Content-Length), the false ones within payloads
@@ -31,6 +32,9 @@ from pyspark.sql import functions as F
 from . import common
 
 RECORDS = 2000
+FILE_BYTES = 256 << 20
+#: Room for a record's heads.
+HEAD_BYTES = 1024
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 END = b"\r\n\r\n"
 #: Fixed in every record, so that runs agree.
@@ -75,6 +79,8 @@ def write(pages: DataFrame, path: str | None = None, records: int = RECORDS, lea
     # Longs with nulls would pass through pandas as floats; as text they stay exact.
     plan = planned(pages, least)
     lines = plan.select(record(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).alias("value"))
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)) * 3)).first()[0] or 0
+    records = max(1, min(records, FILE_BYTES // (longest + HEAD_BYTES)))
     lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
     return path
 
