@@ -173,4 +173,16 @@ ORACLES: dict[str, str] = {
     "g_mapped_spans": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL)),
         g AS (SELECT *, s - 4 * row_number() OVER (PARTITION BY artifact, line ORDER BY s) AS island FROM r)
         SELECT artifact, line, min(s) AS "start", max(s) + 4 AS "end" FROM g GROUP BY artifact, line, island""",
+    "g_binary_gaps_whole": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
+        w AS (SELECT artifact, s, coalesce(max(e) OVER (PARTITION BY artifact ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM f)
+        SELECT artifact, reach AS "start", s AS "end" FROM w WHERE s > reach""",
+    "g_binary_calls_whole": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey || '/' || l_linenumber AS id, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
+        z AS (SELECT (SELECT count(*) FROM supplier) AS files, (SELECT max(e) FROM f) AS space),
+        i AS (SELECT user_id % files AS artifact, event_id * 7919 % space AS address, arg_min(event_id * 104729 % space, event_id) AS target FROM events, z GROUP BY ALL),
+        o AS (SELECT i.artifact, address, count(DISTINCT id) AS n FROM i JOIN f ON f.artifact = i.artifact AND target >= s AND target < e GROUP BY ALL),
+        c AS (SELECT i.artifact, i.address, id FROM i JOIN f ON f.artifact = i.artifact AND i.address >= s AND i.address < e)
+        SELECT artifact, count(*) AS n, count(CASE WHEN o.n = 1 THEN 1 END) AS resolved, count(DISTINCT id) AS callers FROM c LEFT JOIN o USING (artifact, address) GROUP BY artifact""",
+    "g_mapped_spans_whole": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem GROUP BY ALL)),
+        g AS (SELECT *, s - 4 * row_number() OVER (PARTITION BY artifact, line ORDER BY s) AS island FROM r)
+        SELECT artifact, line, min(s) AS "start", max(s) + 4 AS "end" FROM g GROUP BY artifact, line, island""",
 }

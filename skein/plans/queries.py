@@ -378,3 +378,42 @@ def g_mapped_spans(spark, d):
     none = F.lit(None).cast("int")
     rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
     return binaries.mapped_spans(rows).select("artifact", "line", "start", "end")
+
+
+def _all_functions(spark, d):
+    """As ``_functions``, of every supplier."""
+    li = P.table(spark, d, "lineitem")
+    return li.select(F.col("l_suppkey").alias("artifact"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("node_id"), (F.col("l_orderkey") * 40).alias("start"), (F.col("l_orderkey") * 40 + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query
+def g_binary_gaps_whole(spark, d):
+    from ..operators import binaries
+
+    functions = _all_functions(spark, d)
+    spans = functions.groupBy("artifact").agg(F.lit(0).cast("long").alias("s_start"), F.max("end").alias("s_end"))
+    return binaries.gaps(functions, spans)
+
+
+@query
+def g_binary_calls_whole(spark, d):
+    """Events dealt over all suppliers and the whole address range; of those at one address the first is the instruction."""
+    from ..operators import binaries
+
+    functions = _all_functions(spark, d)
+    sizes = P.table(spark, d, "supplier").agg(F.count("*").alias("files")).join(functions.agg(F.max("end").alias("space")))
+    found = P.table(spark, d, "events").join(sizes).select("event_id", "event_type", (F.col("user_id") % F.col("files")).alias("artifact"), (F.col("event_id") * 7919 % F.col("space")).alias("address"), (F.col("event_id") * 104_729 % F.col("space")).alias("target"))
+    how = F.when(F.col("event_type") == "click", "direct").otherwise("tail")
+    found = found.groupBy("artifact", "address").agg(F.min_by("target", "event_id").alias("target"), F.min_by(how, "event_id").alias("how"))
+    out = binaries.calls_by_owner(found, functions, 64)
+    return out.groupBy("artifact").agg(F.count("*").alias("n"), F.count("dst").alias("resolved"), F.count_distinct("src").alias("callers"))
+
+
+@query
+def g_mapped_spans_whole(spark, d):
+    from ..operators import binaries
+
+    li = P.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
+    none = F.lit(None).cast("int")
+    rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
+    return binaries.mapped_spans(rows).select("artifact", "line", "start", "end")
