@@ -59,6 +59,8 @@ def _neighbours(key: str, kind: str, near: str, far: str, columns: str) -> str:
 
 
 _UNITS = """units AS (SELECT l_suppkey AS file, l_orderkey || '/' || l_linenumber AS unit, l_partkey % 5000 AS s, l_partkey % 5000 + l_quantity::BIGINT AS e FROM lineitem WHERE l_suppkey < 10)"""
+_ALL_UNITS = """units AS (SELECT l_suppkey AS file, l_orderkey || '/' || l_linenumber AS unit, l_partkey % 5000 AS s, l_partkey % 5000 + l_quantity::BIGINT AS e FROM lineitem),
+  found AS (SELECT event_id, user_id % (SELECT count(*) FROM supplier) AS file, event_id % 5000 AS place FROM events)"""
 _WALK = """walk AS (
   SELECT src, dst, [src, dst] AS path FROM {0} WHERE src <> dst {1}
   UNION ALL SELECT walk.src, t.dst, list_append(walk.path, t.dst) FROM walk JOIN {0} t ON t.src = walk.dst
@@ -185,4 +187,6 @@ ORACLES: dict[str, str] = {
     "g_mapped_spans_whole": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem GROUP BY ALL)),
         g AS (SELECT *, s - 4 * row_number() OVER (PARTITION BY artifact, line ORDER BY s) AS island FROM r)
         SELECT artifact, line, min(s) AS "start", max(s) + 4 AS "end" FROM g GROUP BY artifact, line, island""",
+    "g_interval_overlap_whole": "WITH " + _ALL_UNITS + " SELECT event_id, count(*) AS n FROM found JOIN units USING (file) WHERE place <= e AND place + 3 >= s GROUP BY event_id",
+    "g_tightest_owner_whole": "WITH " + _ALL_UNITS + " SELECT event_id, arg_min(unit, (e - s, unit)) AS unit FROM found JOIN units USING (file) WHERE place >= s AND place <= e GROUP BY event_id",
 }

@@ -238,6 +238,26 @@ def g_tightest_owner(spark, d):
     return intervals.tightest(hits, ["event_id"], F.col("end") - F.col("start"), [F.col("unit")], "unit")
 
 
+def _found_in_all_files(spark, d):
+    """Events dealt over the files of all suppliers."""
+    files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
+    return P.table(spark, d, "events").join(files).select("event_id", (F.col("user_id") % F.col("files")).alias("file"), (F.col("event_id") % 5000).alias("at"))
+
+
+@query
+def g_interval_overlap_whole(spark, d):
+    found = _found_in_all_files(spark, d).select("event_id", "file", F.col("at").alias("l_start"), (F.col("at") + 3).alias("l_end"))
+    units = _spans(spark, d).select("file", "key", "line", F.col("s").alias("r_start"), F.col("e").alias("r_end"))
+    return intervals.overlaps(found, units, ["file"]).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query
+def g_tightest_owner_whole(spark, d):
+    units = _spans(spark, d).select("file", F.concat_ws("/", "key", "line").alias("unit"), F.col("s").alias("start"), (F.col("e") + 1).alias("end"))
+    hits = intervals.stab(_found_in_all_files(spark, d), units, on=["file"], width=64)
+    return intervals.tightest(hits, ["event_id"], F.col("end") - F.col("start"), [F.col("unit")], "unit")
+
+
 @query
 def g_coalesce_spans(spark, d):
     spans = P.address_space(spark, d).join(P.table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
