@@ -188,8 +188,8 @@ class QueryEngine:
     def call_resolution(self) -> tuple[DataFrame, DataFrame]:
         return metrics.call_resolution(self.graph), metrics.unresolved_by_callee(self.graph)
 
-    def preanalysis(self, threshold: int = preanalysis.THRESHOLD) -> None:
-        self.graph = preanalysis.run(self.graph, threshold)
+    def preanalysis(self, threshold: int = preanalysis.THRESHOLD, limit: int | None = None, block: int = preanalysis.BLOCK) -> None:
+        self.graph = preanalysis.run(self.graph, threshold, limit, block)
 
     # -- subgraphs --------------------------------------------------------
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,29 +15,48 @@ from . import traverse, views
 THRESHOLD = 10
 SOURCE = "preanalysis"
 GROUPS = ("high_blast_radius", "entrypoints", "entrypoint_reachable", "privilege_boundary", "tainted")
-#: All-pairs closures are refused above this many nodes; name a subgraph instead.
-ALL_PAIRS = 20_000
+#: Roots whose closures are held at once; all-pairs passes take one such block after the other.
+BLOCK = 20_000
+
+
+def _closures(proj: DataFrame, nodes: DataFrame, block: int, limit: int | None) -> Iterator[DataFrame]:
+    """(root, node, hops) of all nodes, for about ``block`` roots at a time; ``limit`` refuses larger graphs if given."""
+    n = nodes.count()
+    if limit is not None and n > limit:
+        raise ValueError(f"all pairs of {n} nodes are asked for; at most {limit} are allowed")
+    proj, blocks = cut(proj), max(1, math.ceil(n / block))
+    roots = cut(nodes.select(F.col("id").alias("root"), F.col("id").alias("node"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")))
+    for k in range(blocks):
+        yield traverse.closure(proj, roots.where(F.col("block") == k))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def blast_radius(proj: DataFrame, nodes: DataFrame, limit: int = ALL_PAIRS) -> DataFrame:
+def blast_radius(proj: DataFrame, nodes: DataFrame, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """(node, downstream, upstream) for each node of ``nodes``, with 0 where nothing is reached."""
-    if nodes.count() > limit:
-        raise ValueError(f"blast radius needs all pairs; more than {limit} nodes are too many")
-    reach = cut(traverse.closure(proj, nodes.select(F.col("id").alias("root"), F.col("id").alias("node"))))
-    down = reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("downstream"))
-    up = reach.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("upstream"))
-    out = nodes.select("id").join(down, "id", "left").join(up, "id", "left")
+    downs, ups = [], None
+    for reach in _closures(proj, nodes, block, limit):
+        downs.append(cut(reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("downstream"))))
+        up = reach.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("upstream"))
+        ups = cut(up if ups is None else ups.unionByName(up).groupBy("id").agg(F.sum("upstream").alias("upstream")))
+    out = nodes.select("id").join(_all(downs), "id", "left").join(ups, "id", "left")
     return out.select(F.col("id").alias("node"), F.coalesce("downstream", F.lit(0)).alias("downstream"), F.coalesce("upstream", F.lit(0)).alias("upstream"))
 
 
-def critical(proj: DataFrame, nodes: DataFrame, top: int = 5, limit: int = ALL_PAIRS) -> DataFrame:
+def critical(proj: DataFrame, nodes: DataFrame, top: int = 5, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """(root, node, cc, place): of what each node reaches the ``top`` most complex (cc above 0), by (cc, id) falling."""
-    if nodes.count() > limit:
-        raise ValueError(f"critical descendants need all pairs; more than {limit} nodes are too many")
-    reach = traverse.closure(proj, nodes.select(F.col("id").alias("root"), F.col("id").alias("node"))).select("root", "node")
-    valued = reach.join(nodes.where("cc > 0").select(F.col("id").alias("node"), "cc"), "node")
+    complex_ = cut(nodes.where("cc > 0").select(F.col("id").alias("node"), "cc"))
     place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("cc"), F.desc("node")))
-    return valued.withColumn("place", place).where(F.col("place") <= top).select("root", "node", "cc", "place")
+    parts = []
+    for reach in _closures(proj, nodes, block, limit):
+        valued = reach.select("root", "node").join(complex_, "node")
+        parts.append(cut(valued.withColumn("place", place).where(F.col("place") <= top).select("root", "node", "cc", "place")))
+    return _all(parts)
 
 
 def entrypoint_reach(graph: GraphBundle, by: str = "trust_level") -> DataFrame:
@@ -65,11 +87,11 @@ def taint(graph: GraphBundle) -> DataFrame:
     return reach.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("root")), ", ").alias("via"))
 
 
-def run(graph: GraphBundle, threshold: int = THRESHOLD, limit: int = ALL_PAIRS) -> GraphBundle:
+def run(graph: GraphBundle, threshold: int = THRESHOLD, limit: int | None = None, block: int = BLOCK) -> GraphBundle:
     """The four passes: what an earlier run left is dropped, annotations and subgraphs are added."""
     notes = graph.annotations.where(F.col("source") != SOURCE)
     groups = graph.subgraphs.where(~F.col("name").isin(*GROUPS) & ~F.col("name").startswith("entrypoints:"))
-    radius = cut(blast_radius(views.projected(graph), graph.nodes.where("kind <> 'proxy'"), limit))
+    radius = cut(blast_radius(views.projected(graph), graph.nodes.where("kind <> 'proxy'"), limit, block))
     reach = cut(entrypoint_reach(graph))
     edge = cut(privilege_boundaries(graph, reach))
     tainted = cut(taint(graph))

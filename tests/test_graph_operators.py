@@ -109,6 +109,24 @@ def test_blast_radius_counts(many):
         preanalysis.blast_radius(views.projected(bundle), bundle.nodes, limit=5)
 
 
+def test_all_pairs_in_blocks_equal_one_block(many):
+    _, bundle = many
+    proj, nodes = views.projected(bundle), bundle.nodes.where("node_seq < 60").withColumn("cc", F.col("node_seq") % 5)
+    size = nodes.count() // 3 + 1
+    for f in (preanalysis.blast_radius, preanalysis.critical):
+        one, more = (sorted(map(tuple, f(proj, nodes, block=n).collect())) for n in (10**9, size))
+        assert one == more and one
+
+
+def test_preanalysis_has_no_limit_of_nodes(spark):
+    n = 20_050
+    ids = lambda k: F.concat(F.lit("n"), k)
+    nodes = spark.range(n).select(ids(F.col("id")).alias("id"), F.lit(1).alias("cc"))
+    proj = spark.range(n // 2).select(ids(F.col("id") * 2).alias("src"), ids(F.col("id") * 2 + 1).alias("dst"))
+    assert preanalysis.blast_radius(proj, nodes).agg(F.count("*"), F.sum("downstream"), F.sum("upstream")).first() == (n, n // 2, n // 2)
+    assert preanalysis.critical(proj, nodes).count() == n // 2
+
+
 def test_unknown_kinds_are_refused(many):
     with pytest.raises(ValueError):
         views.projected(many[1], ["cals"])
