@@ -35,6 +35,8 @@ RECORDS = 2000
 FILE_BYTES = 256 << 20
 #: Room for a record's heads.
 HEAD_BYTES = 1024
+#: Names of the archives that the writer leaves.
+PATTERN = "part-*"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 END = b"\r\n\r\n"
 #: Fixed in every record, so that runs agree.
@@ -94,10 +96,15 @@ def _page(value: bytes | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def listed(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """file and content of the archives, and their length."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content", "length")
+
+
+def candidates(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
     """Every place that looks like a record, with its successor's offset and what the record says; on shared files."""
     schema = "file string, at long, next long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, intact boolean"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = listed(spark, path, pattern).select("file", "content")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -155,7 +162,17 @@ def reachable(found: DataFrame) -> DataFrame:
     return found.join(reached.hint("merge"), ["file", "at"], "left_semi")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and intact for each record of the archives."""
-    found = candidates(spark, path)
-    return reachable(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+def read(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and intact for each record of the archives.
+
+    An archive whose chain ends before its last byte is an error that names it, and so is a folder in which no
+    file has a name of ``pattern``.
+    """
+    sizes = listed(spark, path, pattern).select("file", "length")
+    if sizes.isEmpty() and not listed(spark, path, "*").select("file").isEmpty():
+        raise ValueError(f"{path} has no archives named {pattern}")
+    records = common.stored(reachable(candidates(spark, path, pattern)), "records")
+    ends = sizes.join(records.groupBy("file").agg(F.max("next").alias("end")), "file", "left").withColumn("end", F.coalesce("end", F.lit(0)))
+    if short := ends.where("end < length").orderBy("file").take(5):
+        raise ValueError("records cannot be followed to the end: " + ", ".join(f"{r['file']} at byte {r['end']} of {r['length']}" for r in short))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")

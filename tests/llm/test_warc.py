@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import warc
@@ -42,3 +43,17 @@ def test_candidates_inside_payloads_are_seen_and_rejected(spark):
 
 def test_no_pages(spark):
     assert warc.read(spark, warc.write(spark.createDataFrame([], PAGES))).count() == 0
+
+
+def test_archives_of_other_names(spark, tmp_path):
+    (tmp_path / "a.warc").write_text(FAKE + FAKE, newline="")
+    assert [r["page_id"] for r in warc.read(spark, str(tmp_path), "*.warc").collect()] == [99, 99]
+    with pytest.raises(ValueError, match="no archives"):
+        warc.read(spark, str(tmp_path))
+
+
+def test_a_damaged_record_is_reported(spark, tmp_path):
+    (tmp_path / "part-0").write_text(FAKE + FAKE.replace("Length: 3", "Length: 4") + FAKE, newline="")
+    (tmp_path / "part-1").write_text(FAKE, newline="")
+    with pytest.raises(ValueError, match=f"part-0 at byte {len(FAKE)} of {3 * len(FAKE) }"):
+        warc.read(spark, str(tmp_path))
