@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon matched with an Aho-Corasick automaton.
 
 Texts are folded first: lower case, accents kept, look-alike letters of other
-scripts and digits or signs that stand for letters replaced, joiners dropped, all
-else made a single blank. The lexicon holds whole words and word beginnings with
+scripts and digits or signs that stand for letters replaced, i and l (1 is either)
+made one letter, joiners dropped, all else made a single blank. Where "!" stands
+before a letter or digit, the text is also read with it as i, and counts by its heavier reading. The lexicon holds whole words and word beginnings with
 the log odds of their document counts among labelled rows. One automaton finds all
 of them and the exception phrases; a word counts once, by its heaviest entry, and
 not at all inside an exception phrase. The sum is divided by a slowly growing
@@ -47,9 +48,12 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pond scum", "scum line",
 LOOKALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l", "ſ": "s",
-    "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s",
+    "0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
 }
 _FOLD = str.maketrans(LOOKALIKES | {c: "" for c in "​‌‍⁠﻿­"} | {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)})
+#: 1 is written for i and for l, so these are one class on both sides.
+_FOLD = {c: "i" if to == "l" else to for c, to in _FOLD.items()} | {ord("l"): "i"}
+_SIGN = re.compile(r"!(?=\w)")
 _BREAK = re.compile(r"[\W_\d]+")
 
 
@@ -58,6 +62,12 @@ def folded(text: str) -> str:
     return f" {_BREAK.sub(' ', text.lower().translate(_FOLD)).strip()} "
 
 
+def readings(text: str) -> list[str]:
+    """The folded text, and where "!" may stand for a letter also the one in which it does."""
+    signed = _SIGN.sub("i", text)
+    return [folded(text)] if signed == text else [folded(text), folded(signed)]
+
+
 @dataclass
 class Lexicon:
     """Entries are ' word ' or ' beginn' with their weights; slope and offset make the curve."""
@@ -76,7 +86,11 @@ class Lexicon:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
+            heaviest: dict[str, float] = {}
             for term, weight in self.weights.items():
+                term = term.translate(_FOLD)
+                heaviest[term] = max(weight, heaviest.get(term, -math.inf))
+            for term, weight in heaviest.items():
                 self._automaton.add_word(term, (len(term), weight))
             for phrase in self.exceptions:
                 self._automaton.add_word(phrase := folded(phrase), (len(phrase), None))
@@ -84,7 +98,9 @@ class Lexicon:
         return self._automaton
 
     def density(self, text: str) -> float:
-        words = folded(text)
+        return max(map(self._density, readings(text)))
+
+    def _density(self, words: str) -> float:
         found: dict[int, float] = {}
         free: list[tuple[int, int]] = []
         if self.weights:
@@ -124,7 +140,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
 def terms(text: str) -> set[str]:
     found = set()
-    for word in set(folded(text).split()):
+    for word in {w for words in readings(text) for w in words.split()}:
         found.add(f" {word} ")
         found.update(f" {word[:n]}" for n in STEMS if len(word) > n)
     return found

@@ -49,6 +49,13 @@ def test_folding_beginnings_and_exceptions():
     assert lexicon.score("") == pytest.approx(0.1192, abs=1e-3)
 
 
+def test_signs_that_stand_for_several_letters():
+    lexicon = toxicity.Lexicon({" clown ": 5.0, " loser ": 5.0, " worthless ": 5.0, " garbage ": 5.0, " lazy ": 5.0, " idiot ": 5.0}, 1.0, -2.0)
+    for text in ("c1own", "1oser", "wor7h1ess", "6arba9e", "la2y", "!d!ot", "id!ot", "c!own", "you idiot!moron"):
+        assert lexicon.density(text) > 4, text
+    assert lexicon.density("fine! really fine") == 0
+
+
 def test_awkward_rows_and_no_labels(spark, awkward, nothing):
     none = toxicity.fit(awkward, spark.createDataFrame([], LABELS))
     rows = toxicity.scored(awkward, none).collect()
