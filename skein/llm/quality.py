@@ -127,14 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RA
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         groups, shapes = matrix([t.as_py() for t in batch.column("text")])
-        return pa.RecordBatch.from_arrays([pa.array([g.astype(np.uint16).tobytes() if g.max(initial=0) < 65536 else np.minimum(g, 65535).astype(np.uint16).tobytes() for g in groups], pa.binary()), pa.array([s.tobytes() for s in shapes], pa.binary()), batch.column("y")], ["groups", "shapes", "y"])
+        return pa.RecordBatch.from_arrays([pa.array([g.astype(np.uint32).tobytes() for g in groups], pa.binary()), pa.array([s.tobytes() for s in shapes], pa.binary()), batch.column("y")], ["groups", "shapes", "y"])
 
     got = sorted((r["y"], bytes(r["groups"]), bytes(r["shapes"])) for r in common.map_batches(rows, step, "groups binary, shapes binary, y int", "text").collect())
     width = 4096 + HASHED
     nothing = Space(np.ones(width), np.zeros((width, 0)), np.zeros(SHAPES), np.ones(SHAPES), np.zeros((0, SHAPES)), np.zeros(0), np.zeros(0), 0.5)
     if not got:
         return nothing
-    groups = np.stack([np.frombuffer(g, np.uint16) for _, g, _ in got]).astype(np.float32)
+    groups = np.stack([np.frombuffer(g, np.uint32) for _, g, _ in got]).astype(np.float32)
     shapes = np.stack([np.frombuffer(s, np.float32) for _, _, s in got])
     y = np.array([r[0] for r in got], np.float64)
     idf = np.log((1 + len(got)) / (1 + (groups > 0).sum(0))).astype(np.float32) + 0.3

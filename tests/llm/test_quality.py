@@ -44,3 +44,11 @@ def test_awkward_rows_and_no_labels(spark, awkward, nothing):
     rows = quality.scored(awkward, quality.fit(awkward, labels)).collect()
     assert len(rows) == awkward.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.scored(nothing, quality.fit(nothing, labels)).count() == 0
+
+
+def test_long_labelled_texts_keep_their_counts(spark):
+    long = "a" * 100_000 + " X9, " * 400
+    rows = [(k, long if k % 2 else f"Some text {k}; no. {k * k}!") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    space = quality.fit(docs, spark.createDataFrame([(k, k % 2, 0) for k, _ in rows], LABELS))
+    assert np.allclose(space.vectors[space.labels == 1], space.place(*quality.matrix([long])), atol=1e-6)
