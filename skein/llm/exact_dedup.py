@@ -7,9 +7,10 @@
    only down to the depth where it fits (its local depth), so several directory
    cells may share one bucket.
 3. The entries that share their key with another row are written to the index on
-   shared files with their bucket and whole text; the table is laid out by bucket,
-   so that owner tasks process key ranges.
-4. Within a bucket, rows of a key are chained by comparing their whole texts: the
+   shared files with their bucket and whole text. The table is not laid out by
+   bucket yet: grouping by key and text replaces owner tasks over key ranges, and the
+   directory decides no row of the result.
+4. Rows of a key are chained by comparing their whole texts: the
    aggregation's keys are (key, text), so equal hashes of different texts stay
    apart. The aggregation combines on the map side: a hot text costs one row a task.
 5. Keys met once need no comparison; their rows are their own groups.
