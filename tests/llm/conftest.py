@@ -1,5 +1,12 @@
 import pytest
 
+#: Names that the operators use within.
+CLASHES = (
+    "size", "kept", "key", "node", "score", "target", "bucket", "row", "best", "order", "n", "shared", "cell", "owner", "hot", "part", "parts", "word", "bits",
+    "__id", "__t1", "__t2", "t1", "t2", "id", "label", "component_id", "n_tokens", "token_ids", "decoded", "decoded_sha256", "__ids", "__row", "__copy", "__rate",
+    "__source", "copies", "source_size", "taken", "keep_id", "group_size", "text_sha256", "media_id", "chunk", "bytes", "names", "predicted", "held_out", "y", "base",
+    "tokens", "spans", "a", "b", "html", "url", "turn", "role",
+)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -22,7 +29,7 @@ def awkward(spark):
     ]
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("size", "kept", "key", "node", "score", "target")})
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 @pytest.fixture(scope="session")
