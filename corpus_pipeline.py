@@ -31,9 +31,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_chars, n_tokens, token_ids, and the digest of what the ids decode to."""
-    ids = bpe.decoded(bpe.encoded(docs))
-    return ids.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("text", "decoded")
+    """The columns of ``docs`` but the text, then n_tokens, token_ids and decoded_sha256, the digest of what the ids decode to.
+
+    Where ``docs`` has such a column, the new one's name begins with "_".
+    """
+    ids = bpe.encoded(docs)
+    back = bpe.decoded(ids, ids=ids.columns[-1])
+    digest = F.sha2(F.col(f"`{back.columns[-1]}`"), 256).alias(common.free_names(docs, "decoded_sha256")[0])
+    return back.select(*[F.col(f"`{c}`") for c in ids.columns if c != "text"], digest)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mixing", mix_sources), ("bpe", encode)]
