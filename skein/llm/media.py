@@ -1,19 +1,19 @@
 """Media columns: payloads as 8-bit images, cut by content into chunks, stored once a chunk.
 
-A payload is padded to whole images of ``SIDE`` x ``SIDE`` samples and stored as a binary
-portable graymap (a header, then one byte a sample). Chunks of the payload end where a
-rolling gear hash (a window of 16 bytes) has its high bits zero. A chunk's digest
+A payload is padded to whole images of ``SIDE`` x ``SIDE`` samples. Its stored form is a
+binary portable graymap: a header, then one byte a sample. Chunks of the payload end where
+a rolling gear hash (a window of 16 bytes) has its high bits zero. A chunk's digest
 names it; Spark joins find the digests that occur more than once and make the
-smallest payload that has such a chunk its owner. Stored rows hold the ordered
+smallest payload that has such a chunk its owner. Stored rows hold the header, the ordered
 chunk list and the bytes of the chunks they own, all others by reference.
-Reading joins the references with their owners' bytes, puts the chunks in order and
-verifies the payload's SHA-256.
+Reading joins the references with their owners' bytes, puts header and chunks in order,
+verifies the payload's SHA-256 and takes every figure from the bytes read.
 
-So that payload bytes are shuffled only where chunks are shared, a bitmap of fixed
-size (``BITS``) of the shared digests is broadcast. A payload none of whose chunks is in
-it shares nothing, for certain, and is stored as it is read; the others (the
-bitmap's few false positives among them) take the exact joins. A full bitmap only
-sends more rows through the joins.
+Texts are hashed and cut once (the cut table). A bitmap of fixed size of the
+payloads that share chunks is broadcast: a payload that is certainly none of
+them is stored as it was cut; the others (the bitmap's few false positives among
+them) take the exact joins. A full bitmap only sends more rows through the joins.
+Chunks that very many payloads use are joined in parts.
 
 Defined cases: a null text is empty; an empty payload is padded to one image; equal
 texts are one payload and give equal values; rows that repeat a doc_id each get a
@@ -37,8 +37,8 @@ UNIT = SIDE * SIDE
 PAD = 255
 #: A cut where the top 11 bits of the gear hash are zero: chunks of about 2 KB between these bounds.
 MASK, LEAST, MOST = np.uint16(0xFFE0), 512, 8192
-#: Bits of the map of shared digests: 1 MB, whatever the input.
-BITS = 1 << 23
+#: Payload bytes that one vectorised step looks at.
+BLOCK = 1 << 20
 
 _GEAR = np.array([int.from_bytes(hashlib.md5(bytes([i])).digest()[:2], "little") for i in range(256)], np.uint16)
 
@@ -47,14 +47,24 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes([PAD]) * (-len(raw) % UNIT if raw else UNIT)
 
 
+def _candidates(payload: bytes) -> np.ndarray:
+    """Positions after which the gear hash lets a chunk end; the payload is hashed block by block."""
+    found = []
+    for lo in range(0, len(payload), BLOCK):
+        begin = max(0, lo - 15)
+        gear = _GEAR[np.frombuffer(payload, np.uint8, min(len(payload), lo + BLOCK) - begin, begin)]
+        rolled = gear.copy()
+        for j in range(1, min(16, len(gear))):
+            rolled[j:] += gear[:-j] << np.uint16(j)
+        at = np.flatnonzero((rolled & MASK) == 0) + begin
+        found.append(at[at >= lo] + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def cuts(payload: bytes) -> list[int]:
     """Ends of the chunks."""
-    gear = _GEAR[np.frombuffer(payload, np.uint8)]
-    rolled = gear.copy()
-    for j in range(1, min(16, len(gear))):
-        rolled[j:] += gear[:-j] << np.uint16(j)
     ends, begin = [], 0
-    for at in (np.flatnonzero((rolled & MASK) == 0) + 1).tolist():
+    for at in _candidates(payload).tolist():
         while at - begin > MOST:
             begin += MOST
             ends.append(begin)
@@ -81,108 +91,105 @@ def header(payload_bytes: int) -> bytes:
     return b"P5\n%d %d\n255\n" % (SIDE, payload_bytes // SIDE)
 
 
+def samples(media: bytes) -> bytes:
+    """The samples of a stored graymap, whose header has to be the one that its size asks for."""
+    end = 0
+    for _ in range(3):
+        end = media.index(b"\n", end) + 1
+    if media[:end] != header(len(media) - end):
+        raise ValueError(f"a header of {media[:end]!r} before {len(media) - end} samples")
+    return media[end:]
+
+
 def feature(payload: bytes) -> str:
     """Images, sum, distinct values, an eight-bin histogram, and steps along and down the rows."""
-    x = np.frombuffer(payload, np.uint8).reshape(-1, SIDE, SIDE).astype(np.int64)
-    bins = np.bincount(x.ravel() >> 5, minlength=8)
-    steps = (np.abs(np.diff(x, axis=2)).sum(), np.abs(np.diff(x, axis=1)).sum())
-    return f"images={len(x)};sum={x.sum()};distinct={len(np.unique(x))};bins={'/'.join(map(str, bins))};steps={steps[0]}/{steps[1]}"
+    counts, along, down = np.zeros(256, np.int64), 0, 0
+    for lo in range(0, len(payload), BLOCK // UNIT * UNIT):
+        x = np.frombuffer(payload, np.uint8, min(BLOCK // UNIT * UNIT, len(payload) - lo), lo)
+        counts += np.bincount(x, minlength=256)
+        x = x.reshape(-1, SIDE, SIDE).astype(np.int16)
+        along += int(np.abs(np.diff(x, axis=2)).sum(dtype=np.int64))
+        down += int(np.abs(np.diff(x, axis=1)).sum(dtype=np.int64))
+    bins = counts.reshape(8, 32).sum(1)
+    return f"images={len(payload) // UNIT};sum={int(counts @ np.arange(256))};distinct={np.count_nonzero(counts)};bins={'/'.join(map(str, bins))};steps={along}/{down}"
+
+
+_CUT = "doc_id long, media_id string, n_bytes long, head binary, names array<binary>, sizes array<int>, bytes binary"
+_KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_())}
 
 
-def _payloads(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.sha2(text, 256).alias("media_id"), text.alias("text"))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split(" ") for f in schema.split(", ")))
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds)], list(names))
 
 
-def _uses(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunk, owner) of the digests that occur more than once, with the smallest media_id that has them; and
-    (media_id, foreign, lent): what each payload takes from others and what it owns for others. Only digests move."""
+def cut(docs: DataFrame) -> DataFrame:
+    """The cut table: one row a document with its payload's id, header, chunk list and bytes; on shared files."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = [[digest(c) for c in chunks(padded(text.as_py().encode()))] for text in batch.column("text")]
-        return pa.RecordBatch.from_arrays([batch.column("media_id"), pa.array(names, pa.list_(pa.binary()))], ["media_id", "names"])
+        rows = []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            raw = text.as_py().encode()
+            payload = padded(raw)
+            ends = cuts(payload)
+            names = [digest(payload[a:b]) for a, b in zip([0, *ends], ends)]
+            rows.append((doc_id, hashlib.sha256(raw).hexdigest(), len(raw), header(len(payload)), names, np.diff([0, *ends]).tolist(), payload))
+        return _batch(rows, _CUT)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return common.stored(common.map_batches(texts, step, _CUT, "text"), "cut")
+
 
-    listing = common.stored(common.map_batches(_payloads(docs), step, "media_id string, names array<binary>", "text"), "chunk-lists")
+def _uses(listing: DataFrame) -> DataFrame:
+    """(media_id, foreign, lent) of the payloads that have a chunk met more than once: what each takes from others
+    and what it owns for others. Only digests move."""
     every = listing.select("media_id", F.explode("names").alias("chunk"))
     shared = every.groupBy("chunk").agg(F.count("*").alias("n"), F.min("media_id").alias("owner")).where("n > 1")
     shared = common.stored(shared.select("chunk", "owner"), "shared-chunks")
-    uses = every.distinct().join(shared, "chunk")
+    uses = common.salted_join(common.stored(every.distinct(), "chunk-uses"), shared, "chunk", ["media_id"])
     mine = F.col("owner") == F.col("media_id")
-    return shared, uses.groupBy("media_id").agg(F.collect_set(F.when(~mine, F.col("chunk"))).alias("foreign"), F.collect_set(F.when(mine, F.col("chunk"))).alias("lent"))
+    return common.stored(uses.groupBy("media_id").agg(F.collect_set(F.when(~mine, F.col("chunk"))).alias("foreign"), F.collect_set(F.when(mine, F.col("chunk"))).alias("lent")), "uses")
 
 
-def _bitmap(shared: DataFrame) -> bytes:
-    """The bits of the shared digests (by their first three bytes): at most BITS / 32 rows reach the driver."""
-    at = F.pmod(F.conv(F.hex(F.substring("chunk", 1, 3)), 16, 10).cast("long"), F.lit(BITS))
-    words = shared.select(F.shiftright(at, 5).alias("word"), F.pmod(at, F.lit(32)).cast("int").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect()
-    out = np.zeros(BITS // 32, np.uint32)
-    for r in rows:
-        out[r["word"]] = r["bits"]
-    return out.tobytes()
+_ROW = "media_id string, n_bytes long, head binary, names array<binary>, sizes array<int>, own array<boolean>, lent array<boolean>, bytes binary"
 
 
-_ROW = "media_id string, n_bytes long, names array<binary>, sizes array<int>, own array<boolean>, lent array<boolean>, bytes binary"
-_ARROW = [("media_id", pa.string()), ("n_bytes", pa.int64()), ("names", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("own", pa.list_(pa.bool_())), ("lent", pa.list_(pa.bool_())), ("bytes", pa.binary())]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _ARROW)], [n for n, _ in _ARROW])
-
-
-def store(docs: DataFrame) -> DataFrame:
-    """The stored media: one row a distinct payload with its chunk list and the bytes that it owns; on shared files."""
-    spark = docs.sparkSession
-    shared, uses = _uses(docs)
-    bitmap = spark.sparkContext.broadcast(_bitmap(shared))
-
-    def maybe(names: list[bytes]) -> bool:
-        bits = np.frombuffer(bitmap.value, np.uint32)
-        return any(bits[(p := int.from_bytes(n[:3], "big") % BITS) >> 5] >> (p & 31) & 1 for n in names)
-
-    def alone(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for i, text in zip(batch.column("media_id").to_pylist(), batch.column("text")):
-            raw = text.as_py().encode()
-            payload = padded(raw)
-            parts = chunks(payload)
-            names = [digest(c) for c in parts]
-            if not maybe(names):
-                rows.append((i, len(raw), names, [len(c) for c in parts], [True] * len(parts), [False] * len(parts), payload))
-        return _batch(rows)
-
-    def sharing(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array([maybe([digest(c) for c in chunks(padded(text.as_py().encode()))]) for text in batch.column("text")]))
+def store(rows: DataFrame) -> DataFrame:
+    """The stored media of a cut table: one row a distinct payload with its header, chunk list and the bytes that it owns; on shared files."""
+    uses = _uses(rows.select("media_id", "names"))
+    words = common.stored(common.bit_words(uses.select(F.xxhash64("media_id").alias("key")), "key"), "sharing")
+    marked = common.maybe_in(rows.withColumn("key", F.xxhash64("media_id")), "key", words, "sharing").drop("key")
 
     def stripped(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for i, text, foreign, lent in zip(*(batch.column(c).to_pylist() for c in ("media_id", "text", "foreign", "lent"))):
-            raw = text.encode()
-            parts = chunks(padded(raw))
-            names = [digest(c) for c in parts]
-            others, given, seen, own = set(foreign or ()), set(lent or ()), set(), []
-            for name in names:
+        for i, n, head, names, sizes, payload, foreign, lent in zip(*(batch.column(c).to_pylist() for c in ("media_id", "n_bytes", "head", "names", "sizes", "bytes", "foreign", "lent"))):
+            others, given, seen, own, parts, at = set(foreign or ()), set(lent or ()), set(), [], [], 0
+            for name, size in zip(names, sizes):
                 own.append(name not in others and name not in seen)
+                if own[-1]:
+                    parts.append(payload[at : at + size])
                 seen.add(name)
-            rows.append((i, len(raw), names, [len(c) for c in parts], own, [o and n in given for n, o in zip(names, own)], b"".join(c for c, o in zip(parts, own) if o)))
-        return _batch(rows)
+                at += size
+            rows.append((i, n, head, names, sizes, own, [o and x in given for x, o in zip(names, own)], b"".join(parts)))
+        return _batch(rows, _ROW)
 
-    # Equal payloads are combined where they are read; the texts are shuffled once, to the join's key.
-    texts = common.map_batches(_payloads(docs), sharing, "media_id string, text string", "text").groupBy("media_id").agg(F.first("text").alias("text"))
-    shared_rows = common.map_batches(texts.join(uses, "media_id", "left"), stripped, _ROW, "text")
-    out = common.map_batches(_payloads(docs), alone, _ROW, "text").unionByName(shared_rows)
-    return common.stored(out, "media")
+    # Equal payloads are combined where they are read; the bytes are shuffled once, to the join's key.
+    values = ("n_bytes", "head", "names", "sizes", "bytes")
+    once = marked.where("sharing").drop("doc_id").groupBy("media_id").agg(*[F.first(c).alias(c) for c in values])
+    shared_rows = common.map_batches(once.join(uses, "media_id", "left"), stripped, _ROW, "bytes")
+    alone = marked.where("not sharing").select("media_id", "n_bytes", "head", "names", "sizes", F.transform("names", lambda _: F.lit(True)).alias("own"), F.transform("names", lambda _: F.lit(False)).alias("lent"), "bytes")
+    return common.stored(alone.unionByName(shared_rows), "media")
 
 
 def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Put the chunks of each row in order, verify them, and describe the payload."""
+    """Put the header and chunks of each row in order, verify them, and describe the media read."""
     rows = []
     others = batch.column("others").to_pylist() if "others" in batch.schema.names else [None] * batch.num_rows
-    columns = (batch.column(c).to_pylist() for c in ("media_id", "n_bytes", "names", "sizes", "own", "bytes"))
-    for i, n_bytes, names, sizes, own, held, more in zip(*columns, others):
+    columns = (batch.column(c).to_pylist() for c in ("media_id", "n_bytes", "head", "names", "sizes", "own", "bytes"))
+    for i, n_bytes, head, names, sizes, own, held, more in zip(*columns, others):
         known = {c["chunk"]: c["bytes"] for c in more or ()}
-        parts, at = [], 0
+        parts, at = [head], 0
         for name, size, mine in zip(names, sizes, own):
             if mine:
                 known[name] = held[at : at + size]
@@ -191,14 +198,12 @@ def _described(batch: pa.RecordBatch) -> pa.RecordBatch:
             if digest(part) != name:
                 raise ValueError(f"a chunk of {i} differs from its digest")
             parts.append(part)
-        payload = b"".join(parts)
+        media = b"".join(parts)
+        payload = samples(media)
         if hashlib.sha256(payload[:n_bytes]).hexdigest() != i:
             raise ValueError(f"payload {i} differs from what was stored")
-        media = header(len(payload)) + payload
         rows.append((i, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)))
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    columns = list(zip(*rows)) if rows else [()] * 8
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in _DESCRIBED.split(", ")])
+    return _batch(rows, _DESCRIBED)
 
 
 _DESCRIBED = "media_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -221,17 +226,20 @@ def described(stored: DataFrame) -> DataFrame:
                     names.append(name)
                     parts.append(held[at : at + size])
                 at += size if mine else 0
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(parts, pa.binary())], ["chunk", "bytes"])
+        return _batch(list(zip(names, parts)), "chunk binary, bytes binary")
 
     owners = stored.where("exists(lent, x -> x)").select("names", "sizes", "own", "lent", "bytes")
     found = common.map_batches(owners, given, "chunk binary, bytes binary", "bytes")
-    others = wanted.join(found, "chunk").groupBy("media_id").agg(F.collect_list(F.struct("chunk", "bytes")).alias("others"))
+    others = common.salted_join(wanted, found, "chunk", ["media_id"]).groupBy("media_id").agg(F.collect_list(F.struct("chunk", "bytes")).alias("others"))
     joined = common.map_batches(rows.where("size(wanted) > 0").drop("wanted").join(others, "media_id"), _described, _DESCRIBED, "bytes")
     return whole.unionByName(joined)
 
 
 def columns(docs: DataFrame) -> DataFrame:
     """doc_id and what its stored media are, for each row of ``docs``."""
-    known = common.stored(described(store(docs)), "described")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("media_id"))
-    return ids.join(known, "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = cut(docs)
+    ids = common.stored(rows.select("doc_id", "media_id"), "media-ids")
+    media = store(rows)
+    common.forget(docs.sparkSession, rows)
+    known = common.stored(described(media), "described")
+    return common.salted_join(ids, known, "media_id", ["doc_id"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
