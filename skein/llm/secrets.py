@@ -5,12 +5,19 @@ credentials (the label is the kind). For each kind a prefix tree of the values'
 character classes is merged, state by state, where two states are statistically
 compatible (Hoeffding bounds on their next-symbol and end frequencies, down all
 common suffixes); what remains is a probabilistic automaton of the format. Every
-other long token is scored by its likelihood under each automaton against the
-class frequencies of all such tokens; tokens as likely as the kind's own values
-are added as spans of kind ``format``.
+other token of ``LEAST`` characters or more, letters alone included, is a candidate:
+it is scored by its mean log likelihood a character under each automaton against the
+class frequencies of all such tokens. Candidates whose score lies where the kind's own
+values have theirs (from the share ``MISSED`` up to the highest: a plain number is likelier
+than any mixture of digits and letters, and no example of it) are added as spans of
+kind ``like_<kind>``, by the automaton whose lowest score they exceed most.
 
-Learning takes at most ``sample`` distinct values a kind (those that hash lowest)
-of at most ``LONGEST`` characters; class frequencies are counted over all tokens.
+Learning takes at most ``sample`` distinct values a kind, those that hash lowest, in that order as long
+as they have at most ``signs`` characters together; both are parameters. Class
+frequencies are counted over all tokens of all texts.
+
+Texts are read twice (learning, scanning); nothing of them is stored. Candidates of
+a text are held against its base spans in one sweep.
 
 Defined cases: a null text is empty and has no spans; without credentials only base
 spans are given; positions are code points, ends exclusive; repeated rows give
@@ -34,16 +41,19 @@ from . import common
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-KINDS = ("assign", "access", "hex", "format")
+BASE = ("assign", "access", "hex")
+KINDS = (*BASE, *(f"like_{k}" for k in BASE))
 LEAST = 6
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
 
 SAMPLE = 400
-LONGEST = 256
+SIGNS = 65_536
 ALPHA = 0.05
 #: Share of a kind's own values that may score below the threshold.
 MISSED = 0.05
 _UNSEEN = 1e-3
+#: Scores of class words that a task keeps at hand.
+_KNOWN = 1 << 18
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -58,18 +68,22 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+_CLASSES = {ord(c): "0" if c.isdigit() else "a" if c <= "f" else "g" for c in "0123456789abcdefghijklmnopqrstuvwxyz"} | {ord(c): "A" if c <= "F" else "G" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_ALPHABET = "0agAG+/_.=-"
+
+
 def classes(value: str) -> str:
     """One sign a character: digits, letters up to f and beyond in either case, others as they are."""
-    return "".join("0" if c.isdigit() else "a" if "a" <= c <= "f" else "g" if "g" <= c <= "z" else "A" if "A" <= c <= "F" else "G" if "G" <= c <= "Z" else c for c in value)
+    return value.translate(_CLASSES)
 
 
 class Automaton:
-    """A probabilistic automaton; state 0 is the first. ``floor`` is the least score that counts as the format."""
+    """A probabilistic automaton; state 0 is the first. ``floor`` and ``top`` bound the scores that count as the format."""
 
     def __init__(self, words: list[str], alpha: float = ALPHA):
         self.seen, self.ends, self.next = [0], [0], [{}]
         self.uses: list[Counter] = [Counter()]
-        self.floor = 0.0
+        self.floor, self.top = 0.0, math.inf
         for word in words:
             state = 0
             self.seen[0] += 1
@@ -154,65 +168,98 @@ def _string(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
-def facts(docs: DataFrame) -> DataFrame:
-    """Base spans with values and all other long tokens of each text, stored on shared files."""
-    schema = "doc_id long, base array<struct<start:long,end:long,kind:int,value:string>>, tokens array<struct<start:long,end:long,value:string>>"
-    base_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32()), ("value", pa.string())]))
-    token_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+def candidates(text: str, base: list[tuple]) -> list[re.Match]:
+    """The tokens of a text that meet none of its base spans (ordered by their starts)."""
+    found, k, reach = [], 0, 0
+    for m in TOKEN.finditer(text):
+        # Spans that begin before the token's end: the furthest end among them decides.
+        while k < len(base) and base[k][0] < m.end():
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= m.start():
+            found.append(m)
+    return found
+
+
+def credentials(docs: DataFrame) -> DataFrame:
+    """(kind, value, n) of the base spans and, with kind null, how often each class sign (value) occurs in tokens; on shared files."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, tokens = [], []
+        values, signs = Counter(), Counter()
         for value in batch.column("text"):
             text = value.as_py() or ""
-            own = base_spans(text)
-            base.append([{"start": a, "end": b, "kind": k, "value": v} for a, b, k, v in own])
-            others = [m for m in TOKEN.finditer(text) if not m[0].isalpha()]
-            tokens.append([{"start": m.start(), "end": m.end(), "value": m[0]} for m in others if not any(a < m.end() and m.start() < b for a, b, _, _ in own)])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, base_type), pa.array(tokens, token_type)], ["doc_id", "base", "tokens"])
+            values.update((k, v) for _, _, k, v in base_spans(text))
+            tokens = classes("".join(TOKEN.findall(text)))
+            signs.update({c: n for c in _ALPHABET if (n := tokens.count(c))})
+        rows = [(k, v, n) for (k, v), n in values.items()] + [(None, c, n) for c, n in signs.items()]
+        columns = list(zip(*rows)) if rows else [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64()))], ["kind", "value", "n"])
+
+    found = common.map_batches(docs.select(F.col("text").cast("string").alias("text")), step, "kind int, value string, n long", "text")
+    return common.stored(found.groupBy("kind", "value").agg(F.sum("n").alias("n")), "credentials")
 
-    return common.stored(common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, schema, "text"), "secret-facts")
 
+def sampled(values: list[str], signs: int) -> list[str]:
+    """The first of ``values`` that have at most ``signs`` characters together."""
+    out = []
+    for value in values:
+        if (signs := signs - len(value)) < 0:
+            break
+        out.append(value)
+    return out
 
-def learn(found: DataFrame, sample: int = SAMPLE) -> tuple[dict[int, Automaton], dict[str, float]]:
+
+def learn(found: DataFrame, sample: int = SAMPLE, signs: int = SIGNS) -> tuple[dict[int, Automaton], dict[str, float]]:
     """An automaton a kind, and the background's class frequencies."""
-    values = found.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= LONGEST).distinct()
+    counts = {r["value"]: r["n"] for r in found.where("kind is null").collect()}
+    total = sum(counts.values()) + len(_ALPHABET)
+    background = {c: (counts.get(c, 0) + 1) / total for c in _ALPHABET}
     automata = {}
-    signs = Counter()
-    for r in found.select(F.explode("tokens.value").alias("value")).select(F.explode(F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[g-z]", "g"), "[a-f]", "a"), "[0-9]", "0"), "[G-Z]", "G"), "[A-F]", "A"), "")).alias("c")).groupBy("c").count().collect():
-        if r["c"]:
-            signs[r["c"]] += r["count"]
-    total = sum(signs.values()) + len(signs)
-    background = {c: (n + 1) / total for c, n in signs.items()}
-    for kind in range(len(KINDS) - 1):
-        words = [classes(r["value"]) for r in values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
+    for kind in range(len(BASE)):
+        own = found.where((F.col("kind") == kind) & (F.length("value") <= signs))
+        rows = own.select("value").orderBy(F.xxhash64("value"), "value").limit(sample).collect()
+        words = [classes(v) for v in sampled([r["value"] for r in rows], signs)]
         if len(words) < 5:
             continue
-        own = Automaton(words)
-        scores = sorted(own.score(w, background) for w in words)
-        own.floor = max(0.1, scores[int(MISSED * len(scores))])
-        automata[kind] = own
+        automaton = Automaton(words)
+        scores = sorted(automaton.score(w, background) for w in words)
+        automaton.floor, automaton.top = max(0.1, scores[int(MISSED * len(scores))]), scores[-1]
+        automata[kind] = automaton
     return automata, background
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def format_of(word: str, automata: dict[int, Automaton], background: dict[str, float]) -> int | None:
+    """The kind whose automaton a class word exceeds most, if any."""
+    scores = [(kind, own, own.score(word, background)) for kind, own in automata.items()]
+    return max(((x - own.floor, -kind, kind) for kind, own, x in scores if own.floor <= x <= own.top), default=(0, 0, None))[2]
+
+
+def scan(docs: DataFrame, sample: int = SAMPLE, signs: int = SIGNS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans for each row of ``docs``."""
-    found = facts(docs)
-    model = docs.sparkSession.sparkContext.broadcast(learn(found, sample))
+    model = docs.sparkSession.sparkContext.broadcast(learn(credentials(docs), sample, signs))
+    known: dict[str, int | None] = {}
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         automata, background = model.value
         rows = []
-        for base, tokens in zip(batch.column("base"), batch.column("tokens")):
-            own = [(s["start"], s["end"], s["kind"]) for s in base.as_py()]
-            added = []
-            for t in tokens.as_py():
-                word = classes(t["value"])
-                if any(a.score(word, background) >= a.floor for a in automata.values()):
-                    added.append((t["start"], t["end"], 3))
-            every = sorted(own + added, key=lambda s: (s[0], s[2]))
+        for value in batch.column("text"):
+            text = value.as_py() or ""
+            own = [(a, b, k) for a, b, k, _ in base_spans(text)]
+            every = own
+            if automata:
+                signs, added = classes(text), []
+                for m in candidates(text, own):
+                    word = signs[m.start() : m.end()]
+                    if word not in known:
+                        if len(known) > _KNOWN:
+                            known.clear()
+                        known[word] = format_of(word, automata, background)
+                    if (kind := known[word]) is not None:
+                        added.append((*m.span(), len(BASE) + kind))
+                every = sorted(own + added, key=lambda s: (s[0], s[2]))
             n = Counter(k for _, _, k in own)
             rows.append((n[0], n[1], n[2], hashlib.sha256(_string(own).encode()).hexdigest(), _string(every)))
         columns = list(zip(*rows))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return common.map_batches(found, step, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return common.map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string", "text")
