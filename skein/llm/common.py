@@ -112,20 +112,21 @@ def packed(df: DataFrame, **made: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in made.items()])
 
 
-def hot_keys(df: DataFrame, on: list[str], rows: int = HOT_ROWS) -> list:
+def hot_keys(df: DataFrame, on: list[str], rows: int | None = None) -> list:
     """(key columns, n) of the keys of ``df`` with more than ``rows`` rows, the largest ones, at most ``HOT_KEYS``."""
-    known = df.where(" and ".join(f"{c} is not null" for c in on)).groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    known = df.where(" and ".join(f"{c} is not null" for c in on)).groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > (rows or HOT_ROWS))
     return known.orderBy(F.desc("n"), *on).limit(HOT_KEYS).collect()
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], by: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: str | list[str], by: list[str], how: str = "inner", rows: int | None = None, found: list | None = None) -> DataFrame:
     """``left.join(right, on, how)`` where single keys may hold most of ``left``, which has to be cheap to read twice.
 
-    The rows of such a key are dealt to n / ``rows`` parts by a hash of ``by``, and ``right``'s rows of the key
-    are given to each part. Only the list of these keys is broadcast: at most ``HOT_KEYS`` rows.
+    The rows of such a key (``found``, or :func:`hot_keys` of ``left``) are dealt to n / ``rows`` parts by a hash of
+    ``by``, and ``right``'s rows of the key are given to each part. Only the list of these keys is broadcast: at most
+    ``HOT_KEYS`` rows.
     """
     on, rows = [on] if isinstance(on, str) else on, rows or HOT_ROWS
-    found = hot_keys(left, on, rows)
+    found = hot_keys(left, on, rows) if found is None else found
     if not found:
         return left.join(right, on, how)
     kinds = {c: t for c, t in left.dtypes}

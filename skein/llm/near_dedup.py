@@ -12,7 +12,7 @@
    threshold 0.8 misses all of 40 buckets with probability 1.2e-7.
 4. *Stars.* In each bucket the class with the largest total of bucket sizes (the one
    nearest to the middle of its group) is compared with the others; exact links
-   give components.
+   give components. The middle's text is sent once for each ``PART`` classes compared with it, not once a pair.
 5. *Rest.* Only buckets that hold classes of several components are left. Small ones
    give their pairs across components; large ones are cut in blocks, and a task
    compares two blocks by exact set products, giving a spanning forest of what
@@ -21,13 +21,16 @@
 6. *Components* of all links by label spreading with pointer jumping; the label is the
    smallest doc_id.
 
+Texts move only where they are compared: one row a class of a shared bucket, found by a
+bitmap of fixed size. Buckets, hubs, labels and sets that hold very many rows are joined in parts.
+
 All links are confirmed on the full sets (64-bit hashes of all shingles).
 
 Defined cases: a null text, or one without words, has an empty set, size 0, and is
 its own component; fewer words than a shingle has form one; rows that repeat a
 doc_id each get a result (with texts that differ, each its own component's label);
 a null doc_id never is a label unless all of its component are null; extra columns
-are ignored by :func:`components` and kept by :func:`deduplicated`.
+are ignored by :func:`components` and kept, whatever their names, by :func:`deduplicated`.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ COORDS = ROWS * BANDS
 #: Buckets up to this size give pairs; larger ones are compared block by block.
 SMALL = 12
 BLOCK = 256
+#: Classes that are compared with one copy of a middle's text.
+PART = 256
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = 0x9E3779B97F4A7C15
@@ -134,57 +139,75 @@ def sketched(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row for each distinct non-empty set: node (a key of its own), smallest doc_id, a text's key, bands."""
+    """One row for each distinct non-empty set: node (a key of its own), smallest doc_id, a row's keys, bands."""
     from pyspark.sql import Window
 
-    found = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first(F.struct("t1", "t2", "bands")).alias("x"))
+    found = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min(F.struct("t1", "t2", "doc_id")).alias("x"), F.first("bands").alias("bands"))
     # Digests whose first half is equal (at most a few) get keys side by side.
     node = F.col("s1") + F.row_number().over(Window.partitionBy("s1").orderBy("s2")) - 1
-    return common.stored(found.withColumn("node", node).select("node", "s1", "s2", "least", "n", "x.t1", "x.t2", "x.bands"), "classes")
+    return common.stored(found.withColumn("node", node).select("node", "s1", "s2", "least", "n", "x.t1", "x.t2", "x.doc_id", "bands"), "classes")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) for the classes in ``nodes`` (node, t1, t2)."""
-    found = _keyed(docs).select("text", "t1", "t2").join(nodes, ["t1", "t2"])
+    """(node, text) for the classes in ``nodes`` (node, t1, t2, doc_id)."""
+    key = F.xxhash64("t1", "t2", "doc_id")
+    words = common.stored(common.bit_words(nodes.select(key.alias("row_key")), "row_key"), "compared")
+    rows = common.maybe_in(_keyed(docs).withColumn("row_key", key), "row_key", words, "compared").where("compared")
+    wanted = nodes.select("node", "t1", "t2", F.col("doc_id").alias("id"))
+    found = rows.join(wanted, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
     return common.stored(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that link, by their full sets; on shared files."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    """(a, b) of those of ``pairs`` (middle, node) that link, by their full sets; on shared files.
+
+    The nodes of a middle are dealt to parts; a part's rows arrive sorted, the middle's text first.
+    """
+    pairs = common.stored(pairs.select("middle", "node"), "pairs")
+    parts = common.stored(pairs.groupBy("middle").agg(F.ceil(F.count("*") / PART).cast("int").alias("among")), "middles")
+    dealt = common.salted_join(pairs, parts, "middle", ["node"]).select("middle", F.pmod(F.xxhash64("node"), F.col("among")).cast("int").alias("share"), "node")
+    ones = dealt.join(texts, "node").select("middle", "share", F.lit(1).alias("place"), "node", "text")
+    middles = parts.join(texts.withColumnRenamed("node", "middle"), "middle")
+    middles = middles.select("middle", F.explode(F.sequence(F.lit(0), F.col("among") - 1)).alias("share"), F.lit(0).alias("place"), F.col("middle").alias("node"), "text")
+    order = ["middle", "share", "place", "node"]
+    sent = middles.unionByName(ones).repartition("middle", "share").sortWithinPartitions(*order)
+    held: dict = {"at": None, "set": None}
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[int, np.ndarray] = {}
-        keep = []
-        for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
-            if len(known) > 2000:
-                known.clear()
-            for node, text in ((a, x), (b, y)):
-                if node not in known:
-                    known[node] = shingles(text.as_py(), width)
-            keep.append(linked(known[a], known[b]))
-        return batch.select(["a", "b"]).filter(pa.array(keep))
+        found = []
+        for middle, share, place, node, text in zip(*(batch.column(c).to_pylist() for c in order), batch.column("text")):
+            own = shingles(text.as_py(), width)
+            if place == 0:
+                held["at"], held["set"] = (middle, share), own
+            elif held["at"] != (middle, share):
+                raise AssertionError("a node before its middle")
+            elif linked(held["set"], own):
+                found.append((min(middle, node), max(middle, node)))
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return common.stored(common.map_batches(pairs.join(one, "a").join(two, "b"), step, "a long, b long", "text_a"), "links")
+    return common.stored(common.map_batches(sent, step, "a long, b long", "text"), "links")
 
 
 def spread(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the component of each node that has a link."""
+    spark = links.sparkSession
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = common.stored(both, "edges")
+    hubs = common.hot_keys(both, ["b"])
     labels = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        near = common.salted_join(both, labels.select(F.col("node").alias("b"), "label"), "b", ["a"], found=hubs)
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         # The label's own label is no larger and belongs to the same component.
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = common.stored(hooked.join(ahead, "label").select("node", F.least("label", "further").alias("label"), "old"), "labels")
-        common.forget(links.sparkSession, labels)
-        if after.where("label <> old").isEmpty():
-            common.forget(links.sparkSession, both)
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+        jumped = common.salted_join(labels.select("node", "label"), ahead, "label", ["node"])
+        after = jumped.join(near, "node").select("node", F.least("label", "near", "further").alias("label"), F.col("label").alias("old"))
+        before, labels = labels, common.stored(after, "labels")
+        common.forget(spark, before)
+        if labels.where("label <> old").isEmpty():
+            common.forget(spark, both)
+            return labels.select("node", "label")
 
 
 def _blocks(rest: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -234,24 +257,27 @@ def _blocks(rest: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def links(docs: DataFrame, found: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(a, b) links between the classes in ``found`` that give all components."""
     keyed = found.select("node", "n", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hits = common.stored(keyed.join(sizes, "key"), "hits")
+    sizes = common.stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
+    hot = sizes.select("key", F.col("size").alias("n")).where(F.col("n") > common.HOT_ROWS).orderBy(F.desc("n"), "key").limit(common.HOT_KEYS).collect()
+    hits = common.stored(common.salted_join(keyed, sizes, "key", ["node"], found=hot), "hits")
     weight = hits.groupBy("node").agg(F.sum("size").alias("weight"))
-    nodes = found.join(weight.select("node"), "node", "left_semi").select("node", "t1", "t2")
+    nodes = common.stored(found.join(weight.select("node"), "node", "left_semi").select("node", "t1", "t2", "doc_id"), "compared-classes")
     texts = _texts(docs, nodes)
-    middle = hits.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("m"))
+    middle = common.stored(hits.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("m")), "bucket-middles")
     alike = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
-    stars = hits.join(middle, "key").where((F.col("node") != F.col("m.node")) & alike(F.col("n"), F.col("m.n")))
-    stars = common.stored(stars.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct(), "stars")
+    stars = common.salted_join(hits, middle, "key", ["node"], found=hot).where((F.col("node") != F.col("m.node")) & alike(F.col("n"), F.col("m.n")))
+    # Of two classes the heavier is the middle in every bucket, so a pair is named one way.
+    stars = common.stored(stars.select(F.col("m.node").alias("middle"), "node").distinct(), "stars")
     first = _verified(stars, texts, width)
     labels = spread(first)
     named = hits.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = common.stored(named.join(open_keys, "key"), "rest")
+    rest = common.stored(common.salted_join(named, common.stored(open_keys, "open"), "key", ["node"], found=hot), "rest")
     small = rest.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "label"))).alias("g"))
     small = small.select(F.col("g"), F.explode("g").alias("x")).select("x", F.explode(F.filter("g", lambda y: y["node"] > F.col("x.node"))).alias("y"))
-    small = small.where((F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    second = _verified(small.join(stars, ["a", "b"], "left_anti"), texts, width)
+    small = small.where((F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("middle"), F.col("y.node").alias("node")).distinct()
+    done = stars.select(F.least("middle", "node").alias("middle"), F.greatest("middle", "node").alias("node"))
+    second = _verified(small.join(done, ["middle", "node"], "left_anti"), texts, width)
     third = common.stored(_blocks(rest.where(F.col("size") > SMALL), texts, width), "links")
     return first.unionByName(second).unionByName(third)
 
@@ -264,9 +290,10 @@ def _components(docs: DataFrame, width: int) -> DataFrame:
     named = found.select("node", "s1", "s2", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = common.stored(named, "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = named.join(least, "label").select("s1", "s2", "component_id")
+    by_set = common.stored(common.salted_join(named, least, "label", ["node"]).select("s1", "s2", "component_id"), "components")
     columns = ["doc_id", "t1", "t2", "n", "component_id"]
-    out = rows.where("n > 0").join(by_set, ["s1", "s2"]).select(columns)
+    full = rows.where("n > 0").select("doc_id", "t1", "t2", "n", "s1", "s2")
+    out = common.salted_join(full, by_set, ["s1", "s2"], ["doc_id"]).select(columns)
     return out.unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(columns))
 
 
@@ -280,8 +307,14 @@ def deduplicated(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that are kept, one document of each group, with all columns.
 
     Rows that repeat the kept doc_id within its group stay too; exact dedup goes before.
+    Rows that are certainly not among those that go (by a bitmap of fixed size) stay where they are read.
     """
-    kept = _components(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
+    keys = ["doc_id", "t1", "t2"]
+    found = common.stored(_components(docs, width).select(*keys, F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "decisions")
+    words = common.stored(common.bit_words(found.where("not kept").select(F.xxhash64(*keys).alias("row_key")), "row_key"), "dropped")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t1")) & (F.xxhash64(F.lit(1), text) == F.col("__t2"))
-    return docs.join(kept, same, "left_semi")
+    rows = common.packed(docs, id=F.col("doc_id").cast("long"), x1=F.xxhash64(text), x2=F.xxhash64(F.lit(1), text))
+    marked = common.maybe_in(rows.withColumn("row_key", F.xxhash64("id", "x1", "x2")), "row_key", words, "doubted")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2"))
+    doubted = marked.where("doubted").join(found.where("kept").select(keys).distinct(), same, "left_semi")
+    return marked.where("not doubted").select("row.*").unionByName(doubted.select("row.*"))
