@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from skein.llm import chat
+from skein.llm import chat, common
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -51,6 +51,39 @@ def test_pairs_equal_plain_comparison(spark):
     assert got(df) == plain(ROWS)
 
 
+def test_openings_that_only_join_alike(spark):
+    rows = [(1, 0, "a\0b", "c"), (2, 0, "a", "b\0c"), (3, 0, "1:a", "b"), (4, 0, "1", ":ab"), (5, 0, "a", ":b"), (6, 0, "a:", "b")]
+    assert got(spark.createDataFrame(rows, TURNS)) == plain(rows)
+
+
+def test_long_conversations(spark):
+    rows = [(c, k, "assistant" if k % 2 else "user", f"{k % 7}" * (k % 3)) for c, n in ((1, 256), (2, 257), (3, 700), (4, 0 + 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, TURNS)
+    assert got(df) == plain(rows)
+    for r in df.transform(chat.conversations).select("turns", chat.mask(F.col("turns")).alias("m")).collect():
+        at, want = 0, []
+        for t in r["turns"]:
+            begin = at + len(chat.HEAD) + len(t["role"]) + len(chat.MIDDLE)
+            at = begin + len(t["text"]) + len(chat.TAIL)
+            want += [f"{begin}:{at}"] if t["role"] == "assistant" else []
+        assert r["m"] == ",".join(want)
+
+
+def test_awkward_turns(spark, awkward):
+    """Clashing columns, ties, repeated rows, nulls in every column."""
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, "user", "hi"), (2, None, None, None), (2, 0, "user", "hi"), (3, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, TURNS)
+    extra = df.withColumns({c: F.lit("clash") for c in awkward.columns if c not in df.columns})
+    assert got(extra) == got(df)
+
+
+def test_a_very_common_opening_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(c, k, "assistant" if k % 2 else "user", f"t{c % 5 if k else 0}") for c in range(300) for k in range(4)]
+    rows += [(1000 + c, 0, "user", f"own {c}") for c in range(30)]
+    assert got(spark.createDataFrame(rows, TURNS)) == plain(rows)
+
+
 def test_a_very_common_opening(spark):
     rows = [(c, k, "assistant" if k % 2 else "user", f"t{c % 5 if k else 0}") for c in range(300) for k in range(4)]
     assert got(spark.createDataFrame(rows, TURNS)) == plain(rows)
