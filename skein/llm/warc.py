@@ -3,8 +3,9 @@
 *Writing.* Each page is one record, a response with its HTTP head and the html, or a
 revisit that names the response with the same payload. Spark's text writer puts the
 records in files on shared storage; its line separator is the record terminator, so
-the files are plain archives. A file holds at most ``RECORDS`` records, fewer where
-that many of the longest page could pass ``FILE_BYTES``, so that one task can read it whole.
+the files are plain archives. A file holds at most ``RECORDS`` records and about ``FILE_BYTES`` bytes, so that one
+task can read it whole: pages so long that ``RECORDS`` of them could pass that go to files of their own, with as
+many records as the longest allows.
 
 *Reading.* Tasks look for the magic in each file and emit every candidate (offset,
 offset of its successor by its own Content-Length), the false ones within payloads
@@ -48,8 +49,9 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
     first = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = common.stored(first.select("digest", "first"), "payloads")
-    joined = rows.join(first, "digest", "left")
+    first = common.stored(first, "payloads")
+    hot = first.where(F.col("n") > common.HOT_ROWS).orderBy(F.desc("n"), "digest").limit(common.HOT_KEYS).select("digest", "n").collect()
+    joined = common.salted_join(rows, first.drop("n"), "digest", ["page_id", "url"], "left", found=hot)
     return joined.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first"))).drop("first", "digest")
 
 
@@ -80,10 +82,14 @@ def write(pages: DataFrame, path: str | None = None, records: int = RECORDS, lea
 
     # Longs with nulls would pass through pandas as floats; as text they stay exact.
     plan = planned(pages, least)
-    lines = plan.select(record(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).alias("value"))
-    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)) * 3)).first()[0] or 0
-    records = max(1, min(records, FILE_BYTES // (longest + HEAD_BYTES)))
-    lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
+    # The two parts share no row: the filter reaches the pages before the join.
+    size = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) * 3 + HEAD_BYTES
+    limit = FILE_BYTES // records
+    longest = pages.select(F.col("html").cast("string").alias("html"), F.col("url").cast("string").alias("url")).agg(F.max(F.coalesce(F.octet_length("html"), F.lit(0)) + F.coalesce(F.octet_length("url"), F.lit(0)) * 3 + HEAD_BYTES)).first()[0] or 0
+    for few, part in ((records, plan.where(size <= limit)), (FILE_BYTES // max(1, longest), plan.where(size > limit))):
+        if few == records or longest > limit:
+            lines = part.select(record(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string")).alias("value"))
+            lines.write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", max(1, few)).text(path)
     return path
 
 

@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import warc
+from skein.llm import common, warc
 
 PAGES = "page_id long, url string, html string"
 FAKE = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
@@ -41,6 +41,28 @@ def test_candidates_inside_payloads_are_seen_and_rejected(spark):
     assert got(spark, path) == expected(rows)
 
 
+def test_long_pages_get_files_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 64_000)
+    rows = [(k, "u", f"short {k}") for k in range(50)] + [(100 + k, "u", f"{k}" * 5000) for k in range(9)] + [(200, "u", "long" * 50_000)]
+    path = warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), records=50)
+    assert got(spark, path) == expected(rows)
+    sizes = sorted(r["length"] for r in warc.listed(spark, path, "part-*").select("length").collect())
+    assert sizes[-1] < 210_000 and len([n for n in sizes if n > 30_000]) == 1 or sizes[-2] <= 64_000
+
+
+def test_a_very_common_payload_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(k, "u", "" if k % 3 else f"page {k % 40}") for k in range(300)] + [(7, None, None)]
+    assert got(spark, warc.write(spark.createDataFrame(rows, PAGES))) == expected(rows)
+
+
+def test_clashing_columns(spark, awkward):
+    rows = [(1, "u", "x"), (2, "u", "x"), (None, None, None), (3, "u", "")]
+    df = spark.createDataFrame(rows, PAGES)
+    df = df.withColumns({c: F.lit("clash") for c in [*awkward.columns, "digest", "first", "refers_to", "payload_bytes", "payload_digest"] if c not in df.columns})
+    assert got(spark, warc.write(df)) == expected(rows)
+
+
 def test_no_pages(spark):
     assert warc.read(spark, warc.write(spark.createDataFrame([], PAGES))).count() == 0
 
