@@ -11,7 +11,8 @@ function of the text's length and turned into a probability by a logistic curve.
 
 Fitting uses at most ``sample`` labelled rows of each class (those whose id hashes
 lowest; the shares of the classes are put right afterwards) and keeps at most
-``entries`` lexicon entries; both bounds are parameters. Terms are counted on the
+``entries`` lexicon entries; both bounds are parameters. Entries occur in at least 2 and in 1 of 400 of the
+sampled toxic rows and weigh more than the least of ``FLOORS``. Terms are counted on the
 executors. Scoring reads whole texts.
 
 Defined cases: a null or empty text matches nothing and gets the curve's value at
@@ -97,10 +98,14 @@ class Lexicon:
             self._automaton.make_automaton()
         return self._automaton
 
+    def densities(self, text: str, floors: tuple[float, ...]) -> list[float]:
+        """The density of the entries heavier than each of ``floors``; of two readings of the text the heavier one counts."""
+        return [max(at) for at in zip(*(self._densities(words, floors) for words in readings(text)))]
+
     def density(self, text: str) -> float:
-        return max(map(self._density, readings(text)))
+        return self.densities(text, (-math.inf,))[0]
 
-    def _density(self, words: str) -> float:
+    def _densities(self, words: str, floors: tuple[float, ...]) -> list[float]:
         found: dict[int, float] = {}
         free: list[tuple[int, int]] = []
         if self.weights:
@@ -110,10 +115,19 @@ class Lexicon:
                     free.append((begin, end))
                 elif weight > found.get(begin, -math.inf):
                     found[begin] = weight
-        for begin, end in free:
-            for at in [x for x in found if begin <= x < end]:
-                del found[at]
-        return sum(found.values()) / math.log(math.e + words.count(" ") / 100)
+        if free:
+            # One sweep over the beginnings and the ends of phrases up to them.
+            free.sort()
+            kept, k, reach = {}, 0, -1
+            for at in sorted(found):
+                while k < len(free) and free[k][0] <= at:
+                    reach = max(reach, free[k][1])
+                    k += 1
+                if at >= reach:
+                    kept[at] = found[at]
+            found = kept
+        size = math.log(math.e + words.count(" ") / 100)
+        return [math.fsum(w for w in found.values() if w > floor) / size for floor in floors]
 
     def score(self, text: str) -> float:
         x = max(-30.0, min(30.0, self.slope * self.density(text) + self.offset))
@@ -179,10 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
     # The classes' true shares among the labelled rows weigh the points.
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("toxic").cast("int").alias("y")).count().collect()
     share = {r["y"]: r["count"] / sum(n for (y, _), n in sizes.items() if y == r["y"]) for r in usable}
-    crossed = {half: [Lexicon({t: w for t, w in found if w > floor}, exceptions=exceptions) for floor in FLOORS] for half in (0, 1) for found in [entries_of((1 - half,))]}
+    crossed = {half: Lexicon(dict(entries_of((1 - half,))), exceptions=exceptions) for half in (0, 1)}
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [[own.density(text.as_py()) for own in crossed[half.as_py()]] for text, half in zip(batch.column("text"), batch.column("half"))]
+        x = [crossed[half.as_py()].densities(text.as_py(), FLOORS) for text, half in zip(batch.column("text"), batch.column("half"))]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
     points = sorted((tuple(r["x"]), r["y"]) for r in common.map_batches(rows, measure, "x array<double>, y int", "text").collect())

@@ -1,6 +1,11 @@
+import math
 import random
+import re
+import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.llm import toxicity
@@ -49,6 +54,65 @@ def test_folding_beginnings_and_exceptions():
     assert lexicon.score("") == pytest.approx(0.1192, abs=1e-3)
 
 
+SPELLED = {"a": "aA@4аα", "b": "bB8", "c": "cCсС", "e": "eE3еε", "g": "gG69", "i": "iI1іι", "l": "lL1ⅼ", "o": "oO0оο", "s": "sS5$ѕ", "t": "tT7т", "z": "z2Z", "w": "wW", "r": "r", "n": "n", "d": "d", "u": "u"}
+
+
+def plain_density(text, weights, exceptions, floor):
+    """Every entry tried at every place, signs folded one at a time."""
+    of = {}
+    for letter, signs in SPELLED.items():
+        for sign in signs:
+            of.setdefault(sign, "i" if letter == "l" else letter)
+    plain = lambda t: "".join(of.get(c, of.get(c.lower(), c.lower())) for c in t)
+    best = None
+    for reading in (text, re.sub(r"!(?=\w)", "i", text)):
+        words = [w for w in re.split(r"[\W_\d]+", plain(reading)) if w]
+        body = f" {' '.join(words)} "
+        hits = {}
+        for at in range(len(body)):
+            for term, weight in weights.items():
+                if body.startswith(plain(term), at):
+                    hits[at] = max(weight, hits.get(at, weight))
+        for phrase in exceptions:
+            phrase = f" {' '.join(plain(phrase).split())} "
+            for at in range(len(body)):
+                if body.startswith(phrase, at):
+                    hits = {k: w for k, w in hits.items() if not at <= k < at + len(phrase) - 1}
+        size = math.log(math.e + body.count(" ") / 100)
+        here = sum(w for w in hits.values() if w > floor) / size
+        best = here if best is None else max(best, here)
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_densities_equal_a_naive_matcher(data):
+    """Random lexicons over random spellings, against a matcher without automaton, sweep or shared folding."""
+    letter = st.sampled_from("abcegilostzw")
+    word = st.text(letter, min_size=1, max_size=5)
+    terms = st.one_of(word.map(lambda w: f" {w} "), word.map(lambda w: f" {w}"))
+    weights = data.draw(st.dictionaries(terms, st.floats(0.1, 6), max_size=12))
+    exceptions = tuple(data.draw(st.lists(st.lists(word, min_size=2, max_size=3).map(" ".join), max_size=3)))
+    known = sorted({t.strip() for t in weights} | {w for e in exceptions for w in e.split()}) or ["a"]
+    spell = lambda w: "".join(data.draw(st.sampled_from(SPELLED[c])) for c in w)
+    picked = data.draw(st.lists(st.one_of(st.sampled_from(known), st.sampled_from([t.strip() + "st" for t in weights] or ["a"]), word), max_size=12))
+    glue = data.draw(st.sampled_from([" ", ", ", " !", "\n", "! "]))
+    text = glue.join(spell(w) for w in picked)
+    if exceptions and data.draw(st.booleans()):
+        text += f" {exceptions[0]} "
+    lexicon = toxicity.Lexicon(weights, exceptions=exceptions)
+    floors = (-math.inf, 1.0, 3.0)
+    want = [plain_density(text, weights, exceptions, f) for f in floors]
+    assert lexicon.densities(text, floors) == pytest.approx(want)
+
+
+def test_a_very_long_text_is_swept_once():
+    lexicon = toxicity.Lexicon({" clown ": 5.0, " scum ": 4.0}, 1.0, -2.0)
+    began = time.perf_counter()
+    assert lexicon.density("class clown and scum line, " * 60_000) == 0
+    assert time.perf_counter() - began < 5
+
+
 def test_signs_that_stand_for_several_letters():
     lexicon = toxicity.Lexicon({" clown ": 5.0, " loser ": 5.0, " worthless ": 5.0, " garbage ": 5.0, " lazy ": 5.0, " idiot ": 5.0}, 1.0, -2.0)
     for text in ("c1own", "1oser", "wor7h1ess", "6arba9e", "la2y", "!d!ot", "id!ot", "c!own", "you idiot!moron"):
