@@ -4,7 +4,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from skein.llm import near_dedup
+from pyspark.sql import functions as F
+
+from skein.llm import common, near_dedup
 
 
 def brute(rows, width):
@@ -109,3 +111,45 @@ def test_short_texts_are_one_shingle():
     assert (near_dedup.shingles("one TWO", 4) == near_dedup.shingles(" one\ttwo ", 4)).all()
     assert (near_dedup.shingles("one two", 4) != near_dedup.shingles("two one", 4)).all()
     assert len(near_dedup.shingles(None, 4)) == 0
+
+
+def test_hot_buckets_hubs_and_labels_in_parts(spark, monkeypatch):
+    """With every path of splitting taken the result is that of all pairs."""
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    rows = copies(11, groups=3, size=40) + [(10_000 + k, "the very same words in each of these rows here") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(near_dedup.components(df, 4)) == brute(rows, 4)
+
+
+def test_salted_join_equals_a_join(spark):
+    left = spark.range(5000).selectExpr("id", "case when id % 10 < 8 then 0 when id % 10 = 8 then null else id end as k", "id % 3 as j")
+    right = spark.range(0, 5000, 7).selectExpr("id as k", "id % 3 as j", "id * 2 as v").unionByName(spark.sql("select 0L as k, 1L as j, -1L as v"))
+    for on in ("k", ["k", "j"]):
+        for how in ("inner", "left"):
+            plain, own = left.join(right, on, how), common.salted_join(left, right, on, ["id"], how, rows=100)
+            assert own.columns == plain.columns
+            assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))
+    tasks = common.salted_join(left, right, "k", ["id"], rows=100)._jdf.queryExecution().toString()
+    assert "part" in tasks
+
+
+def test_no_task_is_hot_without_adaptive_plans(spark):
+    """A key on nine tenths of the rows: no task of the salted join gets more than twice the median."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(100_000).selectExpr("id", "case when id % 10 < 9 then 0 else id end as k")
+        right = spark.range(100_000).selectExpr("id as k", "id as v")
+        out = common.salted_join(left, right, "k", ["id"], rows=500).groupBy(F.spark_partition_id()).count().toPandas()["count"].sort_values()
+        assert len(out) == 4 and out.max() <= 2 * out.median()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_kept_rows_have_all_columns(awkward):
+    out = near_dedup.deduplicated(awkward)
+    assert out.columns == awkward.columns
+    kept = {r["doc_id"] for r in near_dedup.components(awkward).where("kept").collect()}
+    assert {r["doc_id"] for r in out.collect()} == kept

@@ -54,3 +54,14 @@ def test_empty_documents(spark, sf, nothing):
     for name, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, sf), name)
         assert docs.count() == 0
+
+
+def test_the_whole_pipeline_over_awkward_documents(spark, awkward, tmp_path):
+    """Clashing columns, nulls, ties and long texts through all stages, as run() writes and reads them."""
+    awkward.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (4, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*(c for c in awkward.columns if c != "text"), "_n_tokens", "_token_ids", "_decoded_sha256"]
+    texts = {hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in awkward.collect()}
+    rows = out.collect()
+    assert rows and all(r["_decoded_sha256"] in texts and r["n_tokens"] == "clash" for r in rows)
