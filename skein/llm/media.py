@@ -9,11 +9,11 @@ chunk list and the bytes of the chunks they own, all others by reference.
 Reading joins the references with their owners' bytes, puts header and chunks in order,
 verifies the payload's SHA-256 and takes every figure from the bytes read.
 
-Texts are hashed and cut once (the cut table). A bitmap of fixed size of the
-payloads that share chunks is broadcast: a payload that is certainly none of
-them is stored as it was cut; the others (the bitmap's few false positives among
-them) take the exact joins. A full bitmap only sends more rows through the joins.
-Chunks that very many payloads use are joined in parts.
+Texts are read twice: once for their chunk lists, of which only digests are kept, and
+once to be stored. A bitmap of fixed size of the payloads that share chunks is broadcast: a
+payload that is certainly none of them is stored where it is read; the others (the
+bitmap's few false positives among them) take the exact joins. A full bitmap only
+sends more rows through the joins. Chunks that very many payloads use are joined in parts.
 
 Defined cases: a null text is empty; an empty payload is padded to one image; equal
 texts are one payload and give equal values; rows that repeat a doc_id each get a
@@ -114,7 +114,6 @@ def feature(payload: bytes) -> str:
     return f"images={len(payload) // UNIT};sum={int(counts @ np.arange(256))};distinct={np.count_nonzero(counts)};bins={'/'.join(map(str, bins))};steps={along}/{down}"
 
 
-_CUT = "doc_id long, media_id string, n_bytes long, head binary, names array<binary>, sizes array<int>, bytes binary"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32()), "array<boolean>": pa.list_(pa.bool_())}
 
 
@@ -124,27 +123,34 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(columns, kinds)], list(names))
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """The cut table: one row a document with its payload's id, header, chunk list and bytes; on shared files."""
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("media_id"), text.alias("text"))
+
+
+def _cut(text: str) -> tuple[int, bytes, list[int], list[bytes]]:
+    """Unpadded bytes, payload, sizes and names of its chunks."""
+    raw = text.encode()
+    payload = padded(raw)
+    ends = cuts(payload)
+    begins = [0, *ends[:-1]]
+    return len(raw), payload, [b - a for a, b in zip(begins, ends)], [digest(payload[a:b]) for a, b in zip(begins, ends)]
+
+
+def listing(docs: DataFrame) -> DataFrame:
+    """(doc_id, media_id, names): the chunk list of each document's payload; on shared files."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            raw = text.as_py().encode()
-            payload = padded(raw)
-            ends = cuts(payload)
-            names = [digest(payload[a:b]) for a, b in zip([0, *ends], ends)]
-            rows.append((doc_id, hashlib.sha256(raw).hexdigest(), len(raw), header(len(payload)), names, np.diff([0, *ends]).tolist(), payload))
-        return _batch(rows, _CUT)
+        names = [_cut(text.as_py())[3] for text in batch.column("text")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("media_id"), pa.array(names, pa.list_(pa.binary()))], ["doc_id", "media_id", "names"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return common.stored(common.map_batches(texts, step, _CUT, "text"), "cut")
+    return common.stored(common.map_batches(_texts(docs), step, "doc_id long, media_id string, names array<binary>", "text"), "chunk-lists")
 
 
-def _uses(listing: DataFrame) -> DataFrame:
+def _uses(lists: DataFrame) -> DataFrame:
     """(media_id, foreign, lent) of the payloads that have a chunk met more than once: what each takes from others
     and what it owns for others. Only digests move."""
-    every = listing.select("media_id", F.explode("names").alias("chunk"))
+    every = lists.select("media_id", F.explode("names").alias("chunk"))
     shared = every.groupBy("chunk").agg(F.count("*").alias("n"), F.min("media_id").alias("owner")).where("n > 1")
     shared = common.stored(shared.select("chunk", "owner"), "shared-chunks")
     uses = common.salted_join(common.stored(every.distinct(), "chunk-uses"), shared, "chunk", ["media_id"])
@@ -155,15 +161,23 @@ def _uses(listing: DataFrame) -> DataFrame:
 _ROW = "media_id string, n_bytes long, head binary, names array<binary>, sizes array<int>, own array<boolean>, lent array<boolean>, bytes binary"
 
 
-def store(rows: DataFrame) -> DataFrame:
-    """The stored media of a cut table: one row a distinct payload with its header, chunk list and the bytes that it owns; on shared files."""
-    uses = _uses(rows.select("media_id", "names"))
+def store(docs: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """The stored media: one row a distinct payload with its header, chunk list and the bytes that it owns; on shared files."""
+    uses = _uses(listing(docs) if lists is None else lists)
     words = common.stored(common.bit_words(uses.select(F.xxhash64("media_id").alias("key")), "key"), "sharing")
-    marked = common.maybe_in(rows.withColumn("key", F.xxhash64("media_id")), "key", words, "sharing").drop("key")
+    marked = common.maybe_in(_texts(docs).drop("doc_id").withColumn("key", F.xxhash64("media_id")), "key", words, "sharing").drop("key")
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for i, text in zip(batch.column("media_id").to_pylist(), batch.column("text")):
+            n, payload, sizes, names = _cut(text.as_py())
+            rows.append((i, n, header(len(payload)), names, sizes, [True] * len(names), [False] * len(names), payload))
+        return _batch(rows, _ROW)
 
     def stripped(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for i, n, head, names, sizes, payload, foreign, lent in zip(*(batch.column(c).to_pylist() for c in ("media_id", "n_bytes", "head", "names", "sizes", "bytes", "foreign", "lent"))):
+        for i, text, foreign, lent in zip(batch.column("media_id").to_pylist(), batch.column("text"), batch.column("foreign").to_pylist(), batch.column("lent").to_pylist()):
+            n, payload, sizes, names = _cut(text.as_py())
             others, given, seen, own, parts, at = set(foreign or ()), set(lent or ()), set(), [], [], 0
             for name, size in zip(names, sizes):
                 own.append(name not in others and name not in seen)
@@ -171,14 +185,13 @@ def store(rows: DataFrame) -> DataFrame:
                     parts.append(payload[at : at + size])
                 seen.add(name)
                 at += size
-            rows.append((i, n, head, names, sizes, own, [o and x in given for x, o in zip(names, own)], b"".join(parts)))
+            rows.append((i, n, header(len(payload)), names, sizes, own, [o and x in given for x, o in zip(names, own)], b"".join(parts)))
         return _batch(rows, _ROW)
 
-    # Equal payloads are combined where they are read; the bytes are shuffled once, to the join's key.
-    values = ("n_bytes", "head", "names", "sizes", "bytes")
-    once = marked.where("sharing").drop("doc_id").groupBy("media_id").agg(*[F.first(c).alias(c) for c in values])
-    shared_rows = common.map_batches(once.join(uses, "media_id", "left"), stripped, _ROW, "bytes")
-    alone = marked.where("not sharing").select("media_id", "n_bytes", "head", "names", "sizes", F.transform("names", lambda _: F.lit(True)).alias("own"), F.transform("names", lambda _: F.lit(False)).alias("lent"), "bytes")
+    # Equal payloads are combined where they are read; the texts are shuffled once, to the join's key.
+    once = marked.where("sharing").groupBy("media_id").agg(F.first("text").alias("text"))
+    shared_rows = common.map_batches(once.join(uses, "media_id", "left"), stripped, _ROW, "text")
+    alone = common.map_batches(marked.where("not sharing").select("media_id", "text"), whole, _ROW, "text")
     return common.stored(alone.unionByName(shared_rows), "media")
 
 
@@ -237,9 +250,6 @@ def described(stored: DataFrame) -> DataFrame:
 
 def columns(docs: DataFrame) -> DataFrame:
     """doc_id and what its stored media are, for each row of ``docs``."""
-    rows = cut(docs)
-    ids = common.stored(rows.select("doc_id", "media_id"), "media-ids")
-    media = store(rows)
-    common.forget(docs.sparkSession, rows)
-    known = common.stored(described(media), "described")
-    return common.salted_join(ids, known, "media_id", ["doc_id"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    lists = listing(docs)
+    known = common.stored(described(store(docs, lists)), "described")
+    return common.salted_join(lists.select("doc_id", "media_id"), known, "media_id", ["doc_id"]).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

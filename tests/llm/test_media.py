@@ -35,7 +35,7 @@ def test_shared_chunks_are_stored_once(spark):
     shared = word(3000)
     rows = [(k, f"{word(200)} {shared} {word(200)}") for k in range(20)] + [(k + 100, shared) for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    stored = media.store(media.cut(df))
+    stored = media.store(df)
     whole = sum(len(t.encode()) for _, t in rows)
     assert stored.agg(F.sum(F.octet_length("bytes"))).first()[0] < 0.4 * whole
     assert got(df) == expected(rows)
@@ -68,7 +68,7 @@ def test_blocks_change_neither_cuts_nor_features(monkeypatch):
 
 def test_the_stored_bytes_are_the_graymap(spark):
     rows = [(k, f"text {k % 5} " * (k * 90)) for k in range(30)]
-    stored = media.store(media.cut(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    stored = media.store(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     held = {}
     for r in stored:
         at = 0
@@ -86,7 +86,7 @@ def test_the_stored_bytes_are_the_graymap(spark):
 
 
 def test_a_wrong_header_is_noticed(spark):
-    stored = media.store(media.cut(spark.createDataFrame([(1, "some text")], "doc_id long, text string")))
+    stored = media.store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
     with pytest.raises(Exception, match="header"):
         media.described(stored.withColumn("head", F.lit(b"P5\n24 48\n255\n"))).collect()
 
@@ -99,6 +99,6 @@ def test_cuts_follow_the_content():
 
 
 def test_a_damaged_chunk_is_noticed(spark):
-    stored = media.store(media.cut(spark.createDataFrame([(1, "some text")], "doc_id long, text string")))
+    stored = media.store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"))
     with pytest.raises(Exception, match="differs"):
         media.described(stored.withColumn("bytes", F.lit(b"x" * 576))).collect()
