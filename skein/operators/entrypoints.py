@@ -11,49 +11,63 @@ from pyspark.sql import functions as F
 from ..bundle import GraphBundle
 from ..schema import ASSET_VALUES, ENTRYPOINT_KINDS, TRUST_LEVELS
 
-#: Rules by source language over the facts that frontends leave in ``attrs`` (decorators, visibility, signature).
 _ATTR = "coalesce(get_json_object(attrs, '$.{0}'), '')"
-_DECORATORS, _SIGNATURE, _VISIBILITY = (_ATTR.format(x) for x in ("decorators", "signature", "visibility"))
+_DECORATORS, _SIGNATURE, _VISIBILITY, _OWNER, _EXPORTED = (_ATTR.format(x) for x in ("decorators", "signature", "visibility", "owner", "exported"))
+_CALLABLE = "kind in ('function', 'method')"
+#: What a rule makes of a node.
 API, CLI, TASK = ("api", "untrusted_external", "high"), ("user_input", "untrusted_external", "medium"), ("third_party", "semi_trusted_external", "medium")
+
+
+def _rule(name: str, languages: str | None, when: str, tag: tuple[str, str, str] = API, layer: int = 1) -> dict:
+    return {"layer": layer, "rule": name, "languages": tuple(languages.split()) if languages else None, "when": when, "as": tag}
+
+
+def _has(fact: str, pattern: str) -> str:
+    """SQL: the fact has a match of the pattern."""
+    return f"{fact} rlike '{pattern}'".replace("\\", "\\\\")
+
+
+#: Rules over the facts that frontends leave in ``attrs``: decorators, signature (the whole head), visibility, owner (kind and head), exported.
 RULES: list[dict] = [
-    {"layer": 0, "rule": "main", "when": f"kind in ('function', 'method') and name in ('main', 'vb_main') and {_ATTR.format('executable')} <> 'false'", "as": ("user_input", "trusted_internal", "low")},
-    {"layer": 1, "rule": "python-http", "language": "python", "when": f"{_DECORATORS} rlike '\\\\.(route|get|post|put|patch|delete|head|options|trace|websocket)\\\\('", "as": API},
-    {"layer": 1, "rule": "python-cli", "language": "python", "when": f"{_DECORATORS} rlike '(click|typer|app|cli)\\\\.(command|group|callback)'", "as": CLI},
-    {"layer": 1, "rule": "python-task", "language": "python", "when": f"{_DECORATORS} rlike '(shared_task|\\\\.task)\\\\b'", "as": TASK},
-    {"layer": 1, "rule": "rust-http", "language": "rust", "when": f"{_DECORATORS} rlike '#\\\\[(get|post|put|patch|delete|head|route)\\\\('", "as": API},
-    {"layer": 1, "rule": "rust-export", "language": "rust", "when": f"{_DECORATORS} rlike 'no_mangle|export_name|::main' or {_SIGNATURE} rlike 'pub extern \"C\"'", "as": API},
-    {"layer": 1, "rule": "solidity", "language": "solidity", "when": f"kind = 'method' and ({_VISIBILITY} in ('public', 'external') or name in ('fallback', 'receive'))", "as": API},
-    {"layer": 1, "rule": "java-http", "language": "java", "when": f"{_DECORATORS} rlike '@(Get|Post|Put|Delete|Patch|Request)Mapping|@(GET|POST|PUT|DELETE|PATCH|Path)\\\\b'", "as": API},
-    {"layer": 1, "rule": "java-queue", "language": "java", "when": f"{_DECORATORS} rlike '@KafkaListener'", "as": TASK},
-    {"layer": 1, "rule": "kotlin-http", "language": "kotlin", "when": f"{_DECORATORS} rlike '@(Get|Post|Put|Delete|Patch|Request)Mapping'", "as": API},
-    {"layer": 1, "rule": "csharp-http", "language": "csharp", "when": f"{_DECORATORS} rlike '\\\\[(Http(Get|Post|Put|Delete|Patch)|Route|Function)'", "as": API},
-    {"layer": 1, "rule": "php-http", "language": "php", "when": f"{_DECORATORS} rlike '#\\\\[Route'", "as": API},
-    {"layer": 1, "rule": "nest", "language": "typescript", "when": f"{_DECORATORS} rlike '@(Get|Post|Put|Delete|Patch|All)\\\\('", "as": API},
-    {"layer": 1, "rule": "erlang-export", "language": "erlang", "when": f"{_VISIBILITY} = 'exported'", "as": TASK},
-    {"layer": 1, "rule": "rego", "language": "rego", "when": "name in ('allow', 'deny', 'violation')", "as": API},
-    {"layer": 1, "rule": "rpc", "when": f"{_ATTR.format('schema_role')} in ('rpc', 'service_function')", "as": API},
-    {"layer": 1, "rule": "graphql", "language": "graphql", "when": f"{_ATTR.format('schema_role')} = 'root_operation'", "as": API},
-    {"layer": 1, "rule": "move", "language": "move", "when": f"{_VISIBILITY} in ('public', 'entry')", "as": API},
-    {"layer": 1, "rule": "servlet", "language": "java", "when": "kind = 'method' and name in ('doGet', 'doPost', 'doPut', 'doDelete', 'doPatch')", "as": API},
-    {"layer": 1, "rule": "android", "when": "language in ('java', 'kotlin') and kind = 'method' and name in ('onCreate', 'onReceive', 'onStartCommand', 'onBind', 'onNewIntent')", "as": CLI},
-    {"layer": 1, "rule": "lambda", "when": "language in ('javascript', 'typescript') and kind = 'function' and name in ('handler', 'lambdaHandler')", "as": API},
-    {"layer": 1, "rule": "file-route", "when": "language in ('javascript', 'typescript') and kind = 'function' and file_path rlike '(^|/)(pages/api|app/.*|routes)/' and name in ('GET', 'POST', 'PUT', 'PATCH', 'DELETE', 'handler', 'loader', 'action')", "as": API},
-    {"layer": 1, "rule": "go-handler", "language": "go", "when": f"{_SIGNATURE} rlike 'http\\\\.ResponseWriter|\\\\*gin\\\\.Context|echo\\\\.Context|\\\\*fiber\\\\.Ctx'", "as": API},
-    {"layer": 1, "rule": "rails", "language": "ruby", "when": "kind = 'method' and file_path rlike '(^|/)app/controllers/'", "as": API},
-    {"layer": 1, "rule": "sidekiq", "language": "ruby", "when": "kind = 'method' and name = 'perform'", "as": TASK},
-    {"layer": 1, "rule": "c-export", "when": f"language in ('c', 'cpp') and {_SIGNATURE} rlike 'dllexport|visibility\\\\(\"default\"\\\\)|EMSCRIPTEN_KEEPALIVE|JNIEXPORT|extern \"C\"'", "as": API},
-    {"layer": 1, "rule": "objc-delegate", "language": "objc", "when": "name in ('application', 'handleOpenURL', 'userNotificationCenter', 'webView')", "as": API},
-    {"layer": 1, "rule": "swift-main", "language": "swift", "when": f"{_DECORATORS} rlike '@main\\\\b|@UIApplicationMain'", "as": CLI},
-    {"layer": 1, "rule": "dart-pragma", "language": "dart", "when": f"{_DECORATORS} rlike 'vm:entry-point'", "as": API},
-    {"layer": 1, "rule": "cairo", "language": "cairo", "when": f"{_DECORATORS} rlike '#\\\\[(external|l1_handler|constructor|abi)'", "as": API},
-    {"layer": 1, "rule": "circom", "language": "circom", "when": "kind = 'template' and name = 'Main'", "as": API},
-    {"layer": 1, "rule": "masm", "language": "masm", "when": f"{_SIGNATURE} rlike '^export'", "as": API},
-    {"layer": 1, "rule": "tact", "language": "tact", "when": "name in ('receive', 'external', 'init')", "as": API},
-    {"layer": 1, "rule": "func", "language": "func", "when": f"name in ('recv_internal', 'recv_external', 'run_ticktock') or {_SIGNATURE} rlike 'method_id'", "as": API},
-    {"layer": 1, "rule": "sway", "language": "sway", "when": f"kind in ('function', 'method') and {_SIGNATURE} rlike '^(pub )?fn' and {_VISIBILITY} in ('pub', 'public')", "as": API},
-    {"layer": 1, "rule": "zig-export", "language": "zig", "when": f"{_SIGNATURE} rlike '\\\\bexport fn' or {_VISIBILITY} = 'export'", "as": API},
-    {"layer": 1, "rule": "aiken", "language": "aiken", "when": "name in ('spend', 'mint', 'withdraw', 'publish', 'vote', 'propose')", "as": API},
-    {"layer": 1, "rule": "exported", "when": f"language in ('c', 'cpp', 'zig', 'dart', 'swift', 'objc') and {_ATTR.format('exported')} = 'true'", "as": API},
+    _rule("main", None, f"{_CALLABLE} and name in ('main', 'vb_main') and {_ATTR.format('executable')} <> 'false'", ("user_input", "trusted_internal", "low"), 0),
+    _rule("python-http", "python", _has(_DECORATORS, r"@[\w.]*\b\w+\.(route|get|post|put|patch|delete|head|options|trace|websocket)\(")),
+    _rule("python-cli", "python", _has(_DECORATORS, r"@(\w+\.)*(click|typer|app|cli|group)\.(command|group|callback)\b"), CLI),
+    _rule("python-task", "python", _has(_DECORATORS, r"@(\w+\.)*(shared_task|task)\b"), TASK),
+    _rule("rust-http", "rust", _has(_DECORATORS, r"#\[(\w+::)*(get|post|put|patch|delete|head|options|route)\s*\(")),
+    _rule("rust-export", "rust", f"{_has(_DECORATORS, 'no_mangle|export_name')} or {_has(_SIGNATURE, 'pub (unsafe )?extern "C"')}"),
+    _rule("rust-main", "rust", _has(_DECORATORS, r"#\[\w+::main\b"), CLI),
+    _rule("solidity", "solidity", f"kind = 'method' and {_OWNER} not like 'interface:%' and ({_VISIBILITY} in ('public', 'external') or name in ('fallback', 'receive'))"),
+    _rule("java-http", "java", f"{_CALLABLE} and {_has(_DECORATORS, '@(Get|Post|Put|Delete|Patch|Request)Mapping|@(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Path)(?![A-Za-z])')}"),
+    _rule("java-queue", "java", f"{_CALLABLE} and {_has(_DECORATORS, '@KafkaListener')}", TASK),
+    _rule("kotlin-http", "kotlin", f"{_CALLABLE} and {_has(_DECORATORS, '@(Get|Post|Put|Delete|Patch|Request)Mapping')}"),
+    _rule("servlet", "java", f"kind = 'method' and name in ('doGet', 'doPost', 'doPut', 'doDelete', 'doPatch', 'doHead', 'doOptions')"),
+    _rule("android", "java kotlin", "kind = 'method' and name in ('onCreate', 'onReceive', 'onStartCommand', 'onBind', 'onNewIntent', 'onHandleIntent')", CLI),
+    _rule("csharp-http", "c_sharp", f"{_CALLABLE} and {_has(_DECORATORS, r'\[(\w+\.)*(Http(Get|Post|Put|Delete|Patch|Head|Options)|Route|Function|FunctionName)\b')}"),
+    _rule("php-http", "php", f"{_CALLABLE} and {_has(_DECORATORS, r'#\[\\?(\w+\\)*Route\b')}"),
+    _rule("nest", "typescript javascript", f"kind = 'method' and {_has(_DECORATORS, r'@(Get|Post|Put|Delete|Patch|Options|Head|All)\(')} and {_has(_ATTR.format('owner_decorators'), '@Controller')}"),
+    _rule("lambda", "javascript typescript", "kind = 'function' and name in ('handler', 'lambdaHandler')"),
+    _rule("file-route", "javascript typescript", f"kind = 'function' and {_has('file_path', r'(^|/)(pages/api|app/.*|routes)/')} and name in ('GET', 'POST', 'PUT', 'PATCH', 'DELETE', 'HEAD', 'OPTIONS', 'handler', 'loader', 'action')"),
+    _rule("go-handler", "go", f"{_has(_SIGNATURE, r'http\.ResponseWriter|\*gin\.Context|echo\.Context|\*fiber\.Ctx')} or {_EXPORTED} = 'true'"),
+    _rule("rails", "ruby", f"kind = 'method' and {_has('file_path', r'(^|/)app/controllers/')}"),
+    _rule("sidekiq", "ruby", "kind = 'method' and name = 'perform'", TASK),
+    _rule("c-export", "c cpp", f"kind in ('function', 'method') and {_has(_SIGNATURE, r'dllexport|visibility\s*\(\s*"default"\s*\)|EMSCRIPTEN_KEEPALIVE|JNIEXPORT|extern "C"')}"),
+    _rule("objc-delegate", "objc", "name in ('application', 'handleOpenURL', 'userNotificationCenter', 'webView')"),
+    _rule("swift-main", "swift", _has(_DECORATORS, r"@(main|UIApplicationMain|NSApplicationMain)\b"), CLI),
+    _rule("dart-pragma", "dart", _has(_DECORATORS, "vm:entry-point")),
+    _rule("cairo", "cairo", f"{_has(_DECORATORS, r'#\[(external|l1_handler|constructor)\b')} or {_CALLABLE} and {_has(_ATTR.format('owner_decorators'), r'#\[abi\(')}"),
+    _rule("circom", "circom", f"name = 'main' and {_SIGNATURE} like 'component main%'"),
+    _rule("masm", "masm", _has(_SIGNATURE, r"^(export\.|begin\b)")),
+    _rule("move", "move", f"kind in ('function', 'method') and {_has(_SIGNATURE, r'\b(public|entry)\b(?!\s*\()')}"),
+    _rule("tact", "tact", f"name in ('receive', 'external', 'bounced', 'init') or {_has(_SIGNATURE, r'^get\b')}"),
+    _rule("func", "func", f"name in ('recv_internal', 'recv_external', 'run_ticktock', 'main') or {_has(_SIGNATURE, 'method_id')}"),
+    _rule("sway", "sway", f"{_CALLABLE} and ({_has(_SIGNATURE, '^pub fn')} or {_has(_OWNER, '^(interface: abi|class: impl .* for Contract)')})"),
+    _rule("haskell-main", "haskell", "name = 'main'", CLI),
+    _rule("erlang-export", "erlang", f"{_EXPORTED} = 'true'", TASK),
+    _rule("rego", "rego", "name in ('allow', 'deny', 'violation')"),
+    _rule("rpc", None, f"{_ATTR.format('schema_role')} in ('rpc', 'service_function')"),
+    _rule("graphql", "graphql", f"{_ATTR.format('schema_role')} = 'root_operation'"),
+    _rule("zig-export", "zig", _has(_SIGNATURE, r"\bexport\b.*\bfn\b")),
+    _rule("aiken", "aiken", f"{_OWNER} like 'contract: validator%' and name in ('spend', 'mint', 'withdraw', 'publish', 'vote', 'propose', 'else')"),
 ]
 
 
@@ -63,9 +77,9 @@ def tagged(nodes: DataFrame, rules: list[dict]) -> DataFrame:
     tags = []
     for n, r in enumerate(rules):
         kind, trust, asset = r.get("as") or (r["kind"], r["trust"], r["asset"])
-        holds = F.expr(r["when"])
-        if r.get("language"):
-            holds = holds & (F.col("language") == r["language"])
+        holds = F.expr(f"({r['when']})")
+        if r.get("languages"):
+            holds = holds & F.col("language").isin(*r["languages"])
         tags.append(F.when(holds, F.struct(F.lit(r["layer"]).alias("layer"), F.lit(n).alias("seq"), F.lit(kind).alias("kind"), F.lit(trust).alias("trust_level"), F.lit(asset).alias("asset_value"), F.lit(r.get("description", "")).alias("description"), F.lit(r.get("rule", f"rule-{n}")).alias("rule"))))
     if not tags:
         return nodes.select(F.col("id").alias("node_id"), *[F.lit("").alias(c) for c in ("kind", "trust_level", "asset_value", "description", "rule")]).where("false")

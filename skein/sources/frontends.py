@@ -1,8 +1,7 @@
 """Frontends: the text of a file in, graph facts out.
 
-Python is read with its own syntax tree. Other languages are read by one tolerant
-scanner that a small description of each steers: how comments, strings, types,
-callables and branches look. A frontend gives (table, row) pairs; rows are plain
+Python is read with its own syntax tree, schemas by readers of their own, and all other
+languages by the scanner. A frontend gives (table, row) pairs; rows are plain
 dicts with the columns of that table. A file that cannot be read gives its module
 node and a diagnostic, never an error.
 """
@@ -13,7 +12,6 @@ import ast
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 NESTING = 128
 DIAGNOSTICS = 256
@@ -53,10 +51,10 @@ def facts(path: str, language: str, text: str, module: str | None = None) -> lis
     try:
         if language == "python":
             return list(python_facts(path, text, module))
-        from . import schemas
+        from . import scanner, schemas
 
-        return list(schemas.facts(path, language, text, module) if language in schemas.LANGUAGES else scanned_facts(path, language, text, module))
-    except (SyntaxError, ValueError, RecursionError) as e:
+        return list(schemas.facts(path, language, text, module) if language in schemas.LANGUAGES else scanner.facts(path, language, text, module))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         line = getattr(e, "lineno", None) or 1
         return [module_node(path, language, lines, module), ("diagnostics", {"language": language, "file_path": path, "start_line": line, "kind": type(e).__name__, "message": str(e)[:200]})]
 
@@ -87,8 +85,35 @@ def _branches(nodes: list[ast.AST]) -> int:
     return total
 
 
+class _Source:
+    """The text of expressions, cut from the source: no walk, whatever their depth."""
+
+    def __init__(self, text: str):
+        # Positions count bytes of a line; the parser ends lines at these signs alone.
+        self.lines = [line.encode() for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)]
+
+    def __call__(self, node: ast.AST) -> str:
+        a, b = node.lineno - 1, node.end_lineno - 1
+        if a == b:
+            raw = self.lines[a][node.col_offset : node.end_col_offset]
+        else:
+            raw = b"".join([self.lines[a][node.col_offset :], *self.lines[a + 1 : b], self.lines[b][: node.end_col_offset]])
+        return " ".join(raw.decode("utf-8", "replace").split())
+
+
+def _dotted(node: ast.AST) -> str | None:
+    """'a.b.c' of a chain of names, without recursion; None for anything else."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+
 def _type_refs(node: ast.AST | None, path: str = "0") -> Iterator[tuple[str, str, str | None]]:
-    """(path, name, module) of a type expression, outer ones first."""
+    """(path, name, module) of a type expression, outer ones first, down to ``NESTING`` levels."""
+    if path.count(".") > NESTING:
+        return
     if isinstance(node, ast.Constant) and isinstance(node.value, str):
         try:
             node = ast.parse(node.value, mode="eval").body
@@ -99,7 +124,7 @@ def _type_refs(node: ast.AST | None, path: str = "0") -> Iterator[tuple[str, str
     elif isinstance(node, ast.Name):
         yield path, node.id, None
     elif isinstance(node, ast.Attribute):
-        yield path, node.attr, ast.unparse(node.value)
+        yield path, node.attr, _dotted(node.value)
     elif isinstance(node, ast.Subscript):
         yield from _type_refs(node.value, path)
         inner = node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice]
@@ -112,7 +137,7 @@ def _type_refs(node: ast.AST | None, path: str = "0") -> Iterator[tuple[str, str
 
 def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fact]:
     tree = ast.parse(text)
-    module = module or module_id(path)
+    module, source = module or module_id(path), _Source(text)
     yield module_node(path, "python", text.count("\n") + 1, module)
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
@@ -136,15 +161,15 @@ def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fa
         plain = f"{owner}{sign}{n.name}"
         own = plain if last.get(plain) is n else f"{plain}@{n.lineno}_{n.col_offset}"
         place = {"file_path": path, "start_line": n.lineno, "end_line": n.end_lineno, "start_col": n.col_offset, "end_col": n.end_col_offset}
-        attrs = {"decorators": "\n".join(f"@{ast.unparse(d)}" for d in n.decorator_list)} if n.decorator_list else {}
+        attrs = {"decorators": "\n".join(f"@{source(d)}" for d in n.decorator_list)} if n.decorator_list else {}
         row = {"id": own, "name": n.name, "origin": "source", "language": "python", "docstring": ast.get_docstring(n), "attrs": json.dumps(attrs, sort_keys=True)} | place
         yield "edges", {"src": owner, "dst": own, "kind": "contains", "confidence": "certain"} | {k: place[k] for k in ("file_path", "start_line")}
-        row["type_parameters"] = [{"name": p.name, "constraints": [ast.unparse(b)] if (b := getattr(p, "bound", None)) else [], "default": ast.unparse(d) if (d := getattr(p, "default_value", None)) else None, "variance": None} for p in getattr(n, "type_params", [])]
+        row["type_parameters"] = [{"name": p.name, "constraints": [source(b)] if (b := getattr(p, "bound", None)) else [], "default": source(d) if (d := getattr(p, "default_value", None)) else None, "variance": None} for p in getattr(n, "type_params", [])]
         if isinstance(n, ast.ClassDef):
             yield "nodes", row | {"kind": "class"}
             for base in n.bases:
-                target = ast.unparse(base)
-                yield "edges", {"src": own, "dst": f"{module}:{target}" if isinstance(base, ast.Name) else target, "kind": "inherits", "confidence": "inferred", "file_path": path, "start_line": n.lineno}
+                target = _dotted(base.value if isinstance(base, ast.Subscript) else base) or source(base)
+                yield "edges", {"src": own, "dst": f"{module}:{target}" if "." not in target else target, "kind": "inherits", "confidence": "inferred", "file_path": path, "start_line": n.lineno}
             yield from units(n.body, own, ".", own)
             return
         inside = list(_own(n.body))
@@ -158,16 +183,17 @@ def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fa
         for x in inside:
             if isinstance(x, ast.Raise):
                 e = x.exc.func if isinstance(x.exc, ast.Call) else x.exc
-                name = ast.unparse(e) if isinstance(e, (ast.Name, ast.Attribute)) else None
-                if name and name[0].isupper():
+                name = _dotted(e) if e is not None else None
+                # A lower-case name is a variable that holds an exception, not its type.
+                if name and name.rsplit(".", 1)[-1][:1].isupper():
                     raised.append(name)
-                events.append({"kind": "raise" if x.exc else "rethrow", "line": x.lineno, "syntax": "raise", "expression": ast.unparse(x.exc) if x.exc else None, "types": [name] if name else [], "region": None, "confidence": "certain"})
+                events.append({"kind": "raise" if x.exc else "rethrow", "line": x.lineno, "syntax": "raise", "expression": source(x.exc) if x.exc else None, "types": [name] if name else [], "region": None, "confidence": "certain"})
             elif isinstance(x, ast.ExceptHandler):
                 kinds = x.type.elts if isinstance(x.type, ast.Tuple) else [x.type] if x.type else []
-                events.append({"kind": "handler", "line": x.lineno, "syntax": "except", "expression": None, "types": [ast.unparse(k) for k in kinds], "region": None, "confidence": "certain"})
+                events.append({"kind": "handler", "line": x.lineno, "syntax": "except", "expression": None, "types": [_dotted(k) or source(k) for k in kinds], "region": None, "confidence": "certain"})
         yield "nodes", row | {
-            "kind": "method" if cls else "function", "cc": 1 + _branches(inside), "return_type": ast.unparse(n.returns) if n.returns else None,
-            "parameters": [{"name": a.arg, "type": ast.unparse(a.annotation) if a.annotation else None, "default": ast.unparse(d) if d is not None else None} for a, d in pairs],
+            "kind": "method" if cls else "function", "cc": 1 + _branches(inside), "return_type": source(n.returns) if n.returns else None,
+            "parameters": [{"name": a.arg, "type": source(a.annotation) if a.annotation else None, "default": source(d) if d is not None else None} for a, d in pairs],
             "exception_types": list(dict.fromkeys(raised)), "exception_events": events,
         }
         for role, (ordinal, expr) in [(0, (k, a.annotation)) for k, (a, _) in enumerate(pairs)] + [(1, (0, n.returns))]:
@@ -186,7 +212,12 @@ def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fa
             elif isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id in ("self", "cls") and cls and f"{cls}.{f.attr}" in last:
                 target, confidence = f"{cls}.{f.attr}", "certain"
             elif isinstance(f, ast.Attribute):
-                target, confidence = ast.unparse(f), "inferred"
+                plain = _dotted(f)
+                if plain is None:
+                    # What a call or another expression gives: named by its place, so that a chain's text is not repeated.
+                    kind = "$returned" if isinstance(f.value, ast.Call) else "$value"
+                    plain = f"{module}:{kind}@{f.value.end_lineno}_{f.value.end_col_offset}.{f.attr}"
+                target, confidence = plain, "inferred"
             else:
                 target, confidence = f"{module}:$indirect@{x.lineno}_{x.col_offset}", "uncertain"
             yield "edges", {"src": owner, "dst": target, "kind": "calls", "confidence": confidence, "file_path": path, "start_line": x.lineno}
@@ -197,241 +228,3 @@ def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fa
                 yield from unit(n, owner, sign, cls)
 
     yield from units(tree.body, module, ":", None)
-
-
-# -- Others ---------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Look:
-    """How a language looks: what is blanked out, and what is recognised."""
-
-    line_comments: tuple[str, ...] = ("//",)
-    block: tuple[str, str] | None = ("/*", "*/")
-    quotes: str = "\"'"
-    types: str = r"\b(?P<kind>class|struct|interface|trait|enum|namespace)\s+(?P<name>[A-Za-z_]\w*)"
-    callables: str = r"\b(?:fn|func|function|def|fun|sub)\s+(?P<name>[A-Za-z_]\w*)\s*[(<]"
-    branches: str = r"\b(?:if|for|while|case|catch|foreach|elif|elsif|elseif|when|match)\b|&&|\|\||\?(?=[^.?:])"
-    imports: str = r"^\s*(?:import|using|use|include|require|from|open|Require Import|EXTENDS)\b\s*[(\"'<]?\s*(?P<name>[\w./:*\\-]+)"
-    inherits: str | None = r"\b(?:class|interface|contract|trait)\s+(?P<name>[A-Za-z_]\w*)[^{;\n]*?\b(?:extends|implements|is)\s+(?P<bases>[\w., :]+)"
-    kinds: tuple[tuple[str, str], ...] = ()
-    body: str = "brace"  # 'end': at the closing word of the same indent; 'next': until the next callable or type
-    bare: bool = True  # calls look like name(...)
-
-
-_C_CALL = r"(?:^|(?<=[;{}\s]))(?:[A-Za-z_][\w:<>,*&\[\] \t]*[\s*&])(?P<name>~?[A-Za-z_]\w*)\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:const\b|noexcept\b|override\b|final\b|throws\s+[\w., ]+|:[^{;]*)?\s*(?=\{)"
-_DEF = r"\b(?:fn|func|function|def|fun)\s+(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_]\w*[?!]?)"
-_FORMAL = r"^\s*(?:let rec|let|val|Definition|Fixpoint|Lemma|Theorem|Function|theorem|lemma|def|predicate|function|method|rule|restriction|axiom|goal|event|query|process|fun|reduc)\s+(?:rec\s+|\{:[^}]*\}\s*)?(?P<name>[A-Za-z_][\w']*)"
-_TYPES = Look.types
-
-LOOKS: dict[str, Look] = {
-    **{x: Look(callables=_C_CALL) for x in ("c", "cpp", "java", "c_sharp")},
-    "objc": Look(types=r"@(?P<kind>interface|implementation|protocol)\s+(?P<name>\w+)", callables=rf"{_C_CALL}|^[-+]\s*\([^)]*\)\s*(?P<selector>\w+)"),
-    "dart": Look(callables=_C_CALL),
-    "javascript": Look(quotes="\"'`", callables=r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*\(|(?:const|let|var)\s+(?P<assigned>[\w$]+)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|[\w$]+\s*=>)|^[ \t]+(?:async\s+|static\s+|get\s+|set\s+)*(?P<method>(?!if|for|while|switch|catch|function|return)[\w$]+)\s*\([^()]*\)\s*\{"),
-    "solidity": Look(types=r"\b(?P<kind>contract|interface|library|struct|enum)\s+(?P<name>\w+)", callables=r"\bfunction\s+(?P<name>\w+)\s*\(|\b(?P<special>constructor|fallback|receive)\s*\("),
-    "go": Look(quotes="\"'`", types=r"\btype\s+(?P<name>\w+)\s+(?P<kind>struct|interface)", callables=r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*[(\[]"),
-    "rust": Look(quotes='"', types=r"\b(?P<kind>struct|enum|trait)\s+(?P<name>\w+)", callables=r"\bfn\s+(?P<name>\w+)"),
-    "php": Look(line_comments=("//", "#")),
-    "kotlin": Look(callables=r"\bfun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(?P<name>\w+)\s*\("),
-    "swift": Look(types=r"\b(?P<kind>class|struct|enum|protocol|extension)\s+(?P<name>\w+)", callables=r"\bfunc\s+(?P<name>\w+)"),
-    "perl": Look(line_comments=("#",), block=None, callables=r"\bsub\s+(?P<name>\w+)", types=r"\b(?P<kind>package)\s+(?P<name>[\w:]+)"),
-    "bash": Look(line_comments=("#",), block=None, types="(?!)", callables=r"^\s*(?:function\s+(?P<name>[\w-]+)|(?P<plain>[\w-]+)\s*\(\))", bare=False),
-    "powershell": Look(line_comments=("#",), block=("<#", "#>"), callables=r"(?i)\bfunction\s+(?P<name>[\w-]+)", bare=False),
-    "r": Look(line_comments=("#",), block=None, types="(?!)", callables=r"(?P<name>[A-Za-z.][\w.]*)\s*(?:<-|=)\s*function\s*\("),
-    **{x: Look(line_comments=("#",), block=None, callables=_DEF + r"|^\s*(?P<short>\w+)\([^()=]*\)\s*=(?!=)" if x == "julia" else _DEF, types=r"\b(?P<kind>class|module|struct)\s+(?P<name>[A-Z]\w*)", body="end") for x in ("ruby", "julia")},
-    "lua": Look(line_comments=("--",), block=("--[[", "]]"), types="(?!)", callables=r"\bfunction\s+(?:[\w.:]+[.:])?(?P<name>\w+)", body="end"),
-    "vb": Look(line_comments=("'",), block=None, quotes='"', types=r"(?i)\b(?P<kind>class|structure|interface|module|enum)\s+(?P<name>\w+)", callables=r"(?i)^\s*(?:(?:public|private|protected|friend|shared|overrides|overridable|async)\s+)*(?:sub|function)\s+(?P<name>\w+)", body="end"),
-    "haskell": Look(line_comments=("--",), block=("{-", "-}"), quotes='"', types=r"^(?P<kind>data|newtype|class)\s+(?P<name>[A-Z]\w*)", callables=r"^(?P<name>[a-z]\w*)\s*::", body="next", bare=False),
-    "erlang": Look(line_comments=("%",), block=None, types="(?!)", callables=r"^(?P<name>[a-z]\w*)\([^)]*\)\s*(?:when[^-]*)?->", body="next"),
-    "masm": Look(line_comments=("#",), block=None, types="(?!)", callables=r"^\s*(?:export|proc)\.(?P<name>\w+)|^\s*(?P<main>begin)\b", body="next", bare=False),
-    "move": Look(types=r"\b(?P<kind>module|struct)\s+(?P<name>[\w:]+)", callables=r"\bfun\s+(?P<name>\w+)"),
-    "tact": Look(types=r"\b(?P<kind>contract|trait|struct|message)\s+(?P<name>\w+)", callables=r"\bfun\s+(?P<name>\w+)|\b(?P<special>receive|init|external)\s*\("),
-    "func": Look(line_comments=(";;",), block=("{-", "-}"), types="(?!)", callables=r"(?P<name>[\w~?']+)\s*\([^()]*\)[\w \t\"]*(?=\{)"),
-    "circom": Look(types=r"\b(?P<kind>template)\s+(?P<name>\w+)"),
-    "zig": Look(types=r"\bconst\s+(?P<name>\w+)\s*=\s*(?:pub\s+)?(?:extern\s+|packed\s+)?(?P<kind>struct|enum|union)"),
-    "rego": Look(line_comments=("#",), block=None, types="(?!)", callables=r"^(?:default\s+)?(?P<name>[a-z]\w*)(?:\([^)]*\))?\s*(?:if\b|:=|=|\{|contains\b)", body="next"),
-    "proto": Look(types=r"\b(?P<kind>message|service|enum)\s+(?P<name>\w+)", callables=r"\brpc\s+(?P<name>\w+)", branches="(?!)", bare=False),
-    "thrift": Look(line_comments=("//", "#"), types=r"\b(?P<kind>struct|service|enum|exception|union)\s+(?P<name>\w+)", callables=r"^\s+(?:oneway\s+)?[\w<>,. ]+\s+(?P<name>\w+)\s*\(", branches="(?!)", bare=False),
-    "graphql": Look(line_comments=("#",), block=('"""', '"""'), quotes='"', types=r"\b(?P<kind>type|interface|enum|input|union|scalar)\s+(?P<name>\w+)", callables=r"^\s+(?P<name>\w+)\s*(?:\([^)]*\))?\s*:\s*[\w\[\]!]+", branches="(?!)", bare=False),
-    "sql": Look(line_comments=("--",), quotes="'", types=r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+|materialized\s+)?(?P<kind>table|view|schema)\s+(?:if\s+not\s+exists\s+)?(?P<name>[\w.\"]+)", callables=r"(?i)\bcreate\s+(?:or\s+replace\s+)?(?:function|procedure)\s+(?P<name>[\w.\"]+)", branches="(?!)", body="next", bare=False),
-    "lean": Look(line_comments=("--",), block=("/-", "-/"), quotes='"', types=r"^\s*(?P<kind>structure|inductive|class|namespace)\s+(?P<name>[\w.]+)", callables=_FORMAL, body="next", bare=False),
-    "dafny": Look(types=r"\b(?P<kind>class|datatype|trait|module)\s+(?P<name>\w+)", callables=r"\b(?:method|function|predicate|lemma)\s+(?:\{:[^}]*\}\s*)?(?P<name>\w+)"),
-    **{x: Look(line_comments=("//",) if x == "fstar" else (), block=("(*", "*)"), quotes='"', types=r"^\s*(?P<kind>type|Inductive|Record|module|Module|theory)\s+(?P<name>\w+)", callables=_FORMAL, body="next", bare=False) for x in ("fstar", "rocq", "whyml", "proverif")},
-    "tlaplus": Look(line_comments=("\\*",), block=("(*", "*)"), quotes='"', types="(?!)", callables=r"^(?P<name>[A-Za-z]\w*)(?:\([^)]*\))?\s*==", body="next", bare=False),
-    "tamarin": Look(types="(?!)", callables=r"^\s*(?:rule|lemma|restriction)\s+(?P<name>\w+)", body="next", bare=False),
-}
-LOOKS["typescript"] = LOOKS["javascript"]
-_DEFAULT = Look(callables=_DEF)
-#: What a type keyword makes of a node; others are structs.
-KINDS = {"class": "class", "interface": "interface", "protocol": "interface", "trait": "trait", "enum": "enum", "namespace": "namespace", "contract": "contract", "library": "library", "template": "template", "schema": "schema", "table": "table", "view": "view", "module": "namespace", "package": "namespace", "implementation": "class", "service": "interface", "inductive": "enum", "datatype": "enum", "message": "struct"}
-_WORD_CALL = re.compile(r"(?<![\w.$:>])(?P<path>(?:[A-Za-z_$][\w$]*(?:\.|::|->|:))*)(?P<name>[A-Za-z_$][\w$]*[!?]?)\s*\(")
-_NOT_CALLED = frozenset("if for while switch catch return sizeof function fn func def fun sub match elif elsif elseif foreach using lock when and or not in new throw await typeof assert super require".split())
-
-_NOT_DEFINED = frozenset("if for while switch catch return sizeof elif else elsif elseif match new throw await".split())
-
-
-def _blank(found: str) -> str:
-    return re.sub(r"[^\n]", " ", found)
-
-
-def cleaned(text: str, look: Look) -> str:
-    """The text with comments and strings blanked; lines and columns stay."""
-    parts = []
-    if look.block:
-        parts.append(f"{re.escape(look.block[0])}[\\s\\S]*?(?:{re.escape(look.block[1])}|\\Z)")
-    parts += [re.escape(c) + r"[^\n]*" for c in look.line_comments]
-    parts += [rf"{q}(?:\\.|[^{q}\\\n])*{q}" if q != "`" else r"`(?:\\[\s\S]|[^`\\])*`" for q in look.quotes]
-    return re.sub("|".join(parts), lambda m: _blank(m[0]), text) if parts else text
-
-
-def _body_end(text: str, begin: int, limit: int) -> int:
-    """After the brace that closes the first one opened after ``begin``; ``limit`` if there is none or it is a mere declaration."""
-    open_at = text.find("{", begin, limit)
-    semi = text.find(";", begin, limit)
-    if open_at < 0 or 0 <= semi < open_at:
-        return semi + 1 if semi >= 0 else limit
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(text, open_at):
-        depth += 1 if m[0] == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
-
-
-_STATE = re.compile(r"(?:^|(?<=[;{}]))\s*(?P<type>mapping\s*\([^;{}]*?\)|[A-Za-z_][\w.]*(?:\[[^\]]*\])*)\s+(?P<mods>(?:(?:public|private|internal|constant|immutable|transient|override)\s+)*)(?P<name>[A-Za-z_]\w*)\s*(?:=[^;{}]*)?;")
-
-
-def _state(rows: list[tuple], clean: str, path: str, place) -> Iterator[Fact]:
-    """Storage variables of contracts, and which methods read and write them; constants are no storage."""
-    for begin, head, end, own, kind, _ in rows:
-        if kind not in ("contract", "library"):
-            continue
-        inner = [r for r in rows if r[4] == "method" and begin <= r[0] < end]
-        body = list(clean[begin:end])
-        for r in inner:
-            body[r[0] - begin : r[2] - begin] = ["}" if c != "\n" else c for c in clean[r[0] : r[2]]]
-        outer = "".join(body)
-        for m in _STATE.finditer(outer, outer.find("{") + 1):
-            if m["type"] in ("using", "import", "event", "error", "return", "function", "emit") or re.search("constant|immutable|transient", m["mods"]):
-                continue
-            line, col = place(begin + m.start("name"))
-            var = f"{own}.{m['name']}"
-            yield "nodes", {"id": var, "name": m["name"], "kind": "state_variable", "origin": "source", "language": "solidity", "file_path": path, "start_line": line, "end_line": line, "start_col": col, "attrs": "{}"}
-            yield "edges", {"src": own, "dst": var, "kind": "contains", "confidence": "certain", "file_path": path, "start_line": line}
-            name = re.escape(m["name"])
-            write = re.compile(rf"(?:\b{name}\b(?:\s*\[[^\]]*\]|\.\w+)*\s*(?:[-+*/%|&^]|<<|>>)?=(?!=))|(?:\b{name}\b(?:\s*\[[^\]]*\]|\.\w+)*\s*(?:\+\+|--|\.push|\.pop))|(?:(?:\+\+|--|delete\s)\s*{name}\b)")
-            for r in inner:
-                text = clean[r[1] : r[2]]
-                if re.search(rf"\b(?:[A-Za-z_]\w*(?:\[\])?)\s+(?:memory\s+|calldata\s+)?{name}\s*[,)=;]", clean[r[0] : r[2]]) and not re.search(rf"\breturn\s+{name}\b", text):
-                    continue  # a parameter or local of that name hides it
-                wrote = list(write.finditer(text))
-                plain = [w for w in wrote if re.search(r"[^=!<>+*/%|&^-]=(?!=)$", w[0]) and "[" not in w[0]]
-                if wrote:
-                    yield "edges", {"src": r[3], "dst": var, "kind": "writes", "confidence": "certain", "file_path": path, "start_line": place(r[1] + wrote[0].start())[0]}
-                reads = len(re.findall(rf"(?<![.\w]){name}\b", text)) - len(plain)
-                if reads > 0:
-                    yield "edges", {"src": r[3], "dst": var, "kind": "reads", "confidence": "certain", "file_path": path, "start_line": place(r[1])[0]}
-
-
-def scanned_facts(path: str, language: str, text: str, module: str | None = None) -> Iterator[Fact]:
-    look = LOOKS.get(language, _DEFAULT)
-    clean = cleaned(text, look)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-
-    def place(at: int) -> tuple[int, int]:
-        import bisect
-
-        line = bisect.bisect_right(starts, at)
-        return line, at - starts[line - 1]
-
-    module = module or module_id(path, language)
-    yield module_node(path, language, len(starts), module)
-    if look.body == "brace" and (open_left := clean.count("{") - clean.count("}")):
-        yield "diagnostics", {"language": language, "file_path": path, "start_line": len(starts), "kind": "unbalanced", "message": f"{abs(open_left)} braces are not {'closed' if open_left > 0 else 'opened'}"}
-    for m in re.finditer(look.imports, text, re.M):
-        yield "dependencies", {"name": m["name"]}
-    found = []
-    for m in re.finditer(look.types, clean, re.M):
-        found.append([m.start(), m.end(), KINDS.get(m["kind"].lower(), "struct"), m["name"].strip('"')])
-    for m in re.finditer(look.callables, clean, re.M):
-        name = next((v for v in m.groupdict().values() if v), None)
-        if name and name not in _NOT_DEFINED:
-            kind = "procedure" if language == "sql" else "function"
-            found.append([m.start(), m.end(), kind, name.strip('"')])
-    found.sort()
-    if sum(clean[:1_000_000].count(c) for c in "{") and look.body == "brace":
-        for f in found:
-            f.append(_body_end(clean, f[1] - (clean[f[1] - 1] == "{"), len(clean)))
-    elif look.body == "end":
-        for f in found:
-            indent = re.match(r"[ \t]*", clean[clean.rfind("\n", 0, f[0] + 1) + 1 :])[0]
-            close = re.compile(rf"^{indent}end\b", re.M | re.I).search(clean, f[1])
-            f.append(close.end() if close else len(clean))
-    else:
-        ends = [g[0] for g in found[1:]] + [len(clean)]
-        for f, end in zip(found, ends):
-            f.append(end)
-    counts: dict[str, int] = {}
-    open_units: list[tuple[int, str, str]] = []
-    rows = []
-    for begin, head, kind, name, end in found:
-        while open_units and open_units[-1][0] <= begin:
-            open_units.pop()
-        owner = open_units[-1] if open_units else (len(clean), module, "module")
-        line, col = place(begin)
-        own_kind = "method" if kind == "function" and owner[2] not in ("module", "function", "method", "namespace") else kind
-        own = f"{owner[1]}{':' if owner[2] == 'module' else '.'}{name}"
-        counts[own] = counts.get(own, 0) + 1
-        if counts[own] > 1:
-            own = f"{own}@{line}_{col}"
-        row = {"id": own, "name": name, "kind": own_kind, "origin": "source", "language": language, "file_path": path, "start_line": line, "end_line": place(max(begin, end - 1))[0], "start_col": col}
-        before = re.split(r"[;{}\n]", clean[max(0, begin - 200) : begin])[-1]
-        lead = "\n".join(x for x in text[max(0, begin - 300) : begin].rstrip().split("\n")[-3:] if x.strip().startswith(("@", "#[", "[")))
-        stop = re.compile(r"[{;\n]").search(clean, head)
-        signature = text[begin : stop.start() if stop else len(text)].strip()
-        visibility = next((v for v in ("external", "public", "entry", "private", "internal", "pub") if re.search(rf"\b{v}\b", f"{before} {signature}")), "")
-        attrs = {k: v for k, v in (("decorators", lead), ("signature", signature[:200]), ("visibility", visibility)) if v}
-        row["attrs"] = json.dumps(attrs, sort_keys=True)
-        if own_kind in ("function", "method", "procedure"):
-            row["cc"] = 1 + len(re.findall(look.branches, clean[head:end]))
-        rows.append((begin, head, end, own, own_kind, name))
-        yield "nodes", row
-        yield "edges", {"src": owner[1], "dst": own, "kind": "contains", "confidence": "certain", "file_path": path, "start_line": line}
-        if len(open_units) < NESTING:
-            open_units.append((end, own, own_kind))
-    if language == "solidity":
-        yield from _state(rows, clean, path, place)
-    known = {}
-    for _, _, _, own, kind, name in rows:
-        known.setdefault(name, []).append((own, kind))
-    if look.inherits:
-        for m in re.finditer(look.inherits, clean):
-            for base in re.findall(r"[A-Za-z_][\w.]*", re.sub(r"\b(?:extends|implements|public|private|protected|virtual)\b", " ", m["bases"])):
-                ids = [i for i, k in known.get(m["name"], []) if k in ("class", "interface", "contract", "trait")]
-                if ids:
-                    yield "edges", {"src": ids[0], "dst": f"{module}:{base}", "kind": "inherits", "confidence": "inferred", "file_path": path, "start_line": place(m.start())[0]}
-    if not look.bare:
-        return
-    callables = [r for r in rows if r[4] in ("function", "method")]
-    headers = {h for _, h, *_ in rows}
-    import bisect
-
-    begins = [r[0] for r in callables]
-    for m in _WORD_CALL.finditer(clean):
-        if m["name"] in _NOT_CALLED or m.end() in headers:
-            continue
-        k = bisect.bisect_right(begins, m.start()) - 1
-        while k >= 0 and not (callables[k][1] <= m.start() < callables[k][2]):
-            k -= 1
-        if k < 0:
-            continue
-        ids = [i for i, kind in known.get(m["name"], []) if kind in ("function", "method")]
-        near = [i for i in ids if i.rsplit(".", 1)[0] == callables[k][3].rsplit(".", 1)[0]]
-        if m["path"] and m["path"] not in ("this.", "self.", "self::", "Self::", "$this->", "this->"):
-            target, confidence = m["path"] + m["name"], "inferred"
-        elif len(ids) == 1 or near:
-            target, confidence = (near or ids)[0], "certain"
-        else:
-            target, confidence = f"{module}:{m['name']}", "certain" if not ids else "uncertain"
-        yield "edges", {"src": callables[k][3], "dst": target, "kind": "calls", "confidence": confidence, "file_path": path, "start_line": place(m.start())[0]}

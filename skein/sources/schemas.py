@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 from . import frontends as base
+from . import scanner
 
 Fact = base.Fact
 _PROTO_TYPE = re.compile(r"\b(?P<kind>message|service|enum)\s+(?P<name>\w+)\s*\{")
@@ -31,7 +32,8 @@ class _File:
 
     def __init__(self, path: str, language: str, text: str, module: str):
         self.path, self.language, self.text, self.module = path, language, text, module
-        self.clean = base.cleaned(text, base.LOOKS[language])
+        self.clean = scanner.cleaned(text, scanner.LOOKS[language])[0]
+        self.page = scanner.Page(self.clean)
         self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def place(self, at: int) -> tuple[int, int]:
@@ -70,7 +72,7 @@ def _proto(path: str, text: str, module: str) -> Iterator[Fact]:
     yield from _imports(f, r"^\s*import\s+(?:public\s+|weak\s+)?\"([^\"]+)\"")
     types, found = {}, []
     for m in _PROTO_TYPE.finditer(f.clean):
-        end = base._body_end(f.clean, m.end() - 1, len(f.clean))
+        end = f.page.body(m.end() - 1)[1]
         outer = next((o for o in reversed(found) if o[1] <= m.start() < o[2]), None)
         own, rows = f.node(outer[0] if outer else f.module, "." if outer else ":", m["name"], KINDS[m["kind"]], m.start(), end)
         found.append((own, m.end(), end, m["kind"]))
@@ -98,7 +100,7 @@ def _thrift(path: str, text: str, module: str) -> Iterator[Fact]:
     yield from _imports(f, r"^\s*include\s+[\"']([^\"']+)[\"']")
     found, types = [], {}
     for m in _THRIFT_TYPE.finditer(f.clean):
-        end = base._body_end(f.clean, m.end() - 1, len(f.clean))
+        end = f.page.body(m.end() - 1)[1]
         own, rows = f.node(f.module, ":", m["name"], KINDS[m["kind"]], m.start(), end)
         found.append((own, m.end(), end, m["kind"], m["base"]))
         types[m["name"]] = own
@@ -128,7 +130,7 @@ def _graphql(path: str, text: str, module: str) -> Iterator[Fact]:
     yield f.module_row(**{f"graphql_{k}_root": v for k, v in roots.items()})
     found, types = [], {}
     for m in _GRAPH_TYPE.finditer(f.clean):
-        end = base._body_end(f.clean, m.end() - 1, len(f.clean)) if m["open"] else m.end()
+        end = f.page.body(m.end() - 1)[1] if m["open"] else m.end()
         own, rows = f.node(f.module, ":", m["name"], KINDS[m["kind"]], m.start(), end, graphql_type=m["name"], graphql_extension=bool(m["extend"]))
         fresh = m["name"] not in types
         types.setdefault(m["name"], own)
