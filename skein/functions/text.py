@@ -20,9 +20,9 @@ def without_position(ref: Column) -> Column:
 
 
 def escaped(symbol: Column) -> Column:
-    """A symbol as part of an id: trimmed, blanks and other runs of odd characters as '_'."""
+    """A symbol as part of an id: trimmed, blanks and other runs of odd characters as '_'; an empty one is 'unknown'."""
     plain = F.regexp_replace(F.regexp_replace(symbol, f"^{BLANKS}|{BLANKS}$", ""), BLANKS, "_")
-    return F.regexp_replace(plain, r"[^A-Za-z0-9_.:@$-]+", "_")
+    return F.when(F.length(plain) == 0, "unknown").otherwise(F.regexp_replace(plain, r"[^A-Za-z0-9_.:@$-]+", "_"))
 
 
 def identifier(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
@@ -59,13 +59,37 @@ def tiered_matches(refs: DataFrame, index: DataFrame) -> DataFrame:
     return best.where("b.n = 1").select("ref_id", F.col("b.id").alias("node_id"))
 
 
+#: Languages whose files call one another's units.
+FAMILIES = {"c": "c", "cpp": "c", "objc": "c", "javascript": "script", "typescript": "script", "java": "jvm", "kotlin": "jvm"}
+
+
+def family(language: str = "language") -> Column:
+    """The group of languages that a node may be bound within; nodes without a language form one of their own."""
+    out = F.coalesce(F.col(language), F.lit(""))
+    for name, group in FAMILIES.items():
+        out = F.when(F.col(language) == name, F.lit(group)).otherwise(out)
+    return out
+
+
+def _within_family(key: Column, language: str = "language") -> Column:
+    return F.concat_ws("|", family(language), key)
+
+
 def cross_file_calls(graph: GraphBundle) -> GraphBundle:
-    """Calls to bare names bind to the one function of that name anywhere (inferred); several candidates make them uncertain."""
+    """Calls to names that no unit has bind to the one unit of that name anywhere (inferred) in the languages of their family.
+
+    A name of a type and a method ('Type.method') goes to that method, any other by its last segment to a free function;
+    several candidates make the call uncertain.
+    """
     nodes, edges = graph.nodes, GraphBundle.conform(graph.edges, "edges")
-    free = nodes.where("kind = 'function'").select("name", "id")
+    free = nodes.where("kind = 'function'").select(_within_family(F.col("name")).alias("name"), "id")
+    own = F.regexp_replace(F.substring_index("id", ":", -1), r"@\d+_\d+", "")
+    methods = nodes.where("kind = 'method'").where(F.size(F.split(own, r"\.")) > 1).select(_within_family(F.concat(F.lit("."), F.substring_index(own, ".", -2))).alias("name"), "id")
     loose = edges.where("kind = 'calls'").join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").where("coalesce(get_json_object(attrs, '$.binding_blocked'), 'false') <> 'true'")
-    bare = loose.select("edge_seq", last_segment(F.col("dst")).alias("ref"))
-    found = unique_matches(bare, free).select("edge_seq", "node_id", F.col("confidence").alias("c"))
+    loose = loose.join(nodes.select(F.col("id").alias("src"), "language"), "src", "left")
+    typed = F.col("dst").rlike(r"^[A-Z]\w*\.\w+$")
+    key = F.when(typed, F.concat(F.lit("."), F.col("dst"))).otherwise(last_segment(F.col("dst")))
+    found = unique_matches(loose.select("edge_seq", _within_family(key).alias("ref")), free.unionByName(methods)).select("edge_seq", "node_id", F.col("confidence").alias("c"))
     out = edges.join(found, "edge_seq", "left").withColumn("dst", F.coalesce("node_id", "dst")).withColumn("confidence", F.coalesce("c", "confidence"))
     return graph.having(edges=GraphBundle.conform(out, "edges"))
 
@@ -75,11 +99,12 @@ def inheritance_links(graph: GraphBundle) -> GraphBundle:
     from ..schema import TYPE_KINDS
 
     edges = GraphBundle.conform(graph.edges, "edges")
-    types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id")
+    types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id", "language")
     loose = edges.where(F.col("kind").isin("inherits", "implements")).join(graph.nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+    loose = loose.join(graph.nodes.select(F.col("id").alias("src"), "language"), "src", "left")
     near = F.concat(F.substring_index("src", ":", 1), F.lit(":"), last_segment(F.col("dst")))
-    tiers = loose.select(F.col("edge_seq").alias("ref_id"), F.array(F.array(near), F.array(last_segment(F.col("dst")))).alias("tiers"))
-    index = types.unionByName(types.select(F.col("id").alias("name"), "id"))
+    tiers = loose.select(F.col("edge_seq").alias("ref_id"), F.array(F.array(near), F.array(_within_family(last_segment(F.col("dst"))))).alias("tiers"))
+    index = types.select(_within_family(F.col("name")).alias("name"), "id").unionByName(types.select(F.col("id").alias("name"), "id"))
     found = tiered_matches(tiers, index).select(F.col("ref_id").alias("edge_seq"), "node_id")
     out = edges.join(found, "edge_seq", "left").withColumn("confidence", F.when(F.col("node_id").isNotNull(), "inferred").otherwise(F.col("confidence"))).withColumn("dst", F.coalesce("node_id", "dst"))
     return graph.having(edges=GraphBundle.conform(out, "edges"))
@@ -89,12 +114,12 @@ def type_uses(graph: GraphBundle) -> GraphBundle:
     """type_uses edges from units to the types that their references name: module-qualified first, then the own module, then anywhere; one edge a unit and type."""
     from ..schema import TYPE_KINDS
 
-    types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id")
-    index = types.unionByName(types.select(F.col("id").alias("name"), "id"))
-    refs = graph.type_refs.withColumn("ref_id", F.concat_ws("|", "node_id", "role", "ordinal", "path"))
+    types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id", "language")
+    index = types.select(_within_family(F.col("name")).alias("name"), "id").unionByName(types.select(F.col("id").alias("name"), "id"))
+    refs = graph.type_refs.join(graph.nodes.select(F.col("id").alias("node_id"), "language"), "node_id", "left").withColumn("ref_id", F.concat_ws("|", "node_id", "role", "ordinal", "path"))
     qualified = F.when(F.col("module").isNotNull(), F.array(F.concat_ws(":", "module", "name"))).otherwise(F.array().cast("array<string>"))
     own = F.array(F.concat(F.substring_index("node_id", ":", 1), F.lit(":"), "name"))
-    found = tiered_matches(refs.select("ref_id", F.array(qualified, own, F.array("name")).alias("tiers")), index)
+    found = tiered_matches(refs.select("ref_id", F.array(qualified, own, F.array(_within_family(F.col("name")))).alias("tiers")), index)
     pairs = refs.select("ref_id", F.col("node_id").alias("src")).join(found, "ref_id").select("src", F.col("node_id").alias("dst")).where("src <> dst").distinct()
     edges = GraphBundle.conform(graph.edges, "edges")
     fresh = pairs.join(edges.where("kind = 'type_uses'").select("src", "dst"), ["src", "dst"], "left_anti")

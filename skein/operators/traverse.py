@@ -8,13 +8,14 @@ their end in the edges left.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
 
+#: Rounds whose tables a closure keeps apart.
+PARTS = 16
+
 
 def closure(proj: DataFrame, roots: DataFrame, with_roots: bool = False, depth: int | None = None) -> DataFrame:
     """(root, node[, hops]) for all nodes that the roots reach over ``proj`` (src, dst).
@@ -24,18 +25,28 @@ def closure(proj: DataFrame, roots: DataFrame, with_roots: bool = False, depth:
     """
     start = roots.select("root", "node").distinct()
     edges = cut(proj.select("src", "dst").distinct())
-    known = cut(start.withColumn("hops", F.lit(0)))
-    frontier, hops = known, 0
+    # Each round's frontier is a table of its own, so that what is known is not written again round by round.
+    parts = [cut(start.withColumn("hops", F.lit(0)))]
+    hops = 0
     while depth is None or hops < depth:
         hops += 1
-        ahead = frontier.select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(ahead.join(known, ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)))
+        ahead = parts[-1].select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
+        frontier = cut(ahead.join(_union(parts), ["root", "node"], "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             break
-        known = cut(known.unionByName(frontier))
+        # Now and then the tables before the last are made one: the plan stays short on long walks.
+        parts = [cut(_union(parts)), frontier] if len(parts) >= PARTS else [*parts, frontier]
+    known = _union(parts)
     return known if with_roots else known.where("hops > 0")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def reversed_edges(proj: DataFrame) -> DataFrame:
     return proj.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -142,9 +153,3 @@ def nearest_owner(contains: DataFrame, stops: DataFrame) -> DataFrame:
         if walk.isEmpty():
             return found
         seen = cut(seen.unionByName(walk))
-
-
-def checked(kinds: Iterable[str] | None) -> Iterable[str] | None:
-    from ..schema import checked_kinds
-
-    return None if kinds is None else checked_kinds(kinds)

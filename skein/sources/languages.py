@@ -82,7 +82,9 @@ def owned(files: DataFrame, languages: list[str] | None = None) -> DataFrame:
     keyed = files.withColumn("extension", extension)
     direct = keyed.join(F.broadcast(dims), "extension")
     rank = F.array_position(F.array(*[F.lit(x) for x in HEADER_OWNERS]), F.col("language"))
-    family = direct.where(rank > 0).agg(F.min_by("language", rank).alias("language"))
+    # Where no file of the family says whose they are, headers go to the first of the languages asked for, or to C.
+    known = [x for x in HEADER_OWNERS if languages is None or x in languages]
+    family = direct.where(rank > 0).agg(F.coalesce(F.min_by("language", rank), F.lit(None if not known else "c" if languages is None else known[0])).alias("language"))
     headers = keyed.where("extension = '.h'").join(family).where("language is not null").withColumn("priority", F.lit(0))
     return direct.select(*files.columns, "language", "priority").unionByName(headers.select(*files.columns, "language", "priority")).drop("priority")
 

@@ -182,7 +182,7 @@ def test_diagrams(engine):
     assert ":::low" in engine.diagram("complexity", threshold=2)
     assert "m_view -.-> pkg_o_other" in engine.diagram("data-flow", focus="other")
     assert "No import edges found" in engine.diagram("module-deps")
-    assert len(set(render.short_ids(["a.b", "a:b", "a_b"]).values())) == 3
+    assert len(set(render.chart_names(["a.b", "a:b", "a_b"]).values())) == 3
     with pytest.raises(ValueError):
         engine.diagram("pie")
 
