@@ -111,7 +111,7 @@ class QueryEngine:
 
     def attack_surface(self) -> DataFrame:
         tags = self.graph.entrypoints.withColumnRenamed("kind", "entry_kind")
-        return tags.join(self.graph.nodes.select(F.col("id").alias("node_id"), "name", "kind", "file_path", "start_line"), "node_id", "left").orderBy("node_id")
+        return tags.join(GraphBundle.conform(self.graph.nodes, "nodes").select(F.col("id").alias("node_id"), "name", "kind", "file_path", "start_line"), "node_id", "left").orderBy("node_id")
 
     def complexity_hotspots(self, threshold: int = 10) -> DataFrame:
         return metrics.hotspots(self.graph.nodes, threshold)

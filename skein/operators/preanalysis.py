@@ -80,11 +80,15 @@ def privilege_boundaries(graph: GraphBundle, reach: DataFrame | None = None) ->
     return calls.join(a, "src").join(b, "dst").where("src_trust <> dst_trust").select("src", "dst", "src_trust", "dst_trust", "edge_seq")
 
 
+def taint_reach(graph: GraphBundle) -> DataFrame:
+    """(root, node): what each entrypoint below internal trust reaches, itself included."""
+    low = graph.entrypoints.where("trust_level <> 'trusted_internal'").join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    return traverse.closure(views.projected(graph), low.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")), with_roots=True).select("root", "node")
+
+
 def taint(graph: GraphBundle) -> DataFrame:
     """(node, via): nodes that entrypoints below internal trust reach, with those entrypoints sorted."""
-    low = graph.entrypoints.where("trust_level <> 'trusted_internal'").join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    reach = traverse.closure(views.projected(graph), low.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")), with_roots=True)
-    return reach.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("root")), ", ").alias("via"))
+    return taint_reach(graph).groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("root")), ", ").alias("via"))
 
 
 def run(graph: GraphBundle, threshold: int = THRESHOLD, limit: int | None = None, block: int = BLOCK) -> GraphBundle:

@@ -56,6 +56,17 @@ def induced(edges: DataFrame, members: DataFrame, kinds: Iterable[str] | None =
     return chosen.join(ids, chosen.src == ids.node_id, "left_semi").join(ids.withColumnRenamed("node_id", "n"), F.col("dst") == F.col("n"), "left_semi")
 
 
+def dependencies(edges: DataFrame) -> DataFrame:
+    """(src, dst, n): import edges between modules and how many they are."""
+    return edges.where("kind = 'imports'").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def members(edges: DataFrame) -> DataFrame:
+    """(src, n, members): what each unit contains, how many edges say so and the members' ids sorted and joined by ','."""
+    held = edges.where("kind = 'contains'").groupBy("src").agg(F.count("*").alias("n"), F.collect_set("dst").alias("members"))
+    return held.withColumn("members", F.array_join(F.array_sort("members"), ","))
+
+
 def unresolved_calls(graph: GraphBundle) -> DataFrame:
     """Calls to proxies that stand for unresolved symbols: src, dst, raw_target, callee, file_path, start_line."""
     from ..functions.text import last_segment

@@ -47,7 +47,17 @@ links AS (SELECT url AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1
 SPACE = r"""
 space AS (SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id) - n_chars)::BIGINT AS "start", (sum(n_chars) OVER (ORDER BY doc_id))::BIGINT AS "end" FROM documents)"""
 
-ESCAPE = r"regexp_replace(regexp_replace(regexp_replace({0}, '^[\s\x{{85}}\x{{a0}}]+|[\s\x{{85}}\x{{a0}}]+$', '', 'g'), '[\s\x{{85}}\x{{a0}}]+', '_', 'g'), '[^A-Za-z0-9_.:@$-]+', '_', 'g')"
+ESCAPE = r"coalesce(nullif(regexp_replace(regexp_replace(regexp_replace({0}, '^[\s\x{{85}}\x{{a0}}]+|[\s\x{{85}}\x{{a0}}]+$', '', 'g'), '[\s\x{{85}}\x{{a0}}]+', '_', 'g'), '[^A-Za-z0-9_.:@$-]+', '_', 'g'), ''), 'unknown')"
+
+
+PROGRAM = r"""
+units AS (
+  SELECT 'part:' || p_partkey AS id, p_name AS name, p_partkey % 3 AS speech FROM part
+), suppliers AS (
+  SELECT 'supplier:' || s_suppkey AS id, s_name AS name, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'go' ELSE 'jvm' END AS family FROM supplier
+), named AS (
+  SELECT l_orderkey, l_suppkey, p_name, CASE l_orderkey % 3 WHEN 0 THEN 'go' ELSE 'jvm' END AS family FROM lineitem JOIN part ON p_partkey = l_partkey
+)"""
 
 
 def _with(*ctes: str, recursive: bool = False) -> str:
@@ -58,7 +68,6 @@ def _neighbours(key: str, kind: str, near: str, far: str, columns: str) -> str:
     return f"{_with(GRAPH)} SELECT {columns} FROM nodes WHERE id IN (SELECT {far} FROM edges WHERE kind = '{kind}' AND {near} = '{key}')"
 
 
-_UNITS = """units AS (SELECT l_suppkey AS file, l_orderkey || '/' || l_linenumber AS unit, l_partkey % 5000 AS s, l_partkey % 5000 + l_quantity::BIGINT AS e FROM lineitem WHERE l_suppkey < 10)"""
 _ALL_UNITS = """units AS (SELECT l_suppkey AS file, l_orderkey || '/' || l_linenumber AS unit, l_partkey % 5000 AS s, l_partkey % 5000 + l_quantity::BIGINT AS e FROM lineitem),
   found AS (SELECT event_id, user_id % (SELECT count(*) FROM supplier) AS file, event_id % 5000 AS place FROM events)"""
 _WALK = """walk AS (
@@ -95,8 +104,9 @@ ORACLES: dict[str, str] = {
         SELECT root, node FROM r WHERE root <> node""",
     "g_paths_trade_d3": _with(TRADE, _WALK.format("trade", "AND src = 'nation:0'", 3), recursive=True) + " SELECT array_to_string(path, '>') AS path FROM walk WHERE dst = 'nation:5'",
     "g_paths_events_d4": _with(FLOWS, _WALK.format("flows", "", 4), recursive=True) + " SELECT src, dst, array_to_string(path, '>') AS path FROM walk",
-    "g_entrypoint_paths": _with(GRAPH) + """, calls AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'calls')
-        SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || c.dst AS path FROM calls a JOIN calls b ON b.src = a.dst JOIN calls c ON c.src = b.dst WHERE c.dst = 'supplier:1' AND a.src LIKE 'customer:%'""",
+    # Three steps back from the supplier: an order of a customer calls a part, which calls the supplier.
+    "g_entrypoint_paths": _with("""last AS MATERIALIZED (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 1)""", """middle AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM last))""") + """
+        SELECT 'customer:' || o_custkey || '>order:' || l_orderkey || '>part:' || l_partkey || '>supplier:1' AS path FROM middle JOIN orders ON o_orderkey = l_orderkey""",
     "g_connect_subgraphs": _with(TRADE, _WALK.format("trade", "", 2), recursive=True) + """, l AS (SELECT id FROM tnodes WHERE node_seq % 5 IN (0, 1)), r AS (SELECT id FROM tnodes WHERE node_seq % 5 = 1)
         SELECT DISTINCT array_to_string(path, '>') AS path FROM walk WHERE src IN (SELECT id FROM l) AND dst IN (SELECT id FROM r) UNION SELECT id FROM l WHERE id IN (SELECT id FROM r)""",
     "g_bfs_ball": _with(TRADE, recursive=True) + """, both_ways AS (SELECT src, dst FROM trade UNION SELECT dst, src FROM trade),
@@ -127,8 +137,6 @@ ORACLES: dict[str, str] = {
     "g_complexity_hotspots": _with(GRAPH) + " SELECT id, cc FROM nodes WHERE cc >= 10",
     "g_complexity_bands": _with(GRAPH) + " SELECT kind, CASE WHEN cc > 10 THEN 'high' WHEN cc >= 5 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM nodes WHERE cc IS NOT NULL GROUP BY ALL",
     "g_interval_stab": _with(SPACE) + """ SELECT event_id, doc_id FROM (SELECT event_id, event_id * 997 % (SELECT max("end") FROM space) AS p FROM events) JOIN space ON p >= "start" AND p < "end" """,
-    "g_interval_overlap": "WITH " + _UNITS + " SELECT event_id, count(*) AS n FROM events JOIN units ON file = user_id % 10 AND event_id % 5000 <= e AND event_id % 5000 + 3 >= s GROUP BY event_id",
-    "g_tightest_owner": "WITH " + _UNITS + " SELECT event_id, arg_min(unit, (e - s, unit)) AS unit FROM events JOIN units ON file = user_id % 10 AND event_id % 5000 >= s AND event_id % 5000 <= e GROUP BY event_id",
     "g_coalesce_spans": _with(SPACE) + """, placed AS (SELECT lang, "start", "end", max("end") OVER (PARTITION BY lang ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM space JOIN documents USING (doc_id)),
         islands AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS k FROM placed)
         SELECT lang, min("start") AS "start", max("end") AS "end", count(*) AS n FROM islands GROUP BY lang, k""",
@@ -162,31 +170,61 @@ ORACLES: dict[str, str] = {
     "g_overload_ids": """WITH u AS (SELECT 'm:f' || l_partkey AS base, l_orderkey AS l, l_linenumber AS c, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS k FROM lineitem)
         SELECT CASE WHEN k = 1 THEN base ELSE base || '@' || l || '_' || c END AS id, count(*) AS n FROM u GROUP BY ALL""",
     "g_escaped_symbols": _with(LINKS) + f" SELECT {ESCAPE.format('dst')} AS symbol, count(*) AS n FROM links GROUP BY ALL",
-    "g_binary_gaps": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem WHERE l_suppkey < 10),
-        c AS (SELECT artifact, greatest(s, 1000) AS s, least(e, 90000) AS e FROM f WHERE s < 90000 AND e > 1000),
-        m AS (SELECT s_suppkey AS artifact, 90000::BIGINT AS s, 90000::BIGINT AS e FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT * FROM c),
-        w AS (SELECT artifact, s, coalesce(max(e) OVER (PARTITION BY artifact ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000) AS reach FROM m)
-        SELECT artifact, reach AS "start", s AS "end" FROM w WHERE s > reach""",
-    "g_binary_calls": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey || '/' || l_linenumber AS id, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem WHERE l_suppkey < 10),
-        i AS (SELECT DISTINCT user_id % 10 AS artifact, event_id * 13 % 100000 AS address, event_id * 29 % 100000 AS target FROM events),
-        o AS (SELECT i.artifact, address, count(DISTINCT id) AS n FROM i JOIN f ON f.artifact = i.artifact AND target >= s AND target < e GROUP BY ALL),
-        c AS (SELECT i.artifact, i.address, id FROM i JOIN f ON f.artifact = i.artifact AND i.address >= s AND i.address < e)
-        SELECT artifact, count(*) AS n, count(CASE WHEN o.n = 1 THEN 1 END) AS resolved, count(DISTINCT id) AS callers FROM c LEFT JOIN o USING (artifact, address) GROUP BY artifact""",
-    "g_mapped_spans": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL)),
-        g AS (SELECT *, s - 4 * row_number() OVER (PARTITION BY artifact, line ORDER BY s) AS island FROM r)
-        SELECT artifact, line, min(s) AS "start", max(s) + 4 AS "end" FROM g GROUP BY artifact, line, island""",
-    "g_binary_gaps_whole": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
+    "g_binary_gaps": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
         w AS (SELECT artifact, s, coalesce(max(e) OVER (PARTITION BY artifact ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM f)
         SELECT artifact, reach AS "start", s AS "end" FROM w WHERE s > reach""",
     "g_binary_calls_whole": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey || '/' || l_linenumber AS id, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
         z AS (SELECT (SELECT count(*) FROM supplier) AS files, (SELECT max(e) FROM f) AS space),
-        i AS (SELECT user_id % files AS artifact, event_id * 7919 % space AS address, arg_min(event_id * 104729 % space, event_id) AS target FROM events, z GROUP BY ALL),
-        o AS (SELECT i.artifact, address, count(DISTINCT id) AS n FROM i JOIN f ON f.artifact = i.artifact AND target >= s AND target < e GROUP BY ALL),
-        c AS (SELECT i.artifact, i.address, id FROM i JOIN f ON f.artifact = i.artifact AND i.address >= s AND i.address < e)
+        i AS (SELECT user_id % files AS artifact, event_id * 7919 % space AS address, arg_min(event_id * 104729 % space, event_id) AS target, arg_min(CASE WHEN event_type = 'click' THEN 'direct' ELSE 'tail' END, event_id) AS how FROM events, z GROUP BY ALL),
+        o AS (SELECT i.artifact, address, count(DISTINCT id) AS n, min(id) AS only FROM i JOIN f ON f.artifact = i.artifact AND target >= s AND target < e GROUP BY ALL),
+        c AS (SELECT i.artifact, i.address, i.how, id FROM i JOIN f ON f.artifact = i.artifact AND i.address >= s AND i.address < e)
         SELECT artifact, count(*) AS n, count(CASE WHEN o.n = 1 THEN 1 END) AS resolved, count(DISTINCT id) AS callers FROM c LEFT JOIN o USING (artifact, address) GROUP BY artifact""",
-    "g_mapped_spans_whole": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem GROUP BY ALL)),
+    "g_binary_calls": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey || '/' || l_linenumber AS id, l_orderkey * 40 AS s, l_orderkey * 40 + l_quantity::BIGINT AS e FROM lineitem),
+        z AS (SELECT (SELECT count(*) FROM supplier) AS files, (SELECT max(e) FROM f) AS space),
+        i AS (SELECT user_id % files AS artifact, event_id * 7919 % space AS address, arg_min(event_id * 104729 % space, event_id) AS target, arg_min(CASE WHEN event_type = 'click' THEN 'direct' ELSE 'tail' END, event_id) AS how FROM events, z GROUP BY ALL),
+        o AS (SELECT i.artifact, address, count(DISTINCT id) AS n, min(id) AS only FROM i JOIN f ON f.artifact = i.artifact AND target >= s AND target < e GROUP BY ALL),
+        c AS (SELECT i.artifact, i.address, i.how, id FROM i JOIN f ON f.artifact = i.artifact AND i.address >= s AND i.address < e)
+        SELECT c.artifact, c.address, c.id AS src, CASE WHEN o.n = 1 THEN o.only END AS dst, CASE WHEN o.n IS DISTINCT FROM 1 THEN 'uncertain' WHEN c.how = 'direct' THEN 'certain' ELSE 'inferred' END AS confidence FROM c LEFT JOIN o USING (artifact, address)""",
+    "g_mapped_spans": """WITH r AS (SELECT DISTINCT l_suppkey AS artifact, (l_partkey % 3)::INT AS line, k * 4 AS s FROM (SELECT l_suppkey, l_partkey, l_linenumber, min(l_orderkey) AS k FROM lineitem GROUP BY ALL)),
         g AS (SELECT *, s - 4 * row_number() OVER (PARTITION BY artifact, line ORDER BY s) AS island FROM r)
         SELECT artifact, line, min(s) AS "start", max(s) + 4 AS "end" FROM g GROUP BY artifact, line, island""",
     "g_interval_overlap_whole": "WITH " + _ALL_UNITS + " SELECT event_id, count(*) AS n FROM found JOIN units USING (file) WHERE place <= e AND place + 3 >= s GROUP BY event_id",
-    "g_tightest_owner_whole": "WITH " + _ALL_UNITS + " SELECT event_id, arg_min(unit, (e - s, unit)) AS unit FROM found JOIN units USING (file) WHERE place >= s AND place <= e GROUP BY event_id",
+    "g_tightest_owner": "WITH " + _ALL_UNITS + " SELECT event_id, arg_min(unit, (e - s, unit)) AS unit FROM found JOIN units USING (file) WHERE place >= s AND place <= e GROUP BY event_id",
+    "g_interval_overlap": "WITH " + _ALL_UNITS.replace("|| '/' || l_linenumber AS unit", "AS key, l_linenumber AS line") + " SELECT event_id, key, line FROM found JOIN units USING (file) WHERE place <= e AND place + 3 >= s",
+    "g_call_resolution": _with(LINKS) + """, open AS (SELECT * FROM links WHERE dst NOT IN (SELECT url FROM pages)), inside AS (SELECT l.* FROM links l WHERE src IN (SELECT url FROM pages))
+        SELECT (SELECT count(*) FROM inside) AS call_sites, (SELECT count(*) FROM inside) - (SELECT count(*) FROM open) AS resolved, (SELECT count(*) FROM open) AS unresolved,
+        (SELECT count(DISTINCT dst) FROM open) AS unresolved_targets, (SELECT count(DISTINCT src) FROM open) AS unresolved_callers""",
+    "g_unresolved_by_callee": _with(LINKS) + """ SELECT trim(string_split(string_split(dst, '.')[-1], ':')[-1]) AS callee, count(*) AS sites, count(DISTINCT src) AS callers FROM links WHERE dst NOT IN (SELECT url FROM pages) GROUP BY callee""",
+    "g_diff_fields": """SELECT 'modified' AS status, changed, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN o_orderstatus = 'O' THEN 'name' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'cc' END) AS changed FROM orders) WHERE changed <> '' GROUP BY changed""",
+    "g_taint_whole": """SELECT 'supplier:' || l_suppkey AS node, count(DISTINCT o_custkey) AS n FROM (
+          SELECT DISTINCT o.o_custkey, b.l_suppkey FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) o
+          JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b USING (l_partkey)) GROUP BY l_suppkey""",
+    "g_privilege_boundary_whole": _with(GRAPH, recursive=True) + """, calls AS MATERIALIZED (SELECT src, dst FROM edges WHERE kind = 'calls'), pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM calls),
+        r AS (SELECT trust_level AS label, node_id AS node FROM entrypoints UNION SELECT r.label, p.dst FROM r JOIN pairs p ON p.src = r.node),
+        t AS (SELECT node, string_agg(label, '+' ORDER BY label) AS trust FROM r GROUP BY node)
+        SELECT src, dst, a.trust AS src_trust, b.trust AS dst_trust FROM calls JOIN t a ON a.node = src JOIN t b ON b.node = dst WHERE a.trust <> b.trust""",
+    "g_bfs_ball_whole": """WITH last AS MATERIALIZED (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 1)
+        SELECT 'supplier:1' AS node, 0 AS hops UNION ALL SELECT 'part:' || l_partkey, 1 FROM last
+        UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 2 FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM last)
+        UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 2 FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM last) AND l_suppkey <> 1""",
+    "g_cross_file_calls": _with(PROGRAM) + """, hits AS (SELECT name, CASE speech WHEN 0 THEN 'go' ELSE 'jvm' END AS family, count(*) AS n, min(id) AS only_id FROM units GROUP BY ALL)
+        SELECT 'order:' || l_orderkey AS src, CASE WHEN k = 1 THEN one ELSE 'lib.' || p_name END AS dst, CASE WHEN k = 1 THEN 'inferred' WHEN k > 1 THEN 'uncertain' ELSE 'certain' END AS confidence, count(*) AS n
+        FROM named LEFT JOIN (SELECT name, family, n AS k, only_id AS one FROM hits) h ON h.name = p_name AND h.family = named.family GROUP BY ALL""",
+    "g_inherit_links": _with(PROGRAM) + """, wanted AS (SELECT id AS src, 'Supplier#' || lpad((s_suppkey + 3)::VARCHAR, 9, '0') AS base, family FROM suppliers)
+        SELECT w.src, coalesce(min(CASE WHEN n.n = 1 THEN n.id END), any_value(w.base)) AS dst, 'inferred' AS confidence FROM wanted w
+        LEFT JOIN (SELECT name, family, count(*) AS n, min(id) AS id FROM suppliers GROUP BY ALL) n ON n.name = w.base AND n.family = w.family GROUP BY w.src""",
+    "g_type_uses": _with(PROGRAM) + """ SELECT DISTINCT 'order:' || l_orderkey AS src, n.id AS dst FROM named JOIN (SELECT name, family, min(id) AS id FROM suppliers GROUP BY ALL HAVING count(*) = 1) n
+        ON n.name = 'Supplier#' || lpad(l_suppkey::VARCHAR, 9, '0') AND n.family = named.family""",
+    "g_deferred_calls": """SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst FROM orders WHERE o_orderstatus <> 'F'""",
+    "g_tail_calls": """WITH f AS (SELECT l_suppkey AS artifact, l_orderkey * 40 AS s, min(l_orderkey || '/' || l_linenumber) AS id, max(l_orderkey * 40 + l_quantity::BIGINT) AS e FROM lineitem GROUP BY ALL),
+        j AS (SELECT user_id % (SELECT count(*) FROM supplier) AS artifact, event_id * 7919 % top * 40 AS address, event_id * 13 % top * 40 AS target FROM events, (SELECT max(o_orderkey) AS top FROM orders))
+        SELECT j.artifact, address, a.id AS src, b.id AS dst FROM j JOIN f a ON a.artifact = j.artifact AND address >= a.s AND address < a.e JOIN f b ON b.artifact = j.artifact AND b.s = target AND b.s % 7 <> 0 WHERE a.id <> b.id""",
+    "g_stub_links": """WITH n AS (SELECT p_name, count(*) AS n, min('part:' || p_partkey) AS one FROM part GROUP BY p_name)
+        SELECT 'stub:' || p_partkey AS stub, CASE WHEN n = 1 AND p_size % 5 <> 0 THEN one END AS node_id, CASE WHEN n = 1 AND p_size % 5 <> 0 THEN 'inferred' ELSE 'uncertain' END AS confidence FROM part JOIN n USING (p_name)""",
+    "g_shipped_rules": """WITH u AS (SELECT l_orderkey || '/' || l_linenumber AS node_id, l_quantity >= 49 AS main, l_partkey % 4 AS speech, l_returnflag, l_linestatus, l_suppkey % 2 = 0 AS exported FROM lineitem),
+        r AS (SELECT *, CASE WHEN speech = 0 AND l_returnflag = 'A' THEN 'python-http' WHEN speech = 1 AND l_returnflag = 'R' THEN 'csharp-http' WHEN speech = 2 AND exported THEN 'erlang-export' WHEN speech = 3 AND l_linestatus = 'O' THEN 'zig-export' WHEN main THEN 'main' END AS rule FROM u)
+        SELECT node_id, rule, CASE rule WHEN 'main' THEN 'user_input' WHEN 'erlang-export' THEN 'third_party' ELSE 'api' END AS kind,
+        CASE rule WHEN 'main' THEN 'trusted_internal' WHEN 'erlang-export' THEN 'semi_trusted_external' ELSE 'untrusted_external' END AS trust_level,
+        CASE rule WHEN 'main' THEN 'low' WHEN 'erlang-export' THEN 'medium' ELSE 'high' END AS asset_value FROM r WHERE rule IS NOT NULL""",
 }
+ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("g_tightest_owner", "g_binary_gaps", "g_mapped_spans")}

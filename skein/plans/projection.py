@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
+from ..functions.storage import cut
 
 TRUST = {"BUILDING": "untrusted_external", "MACHINERY": "semi_trusted_external"}
 
@@ -102,6 +103,13 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("dst"))
 
 
+def web(spark: SparkSession, sf_dir: str) -> GraphBundle:
+    """Pages as modules, links as calls: most targets are no pages."""
+    found = cut(links(spark, sf_dir)).select("src", "dst", F.lit("calls").alias("kind"), F.lit("certain").alias("confidence"), F.monotonically_increasing_id().alias("edge_seq"), F.lit("{}").alias("attrs"))
+    pages = table(spark, sf_dir, "pages").select(F.col("url").alias("id"), F.col("url").alias("name"), F.lit("module").alias("kind"), F.lit("source").alias("origin"), F.col("page_id").alias("node_seq"), F.lit("{}").alias("attrs")).dropDuplicates(["id"])
+    return GraphBundle(spark, {"nodes": pages, "edges": found})
+
+
 def address_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, end): documents laid end to end by id.
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..bundle import GraphBundle
+from ..engine import QueryEngine
 from ..functions.storage import cut
 from ..functions.text import escaped
 from ..operators import diffing, intervals, linking, lookup, metrics, preanalysis, traverse, views
@@ -170,8 +172,18 @@ def g_taint(spark, d):
 
 @query
 def g_unresolved_links(spark, d):
-    known = P.table(spark, d, "pages").select(F.col("url").alias("dst"))
-    return P.links(spark, d).join(known, "dst", "left_anti").groupBy("dst").agg(F.count("*").alias("sites"), F.count_distinct("src").alias("sources"))
+    out = views.unresolved_calls(linking.materialise_proxies(P.web(spark, d)))
+    return out.groupBy(F.col("raw_target").alias("dst")).agg(F.count("*").alias("sites"), F.count_distinct("src").alias("sources"))
+
+
+@query
+def g_call_resolution(spark, d):
+    return metrics.call_resolution(linking.materialise_proxies(P.web(spark, d)))
+
+
+@query
+def g_unresolved_by_callee(spark, d):
+    return metrics.unresolved_by_callee(linking.materialise_proxies(P.web(spark, d)))
 
 
 @query
@@ -223,36 +235,30 @@ def _spans(spark, d):
     return P.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % 5000).alias("s"), (F.col("l_partkey") % 5000 + F.col("l_quantity").cast("long")).alias("e"))
 
 
-@query
-def g_interval_overlap(spark, d):
-    found = P.table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("file"), (F.col("event_id") % 5000).alias("l_start"), (F.col("event_id") % 5000 + 3).alias("l_end"))
-    units = _spans(spark, d).where("file < 10").select("file", "key", "line", F.col("s").alias("r_start"), F.col("e").alias("r_end"))
-    return intervals.overlaps(found, units, ["file"]).groupBy("event_id").agg(F.count("*").alias("n"))
-
-
-@query
-def g_tightest_owner(spark, d):
-    found = P.table(spark, d, "events").select("event_id", (F.col("user_id") % 10).alias("file"), (F.col("event_id") % 5000).alias("at"))
-    units = _spans(spark, d).where("file < 10").select("file", F.concat_ws("/", "key", "line").alias("unit"), F.col("s").alias("start"), (F.col("e") + 1).alias("end"))
-    hits = intervals.stab(found, units, on=["file"], width=64)
-    return intervals.tightest(hits, ["event_id"], F.col("end") - F.col("start"), [F.col("unit")], "unit")
-
-
 def _found_in_all_files(spark, d):
     """Events dealt over the files of all suppliers."""
     files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
     return P.table(spark, d, "events").join(files).select("event_id", (F.col("user_id") % F.col("files")).alias("file"), (F.col("event_id") % 5000).alias("at"))
 
 
-@query
-def g_interval_overlap_whole(spark, d):
+def _overlaps(spark, d):
     found = _found_in_all_files(spark, d).select("event_id", "file", F.col("at").alias("l_start"), (F.col("at") + 3).alias("l_end"))
     units = _spans(spark, d).select("file", "key", "line", F.col("s").alias("r_start"), F.col("e").alias("r_end"))
-    return intervals.overlaps(found, units, ["file"]).groupBy("event_id").agg(F.count("*").alias("n"))
+    return intervals.overlaps(found, units, ["file"])
+
+
+@query
+def g_interval_overlap(spark, d):
+    return _overlaps(spark, d).select("event_id", "key", "line")
+
+
+@query
+def g_interval_overlap_whole(spark, d):
+    return _overlaps(spark, d).groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query
-def g_tightest_owner_whole(spark, d):
+def g_tightest_owner(spark, d):
     units = _spans(spark, d).select("file", F.concat_ws("/", "key", "line").alias("unit"), F.col("s").alias("start"), (F.col("e") + 1).alias("end"))
     hits = intervals.stab(_found_in_all_files(spark, d), units, on=["file"], width=64)
     return intervals.tightest(hits, ["event_id"], F.col("end") - F.col("start"), [F.col("unit")], "unit")
@@ -320,13 +326,12 @@ def g_annotations_findings(spark, d):
 def g_module_deps(spark, d):
     host = lambda c: F.regexp_extract(c, r"^https?://([^/?#]*)", 1)
     out = P.links(spark, d).select(host("src").alias("src"), F.when(F.col("dst").startswith("http"), host("dst")).otherwise(host("src")).alias("dst"))
-    return out.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return views.dependencies(out.withColumn("kind", F.lit("imports")))
 
 
 @query
 def g_containment(spark, d):
-    e = P.graph(spark, d).edges.where("kind = 'contains'")
-    return e.groupBy("src").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("members"))
+    return views.members(P.graph(spark, d).edges)
 
 
 @query
@@ -343,8 +348,8 @@ def g_nearest_owner(spark, d):
 
 @query
 def g_attack_surface(spark, d):
-    g = P.graph(spark, d)
-    return g.entrypoints.join(g.nodes.select(F.col("id").alias("node_id"), "name", F.col("kind").alias("node_kind")), "node_id", "left").select("node_id", "name", "node_kind", "kind", "trust_level", "asset_value")
+    out = QueryEngine(P.graph(spark, d)).attack_surface()
+    return out.select("node_id", "name", F.col("kind").alias("node_kind"), F.col("entry_kind").alias("kind"), "trust_level", "asset_value")
 
 
 @query
@@ -367,9 +372,9 @@ def g_escaped_symbols(spark, d):
     return P.links(spark, d).select(escaped(F.col("dst")).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-def _functions(spark, d):
+def _all_functions(spark, d):
     """Parts of a supplier as functions of an image: stretches of the supplier's address space."""
-    li = P.table(spark, d, "lineitem").where("l_suppkey < 10")
+    li = P.table(spark, d, "lineitem")
     return li.select(F.col("l_suppkey").alias("artifact"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("node_id"), (F.col("l_orderkey") * 40).alias("start"), (F.col("l_orderkey") * 40 + F.col("l_quantity").cast("long")).alias("end"))
 
 
@@ -377,63 +382,146 @@ def _functions(spark, d):
 def g_binary_gaps(spark, d):
     from ..operators import binaries
 
-    spans = P.table(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("artifact"), F.lit(1000).cast("long").alias("s_start"), F.lit(90_000).cast("long").alias("s_end"))
-    return binaries.gaps(_functions(spark, d), spans)
+    functions = _all_functions(spark, d)
+    spans = functions.groupBy("artifact").agg(F.lit(0).cast("long").alias("s_start"), F.max("end").alias("s_end"))
+    return binaries.gaps(functions, spans)
+
+
+def _binary_calls(spark, d):
+    """Events dealt over all suppliers and the whole address range; of those at one address the first is the instruction."""
+    from ..operators import binaries
+
+    functions = _all_functions(spark, d)
+    sizes = P.table(spark, d, "supplier").agg(F.count("*").alias("files")).join(functions.agg(F.max("end").alias("space")))
+    found = P.table(spark, d, "events").join(sizes).select("event_id", "event_type", (F.col("user_id") % F.col("files")).alias("artifact"), (F.col("event_id") * 7919 % F.col("space")).alias("address"), (F.col("event_id") * 104_729 % F.col("space")).alias("target"))
+    how = F.when(F.col("event_type") == "click", "direct").otherwise("tail")
+    found = found.groupBy("artifact", "address").agg(F.min_by("target", "event_id").alias("target"), F.min_by(how, "event_id").alias("how"))
+    return binaries.calls_by_owner(found, functions, 64)
 
 
 @query
 def g_binary_calls(spark, d):
-    from ..operators import binaries
+    return _binary_calls(spark, d)
+
 
-    found = P.table(spark, d, "events").select((F.col("user_id") % 10).alias("artifact"), (F.col("event_id") * 13 % 100_000).alias("address"), (F.col("event_id") * 29 % 100_000).alias("target"), F.when(F.col("event_type") == "click", "direct").otherwise("tail").alias("how")).dropDuplicates(["artifact", "address"])
-    out = binaries.calls_by_owner(found, _functions(spark, d), 64)
-    return out.groupBy("artifact").agg(F.count("*").alias("n"), F.count("dst").alias("resolved"), F.count_distinct("src").alias("callers"))
+@query
+def g_binary_calls_whole(spark, d):
+    return _binary_calls(spark, d).groupBy("artifact").agg(F.count("*").alias("n"), F.count("dst").alias("resolved"), F.count_distinct("src").alias("callers"))
 
 
 @query
 def g_mapped_spans(spark, d):
     from ..operators import binaries
 
-    li = P.table(spark, d, "lineitem").where("l_suppkey < 10").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
+    li = P.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
     none = F.lit(None).cast("int")
     rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
     return binaries.mapped_spans(rows).select("artifact", "line", "start", "end")
 
 
-def _all_functions(spark, d):
-    """As ``_functions``, of every supplier."""
-    li = P.table(spark, d, "lineitem")
-    return li.select(F.col("l_suppkey").alias("artifact"), F.concat_ws("/", "l_orderkey", "l_linenumber").alias("node_id"), (F.col("l_orderkey") * 40).alias("start"), (F.col("l_orderkey") * 40 + F.col("l_quantity").cast("long")).alias("end"))
+@query
+def g_diff_fields(spark, d):
+    """Which of the compared fields of orders as functions differ once urgent ones gain a branch and open ones are renamed."""
+    n = P.graph(spark, d).nodes.where("kind = 'function' and id like 'order:%'")
+    o = P.table(spark, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey")).alias("id"), "o_orderstatus", "o_orderpriority")
+    after = n.join(o, "id").withColumn("cc", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("cc") + 1).otherwise(F.col("cc"))).withColumn("name", F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("open "), "name")).otherwise(F.col("name")))
+    return diffing.nodes(GraphBundle(spark, {"nodes": n}), GraphBundle(spark, {"nodes": after})).groupBy("status", "changed").agg(F.count("*").alias("n"))
 
 
 @query
-def g_binary_gaps_whole(spark, d):
-    from ..operators import binaries
+def g_taint_whole(spark, d):
+    """How many low entrypoints reach each supplier, over the whole call graph."""
+    reach = preanalysis.taint_reach(P.graph(spark, d)).where("node like 'supplier:%'")
+    return reach.groupBy("node").agg(F.count("*").alias("n"))
 
-    functions = _all_functions(spark, d)
-    spans = functions.groupBy("artifact").agg(F.lit(0).cast("long").alias("s_start"), F.max("end").alias("s_end"))
-    return binaries.gaps(functions, spans)
+
+@query
+def g_privilege_boundary_whole(spark, d):
+    return preanalysis.privilege_boundaries(P.graph(spark, d)).select("src", "dst", "src_trust", "dst_trust")
 
 
 @query
-def g_binary_calls_whole(spark, d):
-    """Events dealt over all suppliers and the whole address range; of those at one address the first is the instruction."""
+def g_bfs_ball_whole(spark, d):
+    return traverse.ball(views.projected(P.graph(spark, d)), "supplier:1", 2)
+
+
+def _program(spark, d):
+    """Parts as free functions and suppliers as types of three languages; lines call parts by name, orders name suppliers."""
+    speech = lambda key: F.element_at(F.array(F.lit("go"), F.lit("java"), F.lit("kotlin")), (F.col(key) % 3 + 1).cast("int"))
+    part, order, supplier = (P.table(spark, d, t) for t in ("part", "orders", "supplier"))
+    unit = lambda df, kind, key, name, what: df.select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("id"), F.col(name).cast("string").alias("name"), F.lit(what).alias("kind"), speech(key).alias("language"), F.lit("{}").alias("attrs"), F.col(key).cast("long").alias("node_seq"))
+    nodes = unit(part, "part", "p_partkey", "p_name", "function").unionByName(unit(order, "order", "o_orderkey", "o_orderkey", "function")).unionByName(unit(supplier, "supplier", "s_suppkey", "s_name", "class"))
+    lines = P.table(spark, d, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    calls = lines.select(F.monotonically_increasing_id().alias("edge_seq"), F.concat(F.lit("order:"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("lib."), F.col("p_name")).alias("dst"), F.lit("calls").alias("kind"), F.lit("certain").alias("confidence"))
+    bases = supplier.select((-F.col("s_suppkey") - 1).alias("edge_seq"), F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("src"), F.concat(F.lit("Supplier#"), F.format_string("%09d", F.col("s_suppkey") + 3)).alias("dst"), F.lit("inherits").alias("kind"), F.lit("inferred").alias("confidence"))
+    refs = lines.select(F.concat(F.lit("order:"), F.col("l_orderkey")).alias("node_id"), F.lit(0).alias("role"), F.col("l_linenumber").alias("ordinal"), F.concat_ws(".", "l_partkey", "l_suppkey").alias("path"), F.concat(F.lit("Supplier#"), F.format_string("%09d", F.col("l_suppkey"))).alias("name"), F.lit(None).cast("string").alias("module"))
+    return GraphBundle(spark, {"nodes": nodes, "edges": cut(calls.unionByName(bases)), "type_refs": refs})
+
+
+@query
+def g_cross_file_calls(spark, d):
+    return linking.cross_file_calls(_program(spark, d)).edges.where("kind = 'calls'").groupBy("src", "dst", "confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def g_inherit_links(spark, d):
+    return linking.inheritance_links(_program(spark, d)).edges.where("kind = 'inherits'").select("src", "dst", "confidence")
+
+
+@query
+def g_type_uses(spark, d):
+    return linking.type_uses(_program(spark, d)).edges.where("kind = 'type_uses'").select("src", "dst")
+
+
+@query
+def g_deferred_calls(spark, d):
+    """Orders as callables nested in customers; those that the customer calls already get no edge."""
+    o = P.table(spark, d, "orders")
+    customer, order = F.concat(F.lit("customer:"), F.col("o_custkey")), F.concat(F.lit("order:"), F.col("o_orderkey"))
+    nodes = o.select(order.alias("id")).unionByName(o.select(customer.alias("id")).distinct()).select("id", F.col("id").alias("name"), F.lit("function").alias("kind"), F.lit("{}").alias("attrs"))
+    held = o.select(customer.alias("src"), order.alias("dst"), F.lit("contains").alias("kind"), F.lit("certain").alias("confidence"), F.col("o_orderkey").alias("edge_seq"))
+    called = o.where("o_orderstatus = 'F'").select(customer.alias("src"), order.alias("dst"), F.lit("calls").alias("kind"), F.lit("certain").alias("confidence"), (-F.col("o_orderkey") - 1).alias("edge_seq"))
+    out = linking.deferred_calls(GraphBundle(spark, {"nodes": nodes, "edges": held.unionByName(called)}))
+    return out.edges.where("kind = 'calls' and confidence = 'uncertain'").select("src", "dst")
+
+
+@query
+def g_tail_calls(spark, d):
+    """Jumps from events to the starts of lines, seen as functions of one image a supplier."""
     from ..operators import binaries
 
-    functions = _all_functions(spark, d)
-    sizes = P.table(spark, d, "supplier").agg(F.count("*").alias("files")).join(functions.agg(F.max("end").alias("space")))
-    found = P.table(spark, d, "events").join(sizes).select("event_id", "event_type", (F.col("user_id") % F.col("files")).alias("artifact"), (F.col("event_id") * 7919 % F.col("space")).alias("address"), (F.col("event_id") * 104_729 % F.col("space")).alias("target"))
-    how = F.when(F.col("event_type") == "click", "direct").otherwise("tail")
-    found = found.groupBy("artifact", "address").agg(F.min_by("target", "event_id").alias("target"), F.min_by(how, "event_id").alias("how"))
-    out = binaries.calls_by_owner(found, functions, 64)
-    return out.groupBy("artifact").agg(F.count("*").alias("n"), F.count("dst").alias("resolved"), F.count_distinct("src").alias("callers"))
+    functions = _all_functions(spark, d).groupBy("artifact", "start").agg(F.min("node_id").alias("node_id"), F.max("end").alias("end")).withColumn("name", F.concat(F.when(F.col("start") % 7 == 0, "part.cold.").otherwise("f."), "node_id"))
+    files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
+    top = P.table(spark, d, "orders").agg(F.max("o_orderkey").alias("top"))
+    jumps = P.table(spark, d, "events").join(files).join(top).select("event_id", (F.col("user_id") % F.col("files")).alias("artifact"), (F.col("event_id") * 7919 % F.col("top") * 40).alias("address"), (F.col("event_id") * 13 % F.col("top") * 40).alias("target"))
+    return binaries.tail_calls(jumps, functions).select("artifact", "address", "src", "dst")
 
 
 @query
-def g_mapped_spans_whole(spark, d):
+def g_stub_links(spark, d):
+    """Suppliers' parts as import stubs, parts as the definitions of their names."""
     from ..operators import binaries
 
-    li = P.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
-    none = F.lit(None).cast("int")
-    rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
-    return binaries.mapped_spans(rows).select("artifact", "line", "start", "end")
+    parts = P.table(spark, d, "part")
+    exports = parts.select(F.col("p_name").alias("symbol"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("node_id"))
+    stubs = parts.select(F.concat(F.lit("stub:"), F.col("p_partkey")).alias("stub"), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("no "), "p_name")).otherwise(F.col("p_name")).alias("symbol"))
+    return binaries.stub_links(stubs, exports)
+
+
+@query
+def g_shipped_rules(spark, d):
+    """The shipped entrypoint rules over facts made of the lines' columns."""
+    from ..operators import entrypoints
+
+    li = P.table(spark, d, "lineitem")
+    language = F.element_at(F.array(*[F.lit(x) for x in ("python", "c_sharp", "erlang", "zig")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    mark = F.when(F.col("l_returnflag") == "A", "@app.get('/x')").when(F.col("l_returnflag") == "R", "[HttpPost]").otherwise("")
+    head = F.when(F.col("l_linestatus") == "O", "pub export fn f()").otherwise("fn f()")
+    exported = F.when(F.col("l_suppkey") % 2 == 0, "true").otherwise("")
+    nodes = li.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"), F.when(F.col("l_quantity") >= 49, "main").otherwise("f").alias("name"), F.lit("function").alias("kind"), language.alias("language"), F.lit("x/y.z").alias("file_path"), F.to_json(F.struct(mark.alias("decorators"), head.alias("signature"), exported.alias("exported"))).alias("attrs"))
+    return entrypoints.tagged(nodes, entrypoints.RULES).select("node_id", "rule", "kind", "trust_level", "asset_value")
+
+
+# Names under which the same queries were known while others of these names read a part of the suppliers.
+for _name in ("g_tightest_owner", "g_binary_gaps", "g_mapped_spans"):
+    QUERIES[f"{_name}_whole"] = QUERIES[_name]
