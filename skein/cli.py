@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
+import os
 import sys
 
 VERSION = "0.1.0"
@@ -63,6 +65,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from .bundle import GraphBundle
     from .engine import QueryEngine
     from .operators import diffing
+    from .sources import snapshots
 
     spark = spark or SparkSession.builder.appName("skein").getOrCreate()
     build = lambda path: QueryEngine.from_directory(spark, path, args.language, strict=args.strict, allow_empty=args.allow_empty)
@@ -73,7 +76,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             print(engine.to_json())
             return 0
         if args.command == "diff":
-            a, b = build(args.before), build(args.after)
+            with contextlib.ExitStack() as stack:
+                # What is no folder is a git reference of the repository that holds the second tree.
+                before = args.before if os.path.isdir(args.before) else stack.enter_context(snapshots.at_reference(args.after, args.before))
+                a, b = build(before), build(args.after)
+                a.graph, b.graph = a.graph.materialised(), b.graph.materialised()
             print(json.dumps({k: _rows(v) for k, v in b.diff_against(a).items()}, indent=2) if args.json else diffing.report(a.graph, b.graph), end="")
             return 0
         engine = build(args.path)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import render
 from .bundle import GraphBundle
-from .operators import diffing, entrypoints, findings, imports, lookup, metrics, preanalysis, traverse, views
+from .operators import candidates, diffing, entrypoints, findings, imports, lookup, metrics, preanalysis, traverse, views
 from .schema import ANNOTATION_KINDS, checked_kinds
-from .sources import ingest, reports
+from .sources import ingest, literals, reports
 
 
 class QueryEngine:
@@ -30,7 +30,16 @@ class QueryEngine:
         graph = ingest.parse_directory(spark, path, language, **options)
         if links:
             graph = imports.link(graph, reports.declared_links(spark, links))
-        return cls(entrypoints.detect(graph, overrides, pyproject) if detect else graph)
+        if not detect:
+            return cls(graph)
+        engine = cls(entrypoints.detect(graph, overrides, pyproject))
+        engine.discover_candidates(path)
+        return engine
+
+    def discover_candidates(self, path: str) -> None:
+        """Evidence from the declarative files of a tree whose literals name code; no node is tagged."""
+        rows = literals.literal_table(literals.declarative_files(self.spark, path))
+        self.graph = candidates.discover(self.graph, rows)
 
     @classmethod
     def from_graph(cls, graph: GraphBundle) -> QueryEngine:
@@ -105,9 +114,13 @@ class QueryEngine:
         return self._one(name).select("id", F.explode("exception_events").alias("e")).select("id", "e.*")
 
     def exception_support(self) -> DataFrame:
-        """By language what is known of its exception events; frontends without them are unverified."""
-        rows = [(x, "partial" if x == "python" else "unverified") for x in ingest.L.EXTENSIONS]
-        return self.spark.createDataFrame(rows, "language string, status string").join(self.graph.nodes.select("language").distinct(), "language", "left_semi")
+        """(language, status, events): which exception events the frontend of each language of the graph finds; those without any are unverified."""
+        from .sources.frontends import PYTHON_EVENTS
+        from .sources.scanner import EXCEPTIONS, SCANNED_EVENTS
+
+        known = {x: list(SCANNED_EVENTS) + (["declares"] if x == "java" else []) for x in EXCEPTIONS} | {"python": list(PYTHON_EVENTS)}
+        rows = [(x, "partial" if x in known else "unverified", known.get(x, [])) for x in ingest.L.EXTENSIONS]
+        return self.spark.createDataFrame(rows, "language string, status string, events array<string>").join(self.graph.nodes.select("language").distinct(), "language", "left_semi")
 
     def attack_surface(self) -> DataFrame:
         tags = self.graph.entrypoints.withColumnRenamed("kind", "entry_kind")
@@ -179,7 +192,7 @@ class QueryEngine:
     # -- reports ----------------------------------------------------------
 
     def summary(self) -> DataFrame:
-        return metrics.summary(self.graph)
+        return metrics.full_summary(self.graph)
 
     def unresolved_calls(self, name: str | None = None) -> DataFrame:
         out = views.unresolved_calls(self.graph)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..bundle import GraphBundle
 from ..functions.storage import cut
 from ..functions.text import digest, escaped, identifier
-from . import intervals
+from . import binaries, intervals
 
 EXTERNAL = "proxy.external:"
 
@@ -83,6 +83,10 @@ def binary(graph: GraphBundle, text: str, connect: bool = True) -> GraphBundle:
     if not graph.binary_artifacts.where((F.col("id") == key) & ~F.col("sha256").eqNullSafe(F.lit(artifact.get("hash")))).isEmpty():
         raise ValueError(f"binary artifact {key} is there already and differs")
     fresh = GraphBundle.conform(made, "nodes").unionByName(GraphBundle.conform(outside, "nodes")).join(nodes.select("id"), "id", "left_anti")
+    known = GraphBundle.conform(graph.binary_artifacts, "binary_artifacts").unionByName(more.binary_artifacts)
+    wrong = binaries.violations(known, GraphBundle.conform(ranges, "binary_ranges"), graph.binary_mappings.where("false"), nodes.select("id").unionByName(fresh.select("id"))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['what']}: {wrong[0]['key']}")
     return graph.having(
         nodes=cut(nodes.unionByName(GraphBundle.conform(fresh, "nodes"))), edges=cut(edges.unionByName(GraphBundle.conform(added, "edges"))),
         binary_artifacts=GraphBundle.conform(graph.binary_artifacts, "binary_artifacts").unionByName(more.binary_artifacts).dropDuplicates(["id"]),

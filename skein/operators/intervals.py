@@ -3,6 +3,8 @@
 Spark has no range join; a bare one compares all with all. Each interval is dealt to
 the buckets that it covers, points and the starts of shared stretches decide in
 which bucket a pair is reported, and the exact comparison is a residual condition.
+Buckets come in levels, each ``FAN`` times as wide as the one before; a span lies at the level at which it
+covers about ``FAN`` of them, so that a span of any length is a few rows.
 """
 
 from __future__ import annotations
@@ -10,26 +12,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FAN, LEVELS = 16, 11
+
+
+def _level(width: int, start: str, end: str) -> Column:
+    length, out = F.col(end) - F.col(start), F.lit(0)
+    for k in range(1, LEVELS):
+        out = F.when(length > F.lit(width * FAN**k), k).otherwise(out)
+    return out
+
+
+def _wide(width: int) -> Column:
+    """The width of a bucket of the level in ``level``."""
+    return F.element_at(F.array(*[F.lit(width * FAN**k).cast("long") for k in range(LEVELS)]), F.col("level") + 1)
+
+
+def _levels(*spans: tuple[DataFrame, str, str], width: int) -> Column:
+    """The levels that any of the spans lies at, as an array: at most ``LEVELS`` numbers reach the driver."""
+    found = {r[0] for df, start, end in spans for r in df.select(_level(width, start, end)).distinct().collect()}
+    return F.array(*[F.lit(k) for k in sorted(found)]) if found else F.array().cast("array<int>")
+
 
 def bucketed(spans: DataFrame, width: int, start: str = "start", end: str = "end") -> DataFrame:
-    """Half-open spans, a row for each bucket of ``width`` that they cover; empty spans vanish."""
-    first, last = F.floor(F.col(start) / width).cast("long"), F.floor((F.col(end) - 1) / width).cast("long")
-    return spans.where(F.col(end) > F.col(start)).withColumn("bucket", F.explode(F.sequence(first, last)))
+    """Half-open spans with their ``level``, a row for each ``bucket`` of that level that they cover; empty spans vanish."""
+    placed = spans.where(F.col(end) > F.col(start))
+    placed = placed if "level" in placed.columns else placed.withColumn("level", _level(width, start, end))
+    first, last = F.floor(F.col(start) / _wide(width)).cast("long"), F.floor((F.col(end) - 1) / _wide(width)).cast("long")
+    return placed.withColumn("bucket", F.explode(F.sequence(first, last)))
 
 
 def stab(points: DataFrame, spans: DataFrame, at: str = "at", on: list[str] | None = None, width: int = 4096, start: str = "start", end: str = "end") -> DataFrame:
-    """Points within half-open spans, with equal ``on`` columns. Each pair comes once: a point lies in one bucket."""
-    keyed = points.withColumn("bucket", F.floor(F.col(at) / width).cast("long"))
-    return keyed.join(bucketed(spans, width, start, end), ["bucket", *(on or [])]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("bucket")
+    """Points within half-open spans, with equal ``on`` columns. Each pair comes once: a point lies in one bucket of each level."""
+    keyed = points.withColumn("level", F.explode(_levels((spans, start, end), width=width)))
+    keyed = keyed.withColumn("bucket", F.floor(F.col(at) / _wide(width)).cast("long"))
+    return keyed.join(bucketed(spans, width, start, end), ["level", "bucket", *(on or [])]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("level", "bucket")
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: list[str], width: int = 64) -> DataFrame:
-    """Pairs of closed spans (l_start..l_end, r_start..r_end) that share a unit, with equal ``on`` columns; each pair once."""
-    a = bucketed(left.withColumn("__l", F.col("l_end") + 1), width, "l_start", "__l")
-    b = bucketed(right.withColumn("__r", F.col("r_end") + 1), width, "r_start", "__r")
-    shared = F.floor(F.greatest("l_start", "r_start") / width).cast("long")
-    both = a.join(b, ["bucket", *on]).where((F.col("l_start") <= F.col("r_end")) & (F.col("l_end") >= F.col("r_start")) & (F.col("bucket") == shared))
-    return both.drop("bucket", "__l", "__r")
+    """Pairs of closed spans (l_start..l_end, r_start..r_end) that share a unit, with equal ``on`` columns; each pair once.
+
+    A pair meets at the higher of its two levels, in the bucket where what it shares begins.
+    """
+    left, right = left.withColumn("__l", F.col("l_end") + 1), right.withColumn("__r", F.col("r_end") + 1)
+    levels = _levels((left, "l_start", "__l"), (right, "r_start", "__r"), width=width)
+
+    def at_levels(spans: DataFrame, own: str, start: str, end: str) -> DataFrame:
+        """A row a bucket of each level from the span's own upwards."""
+        higher = F.filter(levels, lambda k: k >= F.col(own))
+        return bucketed(spans.withColumn(own, _level(width, start, end)).withColumn("level", F.explode(higher)), width, start, end)
+
+    a, b = at_levels(left, "__a", "l_start", "__l"), at_levels(right, "__b", "r_start", "__r")
+    shared = F.floor(F.greatest("l_start", "r_start") / _wide(width)).cast("long")
+    both = a.join(b, ["level", "bucket", *on]).where((F.col("l_start") <= F.col("r_end")) & (F.col("l_end") >= F.col("r_start")) & (F.col("level") == F.greatest("__a", "__b")) & (F.col("bucket") == shared))
+    return both.drop("level", "bucket", "__l", "__r", "__a", "__b")
 
 
 def tightest(hits: DataFrame, by: list[str], span: Column, tie: list[Column], keep: str) -> DataFrame:

@@ -23,6 +23,18 @@ def summary(graph: GraphBundle) -> DataFrame:
     return n.join(e).join(t)  # three tables of one row
 
 
+def full_summary(graph: GraphBundle) -> DataFrame:
+    """:func:`summary` with languages, dependencies in their order, source files by language, and syntax diagnostics."""
+    nodes, files = GraphBundle.conform(graph.nodes, "nodes"), GraphBundle.conform(graph.source_files, "source_files").where("language is not null")
+    languages = nodes.agg(F.array_sort(F.collect_set("language")).alias("languages"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda d: d["name"])
+    dependencies = graph.dependencies.agg(named.alias("dependencies"))
+    by = files.groupBy("language").agg(F.count("*").alias("n"))
+    counts = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("source_files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("source_file_counts"))
+    wrong = graph.diagnostics.agg(F.count("*").alias("parse_diagnostics"))
+    return summary(graph).join(languages).join(dependencies).join(counts).join(wrong)  # tables of one row
+
+
 def kind_counts(graph: GraphBundle) -> DataFrame:
     nodes = graph.nodes.groupBy("kind").count().select(F.lit("node").alias("element"), "kind", F.col("count").alias("n"))
     return nodes.unionByName(graph.edges.groupBy("kind").count().select(F.lit("edge").alias("element"), "kind", F.col("count").alias("n")))

@@ -14,6 +14,8 @@ import re
 from collections.abc import Iterator
 
 NESTING = 128
+#: The exception events that are found in Python.
+PYTHON_EVENTS = ("raise", "rethrow", "handler")
 DIAGNOSTICS = 256
 Fact = tuple[str, dict]
 

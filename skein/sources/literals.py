@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 
+import os
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LARGEST = 8 << 20
 #: The kinds of files whose literals may name code.
@@ -34,6 +37,19 @@ def literals(text: str, kind: str) -> list[tuple[str, int]]:
     return found
 
 
+def declarative_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the declarative files below a folder, by Spark's reader; hidden and excluded folders are left out."""
+    from .policy import EXCLUDED
+
+    top = os.path.realpath(root) if "://" not in root else root.rstrip("/")
+    kinds = ",".join(f"*{e}" for e in EXTENSIONS)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + kinds + "}").load(top if "://" in top else f"file://{top}")
+    path = F.expr(f"substring(path, length('{top}') + locate('{top}', path) + 1)")
+    parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
+    inside = found.where(F.col("length") <= LARGEST).select(path.alias("path"), "content")
+    return inside.where(~F.exists(parts, lambda p: p.startswith(".") | p.isin(*EXCLUDED)))
+
+
 def literal_table(files: DataFrame) -> DataFrame:
     """(file, line, literal) of ``files`` (path, content); other kinds of files give none."""
 

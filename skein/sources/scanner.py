@@ -227,6 +227,7 @@ _BASE = re.compile(r"[A-Za-z_][\w.]*")
 _NO_BASE = frozenset("extends implements public private protected virtual with is where class struct".split())
 #: What raises, handles and cleans up; languages without it have no exception facts.
 _RAISES = re.compile(r"\b(?P<how>throw|raise|revert|rethrow)\b(?![ \t]*:)[ \t]*(?:new[ \t]+)?(?P<thrown>[A-Za-z_][\w.:]*)?(?P<called>\s*[({])?|\b(?P<handler>catch|rescue)\b\s*(?:\(\s*(?:const\s+|final\s+)?(?P<caught>[\w.:|\s]*)[^()]*\)|(?P<rescued>[A-Z][\w:, \t]*))?|\b(?P<cleanup>finally|ensure)\b")
+SCANNED_EVENTS = ("raise", "rethrow", "handler", "cleanup")
 EXCEPTIONS = ("java", "c_sharp", "kotlin", "javascript", "typescript", "php", "cpp", "swift", "dart", "ruby", "solidity", "objc", "powershell", "vb")
 _DECORATOR = re.compile(r"@[\w.:$]+[ \t]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?")
 _REGISTERS = re.compile(r"\.(?:HandleFunc|Handle|HandlerFunc|GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Any|Get|Post|Put|Delete|Patch|Head|Options|All|Methods)\s*\(\s*[^()\n]*?,(?P<given>[^\n]*)")
