@@ -32,6 +32,8 @@ class QueryEngine:
             graph = imports.link(graph, reports.declared_links(spark, links))
         if not detect:
             return cls(graph)
+        if overrides is None and pyproject is None and "://" not in path:
+            overrides, pyproject = entrypoints.configuration(path)
         engine = cls(entrypoints.detect(graph, overrides, pyproject))
         engine.discover_candidates(path)
         return engine
@@ -238,6 +240,10 @@ class QueryEngine:
 
         self.graph = imports.binary(self.graph, import_text(path, key))
 
+    def augment_binary_mapping(self, text: str) -> None:
+        """Add an explicit mapping of source units to address ranges of an artifact that is there."""
+        self.graph = imports.mapping(self.graph, text)
+
     def binary_artifacts(self) -> DataFrame:
         return self.graph.binary_artifacts.orderBy("id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 from fnmatch import translate
 
@@ -118,13 +119,42 @@ def scripts(pyproject: str) -> list[tuple[str, str]]:
     return [(name, target) for table in ("scripts", "gui-scripts") for name, target in project.get(table, {}).items() if isinstance(target, str)]
 
 
+def script_units(nodes: DataFrame, targets: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(name, node id) of the scripts whose target is the id of a unit, or else the end of exactly one unit's id."""
+    if not targets:
+        return []
+    plain = [(name, target.split("[")[0].strip()) for name, target in targets]
+    wanted = nodes.sparkSession.createDataFrame(plain, "script string, target string")
+    units = nodes.where("kind in ('function', 'method', 'class')").select("id", F.substring_index("id", ":", -1).alias("tail"))
+    hits = wanted.withColumn("tail", F.substring_index("target", ":", -1)).join(units, "tail").where((F.col("id") == F.col("target")) | F.expr("endswith(id, concat('.', target)) or endswith(id, concat('::', target))"))
+    exact = F.max(F.when(F.col("id") == F.col("target"), F.col("id")))
+    found = hits.groupBy("script").agg(exact.alias("exact"), F.count_distinct("id").alias("n"), F.min("id").alias("only"))
+    return [(r["script"], r["exact"] or r["only"]) for r in found.where("exact is not null or n = 1").orderBy("script").collect()]
+
+
+def configuration(path: str, name: str = "entrypoints.toml") -> tuple[str | None, str | None]:
+    """Texts of the override file and the project file of the nearest folder, from ``path`` upwards, that has either."""
+    at = os.path.realpath(path)
+    while True:
+        texts = []
+        for file in (name, "pyproject.toml"):
+            try:
+                with open(os.path.join(at, file), encoding="utf-8") as f:
+                    texts.append(f.read())
+            except (FileNotFoundError, NotADirectoryError):
+                texts.append(None)
+        if any(texts) or os.path.dirname(at) == at:
+            return texts[0], texts[1]
+        at = os.path.dirname(at)
+
+
 def detect(graph: GraphBundle, override_text: str | None = None, pyproject_text: str | None = None) -> GraphBundle:
     """Tags and evidence by all layers: names, frameworks, project scripts, overrides."""
     nodes = GraphBundle.conform(graph.nodes, "nodes")
     rules = list(RULES)
-    for name, target in scripts(pyproject_text) if pyproject_text else []:
-        quoted = target.split("[")[0].strip().replace("'", "\\'")
-        rules.append({"layer": 2, "rule": "script", "when": f"id = '{quoted}' or id like '%.{quoted}' or id like '%::{quoted}'", "as": CLI, "description": f"script {name}"})
+    for name, node_id in script_units(nodes, scripts(pyproject_text)) if pyproject_text else []:
+        quoted = node_id.replace("\\", "\\\\").replace("'", "\\'")
+        rules.append({"layer": 2, "rule": "script", "when": f"id = '{quoted}'", "as": CLI, "description": f"script {name}"})
     rules += overrides(override_text) if override_text else []
     found = tagged(nodes.where("kind <> 'proxy'"), rules)
     evidence = found.join(nodes.select(F.col("id").alias("node_id"), "file_path", "start_line"), "node_id").select(

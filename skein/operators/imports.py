@@ -94,6 +94,37 @@ def binary(graph: GraphBundle, text: str, connect: bool = True) -> GraphBundle:
     )
 
 
+def mapping(graph: GraphBundle, text: str) -> GraphBundle:
+    """Add explicit mappings (sha256, mappings: source_node_id, start, end, address_kind) of the artifact with that digest.
+
+    Each becomes a range and a mapping of its source unit; an unknown artifact or unit, an empty span or an unknown
+    kind of address is an error, and nothing is added then.
+    """
+    data = json.loads(text)
+    spans = data.get("mappings") if isinstance(data, dict) else None
+    if not isinstance(spans, list):
+        raise ValueError("not a mapping: mappings is missing")
+    artifact = graph.binary_artifacts.where(F.col("sha256") == data.get("sha256")).select("id", "image_base").first() if not graph.binary_artifacts.isEmpty() else None
+    if artifact is None:
+        raise ValueError(f"no artifact has the digest {data.get('sha256')}")
+    base, rows = int(artifact["image_base"] or 0), []
+    for s in spans:
+        kind = s.get("address_kind", "va")
+        if kind not in ("va", "rva"):
+            raise ValueError(f"unknown address kind {kind}")
+        start, end = (int(x, 0) if isinstance(x, str) else int(x) for x in (s["start"], s["end"]))
+        shift = base if kind == "rva" else 0
+        rows.append((artifact["id"], s["source_node_id"], Decimal(start + shift), Decimal(end + shift), Decimal(start + shift - base)))
+    found = graph.spark.createDataFrame(rows, "artifact string, node_id string, start decimal(20,0), end decimal(20,0), rva decimal(20,0)")
+    units = GraphBundle.conform(graph.nodes, "nodes").select(F.col("id").alias("node_id"), F.col("file_path").alias("source_path"), F.col("start_line").alias("line"), F.col("name").alias("function"))
+    ranges = GraphBundle.conform(graph.binary_ranges, "binary_ranges").unionByName(GraphBundle.conform(found, "binary_ranges")).distinct()
+    fresh = GraphBundle.conform(found.join(units, "node_id", "left").withColumn("inline_depth", F.lit(0)), "binary_mappings")
+    wrong = binaries.violations(graph.binary_artifacts, GraphBundle.conform(found, "binary_ranges"), fresh, graph.nodes).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['what']}: {wrong[0]['key']}")
+    return graph.having(binary_ranges=cut(ranges), binary_mappings=cut(GraphBundle.conform(graph.binary_mappings, "binary_mappings").unionByName(fresh).distinct()))
+
+
 def corresponding(functions: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst): each function's source: by id, by unique symbol, or by the tightest unit at its file and line."""
     units = nodes.where("origin = 'source'")

@@ -201,10 +201,12 @@ def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fa
         for role, (ordinal, expr) in [(0, (k, a.annotation)) for k, (a, _) in enumerate(pairs)] + [(1, (0, n.returns))]:
             for at, name, mod in _type_refs(expr):
                 yield "type_refs", {"node_id": own, "role": role, "ordinal": ordinal, "path": at, "name": name, "module": mod}
-        yield from calls(inside, own, cls)
+        yield from calls(inside, own, cls, [a.arg for a, _ in pairs])
         yield from units(n.body, own, ".", None)
 
-    def calls(inside: list[ast.AST], owner: str, cls: str | None) -> Iterator[Fact]:
+    def calls(inside: list[ast.AST], owner: str, cls: str | None, names: list[str]) -> Iterator[Fact]:
+        # Names that the unit binds itself hide the module's functions.
+        taken = {*names, *(x.id for x in inside if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store))}
         for x in inside:
             if not isinstance(x, ast.Call):
                 continue
@@ -223,6 +225,10 @@ def python_facts(path: str, text: str, module: str | None = None) -> Iterator[Fa
             else:
                 target, confidence = f"{module}:$indirect@{x.lineno}_{x.col_offset}", "uncertain"
             yield "edges", {"src": owner, "dst": target, "kind": "calls", "confidence": confidence, "file_path": path, "start_line": x.lineno}
+            # Functions of the module given as values, by place or by keyword.
+            for value in [*x.args, *(k.value for k in x.keywords)]:
+                if isinstance(value, ast.Name) and isinstance(last.get(f"{module}:{value.id}"), _CALLABLE) and value.id not in taken:
+                    yield "edges", {"src": owner, "dst": f"{module}:{value.id}", "kind": "references", "confidence": "inferred", "file_path": path, "start_line": value.lineno}
 
     def units(body: list[ast.stmt], owner: str, sign: str, cls: str | None) -> Iterator[Fact]:
         for n in _own(body):

@@ -222,6 +222,7 @@ def _state(rows: list[tuple], clean: str, path: str, place) -> Iterator[Fact]:
 
 
 _TYPED = re.compile(r"\b(?P<type>[A-Z]\w*)(?:<[^<>;{}()]*>)?[?&*]*\s+[&*]?(?P<var>[a-z_]\w*)\s*[=;,):]|\b(?P<var2>[a-z_]\w*)\s*:\s*[&*]?(?P<type2>[A-Z]\w*)|\b(?P<var3>[a-z_]\w*)\s*:?=\s*(?:await\s+)?(?:new\s+|&)?(?P<type3>[A-Z]\w*)(?:\.new)?\s*[({]")
+_VALUE = re.compile(r"[(,]\s*&?(?P<name>[A-Za-z_$][\w$]*)\s*(?=[,)])")
 _BASES = re.compile(r"(?:\b(?P<word>extends|implements|is|with)\b|(?<!:)(?P<sign>:)(?!:)|(?P<less><)(?=\s*[A-Z]))(?P<bases>[^{;\n]*)")
 _BASE = re.compile(r"[A-Za-z_][\w.]*")
 _NO_BASE = frozenset("extends implements public private protected virtual with is where class struct".split())
@@ -380,6 +381,16 @@ def facts(path: str, language: str, text: str, module: str | None = None) -> Ite
             yield "edges", {"src": u["id"], "dst": f"{module}:{base}", "kind": kind, "confidence": "inferred", "file_path": path, "start_line": u["line"]}
     if not look.bare:
         return
+    # Callables given to calls as values.
+    given = set()
+    for m in _VALUE.finditer(clean):
+        u = inside(m.start())
+        if u is None or m["name"] in u["vars"]:
+            continue
+        own = [x for x in known.get(m["name"], ()) if x["kind"] in ("function", "method") and (x["owner"] is None or x["owner"] is u)]
+        if len(own) == 1 and own[0] is not u and (u["id"], own[0]["id"]) not in given:
+            given.add((u["id"], own[0]["id"]))
+            yield "edges", {"src": u["id"], "dst": own[0]["id"], "kind": "references", "confidence": "inferred", "file_path": path, "start_line": place(m.start("name"))[0]}
     imported = _imports(code, path) if language in ("javascript", "typescript") else {}
     heads = {u["named"] for u in callables}
     for m in _WORD_CALL.finditer(clean):

@@ -51,3 +51,49 @@ def test_the_outermost_ring_has_no_edges_of_its_own(spark):
     graph = ingest.parse_text(spark, {"m.py": ("python", "def a():\n    b(); c()\ndef b():\n    c(); d()\ndef c():\n    pass\ndef d():\n    pass\n")})
     chart = QueryEngine(graph).diagram("call-graph", focus="m:a", depth=1)
     assert "m_a --> m_b" in chart and "m_a --> m_c" in chart and "m_b --> m_c" not in chart
+
+
+def test_callables_given_as_values(spark):
+    graph = ingest.parse_text(spark, {
+        "a.py": ("python", "def cb():\n    pass\ndef reg(f):\n    f()\ndef main(cb2):\n    reg(cb)\n    reg(f=cb)\n    reg(cb2)\ndef own():\n    cb = 1\n    reg(cb)\n"),
+        "b.js": ("javascript", "function cb() { }\nfunction main(x) { on('e', cb); on(x, other); }\n"),
+    })
+    assert {(s, d) for s, d, _ in edges(graph, "references")} == {("a:main", "a:cb"), ("b:main", "b:cb")}
+
+
+def test_scripts_need_one_unit(spark):
+    from skein.operators import entrypoints
+
+    graph = ingest.parse_text(spark, {"pkg/m.py": ("python", "def go():\n    pass\n"), "x/twin.py": ("python", "def run():\n    pass\n"), "y/twin.py": ("python", "def run():\n    pass\n")})
+    text = '[project.scripts]\na = "pkg.m:go"\nb = "m:go"\nc = "twin:run"\nd = "x.twin:run"\ne = "none:go"\n'
+    assert entrypoints.script_units(graph.nodes, entrypoints.scripts(text)) == [("a", "pkg.m:go"), ("b", "pkg.m:go"), ("d", "x.twin:run")]
+    assert {r["node_id"] for r in entrypoints.detect(graph, None, text).entrypoints.collect()} == {"pkg.m:go", "x.twin:run"}
+
+
+def test_configuration_is_looked_for_upwards(tmp_path):
+    from skein.operators import entrypoints
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "pyproject.toml").write_text("[project]\n")
+    assert entrypoints.configuration(str(tmp_path / "a" / "b")) == (None, "[project]\n")
+    (tmp_path / "a" / "b" / "entrypoints.toml").write_text("# none\n")
+    assert entrypoints.configuration(str(tmp_path / "a" / "b")) == ("# none\n", None)
+
+
+def test_explicit_mappings(spark):
+    import json
+
+    import pytest
+
+    from skein.engine import QueryEngine
+
+    engine = QueryEngine(ingest.parse_text(spark, {"m.c": ("c", "int f(void) { return 1; }\n")}))
+    engine.augment_binary(json.dumps({"artifact": {"key": "fw", "hash": "ab"}, "functions": [{"id": "1", "symbol": "f", "address": 16, "size": 8}]}))
+    one = {"source_node_id": "m:f", "start": "0x10", "end": 20}
+    engine.augment_binary_mapping(json.dumps({"sha256": "ab", "mappings": [one]}))
+    assert [(r["node_id"], r["source_path"], r["line"]) for r in engine.source_at_address("fw", 17).collect()] == [("m:f", "m.c", 1)]
+    before = engine.graph
+    for wrong in ({"sha256": "no", "mappings": [one]}, {"sha256": "ab", "mappings": [one | {"source_node_id": "m:g"}]}, {"sha256": "ab", "mappings": [one | {"end": 16}]}, {"sha256": "ab", "mappings": [one | {"address_kind": "x"}]}, {"sha256": "ab"}):
+        with pytest.raises(ValueError):
+            engine.augment_binary_mapping(json.dumps(wrong))
+    assert engine.graph is before
