@@ -9,26 +9,40 @@ covers about ``FAN`` of them, so that a span of any length is a few rows.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAN, LEVELS = 16, 11
+from ..functions.storage import cut
+
+FAN, TOP = 16, 1 << 60
+#: Blocks that the starts of spans are dealt to where they are coalesced.
+PARTS = 256
+
+
+def _widths(width: int) -> list[int]:
+    """The widths of the levels' buckets, up to ``TOP``."""
+    out = [width]
+    while out[-1] * FAN <= TOP:
+        out.append(out[-1] * FAN)
+    return out
 
 
 def _level(width: int, start: str, end: str) -> Column:
     length, out = F.col(end) - F.col(start), F.lit(0)
-    for k in range(1, LEVELS):
-        out = F.when(length > F.lit(width * FAN**k), k).otherwise(out)
+    for k, wide in enumerate(_widths(width)[1:], 1):
+        out = F.when(length > F.lit(wide), k).otherwise(out)
     return out
 
 
 def _wide(width: int) -> Column:
     """The width of a bucket of the level in ``level``."""
-    return F.element_at(F.array(*[F.lit(width * FAN**k).cast("long") for k in range(LEVELS)]), F.col("level") + 1)
+    return F.element_at(F.array(*[F.lit(wide).cast("long") for wide in _widths(width)]), F.col("level") + 1)
 
 
 def _levels(*spans: tuple[DataFrame, str, str], width: int) -> Column:
-    """The levels that any of the spans lies at, as an array: at most ``LEVELS`` numbers reach the driver."""
+    """The levels that any of the spans lies at, as an array: some fifteen numbers reach the driver at most."""
     found = {r[0] for df, start, end in spans for r in df.select(_level(width, start, end)).distinct().collect()}
     return F.array(*[F.lit(k) for k in sorted(found)]) if found else F.array().cast("array<int>")
 
@@ -72,11 +86,32 @@ def tightest(hits: DataFrame, by: list[str], span: Column, tie: list[Column], ke
     return hits.groupBy(*by).agg(F.min_by(keep, F.struct(span.alias("span"), *tie)).alias(keep))
 
 
-def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0) -> DataFrame:
-    """Spans of equal ``by`` that touch or overlap (or lie at most ``gap`` apart) as one: by, start, end, n."""
-    order = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)
-    island = F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = spans.withColumn("__fresh", fresh).withColumn("__island", island)
-    return marked.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__island")
+def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, parts: int = PARTS) -> DataFrame:
+    """Spans of equal ``by`` that touch or overlap (or lie at most ``gap`` apart) as one: by, start, end, n.
+
+    The starts are dealt to ``parts`` blocks; spans are ordered within a block of a key only, and what reaches into a
+    block comes from the blocks' summaries. So no key, however many spans it has, is one task.
+    """
+    spans = cut(spans.select(*by, F.col(start).alias("s"), F.col(end).alias("e")))
+    low, high = spans.agg(F.min("s"), F.max("s")).first()
+    width = 1 if low is None else (int(high) - int(low)) // parts + 1
+    blocked = spans.withColumn("block", F.floor((F.col("s") - F.lit(low or 0)) / width).cast("long"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*by, "block").orderBy("s", "e")
+
+    def carried(rows: DataFrame, value: Column) -> DataFrame:
+        """The largest ``value`` of all earlier blocks of the key, as ``carry``: a row a block."""
+        tops = rows.groupBy(*by, "block").agg(F.max(value).alias("top"))
+        return tops.withColumn("carry", F.max("top").over(before)).drop("top")
+
+    def beside(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return rows.join(table.withColumnsRenamed({c: f"of {c}" for c in (*by, "block")}), same).select(*rows.columns, "carry")
+
+    reach = F.greatest(F.max("e").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
+    fresh = beside(blocked, carried(blocked, F.col("e"))).withColumn("fresh", F.when(reach.isNull() | (F.col("s") > reach + gap), F.col("s"))).drop("carry")
+    fresh = cut(fresh)
+    # An island is named by its first start: that of the latest span that began one.
+    latest = F.coalesce(F.max("fresh").over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("carry"))
+    island = beside(fresh, carried(fresh, F.col("fresh"))).withColumn("island", latest)
+    return island.groupBy(*by, "island").agg(F.min("s").alias(start), F.max("e").alias(end), F.count("*").alias("n")).drop("island")

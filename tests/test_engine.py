@@ -309,6 +309,19 @@ def test_intervals(spark):
     spans += [(100, -5, 1 << 50), (101, 200, 70_000)]
     b = wide
     assert {(r["p"], r["k"]) for r in intervals.stab(a, b, width=16).collect()} == {(p, k) for p, at in points for k, s, e in spans if s <= at < e}
+    # Coalesced block by block as over all spans at once, whatever the number of blocks, gaps and long spans.
+    keyed = [("x" if k % 3 else None, s, e) for k, s, e in spans if e > s]
+    df = spark.createDataFrame(keyed, "g string, start long, end long")
+    for gap in (0, 3):
+        want = []
+        for g in ("x", None):
+            for s, e in sorted((s, e) for h, s, e in keyed if h == g):
+                if want and want[-1][0] == g and s <= want[-1][2] + gap:
+                    want[-1] = (g, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
+                else:
+                    want.append((g, s, e, 1))
+        for parts in (1, 7, 1000):
+            assert sorted(map(tuple, intervals.coalesced(df, ["g"], gap=gap, parts=parts).collect()), key=str) == sorted(want, key=str)
     left = b.select(F.col("k").alias("l"), F.lit(1).alias("f"), F.col("start").alias("l_start"), F.col("end").alias("l_end"))
     right = b.select(F.col("k").alias("r"), F.lit(1).alias("f"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     hits = [(r["l"], r["r"]) for r in intervals.overlaps(left, right, ["f"], 16).collect()]
