@@ -111,7 +111,8 @@ def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str =
     reach = F.greatest(F.max("e").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
     fresh = beside(blocked, carried(blocked, F.col("e"))).withColumn("fresh", F.when(reach.isNull() | (F.col("s") > reach + gap), F.col("s"))).drop("carry")
     fresh = cut(fresh)
-    # An island is named by its first start: that of the latest span that began one.
-    latest = F.coalesce(F.max("fresh").over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("carry"))
+    # An island is named by its first start: that of the latest span that began one, equal spans counted whatever their order.
+    peers = Window.partitionBy(*by, "block").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.coalesce(F.max("fresh").over(peers), F.col("carry"))
     island = beside(fresh, carried(fresh, F.col("fresh"))).withColumn("island", latest)
     return island.groupBy(*by, "island").agg(F.min("s").alias(start), F.max("e").alias(end), F.count("*").alias("n")).drop("island")

@@ -310,11 +310,11 @@ def test_intervals(spark):
     b = wide
     assert {(r["p"], r["k"]) for r in intervals.stab(a, b, width=16).collect()} == {(p, k) for p, at in points for k, s, e in spans if s <= at < e}
     # Coalesced block by block as over all spans at once, whatever the number of blocks, gaps and long spans.
-    keyed = [("x" if k % 3 else None, s, e) for k, s, e in spans if e > s]
+    keyed = [("x" if k % 3 else None, s, e) for k, s, e in spans if e > s] * 3 + [("y", 10 * k, 10 * k + 5) for k in range(40)] * 4
     df = spark.createDataFrame(keyed, "g string, start long, end long")
     for gap in (0, 3):
         want = []
-        for g in ("x", None):
+        for g in ("x", None, "y"):
             for s, e in sorted((s, e) for h, s, e in keyed if h == g):
                 if want and want[-1][0] == g and s <= want[-1][2] + gap:
                     want[-1] = (g, want[-1][1], max(e, want[-1][2]), want[-1][3] + 1)
