@@ -186,7 +186,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         a, b = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return common.stored(common.map_batches(sent, step, "a long, b long", "text"), "links")
+    found = common.stored(common.map_batches(sent, step, "a long, b long", "text"), "links")
+    for done in (pairs, parts):
+        common.forget(pairs.sparkSession, done)
+    return found
 
 
 def spread(links: DataFrame) -> DataFrame:
@@ -272,13 +275,17 @@ def links(docs: DataFrame, found: DataFrame, width: int = SHINGLE) -> DataFrame:
     labels = spread(first)
     named = hits.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = common.stored(common.salted_join(named, common.stored(open_keys, "open"), "key", ["node"], found=hot), "rest")
+    open_keys = common.stored(open_keys, "open")
+    rest = common.stored(common.salted_join(named, open_keys, "key", ["node"], found=hot), "rest")
     small = rest.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "label"))).alias("g"))
     small = small.select(F.col("g"), F.explode("g").alias("x")).select("x", F.explode(F.filter("g", lambda y: y["node"] > F.col("x.node"))).alias("y"))
     small = small.where((F.col("x.label") != F.col("y.label")) & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("middle"), F.col("y.node").alias("node")).distinct()
     done = stars.select(F.least("middle", "node").alias("middle"), F.greatest("middle", "node").alias("node"))
     second = _verified(small.join(done, ["middle", "node"], "left_anti"), texts, width)
     third = common.stored(_blocks(rest.where(F.col("size") > SMALL), texts, width), "links")
+    # The links are all that is read from here on.
+    for done in (sizes, hits, nodes, texts, middle, stars, labels, open_keys, rest):
+        common.forget(docs.sparkSession, done)
     return first.unionByName(second).unionByName(third)
 
 
