@@ -13,8 +13,6 @@ from ..schema import CONFIDENCES, EDGE_KINDS
 
 RESULT = "result_id long, file string, start long, end long, kind string, description string, source string, groups array<string>"
 HOPS = 32
-#: Severities of SARIF levels in the description.
-LEVELS = ("none", "note", "warning", "error")
 
 
 def local_path(uri: str, root: str = "") -> str | None:
