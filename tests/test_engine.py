@@ -226,22 +226,6 @@ def test_directory_and_cli(spark, tmp_path, capsys):
     assert cli.main(["diagram", str(tmp_path), "--type", "complexity", "--threshold", "2"], spark) == 0
     assert "flowchart" in capsys.readouterr().out
     assert cli.main(["analyze", str(tmp_path / "pkg" / "none")], spark) == 2
-    import subprocess
-
-    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
-    run("init", "-q")
-    run("add", "pkg", "m.py")
-    run("commit", "-qm", "one")
-    (tmp_path / "pkg" / "o.py").write_text("def other(k):\n    return k\ndef extra():\n    pass\n")
-    assert cli.main(["diff", "HEAD", str(tmp_path), "--language", "python"], spark) == 0
-    assert "nodes added: 1" in (report := capsys.readouterr().out) and "pkg.o:extra" in report
-    assert cli.main(["diff", "no-such-reference", str(tmp_path)], spark) == 2
-    (tmp_path / "conf.yaml").write_text("handler: m:view\n")
-    engine = QueryEngine.from_directory(spark, str(tmp_path), "python")
-    assert [(r["file_path"], r["symbol"]) for r in engine.entrypoint_evidence("m:view").where("basis = 'reference'").collect()] == [("conf.yaml", "m:view")]
-    row = engine.summary().first()
-    assert row["languages"] == ["python"] and "typing" in row["dependencies"] and row["source_file_counts"] == {"python": 2}
-    assert {r["language"]: r["status"] for r in engine.exception_support().collect()} == {"python": "partial"}
     assert cli.main(["version"]) == 0
 
 
