@@ -78,4 +78,46 @@ FROM cut c LEFT JOIN joined p ON p.conv_id = c.conv_id AND p.part = 'prompt'
 LEFT JOIN joined a ON a.conv_id = c.conv_id AND a.part = 'chosen' LEFT JOIN joined b ON b.conv_id = c.conv_id AND b.part = 'rejected'
 """
 
-ORACLES: dict[str, str] = {"op5_mixing": OP5, "op6_chat": OP6, "op7_exact_dedup": OP7}
+OP11 = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, length(text) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM hashed
+), chosen AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), cut AS (
+  SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM chosen
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+def _lloyd(k: int, rounds: int) -> str:
+    """The rounds one after the other, each as tables of its own."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (
+  SELECT row_id, c, list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(x, m)])::BIGINT AS d FROM kept, c{r}
+), a{r} AS MATERIALIZED (SELECT row_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY row_id)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT c, i, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM (SELECT a.c, unnest(x) AS v, unnest(range(64)) AS i FROM a{r} a JOIN kept USING (row_id)) GROUP BY c, i),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(any_value(f.m), any_value(c{r}.m)) AS m FROM c{r} LEFT JOIN (SELECT c, list(v ORDER BY i) AS m FROM s{r} GROUP BY c) f USING (c) GROUP BY c)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, [floor(64 * v::DOUBLE)::BIGINT for v in embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([v for v in embedding if v IS NOT NULL AND isfinite(v) AND abs(64 * v::DOUBLE) <= 134217728]) = 64
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, x) - 1)::INT AS c, x AS m FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, 'null')) AS h, x FROM kept ORDER BY h, x LIMIT {k})
+), {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row_id) JOIN c{rounds} USING (c)
+"""
+
+
+OP12 = _lloyd(16, 3)
+
+ORACLES: dict[str, str] = {"op5_mixing": OP5, "op6_chat": OP6, "op7_exact_dedup": OP7, "op11_fim": OP11, "op12_clustering": OP12}

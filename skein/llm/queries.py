@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, media, mixing, near_dedup, quality, secrets, toxicity, warc
+from . import bpe, chat, clustering, exact_dedup, fim, media, mixing, near_dedup, packing, quality, secrets, toxicity, warc
 from .common import table
 
 
@@ -57,4 +57,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_near_dedup, op5_mixing, op6_chat, op7_exact_dedup, op8_secrets, op9_media, op10_quality)}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.restored(fim.transformed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_warc, op3_toxicity, op4_near_dedup, op5_mixing, op6_chat, op7_exact_dedup, op8_secrets, op9_media, op10_quality, op11_fim, op12_clustering, op13_packing)}
