@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..bundle import GraphBundle
 from ..functions.storage import cut
 from ..functions.text import digest, escaped, last_segment
-from . import traverse
+from . import scopes, traverse, visibility
 
 PREFIX = "proxy.unresolved:"
 
@@ -75,51 +75,166 @@ def _within_family(key: Column, language: str = "language") -> Column:
     return F.concat_ws("|", family(language), key)
 
 
-def cross_file_calls(graph: GraphBundle) -> GraphBundle:
-    """Calls to names that no unit has bind to the one unit of that name anywhere (inferred) in the languages of their family.
+def lexical_calls(graph: GraphBundle) -> GraphBundle:
+    """Calls marked with a ``bare_name`` bind to the callable of that name in the nearest unit around them, the caller included.
 
-    A name of a type and a method ('Type.method') goes to that method, any other by its last segment to a free function;
-    several candidates make the call uncertain.
+    One that the nearest such unit declares more than once points to its overloads, uncertain.
     """
     nodes, edges = graph.nodes, GraphBundle.conform(graph.edges, "edges")
-    free = nodes.where("kind = 'function'").select(_within_family(F.col("name")).alias("name"), "id")
+    bare = F.get_json_object("attrs", "$.bare_name")
+    calls = edges.where("kind = 'calls'").where(bare.isNotNull() & _unblocked("binding_blocked"))
+    contains = edges.where("kind = 'contains'").select("src", "dst")
+    callables = nodes.where("kind in ('function', 'method')").select(F.col("id").alias("dst"), "name")
+    declared = contains.join(callables, "dst").select(F.col("src").alias("scope"), "name", F.col("dst").alias("id"))
+    found = scopes.lookup(calls.select(F.col("edge_seq").alias("ref_id"), F.col("src").alias("scope"), bare.alias("name")), scopes.tree(contains), declared)
+    several = found.where("n > 1").select("ref_id")
+    at = found.select(F.col("ref_id").alias("edge_seq"), "node_id", F.col("n").alias("__n"))
+    owner = _overload_owners(calls, several, contains, declared)
+    out = edges.join(at, "edge_seq", "left").join(owner, "edge_seq", "left")
+    out = out.withColumn("dst", F.coalesce("node_id", F.concat("__owner", F.lit("."), bare, F.lit("@overload")), "dst"))
+    out = out.withColumn("confidence", F.when(F.col("node_id").isNotNull(), "certain").when(F.col("__n") > 1, "uncertain").otherwise(F.col("confidence")))
+    return graph.having(edges=GraphBundle.conform(out, "edges"))
+
+
+def _overload_owners(calls: DataFrame, several: DataFrame, contains: DataFrame, declared: DataFrame) -> DataFrame:
+    """(edge_seq, __owner): the unit that declares the name of a call more than once."""
+    asked = calls.join(several, F.col("edge_seq") == F.col("ref_id"), "left_semi").select(F.col("edge_seq").alias("ref_id"), F.col("src").alias("scope"), F.get_json_object("attrs", "$.bare_name").alias("name"))
+    owners = declared.select("scope", "name", F.col("scope").alias("id")).distinct()
+    return scopes.lookup(asked, scopes.tree(contains), owners).select(F.col("ref_id").alias("edge_seq"), F.col("node_id").alias("__owner"))
+
+
+#: Attributes of a call that keep it from being bound by its name.
+BLOCKED = ("binding_blocked", "import_binding", "circom_dependency")
+
+
+def _unblocked(*names: str) -> Column:
+    out = F.lit(True)
+    for name in names:
+        out = out & F.coalesce(F.get_json_object("attrs", f"$.{name}"), F.lit("false")).isin("false", "", "0", "null")
+    return out
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, r"[^/]*$", "")
+
+
+def free_functions(graph: GraphBundle) -> DataFrame:
+    """(id, name, language, file_path, attrs) of what a bare call may mean in another file.
+
+    These are functions that no callable holds; in Python, what a module's name is bound to last: a function or a class.
+    """
+    nodes = GraphBundle.conform(graph.nodes, "nodes")
+    owners = graph.edges.where("kind = 'contains'").select(F.col("src").alias("owner"), F.col("dst").alias("id"))
+    kinds = nodes.select(F.col("id").alias("owner"), F.col("kind").alias("owner_kind"))
+    held = owners.join(kinds, "owner").groupBy("id").agg(F.bool_or(F.col("owner_kind").isin("function", "method")).alias("in_callable"), F.bool_or(F.col("owner_kind") != "module").alias("in_unit"))
+    python = F.coalesce(F.col("language") == "python", F.lit(False))
+    inside = F.when(python, F.col("in_unit")).otherwise(F.col("in_callable"))
+    units = nodes.where("kind = 'function' or kind = 'class' and language = 'python'").join(held, "id", "left").where(~F.coalesce(inside, F.lit(False)))
+    last = F.max_by("id", F.struct(F.coalesce("start_line", F.lit(0)), F.coalesce("start_col", F.lit(0)), "id"))
+    final = units.where(python).groupBy("file_path", "name").agg(last.alias("id"))
+    return units.join(final.select("id", F.lit(True).alias("final")), "id", "left").where(~python | F.col("final")).select("id", "name", "language", "file_path", "attrs")
+
+
+def cross_file_calls(graph: GraphBundle) -> GraphBundle:
+    """Calls to bare names that no unit has bind to the one free function of that name that they see (inferred).
+
+    The languages of a family bind together. A name with a receiver is never matched by its last part: only
+    'module.f' goes to f of a module that the caller's module imports, and 'Type.method', where a file states the
+    type, to that method. An uncertain call stays uncertain; several candidates make a call uncertain. Functions of
+    internal linkage are seen from their own file and from files that include it or are included by it (through
+    any number of files); those of headers also from elsewhere, if nothing better answers. Go functions are seen
+    within their package's folder.
+    """
+    nodes, edges = GraphBundle.conform(graph.nodes, "nodes"), GraphBundle.conform(graph.edges, "edges")
+    loose = edges.where("kind = 'calls'").where(_unblocked(*BLOCKED)).join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+    callers = nodes.select(F.col("id").alias("src"), "language", "file_path", F.get_json_object("attrs", "$.go_package").alias("package"))
+    loose = loose.select("edge_seq", "src", "dst").join(callers, "src").where("coalesce(language, '') <> 'erlang'")
+    tail = F.substring_index("dst", ":", -1)
+    bare = ~F.col("dst").contains("::") & ~F.col("dst").contains("->") & ~tail.contains(".")
+    in_package = lambda package, key: F.when(package.isNotNull(), F.concat_ws("|", F.lit("go"), _folder(F.col("file_path")), package, key)).otherwise(_within_family(key))
+    refs = loose.where(bare).select(F.col("edge_seq").alias("ref_id"), F.coalesce("file_path", F.lit("")).alias("module"), in_package(F.col("package"), tail).alias("name"))
+
+    free = free_functions(graph)
+    fact = lambda name: F.get_json_object("attrs", f"$.{name}")
+    c = F.coalesce(F.col("language").isin("c", "cpp", "objc"), F.lit(False))
+    internal = F.coalesce(fact("internal_linkage") == "true", F.lit(False)) | c & F.coalesce(fact("signature").rlike(r"^(inline\s+)?static\b"), F.lit(False))
+    header = internal & F.coalesce(F.col("file_path").rlike(r"\.(h|hh|hpp|hxx)$"), F.lit(False)) & ~F.col("id").contains("$anonymous")
+    free = free.select("id", F.coalesce("file_path", F.lit("")).alias("module"), internal.alias("internal"), header.alias("header"), _within_family(F.col("name")).alias("name"), F.when(fact("go_package").isNotNull(), in_package(fact("go_package"), F.col("name"))).alias("packaged"))
+    units = cut(free.select("module", "name", "id", "internal", "header").unionByName(free.where("packaged is not null").select("module", F.col("packaged").alias("name"), "id", "internal", "header")))
+    found = visibility.matches(refs, units, visibility.file_imports(graph), either=True).withColumn("unverified", F.lit(False))
+    headers = units.where("header").groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"))
+    loosely = refs.join(found.select("ref_id"), "ref_id", "left_anti").join(headers, "name").select("ref_id", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), "n", F.lit(True).alias("unverified"))
+
+    receivers = loose.where(~bare)
     own = F.regexp_replace(F.substring_index("id", ":", -1), r"@\d+_\d+", "")
-    methods = nodes.where("kind = 'method'").where(F.size(F.split(own, r"\.")) > 1).select(_within_family(F.concat(F.lit("."), F.substring_index(own, ".", -2))).alias("name"), "id")
-    loose = edges.where("kind = 'calls'").join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti").where("coalesce(get_json_object(attrs, '$.binding_blocked'), 'false') <> 'true'")
-    loose = loose.join(nodes.select(F.col("id").alias("src"), "language"), "src", "left")
-    typed = F.col("dst").rlike(r"^[A-Z]\w*\.\w+$")
-    key = F.when(typed, F.concat(F.lit("."), F.col("dst"))).otherwise(last_segment(F.col("dst")))
-    found = unique_matches(loose.select("edge_seq", _within_family(key).alias("ref")), free.unionByName(methods)).select("edge_seq", "node_id", F.col("confidence").alias("c"))
-    out = edges.join(found, "edge_seq", "left").withColumn("dst", F.coalesce("node_id", "dst")).withColumn("confidence", F.coalesce("c", "confidence"))
+    methods = nodes.where("kind = 'method'").where(F.size(F.split(own, r"\.")) > 1).select(_within_family(F.substring_index(own, ".", -2)).alias("ref"), "id")
+    typed = receivers.where(F.col("dst").rlike(r"^[A-Z]\w*\.\w+$")).select(F.col("edge_seq").alias("ref_id"), _within_family(F.col("dst")).alias("ref"))
+    typed = unique_matches(typed, methods.withColumnRenamed("ref", "name")).where("confidence is not null")
+    imported = edges.where("kind = 'imports'").select(F.substring_index("src", ":", 1).alias("importer"), F.col("dst").alias("imported")).distinct()
+    imported = imported.select("importer", "imported", F.explode(F.array_distinct(F.array("imported", last_segment(F.col("imported"))))).alias("qualifier"))
+    qualified = receivers.where("dst like '%.%'").select("edge_seq", F.substring_index("src", ":", 1).alias("importer"), F.expr("substring(dst, 1, length(dst) - length(substring_index(dst, '.', -1)) - 1)").alias("qualifier"), F.substring_index("dst", ".", -1).alias("last"))
+    named = qualified.join(imported, ["importer", "qualifier"]).select("edge_seq", F.concat_ws(":", "imported", "last").alias("id")).join(free.select("id"), "id", "left_semi")
+    modular = named.groupBy(F.col("edge_seq").alias("ref_id")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("only")).select("ref_id", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), "n")
+
+    pick = lambda df, unverified: df.select(F.col("ref_id").alias("edge_seq"), "node_id", unverified.alias("unverified"))
+    never = F.lit(False)
+    bound = pick(found, never).unionByName(pick(loosely, F.col("unverified"))).unionByName(pick(modular, never)).unionByName(pick(typed.join(modular.select("ref_id"), "ref_id", "left_anti"), never))
+    out = edges.join(cut(bound), "edge_seq", "left")
+    grade = F.when(F.col("unverified").isNull(), F.col("confidence")).when(F.col("node_id").isNull() | (F.col("confidence") == "uncertain"), "uncertain").otherwise("inferred")
+    marked = F.to_json(F.map_concat(F.coalesce(F.from_json("attrs", "map<string,string>"), F.from_json(F.lit("{}"), "map<string,string>")), F.create_map(F.lit("include_unverified"), F.lit("true"))))
+    out = out.withColumn("attrs", F.when(F.col("unverified") & F.col("node_id").isNotNull(), marked).otherwise(F.col("attrs"))).withColumn("confidence", grade).withColumn("dst", F.coalesce("node_id", "dst"))
     return graph.having(edges=GraphBundle.conform(out, "edges"))
 
 
+def _type_scopes(graph: GraphBundle, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the tree of units, (scope, name, id) of the types that each unit declares)."""
+    contains = graph.edges.where("kind = 'contains'").select("src", "dst")
+    return scopes.tree(contains), contains.join(types.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("scope"), "name", F.col("dst").alias("id"))
+
+
 def inheritance_links(graph: GraphBundle) -> GraphBundle:
-    """Dangling inherits and implements edges bind to the one type of that name: within the same module first, then anywhere."""
+    """inherits and implements edges bind to types: the nearest one of that name in an enclosing type, else what they name exactly, else the own module's, else the one type of that name."""
     from ..schema import TYPE_KINDS
 
     edges = GraphBundle.conform(graph.edges, "edges")
     types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id", "language")
-    loose = edges.where(F.col("kind").isin("inherits", "implements")).join(graph.nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
+    bases = edges.where(F.col("kind").isin("inherits", "implements")).where(_unblocked("exact_target"))
+    raw = F.substring_index("dst", ":", -1)
+    # Types around the deriving one, from its owner outwards; what modules declare is left to the steps after.
+    tree, declared = _type_scopes(graph, types)
+    inner = declared.join(types.select(F.col("id").alias("scope")), "scope", "left_semi")
+    start = bases.where(~raw.contains(".")).join(tree.select(F.col("node").alias("src"), "up"), "src")
+    near = scopes.lookup(start.select(F.col("edge_seq").alias("ref_id"), F.col("up").alias("scope"), raw.alias("name")), tree, inner).where("node_id is not null").select("ref_id", "node_id")
+    near = cut(near.groupBy("ref_id").agg(F.min("node_id").alias("node_id")))
+    loose = bases.join(graph.nodes.select(F.col("id").alias("dst")), "dst", "left_anti").join(near.select(F.col("ref_id").alias("edge_seq")), "edge_seq", "left_anti")
     loose = loose.join(graph.nodes.select(F.col("id").alias("src"), "language"), "src", "left")
-    near = F.concat(F.substring_index("src", ":", 1), F.lit(":"), last_segment(F.col("dst")))
-    tiers = loose.select(F.col("edge_seq").alias("ref_id"), F.array(F.array(near), F.array(_within_family(last_segment(F.col("dst"))))).alias("tiers"))
+    module = F.concat(F.substring_index("src", ":", 1), F.lit(":"), last_segment(F.col("dst")))
+    tiers = loose.select(F.col("edge_seq").alias("ref_id"), F.array(F.array(module), F.array(_within_family(last_segment(F.col("dst"))))).alias("tiers"))
     index = types.select(_within_family(F.col("name")).alias("name"), "id").unionByName(types.select(F.col("id").alias("name"), "id"))
-    found = tiered_matches(tiers, index).select(F.col("ref_id").alias("edge_seq"), "node_id")
+    found = tiered_matches(tiers, index).unionByName(near).select(F.col("ref_id").alias("edge_seq"), "node_id")
     out = edges.join(found, "edge_seq", "left").withColumn("confidence", F.when(F.col("node_id").isNotNull(), "inferred").otherwise(F.col("confidence"))).withColumn("dst", F.coalesce("node_id", "dst"))
     return graph.having(edges=GraphBundle.conform(out, "edges"))
 
 
 def type_uses(graph: GraphBundle) -> GraphBundle:
-    """type_uses edges from units to the types that their references name: module-qualified first, then the own module, then anywhere; one edge a unit and type."""
+    """type_uses edges from units to the types that their references name; one edge a unit and type.
+
+    A reference with a module means that module's type; any other one the type of that name in the nearest unit
+    around it (its own unit first). What neither finds is looked for in the own module, then anywhere in the family.
+    """
     from ..schema import TYPE_KINDS
 
     types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id", "language")
     index = types.select(_within_family(F.col("name")).alias("name"), "id").unionByName(types.select(F.col("id").alias("name"), "id"))
-    refs = graph.type_refs.join(graph.nodes.select(F.col("id").alias("node_id"), "language"), "node_id", "left").withColumn("ref_id", F.concat_ws("|", "node_id", "role", "ordinal", "path"))
+    # Equal references of a unit are one; each gets a number that the joins carry.
+    plain = graph.type_refs.select("node_id", "name", "module").distinct().join(graph.nodes.select(F.col("id").alias("node_id"), "language"), "node_id", "left")
+    refs = cut(plain.withColumn("ref_id", F.monotonically_increasing_id()))
+    tree, declared = _type_scopes(graph, types)
+    near = cut(scopes.lookup(refs.where("module is null").select("ref_id", F.col("node_id").alias("scope"), "name"), tree, declared).select("ref_id", "node_id"))
+    rest = refs.join(near.select("ref_id"), "ref_id", "left_anti")
     qualified = F.when(F.col("module").isNotNull(), F.array(F.concat_ws(":", "module", "name"))).otherwise(F.array().cast("array<string>"))
     own = F.array(F.concat(F.substring_index("node_id", ":", 1), F.lit(":"), "name"))
-    found = tiered_matches(refs.select("ref_id", F.array(qualified, own, F.array(_within_family(F.col("name")))).alias("tiers")), index)
+    found = tiered_matches(rest.select("ref_id", F.array(qualified, own, F.array(_within_family(F.col("name")))).alias("tiers")), index).unionByName(near.where("node_id is not null"))
     pairs = refs.select("ref_id", F.col("node_id").alias("src")).join(found, "ref_id").select("src", F.col("node_id").alias("dst")).where("src <> dst").distinct()
     edges = GraphBundle.conform(graph.edges, "edges")
     fresh = pairs.join(edges.where("kind = 'type_uses'").select("src", "dst"), ["src", "dst"], "left_anti")

@@ -207,9 +207,11 @@ ORACLES: dict[str, str] = {
         SELECT 'supplier:1' AS node, 0 AS hops UNION ALL SELECT 'part:' || l_partkey, 1 FROM last
         UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 2 FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM last)
         UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 2 FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM last) AND l_suppkey <> 1""",
-    "g_cross_file_calls": _with(PROGRAM) + """, hits AS (SELECT name, CASE speech WHEN 0 THEN 'go' ELSE 'jvm' END AS family, count(*) AS n, min(id) AS only_id FROM units GROUP BY ALL)
-        SELECT 'order:' || l_orderkey AS src, CASE WHEN k = 1 THEN one ELSE 'lib.' || p_name END AS dst, CASE WHEN k = 1 THEN 'inferred' WHEN k > 1 THEN 'uncertain' ELSE 'certain' END AS confidence, count(*) AS n
-        FROM named LEFT JOIN (SELECT name, family, n AS k, only_id AS one FROM hits) h ON h.name = p_name AND h.family = named.family GROUP BY ALL""",
+    "g_cross_file_calls": _with(PROGRAM.replace("SELECT l_orderkey, l_suppkey, p_name", "SELECT l_orderkey, l_suppkey, l_partkey, l_linenumber, l_returnflag, p_name")) + """, hits AS (SELECT name, CASE speech WHEN 0 THEN 'go' ELSE 'jvm' END AS family, count(*) AS n, min(id) AS only_id FROM units GROUP BY ALL),
+        calls AS (SELECT 'order:' || l_orderkey AS src, l_linenumber % 3 AS how, CASE WHEN l_returnflag = 'R' THEN 'uncertain' ELSE 'certain' END AS grade, p_name, l_partkey, h.n AS k, only_id
+          FROM named LEFT JOIN hits h ON h.name = p_name AND h.family = named.family)
+        SELECT src, CASE how WHEN 0 THEN 'part:' || l_partkey WHEN 2 THEN 'lib.' || p_name ELSE CASE WHEN k = 1 THEN only_id ELSE 'order:' || p_name END END AS dst,
+        CASE WHEN how = 2 OR how = 1 AND k IS NULL THEN grade WHEN how = 1 AND k > 1 THEN 'uncertain' WHEN grade = 'uncertain' THEN grade ELSE 'inferred' END AS confidence, count(*) AS n FROM calls GROUP BY ALL""",
     "g_inherit_links": _with(PROGRAM) + """, wanted AS (SELECT id AS src, 'Supplier#' || lpad((s_suppkey + 3)::VARCHAR, 9, '0') AS base, family FROM suppliers)
         SELECT w.src, coalesce(min(CASE WHEN n.n = 1 THEN n.id END), any_value(w.base)) AS dst, 'inferred' AS confidence FROM wanted w
         LEFT JOIN (SELECT name, family, count(*) AS n, min(id) AS id FROM suppliers GROUP BY ALL) n ON n.name = w.base AND n.family = w.family GROUP BY w.src""",
@@ -227,4 +229,39 @@ ORACLES: dict[str, str] = {
         CASE rule WHEN 'main' THEN 'trusted_internal' WHEN 'erlang-export' THEN 'semi_trusted_external' ELSE 'untrusted_external' END AS trust_level,
         CASE rule WHEN 'main' THEN 'low' WHEN 'erlang-export' THEN 'medium' ELSE 'high' END AS asset_value FROM r WHERE rule IS NOT NULL""",
 }
-ORACLES |= {f"{name}_whole": ORACLES[name] for name in ("g_tightest_owner", "g_binary_gaps", "g_mapped_spans")}
+
+_IMPORTS = r"""
+files AS (SELECT count(*) AS files FROM supplier),
+imports AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'supplier:' || l_orderkey % files AS dst FROM lineitem, files WHERE l_quantity >= 47 AND l_linenumber = 1 AND l_returnflag <> 'N'),
+sees AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'supplier:' || l_suppkey AS dst FROM lineitem UNION SELECT 'supplier:' || s_suppkey, 'supplier:' || s_suppkey FROM supplier
+  UNION SELECT s.src, i.dst FROM sees s JOIN imports i ON i.src = s.dst)"""
+
+ORACLES |= {
+    "g_scope_lookup": """WITH said AS (
+          SELECT 'customer:' || c_custkey AS scope, 's' || c_custkey % 40 AS name, 'customer:' || c_custkey AS id FROM customer WHERE c_custkey % 3 = 0
+          UNION ALL SELECT 'nation:' || s_nationkey, 's' || s_suppkey % 40, 'supplier:' || s_suppkey FROM supplier
+          UNION ALL SELECT 'region:' || n_regionkey, 's' || n_nationkey % 40, 'nation:' || n_nationkey FROM nation
+        ), declared AS (SELECT scope, name, count(DISTINCT id) AS n, min(id) AS only_id FROM said GROUP BY scope, name),
+        chain AS (SELECT o_orderkey, 's' || o_orderkey % 40 AS name, unnest(['customer:' || o_custkey, 'nation:' || c_nationkey, 'region:' || n_regionkey]) AS scope, unnest([1, 2, 3]) AS distance
+          FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+        hit AS (SELECT o_orderkey, arg_min({'n': n, 'id': only_id}, distance) AS b, min(distance) AS distance FROM chain JOIN declared USING (scope, name) GROUP BY o_orderkey)
+        SELECT o_orderkey AS ref_id, CASE WHEN b.n = 1 THEN b.id END AS node_id, b.n AS n, distance::BIGINT AS distance FROM hit""",
+    "g_visible_calls": _with(_IMPORTS, recursive=True) + """, units AS (SELECT DISTINCT 'supplier:' || l_suppkey AS module, 'f' || l_partkey % 400 AS name, 'supplier:' || l_suppkey || '/f' || l_partkey % 400 AS id, l_partkey % 400 >= 20 AS internal FROM lineitem),
+        refs AS (SELECT DISTINCT 'supplier:' || l_suppkey AS module, 'f' || l_orderkey * 7 % 400 AS name FROM lineitem)
+        SELECT r.module || '>' || r.name AS ref_id, CASE WHEN count(DISTINCT u.id) = 1 THEN min(u.id) END AS node_id, count(DISTINCT u.id) AS n
+        FROM refs r JOIN units u ON u.name = r.name WHERE NOT u.internal OR EXISTS (SELECT 1 FROM sees s WHERE s.src = r.module AND s.dst = u.module) GROUP BY r.module, r.name""",
+    "g_module_sight": _with(_IMPORTS, recursive=True) + """ SELECT a.src AS module, (SELECT min(b.dst) FROM sees b JOIN sees c ON c.src = b.dst AND c.dst = a.src WHERE b.src = a.src) AS component, count(*)::BIGINT AS n FROM sees a GROUP BY a.src""",
+    "g_export_tables": """WITH RECURSIVE files AS (SELECT count(*) AS files FROM supplier),
+        declared AS (SELECT 'm' || p_partkey % files AS module, 'p' || p_partkey * 3 % 50 AS name, 'part:' || p_partkey AS id FROM part, files WHERE p_size > 44),
+        aliases AS (SELECT DISTINCT 'm' || l_suppkey % files AS module, 'p' || l_partkey % 50 AS name, 'm' || l_orderkey % files AS tm, 'p' || l_orderkey * 11 % 50 AS tn FROM lineitem, files WHERE l_linenumber = 2 AND l_quantity >= 45),
+        own AS (SELECT module, name, count(DISTINCT id) AS n, min(id) AS id FROM declared GROUP BY ALL),
+        follow AS (SELECT module, name, min(tm) AS tm, min(tn) AS tn FROM aliases a WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.module = a.module AND o.name = a.name) GROUP BY module, name HAVING count(*) = 1),
+        named AS (SELECT module, name FROM own UNION SELECT module, name FROM aliases),
+        stars AS (SELECT 'm' || s_suppkey % files AS module, 'm' || (s_suppkey * 7 + 1) % files AS tm FROM supplier, files WHERE s_suppkey % 3 <> 0 UNION SELECT 'm' || s_suppkey % files, 'm' || (s_suppkey * 5 + 2) % files FROM supplier, files WHERE s_suppkey % 4 = 0),
+        names AS (SELECT DISTINCT 'p' || k AS name FROM range(50) t(k)),
+        step AS MATERIALIZED (SELECT * FROM follow UNION ALL SELECT s.module, x.name, s.tm, x.name FROM stars s, names x WHERE NOT EXISTS (SELECT 1 FROM named k WHERE k.module = s.module AND k.name = x.name)),
+        requests AS (SELECT DISTINCT 'm' || l_suppkey % files AS module, 'p' || l_partkey % 50 AS name FROM lineitem, files),
+        walk AS (SELECT module, name, module AS am, name AS an FROM requests UNION SELECT w.module, w.name, s.tm, s.tn FROM walk w JOIN step s ON s.module = w.am AND s.name = w.an),
+        ends AS (SELECT w.module, w.name, count(DISTINCT o.id) AS n, min(o.id) AS only_id FROM walk w JOIN own o ON o.module = w.am AND o.name = w.an AND o.n = 1 GROUP BY ALL)
+        SELECT r.module, r.name, CASE WHEN n = 1 THEN only_id END AS node_id, coalesce(n, 0) AS n FROM requests r LEFT JOIN ends USING (module, name)""",
+}

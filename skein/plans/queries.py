@@ -11,7 +11,7 @@ from ..bundle import GraphBundle
 from ..engine import QueryEngine
 from ..functions.storage import cut
 from ..functions.text import escaped
-from ..operators import diffing, intervals, linking, lookup, metrics, preanalysis, traverse, views
+from ..operators import diffing, exports, intervals, linking, lookup, metrics, preanalysis, scopes, traverse, views, visibility
 from . import projection as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,10 +452,15 @@ def _program(spark, d):
     unit = lambda df, kind, key, name, what: df.select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("id"), F.col(name).cast("string").alias("name"), F.lit(what).alias("kind"), speech(key).alias("language"), F.lit("{}").alias("attrs"), F.col(key).cast("long").alias("node_seq"))
     nodes = unit(part, "part", "p_partkey", "p_name", "function").unionByName(unit(order, "order", "o_orderkey", "o_orderkey", "function")).unionByName(unit(supplier, "supplier", "s_suppkey", "s_name", "class"))
     lines = P.table(spark, d, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    calls = lines.select(F.monotonically_increasing_id().alias("edge_seq"), F.concat(F.lit("order:"), F.col("l_orderkey")).alias("src"), F.concat(F.lit("lib."), F.col("p_name")).alias("dst"), F.lit("calls").alias("kind"), F.lit("certain").alias("confidence"))
+    # A third of the lines name a part alone, a third through an imported module, a third through some receiver.
+    target = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("order:"), F.col("p_name"))).when(F.col("l_linenumber") % 3 == 2, F.concat(F.lit("lib."), F.col("p_name"))).otherwise(F.concat(F.lit("part."), F.col("l_partkey")))
+    grade = F.when(F.col("l_returnflag") == "R", "uncertain").otherwise("certain")
+    calls = lines.select(F.monotonically_increasing_id().alias("edge_seq"), F.concat(F.lit("order:"), F.col("l_orderkey")).alias("src"), target.alias("dst"), F.lit("calls").alias("kind"), grade.alias("confidence"))
     bases = supplier.select((-F.col("s_suppkey") - 1).alias("edge_seq"), F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("src"), F.concat(F.lit("Supplier#"), F.format_string("%09d", F.col("s_suppkey") + 3)).alias("dst"), F.lit("inherits").alias("kind"), F.lit("inferred").alias("confidence"))
     refs = lines.select(F.concat(F.lit("order:"), F.col("l_orderkey")).alias("node_id"), F.lit(0).alias("role"), F.col("l_linenumber").alias("ordinal"), F.concat_ws(".", "l_partkey", "l_suppkey").alias("path"), F.concat(F.lit("Supplier#"), F.format_string("%09d", F.col("l_suppkey"))).alias("name"), F.lit(None).cast("string").alias("module"))
-    return GraphBundle(spark, {"nodes": nodes, "edges": cut(calls.unionByName(bases)), "type_refs": refs})
+    imports = spark.createDataFrame([(-1 << 40, "order", "part", "imports", "certain")], calls.schema)
+    edges = calls.unionByName(bases).unionByName(imports).withColumn("attrs", F.lit("{}"))
+    return GraphBundle(spark, {"nodes": nodes, "edges": cut(edges), "type_refs": refs})
 
 
 @query
@@ -522,6 +527,54 @@ def g_shipped_rules(spark, d):
     return entrypoints.tagged(nodes, entrypoints.RULES).select("node_id", "rule", "kind", "trust_level", "asset_value")
 
 
-# Names under which the same queries were known while others of these names read a part of the suppliers.
-for _name in ("g_tightest_owner", "g_binary_gaps", "g_mapped_spans"):
-    QUERIES[f"{_name}_whole"] = QUERIES[_name]
+@query
+def g_scope_lookup(spark, d):
+    """Orders look names up outwards: in the customer that holds them, its nation, its region."""
+    t = lambda name: P.table(spark, d, name)
+    own = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key))
+    held = lambda df, kind, key, outer, outer_key: df.select(own(kind, key).alias("node"), own(outer, outer_key).alias("up"))
+    parents = held(t("orders"), "order", "o_orderkey", "customer", "o_custkey").unionByName(held(t("customer"), "customer", "c_custkey", "nation", "c_nationkey")).unionByName(held(t("nation"), "nation", "n_nationkey", "region", "n_regionkey"))
+    says = lambda df, scope, key, unit: df.select(scope.alias("scope"), F.concat(F.lit("s"), F.col(key) % 40).alias("name"), own(unit, key).alias("id"))
+    declared = says(t("customer").where("c_custkey % 3 = 0"), own("customer", "c_custkey"), "c_custkey", "customer")
+    declared = declared.unionByName(says(t("supplier"), own("nation", "s_nationkey"), "s_suppkey", "supplier")).unionByName(says(t("nation"), own("region", "n_regionkey"), "n_nationkey", "nation"))
+    refs = t("orders").select(F.col("o_orderkey").alias("ref_id"), own("order", "o_orderkey").alias("scope"), F.concat(F.lit("s"), F.col("o_orderkey") % 40).alias("name"))
+    return scopes.lookup(refs, parents, declared)
+
+
+@query
+def g_visible_calls(spark, d):
+    """Lines call units of suppliers by name; units of internal linkage are seen through imports, which run in cycles."""
+    li = P.table(spark, d, "lineitem")
+    files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
+    module = F.concat(F.lit("supplier:"), F.col("l_suppkey"))
+    imports = li.where("l_quantity >= 47 and l_linenumber = 1 and l_returnflag <> 'N'").join(files).select(module.alias("src"), F.concat(F.lit("supplier:"), F.col("l_orderkey") % F.col("files")).alias("dst"))
+    units = li.select(module.alias("module"), F.concat(F.lit("f"), F.col("l_partkey") % 400).alias("name"), F.concat(module, F.lit("/f"), F.col("l_partkey") % 400).alias("id"), (F.col("l_partkey") % 400 >= 20).alias("internal")).distinct()
+    refs = li.select(module.alias("module"), F.concat(F.lit("f"), F.col("l_orderkey") * 7 % 400).alias("name")).distinct().withColumn("ref_id", F.concat_ws(">", "module", "name"))
+    return visibility.matches(refs, units, imports)
+
+
+@query
+def g_module_sight(spark, d):
+    """How many suppliers each supplier sees over the same imports, by components."""
+    li = P.table(spark, d, "lineitem")
+    files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
+    module = F.concat(F.lit("supplier:"), F.col("l_suppkey"))
+    imports = li.where("l_quantity >= 47 and l_linenumber = 1 and l_returnflag <> 'N'").join(files).select(module.alias("src"), F.concat(F.lit("supplier:"), F.col("l_orderkey") % F.col("files")).alias("dst"))
+    seen = visibility.sight(imports, P.table(spark, d, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("module")))
+    sizes = seen.member.groupBy(F.col("component").alias("target")).agg(F.count("*").alias("size"))
+    return seen.member.where("module like 'supplier:%'").join(seen.pairs, "component").join(sizes, "target").groupBy("module", "component").agg(F.sum("size").alias("n"))
+
+
+@query
+def g_export_tables(spark, d):
+    """Names of parts exported by suppliers: declared, passed on under other names, or re-exported whole."""
+    li, part = P.table(spark, d, "lineitem"), P.table(spark, d, "part")
+    files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
+    called = lambda key: F.concat(F.lit("p"), key % 50)
+    place = lambda key: F.concat(F.lit("m"), key % F.col("files"))
+    declared = part.where("p_size > 44").join(files).select(place(F.col("p_partkey")).alias("module"), called(F.col("p_partkey") * 3).alias("name"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"))
+    aliases = li.where("l_linenumber = 2 and l_quantity >= 45").join(files).select(place(F.col("l_suppkey")).alias("module"), called(F.col("l_partkey")).alias("name"), place(F.col("l_orderkey")).alias("to_module"), called(F.col("l_orderkey") * 11).alias("to_name"))
+    supplier = P.table(spark, d, "supplier").join(files)
+    stars = supplier.where("s_suppkey % 3 <> 0").select(place(F.col("s_suppkey")).alias("module"), place(F.col("s_suppkey") * 7 + 1).alias("to_module")).unionByName(supplier.where("s_suppkey % 4 = 0").select(place(F.col("s_suppkey")).alias("module"), place(F.col("s_suppkey") * 5 + 2).alias("to_module")))
+    requests = li.join(files).select(place(F.col("l_suppkey")).alias("module"), called(F.col("l_partkey")).alias("name")).distinct()
+    return exports.resolved(requests, declared, aliases, stars)

@@ -75,7 +75,7 @@ def assembled(spark: SparkSession, found: DataFrame) -> GraphBundle:
 
 def linked(graph: GraphBundle) -> GraphBundle:
     """The passes after parsing, in order; the linked graph is stored."""
-    return linking.normalised(linking.inheritance_links(linking.cross_file_calls(graph))).materialised()
+    return linking.normalised(linking.inheritance_links(linking.cross_file_calls(linking.lexical_calls(graph)))).materialised()
 
 
 def parse_text(spark: SparkSession, files: dict[str, tuple[str, str]]) -> GraphBundle:
