@@ -18,8 +18,8 @@
    table of counts by task and length) plus the rank within the task. Every piece then
    looks its range up by a binary search in the broadcast plan.
 
-Nothing orders or gathers documents: two joins on small tables, one shuffle of narrow
-rows (no ids, no texts). The plan's size depends on the capacity and the pattern limit,
+Nothing orders or gathers documents: one join with a small table, for which narrow rows
+(no ids, no texts) are shuffled once. The plan's size depends on the capacity and the pattern limit,
 not on the number of documents.
 
 Defined cases: a null or empty text is one piece, the end id alone; repeated rows and
@@ -45,14 +45,18 @@ from . import common
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker keeps: so many, none longer than so many characters.
-CACHED, LONGEST = 1 << 18, 64
+CACHED, LONGEST = 1 << 19, 64
 #: Patterns offered to the fit, and its steps.
 PATTERNS, STEPS = 30_000, 400
 #: What a waste costs in the fit.
 THRIFT = 1.0
-_PRINTABLE = re.compile(r"[!-~]+").fullmatch
-#: Fixed value: how the vocabulary splits words of printable ASCII, lower case.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+#: Words of these signs go to the model at once: printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Fixed value: how the vocabulary splits such words in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: Byte-level vocabularies write each byte as a sign: the visible ones of Latin-1 as themselves, the others from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+").split
 _ODD_BLANKS = re.compile(r"[\x1c-\x1f]").search
 
@@ -66,22 +70,28 @@ class Words:
         self.whole = Tokenizer.from_str(definition)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.known = self.whole.model, {}
-        # Words of printable ASCII go to the model at once where the vocabulary splits them as stated.
-        probe = "It's 42nd-rate: they'll #say@ \"x_y\" don't-we've I'm you're he'd..!"
+        # The short way is taken only where it gives what the library gives.
+        letters = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+        probe = f"It's 42nd-rate: they'll #say@ \"x_y\" don't-we've I'm you're he'd..! {letters} ß'Été-7ÿ'ø. {' '.join(letters)}"
         self.direct = [self._parts(w) for w in probe.split()] == [self._whole(w) for w in probe.split()]
 
     def _whole(self, word: str) -> bytes:
         return np.asarray(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _parts(self, word: str) -> bytes:
-        return np.asarray([t.id for part in _PARTS(word.lower()) for t in self.model.tokenize(part)], "<u4").tobytes()
+        word = word.lower()
+        if word.isascii():
+            found = [t.id for part in _PARTS(word) for t in self.model.tokenize(part)]
+        else:
+            found = [t.id for part in _PARTS(word) for t in self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))]
+        return np.asarray(found, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         words = _BLANKS(text) if _ODD_BLANKS(text) else text.split()
         known, fresh = self.known, {}
         for word in set(words).difference(known):
-            ids = self._parts(word) if self.direct and _PRINTABLE(word) and "<|" not in word else self._whole(word)
+            ids = self._parts(word) if self.direct and _PLAIN(word) and "<|" not in word else self._whole(word)
             if len(known) < CACHED and len(word) <= LONGEST:
                 known[word] = ids
             else:
@@ -302,10 +312,11 @@ def packed(made: DataFrame, capacity: int = CAPACITY, most: int = PATTERNS, step
     spark: SparkSession = made.sparkSession
     counts = common.stored(made.groupBy("task", "length").agg(F.count("*").alias("n")), "length-counts")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).hint("merge")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     known = spark.sparkContext.broadcast(ranges(plan(histogram, capacity, most, steps)))
     rest = [c for c in made.columns if c not in ("task", "rank")]
+    # The table of counts grows with the tasks, and packs far smaller than it is: it is not to be broadcast.
     ranked = made.join(starts, ["task", "length"]).select(*rest, (F.col("before") + F.col("rank")).alias("rank"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
