@@ -71,7 +71,8 @@ class GraphBundle:
             out[name] = self.conform(getattr(self, name), name).unionByName(self.conform(getattr(other, name), name))
         out["subgraphs"] = self.subgraphs.unionByName(other.subgraphs).distinct()
         both = self.dependencies.withColumn("side", F.lit(0)).unionByName(other.dependencies.withColumn("side", F.lit(1)))
-        out["dependencies"] = both.groupBy("name").agg(F.min(F.struct("side", "seq")).alias("at")).select((F.col("at.side") * F.lit(1 << 32) + F.col("at.seq")).alias("seq"), "name")
+        shift = (self.dependencies.agg(F.max("seq")).first()[0] or 0) + 1
+        out["dependencies"] = both.groupBy("name").agg(F.min(F.struct("side", "seq")).alias("at")).select((F.col("at.side") * F.lit(shift) + F.col("at.seq")).alias("seq"), "name")
         return GraphBundle(self.spark, out)
 
     def namespaced(self, root: str) -> GraphBundle:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..bundle import GraphBundle
 from ..schema import ASSET_VALUES, ENTRYPOINT_KINDS, TRUST_LEVELS
 
-_ATTR = "coalesce(get_json_object(attrs, '$.{0}'), '')"
+#: What frontends leave in ``attrs`` for the rules; it is parsed once a node.
+FACTS = ("decorators", "signature", "visibility", "owner", "exported", "executable", "owner_decorators", "schema_role")
+_ATTR = "coalesce(facts.{0}, '')"
 _DECORATORS, _SIGNATURE, _VISIBILITY, _OWNER, _EXPORTED = (_ATTR.format(x) for x in ("decorators", "signature", "visibility", "owner", "exported"))
 _CALLABLE = "kind in ('function', 'method')"
 #: What a rule makes of a node.
@@ -28,7 +30,7 @@ def _has(fact: str, pattern: str) -> str:
     return f"{fact} rlike '{pattern}'".replace("\\", "\\\\")
 
 
-#: Rules over the facts that frontends leave in ``attrs``: decorators, signature (the whole head), visibility, owner (kind and head), exported.
+#: Rules over ``FACTS``: the signature is the whole head, the owner its kind and head.
 RULES: list[dict] = [
     _rule("main", None, f"{_CALLABLE} and name in ('main', 'vb_main') and {_ATTR.format('executable')} <> 'false'", ("user_input", "trusted_internal", "low"), 0),
     _rule("python-http", "python", _has(_DECORATORS, r"@[\w.]*\b\w+\.(route|get|post|put|patch|delete|head|options|trace|websocket)\(")),
@@ -73,19 +75,35 @@ RULES: list[dict] = [
 
 
 def tagged(nodes: DataFrame, rules: list[dict]) -> DataFrame:
-    """(node_id, kind, trust_level, asset_value, description, rule): of the rules that hold the last of the highest layer wins."""
-    hits = None
+    """(node_id, kind, trust_level, asset_value, description, rule): of the rules that hold the last of the highest layer wins.
+
+    A node is held against the rules of its language and those of all languages only, from the last one down, until one holds.
+    """
+    if not rules:
+        return nodes.select(F.col("id").alias("node_id"), *[F.lit("").alias(c) for c in ("kind", "trust_level", "asset_value", "description", "rule")]).where("false")
+    order = sorted(range(len(rules)), key=lambda n: (rules[n]["layer"], n), reverse=True)
+
+    def first(mine) -> str:
+        tests = "".join(f" WHEN {rules[n]['when']} THEN {n}" for n in order if mine(rules[n].get("languages")))
+        return f"CASE{tests} END" if tests else "CAST(NULL AS INT)"
+
+    place = first(lambda languages: not languages)
+    spoken = sorted({x for r in rules for x in r.get("languages") or ()})
+    if spoken:
+        cases = "".join(f" WHEN '{x}' THEN {first(lambda languages, own=x: not languages or own in languages)}" for x in spoken)
+        place = f"CASE language{cases} ELSE {place} END"
     tags = []
     for n, r in enumerate(rules):
         kind, trust, asset = r.get("as") or (r["kind"], r["trust"], r["asset"])
-        holds = F.expr(f"({r['when']})")
-        if r.get("languages"):
-            holds = holds & F.col("language").isin(*r["languages"])
-        tags.append(F.when(holds, F.struct(F.lit(r["layer"]).alias("layer"), F.lit(n).alias("seq"), F.lit(kind).alias("kind"), F.lit(trust).alias("trust_level"), F.lit(asset).alias("asset_value"), F.lit(r.get("description", "")).alias("description"), F.lit(r.get("rule", f"rule-{n}")).alias("rule"))))
-    if not tags:
-        return nodes.select(F.col("id").alias("node_id"), *[F.lit("").alias(c) for c in ("kind", "trust_level", "asset_value", "description", "rule")]).where("false")
-    hits = nodes.select(F.col("id").alias("node_id"), F.array_max(F.array(*tags)).alias("t")).where("t is not null")
-    return hits.select("node_id", "t.kind", "t.trust_level", "t.asset_value", "t.description", "t.rule")
+        tags.append(F.struct(F.lit(kind).alias("kind"), F.lit(trust).alias("trust_level"), F.lit(asset).alias("asset_value"), F.lit(r.get("description", "")).alias("description"), F.lit(r.get("rule", f"rule-{n}")).alias("rule")))
+    fields = ", ".join(f"{name} string" for name in FACTS)
+    facts = f"from_json(attrs, '{fields}')" if "attrs" in nodes.columns else f"CAST(NULL AS STRUCT<{fields.replace(' ', ':')}>)".replace(",:", ",")
+    # As an argument of a lambda the attributes are parsed once a node, whatever the number of rules that look at them; a
+    # lambda is also evaluated branch by branch, while code generated for all rules is too long a method to be compiled.
+    # The generator keeps the outcome from being computed both for the filter and for the result.
+    found = F.explode_outer(F.expr(f"transform(array({facts}), facts -> {place})"))
+    hits = nodes.select(F.col("id").alias("node_id"), found.alias("place")).where("place is not null")
+    return hits.select("node_id", F.element_at(F.array(*tags), F.col("place") + 1).alias("t")).select("node_id", "t.*")
 
 
 def overrides(text: str) -> list[dict]:
@@ -98,21 +116,38 @@ def overrides(text: str) -> list[dict]:
         if kind not in ENTRYPOINT_KINDS or trust not in TRUST_LEVELS or asset not in ASSET_VALUES:
             continue
         quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rule = {"layer": 3, "rule": "override", "as": (kind, trust, asset), "description": entry.get("description", "")}
         tests = []
         if "node" in entry:
-            tests.append(f"(id = {quoted(entry['node'])} or id like {quoted('%::' + entry['node'])})")
-        else:
-            if "file_glob" in entry:
-                tests.append(f"file_path rlike {quoted(translate(entry['file_glob']).removesuffix(chr(92) + 'z').removesuffix(chr(92) + 'Z'))}")
-            if "param_type" in entry:
-                tests.append(f"exists(parameters, p -> p.type = {quoted(entry['param_type'])})")
-            if "name_regex" in entry:
-                tests.append(f"name rlike {quoted(entry['name_regex'])}")
+            found.append(rule | {"node": entry["node"]})
+            continue
+        if "file_glob" in entry:
+            tests.append(f"file_path rlike {quoted(translate(entry['file_glob']).removesuffix(chr(92) + 'z').removesuffix(chr(92) + 'Z'))}")
+        if "param_type" in entry:
+            tests.append(f"exists(parameters, p -> p.type = {quoted(entry['param_type'])})")
+        if "name_regex" in entry:
+            tests.append(f"name rlike {quoted(entry['name_regex'])}")
         if tests:
-            found.append({"layer": 3, "rule": "override", "when": " and ".join(tests), "as": (kind, trust, asset), "description": entry.get("description", "")})
+            found.append(rule | {"when": " and ".join(tests)})
     return found
 
 
+def aimed(nodes: DataFrame, rules: list[dict]) -> list[dict]:
+    """``rules`` with those for one ``node`` aimed at its id: the id itself, or else the only id of which it is the part after '::', or what a script of that name would be; the others of that kind go."""
+    names = sorted({r["node"] for r in rules if "node" in r})
+    if not names:
+        return rules
+    wanted = nodes.sparkSession.createDataFrame([(n,) for n in names], "wanted string")
+    # A node answers to its id and to all that may follow one of its "::".
+    tails = F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("id", "::"))), lambda k: F.array_join(F.slice(F.split("id", "::"), k, F.size(F.split("id", "::"))), "::")), lambda t: t != F.col("id"))
+    answers = nodes.select("id", F.explode(F.concat(F.array("id"), tails)).alias("wanted"))
+    hits = answers.join(F.broadcast(wanted), "wanted").groupBy("wanted").agg(F.max(F.when(F.col("id") == F.col("wanted"), F.col("id"))).alias("exact"), F.count_distinct("id").alias("n"), F.min("id").alias("only"))
+    found = {r["wanted"]: r["exact"] or (r["only"] if r["n"] == 1 else None) for r in hits.collect()}
+    found |= {name: unit for name, unit in script_units(nodes, [(n, n) for n in names if n not in found]) if not found.get(name)}
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return [r if "node" not in r else r | {"when": f"id = {quoted(found[r['node']])}"} for r in rules if "node" not in r or found.get(r["node"])]
+
+
 def scripts(pyproject: str) -> list[tuple[str, str]]:
     """(name, 'module:function') of a project file's scripts."""
     project = tomllib.loads(pyproject).get("project", {})
@@ -155,7 +190,7 @@ def detect(graph: GraphBundle, override_text: str | None = None, pyproject_text:
     for name, node_id in script_units(nodes, scripts(pyproject_text)) if pyproject_text else []:
         quoted = node_id.replace("\\", "\\\\").replace("'", "\\'")
         rules.append({"layer": 2, "rule": "script", "when": f"id = '{quoted}'", "as": CLI, "description": f"script {name}"})
-    rules += overrides(override_text) if override_text else []
+    rules += aimed(nodes.where("kind <> 'proxy'"), overrides(override_text)) if override_text else []
     found = tagged(nodes.where("kind <> 'proxy'"), rules)
     evidence = found.join(nodes.select(F.col("id").alias("node_id"), "file_path", "start_line"), "node_id").select(
         F.concat(F.lit("entrypoint:"), F.substring(F.sha2(F.to_json(F.struct(F.col("node_id"), F.col("rule"))), 256), 1, 24)).alias("evidence_id"), "node_id",

@@ -44,7 +44,8 @@ def declarative_files(spark: SparkSession, root: str) -> DataFrame:
     top = os.path.realpath(root) if "://" not in root else root.rstrip("/")
     kinds = ",".join(f"*{e}" for e in EXTENSIONS)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "{" + kinds + "}").load(top if "://" in top else f"file://{top}")
-    path = F.expr(f"substring(path, length('{top}') + locate('{top}', path) + 1)")
+    below = F.instr(F.col("path"), F.lit(top))
+    path = F.substring(F.col("path"), below + F.lit(len(top) + 1), F.length("path"))
     parts = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     inside = found.where(F.col("length") <= LARGEST).select(path.alias("path"), "content")
     return inside.where(~F.exists(parts, lambda p: p.startswith(".") | p.isin(*EXCLUDED)))

@@ -57,3 +57,13 @@ def test_each_language_is_tagged_and_nothing_else(tagged, name):
     assert set(yes.split()) | set(no.split()) <= set(own), sorted(own)
     assert {u for u in yes.split() if own[u] is None} == set()
     assert {u for u in no.split() if own[u] is not None} == set()
+
+
+def test_an_override_names_one_node(spark):
+    """A '_' or '%' of a name is no wildcard; the id itself wins, else the one unit that the name ends."""
+    units = ["a::handleAx", "a::handle_x", "b::twin", "c::twin", "twin::deep", "solo", "z::solo", "pkg.m:go", "q::it's", "x\\y"]
+    nodes = spark.createDataFrame([(u, u.split(":")[-1], "function") for u in units], "id string, name string, kind string")
+    names = ["handle_x", "handle%", "twin", "solo", "m:go", "it's", "none", "x\\y", "a::handleAx"]
+    text = "".join(f"[[entrypoint]]\nnode = '''{n}'''\n" for n in names)
+    rules = entrypoints.aimed(nodes, entrypoints.overrides(text))
+    assert sorted(r["node_id"] for r in entrypoints.tagged(nodes, rules).collect()) == ["a::handleAx", "a::handle_x", "pkg.m:go", "q::it's", "solo", "x\\y"]
