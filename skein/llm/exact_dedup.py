@@ -14,9 +14,10 @@
    texts stay apart. What it finds is the index, one entry a distinct text, sorted
    by bucket and key and written as the owner's own file.
 5. Texts travel to owners only where they can matter: rows whose key is certainly
-   met once (by a bitmap of fixed size, which is broadcast) get their index entry
-   from the key table. The rows of a very common key are combined beforehand in
-   parts, on the map side too, so a hot text reaches its owner as a few rows.
+   met once (by a bitmap of fixed size, which is broadcast) stay where they are, and
+   the index, which is of the texts of shared keys, has no entry for them. The rows
+   of a very common key are combined beforehand in parts, on the map side too, so a
+   hot text reaches its owner as a few rows.
 
 Only DataFrame functions run here. Defined cases: a null text counts as empty;
 repeated doc_ids are rows of their own (each gets a result row); a null doc_id
@@ -89,7 +90,9 @@ def index(rows: DataFrame, keys: DataFrame, capacity: int, *merges: Column) -> D
     known = keys.where(F.col("n") > HOT).orderBy(F.desc("n"), "key").limit(common.HOT_KEYS).select("key").collect()
     if known:
         marked = placed.join(F.broadcast(spark.createDataFrame(known, "key long").withColumn("hot", F.lit(True))), "key", "left")
-        part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS))
+        # Dealt by what a row holds, so that a task that runs anew deals as before; equal rows are combined where they are read.
+        own = [c for c, kind in rows.dtypes if c not in ("key", "text") and not any(k in kind for k in ("map<", "variant"))]
+        part = F.pmod(F.xxhash64(*own) if own else F.lit(0), F.lit(PARTS))
         hot = marked.where("hot").withColumn("part", part).groupBy("bucket", "key", "text", "part").agg(*merges).drop("part")
         placed = marked.where("hot is null").select(hot.columns).unionByName(hot)
     owned = placed.withColumn("owner", owner("bucket", depth, owners)).repartitionById(owners, F.col("owner"))
