@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import intervals
+from ..functions.storage import cut
+from . import intervals, overlay
 
 
 def function_ends(functions: DataFrame) -> DataFrame:
@@ -22,14 +23,39 @@ def clipped(functions: DataFrame, spans: DataFrame) -> DataFrame:
 
 def gaps(functions: DataFrame, spans: DataFrame) -> DataFrame:
     """(artifact, start, end): what selected spans hold outside all functions; these become region nodes."""
-    used = intervals.coalesced(clipped(functions, spans).select("artifact", "start", "end"), ["artifact"])
-    edges = used.select("artifact", "start", "end").unionByName(spans.select("artifact", F.col("s_end").alias("start"), F.col("s_end").alias("end")))
-    before = F.max("end").over(Window.partitionBy("artifact").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    first = spans.groupBy("artifact").agg(F.min("s_start").alias("low"))
-    holes = edges.withColumn("from", before).join(first, "artifact").select("artifact", F.coalesce("from", "low").alias("start"), F.col("start").alias("end")).where("start < end")
-    inside = holes.withColumnsRenamed({"start": "h_start", "end": "h_end"}).join(spans, "artifact")
-    cutout = inside.select("artifact", F.greatest("h_start", "s_start").alias("start"), F.least("h_end", "s_end").alias("end")).where("start < end")
-    return cutout.distinct()
+    own = functions.select("artifact", "start", "end", F.lit(0).alias("source"))
+    free = spans.select("artifact", F.col("s_start").alias("start"), F.col("s_end").alias("end"), F.lit(1).alias("source"))
+    return overlay.overlay(own.unionByName(free), ["artifact"], 2).where("source = 1").drop("source")
+
+
+def pc_relative(instructions: DataFrame, parts: int = overlay.PARTS) -> DataFrame:
+    """``instructions`` with how and target of the second words of call pairs that add to the program counter (RISC-V, LoongArch64).
+
+    ``instructions``: artifact, architecture, byte_order, address, size, bytes (hexadecimal), how, target. The word before
+    one is that of the row before it in ranges of (artifact, address); a range begins with the last row of the one before.
+    """
+    little = F.coalesce(F.col("byte_order") == "little", F.lit(False))
+    swapped = F.concat(*[F.substring("bytes", k, 2) for k in (7, 5, 3, 1)])
+    words = instructions.withColumn("word", F.conv(F.when(little, swapped).otherwise(F.col("bytes")), 16, 10).cast("long"))
+    placed = cut(words.repartitionByRange(parts, "artifact", "address").withColumn("block", F.spark_partition_id()))
+    own = Window.partitionBy("artifact", "block").orderBy("address")
+    state = F.struct("address", "size", "word")
+    tops = placed.groupBy("artifact", "block").agg(F.max_by(state, "address").alias("top"))
+    carried = tops.select("artifact", "block", F.lag("top").over(Window.partitionBy("artifact").orderBy("block")).alias("carried"))
+    paired = placed.join(carried, ["artifact", "block"]).withColumn("before", F.coalesce(F.lag(state).over(own), F.col("carried")))
+    first, second, at = F.col("before.word"), F.col("word"), F.col("before.address").cast("long")
+    bits = lambda word, low, n: F.shiftright(word, low).bitwiseAND(F.lit((1 << n) - 1))
+    signed = lambda value, n: value - F.when(bits(value, n - 1, 1) == 1, F.lit(1 << n)).otherwise(F.lit(0))
+    same = lambda word, mask, want: word.bitwiseAND(F.lit(mask)) == F.lit(want)
+    adjacent = (F.col("before.size") == 4) & (F.col("size") == 4) & (at + 4 == F.col("address")) & (F.col("how") == "indirect")
+    loong = (F.col("architecture") == "loongarch64") & same(first, 0xFE000000, 0x1E000000) & same(second, 0xFC000000, 0x4C000000) & (bits(first, 0, 5) != 0) & (bits(first, 0, 5) == bits(second, 5, 5)) & (bits(second, 0, 5) == 1)
+    risc = F.col("architecture").startswith("riscv") & same(first, 0x7F, 0x17) & same(second, 0x707F, 0x67) & (bits(first, 7, 5) != 0) & (bits(first, 7, 5) == bits(second, 15, 5))
+    far = at + F.shiftleft(signed(bits(first, 5, 20), 20), 18) + F.shiftleft(signed(bits(second, 10, 16), 16), 2)
+    near = (at + signed(first.bitwiseAND(F.lit(0xFFFFF000)), 32) + signed(bits(second, 20, 12), 12)).bitwiseAND(F.lit(-2))
+    found = F.when(adjacent & loong, far).when(adjacent & risc, near)
+    out = paired.withColumn("found", found)
+    kind = dict(instructions.dtypes)["target"]
+    return out.withColumn("how", F.when(F.col("found").isNotNull(), "pc_relative").otherwise(F.col("how"))).withColumn("target", F.coalesce(F.col("found").cast(kind), "target")).select(*instructions.columns)
 
 
 def calls_by_owner(instructions: DataFrame, functions: DataFrame, width: int = 4096) -> DataFrame:
@@ -70,13 +96,9 @@ def aliased(symbols: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def mapped_spans(mappings: DataFrame) -> DataFrame:
-    """Mappings of equal context that touch, as one; gaps are not bridged."""
+    """Mappings of equal context that touch or overlap, as one; gaps are not bridged."""
     by = ["artifact", "node_id", "source_path", "line", "col", "function", "inline_depth"]
-    order = Window.partitionBy(*by).orderBy("start")
-    fresh = F.when(F.lag("end").over(order).eqNullSafe(F.col("start")), 0).otherwise(1)
-    island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    marked = mappings.withColumn("fresh", fresh).withColumn("island", island)
-    return marked.groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    return intervals.coalesced(mappings, by).drop("n")
 
 
 def violations(artifacts: DataFrame, ranges: DataFrame, mappings: DataFrame, nodes: DataFrame) -> DataFrame:

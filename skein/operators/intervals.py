@@ -89,13 +89,12 @@ def tightest(hits: DataFrame, by: list[str], span: Column, tie: list[Column], ke
 def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, parts: int = PARTS) -> DataFrame:
     """Spans of equal ``by`` that touch or overlap (or lie at most ``gap`` apart) as one: by, start, end, n.
 
-    The starts are dealt to ``parts`` blocks; spans are ordered within a block of a key only, and what reaches into a
-    block comes from the blocks' summaries. So no key, however many spans it has, is one task.
+    The spans are dealt to ``parts`` ranges of (key, start) of about equal size; they are ordered within a range only, and
+    what reaches into a range comes from the ranges' summaries. So no key, however many spans it has and wherever they
+    lie, is one task; only spans with one start are together (equal ones as one row with their number).
     """
-    spans = cut(spans.select(*by, F.col(start).alias("s"), F.col(end).alias("e")))
-    low, high = spans.agg(F.min("s"), F.max("s")).first()
-    width = 1 if low is None else (int(high) - int(low)) // parts + 1
-    blocked = spans.withColumn("block", F.floor((F.col("s") - F.lit(low or 0)) / width).cast("long"))
+    spans = spans.groupBy(*by, F.col(start).alias("s"), F.col(end).alias("e")).agg(F.count("*").alias("k"))
+    blocked = cut(spans.repartitionByRange(parts, *[F.col(c) for c in by], F.col("s")).withColumn("block", F.spark_partition_id()))
     same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*by, "block").orderBy("s", "e")
@@ -115,4 +114,4 @@ def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str =
     peers = Window.partitionBy(*by, "block").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     latest = F.coalesce(F.max("fresh").over(peers), F.col("carry"))
     island = beside(fresh, carried(fresh, F.col("fresh"))).withColumn("island", latest)
-    return island.groupBy(*by, "island").agg(F.min("s").alias(start), F.max("e").alias(end), F.count("*").alias("n")).drop("island")
+    return island.groupBy(*by, "island").agg(F.min("s").alias(start), F.max("e").alias(end), F.sum("k").alias("n")).drop("island")

@@ -265,3 +265,40 @@ ORACLES |= {
         ends AS (SELECT w.module, w.name, count(DISTINCT o.id) AS n, min(o.id) AS only_id FROM walk w JOIN own o ON o.module = w.am AND o.name = w.an AND o.n = 1 GROUP BY ALL)
         SELECT r.module, r.name, CASE WHEN n = 1 THEN only_id END AS node_id, coalesce(n, 0) AS n FROM requests r LEFT JOIN ends USING (module, name)""",
 }
+
+ORACLES |= {
+    "g_nearest_declaration": """WITH RECURSIVE bases AS (SELECT DISTINCT 'customer:' || c_custkey AS src, 'customer:' || up AS dst FROM (SELECT c_custkey, unnest([c_custkey // 2, c_custkey // 3]) AS up FROM customer WHERE c_custkey > 3)),
+        methods AS (SELECT 'customer:' || o_custkey AS type, 'n' || (o_orderkey // 4) % 5 AS name, o_orderpriority AS sig, 'order:' || o_orderkey AS id, o_orderstatus <> 'F' AS inheritable FROM orders WHERE o_orderkey % 4 = 0),
+        asked AS (SELECT DISTINCT 'customer:' || o_custkey AS type, 'n' || o_orderkey % 5 AS name FROM orders WHERE o_orderkey % 3 = 0),
+        passed AS (SELECT DISTINCT type, name, sig, id FROM methods WHERE inheritable
+          UNION SELECT b.src, p.name, p.sig, p.id FROM passed p JOIN bases b ON b.dst = p.type WHERE NOT EXISTS (SELECT 1 FROM methods m WHERE m.inheritable AND m.type = b.src AND m.name = p.name AND m.sig = p.sig)),
+        up AS (SELECT type AS root, type AS node FROM asked UNION SELECT up.root, b.dst FROM up JOIN bases b ON b.src = up.node),
+        found AS (SELECT a.type, a.name, m.id, TRUE AS own FROM asked a JOIN methods m USING (type, name)
+          UNION ALL SELECT DISTINCT a.type, a.name, p.id, FALSE FROM asked a JOIN bases b ON b.src = a.type JOIN passed p ON p.type = b.dst AND p.name = a.name
+            WHERE NOT EXISTS (SELECT 1 FROM methods m WHERE m.type = a.type AND m.name = a.name AND m.sig = p.sig)),
+        n AS (SELECT type, name, count(DISTINCT id) AS n, min(id) AS only_id, bool_and(own) AS own FROM found GROUP BY ALL),
+        blocked AS (SELECT DISTINCT a.type, a.name FROM asked a JOIN up u ON u.root = a.type JOIN customer c ON u.node = 'customer:' || c_custkey AND c_custkey % 97 = 5 AND a.name = 'n' || c_custkey % 5),
+        odd AS (SELECT DISTINCT root AS type FROM up WHERE node IN (SELECT dst FROM bases) AND node NOT IN (SELECT 'customer:' || c_custkey FROM customer WHERE c_custkey % 89 <> 3)),
+        graded AS (SELECT a.type, a.name, CASE WHEN b.type IS NOT NULL THEN 'state' WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'uncertain' END AS status, coalesce(n, 0) AS n, only_id, own
+          FROM asked a LEFT JOIN n USING (type, name) LEFT JOIN blocked b ON b.type = a.type AND b.name = a.name)
+        SELECT type, name, status, CASE WHEN status = 'resolved' THEN only_id END AS node_id, n, coalesce(status = 'resolved' AND own AND type NOT IN (SELECT type FROM odd), FALSE) AS own FROM graded WHERE status IS NOT NULL""",
+    "g_mapping_overlay": """WITH s AS (SELECT l_suppkey AS artifact, (l_partkey * 13 + l_orderkey) % 50000 AS b, (l_partkey * 13 + l_orderkey) % 50000 + l_quantity::BIGINT * 3 AS e, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS source FROM lineitem),
+        points AS (SELECT artifact, b AS p FROM s WHERE e > b UNION SELECT artifact, e FROM s WHERE e > b), pieces AS (SELECT artifact, p AS "start", lead(p) OVER (PARTITION BY artifact ORDER BY p) AS "end" FROM points)
+        SELECT p.artifact, "start", "end", min(source)::INT AS source FROM pieces p JOIN s ON s.artifact = p.artifact AND s.b <= p."start" AND s.e > p."start" WHERE "end" IS NOT NULL GROUP BY ALL""",
+    "g_scan_spans": """WITH spans AS (SELECT l_suppkey AS artifact, l_orderkey * 100 AS b, l_orderkey * 100 + 40 + min(l_quantity::BIGINT) AS e, CASE WHEN l_orderkey % 7 = 0 THEN 'thumb' END AS own FROM lineitem GROUP BY l_suppkey, l_orderkey),
+        marks AS (SELECT l_suppkey AS artifact, l_orderkey * 100 + l_partkey % 60 AS p, max(CASE l_returnflag WHEN 'R' THEN 'data' WHEN 'N' THEN 'thumb' ELSE 'arm' END) AS mode FROM lineitem GROUP BY ALL),
+        cuts AS (SELECT artifact, b, e, own, b AS p FROM spans UNION SELECT s.artifact, b, e, own, m.p FROM spans s JOIN marks m ON m.artifact = s.artifact AND m.p > b AND m.p < e),
+        pieces AS (SELECT artifact, b, own, p, coalesce(lead(p) OVER (PARTITION BY artifact, b ORDER BY p), e) AS q FROM cuts),
+        moded AS (SELECT c.artifact, c.p AS "start", c.q AS "end", coalesce(c.own, (SELECT arg_max(m.mode, m.p) FROM marks m WHERE m.artifact = c.artifact AND m.p >= c.b AND m.p <= c.p), 'arm') AS mode FROM pieces c)
+        SELECT * FROM moded WHERE mode <> 'data'""",
+    "g_pc_relative": """WITH w AS (SELECT l_orderkey % 7 AS artifact, l_orderkey * 32 + l_linenumber * 4 AS address, l_linenumber % 2 = 1 AS odd, CASE WHEN l_quantity = 7 THEN 2 ELSE 4 END AS size, l_orderkey % 32 AS r,
+            CASE WHEN l_suppkey % 9 = 0 AND l_orderkey % 7 % 2 = 0 THEN 3 ELSE l_orderkey % 32 END AS r2, l_partkey * 7919 % 1048576 AS wide, l_partkey * 31 % 4096 AS low FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+        p AS (SELECT *, lag(address) OVER o AS a1, lag(size) OVER o AS s1, lag(odd) OVER o AS o1, lag(r) OVER o AS r1, lag(wide) OVER o AS w1 FROM w WINDOW o AS (PARTITION BY artifact ORDER BY address)),
+        sign AS (SELECT *, CASE WHEN w1 >= 524288 THEN w1 - 1048576 ELSE w1 END AS far, CASE WHEN low >= 2048 THEN low - 4096 ELSE low END AS near FROM p WHERE NOT odd AND o1 AND size = 4 AND s1 = 4 AND a1 + 4 = address AND r1 <> 0 AND r1 = r2)
+        SELECT artifact, address, CASE WHEN artifact % 2 = 0 THEN (a1 + far * 4096 + near) // 2 * 2 - CASE WHEN (a1 + far * 4096 + near) < 0 AND (a1 + far * 4096 + near) % 2 <> 0 THEN 2 ELSE 0 END ELSE a1 + far * 262144 + near * 64 END AS target FROM sign""",
+    "g_longest_prefix": r"""WITH t AS (SELECT regexp_extract(url, '^(https?://[^/]*)', 1) AS prefix, 'host' AS value FROM pages WHERE page_id % 17 = 0 UNION SELECT regexp_replace(url, '/[^/]*$', ''), 'v' || page_id % 3 FROM pages WHERE page_id % 3 = 0 UNION SELECT url, 'v' || page_id % 3 FROM pages WHERE page_id % 5 = 0),
+        known AS (SELECT prefix, count(DISTINCT value) AS k, min(value) AS value FROM t GROUP BY prefix),
+        paths AS (SELECT DISTINCT url || CASE WHEN dst LIKE '/%' THEN dst ELSE '/' || dst END AS path FROM (SELECT url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages)),
+        hit AS (SELECT path, arg_max({'p': prefix, 'v': value, 'k': k}, length(prefix)) AS b FROM paths JOIN known ON starts_with(path || '/', prefix || '/') GROUP BY path)
+        SELECT path, b.p AS prefix, b.v AS value FROM hit WHERE b.k = 1""",
+}

@@ -11,7 +11,7 @@ from ..bundle import GraphBundle
 from ..engine import QueryEngine
 from ..functions.storage import cut
 from ..functions.text import escaped
-from ..operators import diffing, exports, intervals, linking, lookup, metrics, preanalysis, scopes, traverse, views, visibility
+from ..operators import binaries, diffing, exports, inheritance, intervals, linking, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, views, visibility
 from . import projection as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,8 +380,6 @@ def _all_functions(spark, d):
 
 @query
 def g_binary_gaps(spark, d):
-    from ..operators import binaries
-
     functions = _all_functions(spark, d)
     spans = functions.groupBy("artifact").agg(F.lit(0).cast("long").alias("s_start"), F.max("end").alias("s_end"))
     return binaries.gaps(functions, spans)
@@ -389,8 +387,6 @@ def g_binary_gaps(spark, d):
 
 def _binary_calls(spark, d):
     """Events dealt over all suppliers and the whole address range; of those at one address the first is the instruction."""
-    from ..operators import binaries
-
     functions = _all_functions(spark, d)
     sizes = P.table(spark, d, "supplier").agg(F.count("*").alias("files")).join(functions.agg(F.max("end").alias("space")))
     found = P.table(spark, d, "events").join(sizes).select("event_id", "event_type", (F.col("user_id") % F.col("files")).alias("artifact"), (F.col("event_id") * 7919 % F.col("space")).alias("address"), (F.col("event_id") * 104_729 % F.col("space")).alias("target"))
@@ -411,8 +407,6 @@ def g_binary_calls_whole(spark, d):
 
 @query
 def g_mapped_spans(spark, d):
-    from ..operators import binaries
-
     li = P.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
     none = F.lit(None).cast("int")
     rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
@@ -493,8 +487,6 @@ def g_deferred_calls(spark, d):
 @query
 def g_tail_calls(spark, d):
     """Jumps from events to the starts of lines, seen as functions of one image a supplier."""
-    from ..operators import binaries
-
     functions = _all_functions(spark, d).groupBy("artifact", "start").agg(F.min("node_id").alias("node_id"), F.max("end").alias("end")).withColumn("name", F.concat(F.when(F.col("start") % 7 == 0, "part.cold.").otherwise("f."), "node_id"))
     files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
     top = P.table(spark, d, "orders").agg(F.max("o_orderkey").alias("top"))
@@ -505,8 +497,6 @@ def g_tail_calls(spark, d):
 @query
 def g_stub_links(spark, d):
     """Suppliers' parts as import stubs, parts as the definitions of their names."""
-    from ..operators import binaries
-
     parts = P.table(spark, d, "part")
     exports = parts.select(F.col("p_name").alias("symbol"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("node_id"))
     stubs = parts.select(F.concat(F.lit("stub:"), F.col("p_partkey")).alias("stub"), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("no "), "p_name")).otherwise(F.col("p_name")).alias("symbol"))
@@ -578,3 +568,67 @@ def g_export_tables(spark, d):
     stars = supplier.where("s_suppkey % 3 <> 0").select(place(F.col("s_suppkey")).alias("module"), place(F.col("s_suppkey") * 7 + 1).alias("to_module")).unionByName(supplier.where("s_suppkey % 4 = 0").select(place(F.col("s_suppkey")).alias("module"), place(F.col("s_suppkey") * 5 + 2).alias("to_module")))
     requests = li.join(files).select(place(F.col("l_suppkey")).alias("module"), called(F.col("l_partkey")).alias("name")).distinct()
     return exports.resolved(requests, declared, aliases, stars)
+
+
+@query
+def g_nearest_declaration(spark, d):
+    """Customers derive from two others each, which makes diamonds; their orders declare names with signatures."""
+    own = lambda key: F.concat(F.lit("customer:"), key)
+    c, o = P.table(spark, d, "customer"), P.table(spark, d, "orders")
+    parents = F.explode(F.array_distinct(F.array(F.floor(F.col("c_custkey") / 2).cast("long"), F.floor(F.col("c_custkey") / 3).cast("long"))))
+    bases = c.where("c_custkey > 3").select(own(F.col("c_custkey")).alias("src"), parents.alias("up")).select("src", own(F.col("up")).alias("dst"))
+    called = lambda key: F.concat(F.lit("n"), key % 5)
+    methods = o.where("o_orderkey % 4 = 0").select(own(F.col("o_custkey")).alias("type"), called(F.col("o_orderkey") / 4).alias("name"), F.col("o_orderpriority").alias("signature"), F.concat(F.lit("order:"), F.col("o_orderkey")).alias("id"), (F.col("o_orderstatus") != "F").alias("inheritable"))
+    methods = methods.withColumn("name", F.regexp_replace("name", r"\.0$", ""))
+    asked = o.where("o_orderkey % 3 = 0").select(own(F.col("o_custkey")).alias("type"), called(F.col("o_orderkey")).alias("name")).distinct()
+    states = c.where("c_custkey % 97 = 5").select(own(F.col("c_custkey")).alias("type"), called(F.col("c_custkey")).alias("name"))
+    known = c.where("c_custkey % 89 <> 3").select(own(F.col("c_custkey")).alias("type"))
+    return inheritance.nearest(asked, bases, methods, states, known)
+
+
+@query
+def g_mapping_overlay(spark, d):
+    """Lines as mappings of their suppliers' images from three sources; every address belongs to the first source that has it."""
+    start = (F.col("l_partkey") * 13 + F.col("l_orderkey")) % 50_000
+    source = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    spans = P.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("artifact"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 3).alias("end"), source.alias("source"))
+    return overlay.overlay(spans, ["artifact"], 3)
+
+
+@query
+def g_scan_spans(spark, d):
+    """Lines as selected spans, cut where other columns of the lines mark a change of mode."""
+    li = P.table(spark, d, "lineitem")
+    base = F.col("l_orderkey") * 100
+    spans = li.groupBy("l_suppkey", "l_orderkey").agg(F.min(F.col("l_quantity").cast("long")).alias("q")).select(F.col("l_suppkey").alias("artifact"), base.alias("start"), (base + 40 + F.col("q")).alias("end"), F.when(F.col("l_orderkey") % 7 == 0, "thumb").alias("mode"))
+    marks = li.select(F.col("l_suppkey").alias("artifact"), (base + F.col("l_partkey") % 60).alias("at"), F.when(F.col("l_returnflag") == "R", "data").when(F.col("l_returnflag") == "N", "thumb").otherwise("arm").alias("mode"))
+    return overlay.scan_spans(spans, marks, "arm")
+
+
+@query
+def g_pc_relative(spark, d):
+    """Words made of lines: those of odd numbers add to the program counter, the next ones jump."""
+    li = P.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    artifact, odd = F.col("l_orderkey") % 7, F.col("l_linenumber") % 2 == 1
+    register = F.col("l_orderkey") % 32
+    wide, low = F.col("l_partkey") * 7919 % (1 << 20), F.col("l_partkey") * 31 % 4096
+    risc = F.when(odd, F.shiftleft(wide, 12) + F.shiftleft(register, 7) + 0x17).otherwise(F.shiftleft(low, 20) + F.shiftleft(F.when(F.col("l_suppkey") % 9 == 0, 3).otherwise(register).cast("long"), 15) + F.lit(0x67 + 128))
+    loong = F.when(odd, F.lit(0x1E000000) + F.shiftleft(wide, 5) + register).otherwise(F.lit(0x4C000000) + F.shiftleft(low * 16, 10) + F.shiftleft(register, 5) + 1)
+    word = F.lpad(F.hex(F.when(artifact % 2 == 0, risc).otherwise(loong).cast("long")), 8, "0")
+    little = artifact % 3 != 0
+    swapped = F.concat(*[F.substring(word, k, 2) for k in (7, 5, 3, 1)])
+    none = F.lit(None).cast("long")
+    rows = li.select(artifact.alias("artifact"), F.when(artifact % 2 == 0, "riscv64").otherwise("loongarch64").alias("architecture"), F.when(little, "little").otherwise("big").alias("byte_order"), (F.col("l_orderkey") * 32 + F.col("l_linenumber") * 4).alias("address"), F.when(F.col("l_quantity") == 7, 2).otherwise(4).alias("size"), F.when(little, swapped).otherwise(word).alias("bytes"), F.when(odd, "none").otherwise("indirect").alias("how"), none.alias("target"))
+    return binaries.pc_relative(rows).where("how = 'pc_relative'").select("artifact", "address", "target")
+
+
+@query
+def g_longest_prefix(spark, d):
+    """Links of pages under the longest of many prefixes of pages; a prefix with two values gives none."""
+    pages = P.table(spark, d, "pages")
+    host = F.regexp_extract("url", r"^(https?://[^/]*)", 1)
+    folder = F.regexp_replace("url", r"/[^/]*$", "")
+    value = F.concat(F.lit("v"), F.col("page_id") % 3)
+    table = pages.where("page_id % 17 = 0").select(host.alias("prefix"), F.lit("host").alias("value")).unionByName(pages.where("page_id % 3 = 0").select(folder.alias("prefix"), value.alias("value"))).unionByName(pages.where("page_id % 5 = 0").select(F.col("url").alias("prefix"), value.alias("value")))
+    paths = P.links(spark, d).select(F.concat("src", F.when(F.col("dst").startswith("/"), F.col("dst")).otherwise(F.concat(F.lit("/"), "dst"))).alias("path"))
+    return prefixes.longest(paths, table)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
 from ..functions.storage import cut
-from ..operators import linking
+from ..operators import inheritance, linking
 from ..schema import SCHEMAS
 from . import languages as L
 from .policy import SourcePolicy
@@ -75,7 +75,7 @@ def assembled(spark: SparkSession, found: DataFrame) -> GraphBundle:
 
 def linked(graph: GraphBundle) -> GraphBundle:
     """The passes after parsing, in order; the linked graph is stored."""
-    return linking.normalised(linking.inheritance_links(linking.cross_file_calls(linking.lexical_calls(graph)))).materialised()
+    return linking.normalised(linking.cross_file_calls(inheritance.inherited_calls(linking.inheritance_links(linking.lexical_calls(graph))))).materialised()
 
 
 def parse_text(spark: SparkSession, files: dict[str, tuple[str, str]]) -> GraphBundle:
