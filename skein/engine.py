@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import render
 from .bundle import GraphBundle
-from .operators import candidates, diffing, entrypoints, findings, imports, lookup, metrics, preanalysis, traverse, views
+from .functions.storage import cut
+from .operators import binaries, candidates, diffing, entrypoints, exports, findings, imports, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, views, visibility
 from .schema import ANNOTATION_KINDS, checked_kinds
 from .sources import ingest, literals, reports
 
@@ -230,8 +231,73 @@ class QueryEngine:
     def subgraph_edges(self, name: str, edge_kinds: Iterable[str] | None = None) -> DataFrame:
         return views.induced(self.graph.edges, self._members(name), edge_kinds)
 
+    # -- names and modules ------------------------------------------------
+
+    def look_up(self, names: DataFrame) -> DataFrame:
+        """(ref_id, node_id, n, distance): ``names`` (ref_id, scope, name) by the nearest unit around ``scope`` that holds a node of the name."""
+        contains = self.graph.edges.where("kind = 'contains'").select("src", "dst")
+        declared = contains.join(self.graph.nodes.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("scope"), "name", F.col("dst").alias("id"))
+        return scopes.lookup(names, scopes.tree(contains), declared)
+
+    def visible_modules(self, name: str) -> DataFrame:
+        """(module): what a module sees through its imports, itself included."""
+        found = self.find(name)
+        asked = self.graph.nodes.where(F.col("id") == F.lit(found)).select(F.col("id").alias("module"))
+        imports_ = self.graph.edges.where("kind = 'imports'").select("src", "dst").join(self.graph.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+        seen = visibility.sight(imports_.select("src", "dst"), asked)
+        return seen.pairs.join(seen.member.withColumnRenamed("component", "target"), "target").select("module").distinct().orderBy("module")
+
+    def exported(self, requests: DataFrame, aliases: DataFrame, stars: DataFrame) -> DataFrame:
+        """(module, name, node_id, n): what exports (module, name) stand for; modules declare what they hold, and pass on ``aliases`` and ``stars``."""
+        held = self.graph.edges.where("kind = 'contains'").select(F.col("src").alias("module"), F.col("dst").alias("id"))
+        declared = held.join(self.graph.nodes.select("id", "name"), "id").join(self.graph.nodes.where("kind = 'module'").select(F.col("id").alias("module")), "module", "left_semi")
+        return exports.resolved(requests, declared.select("module", "name", "id"), aliases, stars)
+
+    def source_at_lines(self, lines: DataFrame, prefixes_: DataFrame | None = None) -> DataFrame:
+        """(path, line, node_id): the smallest callable at each of ``lines`` (path, line), paths remapped by ``prefixes_`` (old, new)."""
+        if prefixes_ is None:
+            prefixes_ = self.spark.createDataFrame([], "old string, new string")
+        return prefixes.source_lines(lines, GraphBundle.conform(self.graph.nodes, "nodes"), prefixes_)
+
     # -- binaries ---------------------------------------------------------
 
+    def _functions(self) -> DataFrame:
+        """(artifact, node_id, name, start, end) of the functions that the artifacts' ranges hold."""
+        named = self.graph.nodes.where("kind <> 'binary_region'").select(F.col("id").alias("node_id"), "name")
+        return self.graph.binary_ranges.join(named, "node_id").select("artifact", "node_id", "name", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+    def scan_spans(self, ranges: DataFrame, segments: DataFrame, marks: DataFrame, mode: str = "") -> DataFrame:
+        """(artifact, start, end, mode): selected ranges (artifact, kind, start, end, mode) of artifacts as addresses to decode; see :mod:`skein.operators.overlay`."""
+        based = self.graph.binary_artifacts.select("id", F.col("image_base").cast("long").alias("image_base"))
+        return overlay.scan_spans(overlay.on_one_axis(ranges, based, segments), marks, mode)
+
+    def binary_gaps(self, spans: DataFrame) -> DataFrame:
+        """(artifact, start, end): what ``spans`` (artifact, s_start, s_end) hold outside all functions."""
+        return binaries.gaps(binaries.clipped(self._functions(), spans), spans)
+
+    def add_instructions(self, instructions: DataFrame) -> None:
+        """Calls of decoded ``instructions`` (artifact, architecture, byte_order, address, size, bytes, how, target) between the functions known.
+
+        Pairs that add to the program counter are resolved, jumps (``how`` = jump) to the start of another function are
+        calls, and a target that no one function holds is left as the address, uncertain. Adding them twice changes nothing.
+        """
+        functions = self._functions()
+        decoded = cut(binaries.pc_relative(instructions))
+        tails = binaries.tail_calls(decoded.where("how = 'jump'").select("artifact", "address", "target"), functions).withColumn("confidence", F.lit("inferred"))
+        calls = binaries.calls_by_owner(decoded.where("how in ('direct', 'pc_relative')").select("artifact", "address", "target", "how"), functions)
+        raw = calls.join(decoded.select("artifact", "address", "target"), ["artifact", "address"])
+        found = raw.select("artifact", "address", "src", F.coalesce("dst", F.concat(F.lit("address:"), "artifact", F.lit(":"), F.col("target").cast("string"))).alias("dst"), "confidence").unionByName(tails)
+        edges = GraphBundle.conform(self.graph.edges, "edges")
+        attrs = F.to_json(F.struct(F.col("artifact"), F.col("address").cast("string").alias("callsite")))
+        made = found.withColumns({"kind": F.lit("calls"), "attrs": attrs}).join(edges.select("src", "dst", "kind", "attrs"), ["src", "dst", "kind", "attrs"], "left_anti")
+        high = edges.agg(F.max("edge_seq")).first()[0] or 0
+        made = made.withColumn("edge_seq", F.lit(high + 1) + F.monotonically_increasing_id())
+        self.graph = self.graph.having(edges=cut(edges.unionByName(GraphBundle.conform(made, "edges"))))
+
+    def overlaid(self, spans: DataFrame, sources: int) -> DataFrame:
+        """Mappings (artifact, start, end, source and more) laid over each other: every address belongs to the first source that has it."""
+        return overlay.mapped(spans, ["artifact"], sources)
+
     def augment_binary(self, text: str, connect_sources: bool = True) -> None:
         self.graph = imports.binary(self.graph, text, connect_sources)
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.storage import cut
 from . import traverse
 
-#: Rounds of trimming before each colouring.
-TRIMS = 4
+#: Rounds of trimming, each from both ends, before each colouring.
+TRIMS = 2
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     left, found = pairs.where("src <> dst"), []
     while True:
         for _ in range(TRIMS):
-            inner = left.select(F.col("src").alias("node")).distinct().join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-            left = cut(left.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        left = cut(left)
         if left.isEmpty():
             break
         colours = _colours(left)

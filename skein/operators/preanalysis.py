@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
 from ..functions.storage import cut
-from . import traverse, views
+from . import components, traverse, views
 
 THRESHOLD = 10
 SOURCE = "preanalysis"
@@ -19,15 +19,28 @@ GROUPS = ("high_blast_radius", "entrypoints", "entrypoint_reachable", "privilege
 BLOCK = 20_000
 
 
-def _closures(proj: DataFrame, nodes: DataFrame, block: int, limit: int | None) -> Iterator[DataFrame]:
-    """(root, node, hops) of all nodes, for about ``block`` roots at a time; ``limit`` refuses larger graphs if given."""
+def _reaches(proj: DataFrame, nodes: DataFrame, block: int, limit: int | None) -> tuple[DataFrame, DataFrame, Iterator[DataFrame]]:
+    """(members, own components of ``nodes``, blocks of (component, target)): what components reach over what ``proj`` condenses to.
+
+    The nodes of a cycle reach the same, so that all pairs are taken between components, for about ``block`` of them at a
+    time; ``limit`` refuses larger graphs if given.
+    """
     n = nodes.count()
     if limit is not None and n > limit:
         raise ValueError(f"all pairs of {n} nodes are asked for; at most {limit} are allowed")
-    proj, blocks = cut(proj), max(1, math.ceil(n / block))
-    roots = cut(nodes.select(F.col("id").alias("root"), F.col("id").alias("node"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")))
-    for k in range(blocks):
-        yield traverse.closure(proj, roots.where(F.col("block") == k))
+    proj = cut(proj)
+    members = components.strong_components(proj)
+    own = cut(nodes.select("id").join(members.withColumnRenamed("node", "id"), "id"))
+    asked = cut(own.select("component").distinct())
+    edges, size = cut(components.condensed(proj, members)), asked.count()
+    blocks = max(1, math.ceil(size / block))
+
+    def pairs() -> Iterator[DataFrame]:
+        for k in range(blocks):
+            roots = asked.where(F.pmod(F.xxhash64("component"), F.lit(blocks)) == k).select(F.col("component").alias("root"), F.col("component").alias("node"))
+            yield traverse.closure(edges, roots, with_roots=True).select(F.col("root").alias("component"), F.col("node").alias("target"))
+
+    return members, own, pairs()
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -38,25 +51,42 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def blast_radius(proj: DataFrame, nodes: DataFrame, limit: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(node, downstream, upstream) for each node of ``nodes``, with 0 where nothing is reached."""
+    """(node, downstream, upstream) for each node of ``nodes``, with 0 where nothing is reached; upstream counts those of ``nodes`` that reach it."""
+    members, own, reaches = _reaches(proj, nodes, block, limit)
+    sizes = cut(members.groupBy(F.col("component").alias("target")).agg(F.count("*").alias("size")))
+    asking = own.groupBy("component").agg(F.count("*").alias("asking"))
     downs, ups = [], None
-    for reach in _closures(proj, nodes, block, limit):
-        downs.append(cut(reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("downstream"))))
-        up = reach.groupBy(F.col("node").alias("id")).agg(F.count("*").alias("upstream"))
-        ups = cut(up if ups is None else ups.unionByName(up).groupBy("id").agg(F.sum("upstream").alias("upstream")))
-    out = nodes.select("id").join(_all(downs), "id", "left").join(ups, "id", "left")
+    for reach in reaches:
+        reach = cut(reach)
+        downs.append(cut(reach.join(sizes, "target").groupBy("component").agg(F.sum("size").alias("downstream"))))
+        up = reach.join(asking, "component").groupBy(F.col("target").alias("component")).agg(F.sum("asking").alias("upstream"))
+        ups = cut(up if ups is None else ups.unionByName(up).groupBy("component").agg(F.sum("upstream").alias("upstream")))
+    both = own.join(_all(downs), "component", "left").join(ups, "component", "left")
+    # A node does not count as reached by itself.
+    out = nodes.select("id").join(both.select("id", F.col("downstream") - 1, F.col("upstream") - 1).toDF("id", "downstream", "upstream"), "id", "left")
     return out.select(F.col("id").alias("node"), F.coalesce("downstream", F.lit(0)).alias("downstream"), F.coalesce("upstream", F.lit(0)).alias("upstream"))
 
 
+def _largest(rows: DataFrame, key: str, top: int) -> DataFrame:
+    """The ``top`` rows of each key by (cc, node) falling, found in parts of a key first, so that none is gathered whole."""
+    order = [F.desc("cc"), F.desc("node")]
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    some = rows.select(key, "node", "cc").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(32))).withColumn("place", place(key, "part")).where(F.col("place") <= top)
+    return some.withColumn("place", place(key)).where(F.col("place") <= top).select(key, "node", "cc")
+
+
 def critical(proj: DataFrame, nodes: DataFrame, top: int = 5, limit: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(root, node, cc, place): of what each node reaches the ``top`` most complex (cc above 0), by (cc, id) falling."""
-    complex_ = cut(nodes.where("cc > 0").select(F.col("id").alias("node"), "cc"))
+    """(root, node, cc, place): of what each node reaches the ``top`` most complex (cc above 0), by (cc, id) falling.
+
+    The nodes of a component share one list, of one more than ``top``: each leaves itself out.
+    """
+    members, own, reaches = _reaches(proj, nodes, block, limit)
+    complex_ = nodes.where("cc > 0").select(F.col("id").alias("node"), "cc").join(members, "node").withColumnRenamed("component", "target")
+    tops = cut(_largest(complex_, "target", top + 1))
+    lists = _all([cut(_largest(reach.join(tops, "target"), "component", top + 1)) for reach in reaches])
+    rows = own.withColumnRenamed("id", "root").join(lists, "component").where("root <> node")
     place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("cc"), F.desc("node")))
-    parts = []
-    for reach in _closures(proj, nodes, block, limit):
-        valued = reach.select("root", "node").join(complex_, "node")
-        parts.append(cut(valued.withColumn("place", place).where(F.col("place") <= top).select("root", "node", "cc", "place")))
-    return _all(parts)
+    return rows.withColumn("place", place).where(F.col("place") <= top).select("root", "node", "cc", "place")
 
 
 def entrypoint_reach(graph: GraphBundle, by: str = "trust_level") -> DataFrame:
@@ -101,7 +131,10 @@ def run(graph: GraphBundle, threshold: int = THRESHOLD, limit: int | None = None
     tainted = cut(taint(graph))
     wide = F.greatest("downstream", "upstream") >= threshold
     ends = edge.select(F.col("src").alias("node_id"), "src_trust", "dst_trust", "edge_seq").unionByName(edge.select(F.col("dst").alias("node_id"), "src_trust", "dst_trust", "edge_seq"))
-    added = radius.select(F.col("node").alias("node_id"), F.lit("blast_radius").alias("kind"), F.format_string("%d downstream, %d upstream", "downstream", "upstream").alias("description"))
+    worst = critical(views.projected(graph), graph.nodes.where("kind <> 'proxy'"), 5, limit, block)
+    five = worst.groupBy(F.col("root").alias("node")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda r: r["node"]), ", ").alias("five"))
+    text = F.concat(F.format_string("%d downstream, %d upstream", "downstream", "upstream"), F.coalesce(F.concat(F.lit("; most complex downstream: "), "five"), F.lit("")))
+    added = radius.join(five, "node", "left").select(F.col("node").alias("node_id"), F.lit("blast_radius").alias("kind"), text.alias("description"))
     added = added.unionByName(ends.select("node_id", F.lit("privilege_boundary").alias("kind"), F.concat_ws(" -> ", "src_trust", "dst_trust").alias("description")))
     added = added.unionByName(tainted.select(F.col("node").alias("node_id"), F.lit("taint_propagation").alias("kind"), F.concat(F.lit("tainted via: "), "via").alias("description")))
     next_seq = F.row_number().over(Window.partitionBy("node_id").orderBy("kind", "description")) + F.lit(1 << 20)

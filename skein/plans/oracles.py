@@ -302,3 +302,18 @@ ORACLES |= {
         hit AS (SELECT path, arg_max({'p': prefix, 'v': value, 'k': k}, length(prefix)) AS b FROM paths JOIN known ON starts_with(path || '/', prefix || '/') GROUP BY path)
         SELECT path, b.p AS prefix, b.v AS value FROM hit WHERE b.k = 1""",
 }
+
+_DOWN = """lines AS (SELECT DISTINCT o_custkey AS c, l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        sold AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), has AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+        pairs AS (SELECT DISTINCT 'part:' || p AS root, 'supplier:' || s AS node FROM sold
+          UNION ALL SELECT DISTINCT 'order:' || o, 'part:' || p FROM has UNION ALL SELECT DISTINCT 'order:' || o, 'supplier:' || s FROM has JOIN sold USING (p)
+          UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders
+          UNION ALL SELECT DISTINCT 'customer:' || o_custkey, 'part:' || p FROM has JOIN orders ON o_orderkey = o
+          UNION ALL SELECT DISTINCT 'customer:' || o_custkey, 'supplier:' || s FROM has JOIN orders ON o_orderkey = o JOIN sold USING (p))"""
+
+ORACLES |= {
+    "g_blast_radius_whole": _with(GRAPH, _DOWN) + """ SELECT id AS node, coalesce(d.n, 0) AS downstream, coalesce(u.n, 0) AS upstream FROM nodes
+        LEFT JOIN (SELECT root, count(*) AS n FROM pairs GROUP BY root) d ON d.root = id LEFT JOIN (SELECT node, count(*) AS n FROM pairs GROUP BY node) u ON u.node = id""",
+    "g_top_critical_whole": _with(GRAPH, _DOWN) + """ SELECT root, node, cc, place::INT AS place FROM (SELECT root, node, cc, row_number() OVER (PARTITION BY root ORDER BY cc DESC, node DESC) AS place
+        FROM pairs JOIN nodes ON id = node WHERE cc > 0 AND root LIKE 'customer:%') WHERE place <= 5""",
+}

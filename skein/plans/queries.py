@@ -632,3 +632,16 @@ def g_longest_prefix(spark, d):
     table = pages.where("page_id % 17 = 0").select(host.alias("prefix"), F.lit("host").alias("value")).unionByName(pages.where("page_id % 3 = 0").select(folder.alias("prefix"), value.alias("value"))).unionByName(pages.where("page_id % 5 = 0").select(F.col("url").alias("prefix"), value.alias("value")))
     paths = P.links(spark, d).select(F.concat("src", F.when(F.col("dst").startswith("/"), F.col("dst")).otherwise(F.concat(F.lit("/"), "dst"))).alias("path"))
     return prefixes.longest(paths, table)
+
+
+@query
+def g_blast_radius_whole(spark, d):
+    g = P.graph(spark, d)
+    return preanalysis.blast_radius(views.projected(g), g.nodes)
+
+
+@query
+def g_top_critical_whole(spark, d):
+    """Of what each class reaches over the whole call graph the five most complex."""
+    g = P.graph(spark, d)
+    return preanalysis.critical(views.projected(g), g.nodes).where("root like 'customer:%'")
