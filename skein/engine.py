@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import render
 from .bundle import GraphBundle
 from .functions.storage import cut
-from .operators import binaries, candidates, diffing, entrypoints, exports, findings, imports, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, views, visibility
+from .operators import binaries, candidates, diffing, entrypoints, exports, findings, imports, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, valueflow, views, visibility
 from .schema import ANNOTATION_KINDS, checked_kinds
 from .sources import ingest, literals, reports
 
@@ -253,6 +253,10 @@ class QueryEngine:
         declared = held.join(self.graph.nodes.select("id", "name"), "id").join(self.graph.nodes.where("kind = 'module'").select(F.col("id").alias("module")), "module", "left_semi")
         return exports.resolved(requests, declared.select("module", "name", "id"), aliases, stars)
 
+    def flow_values(self, definitions: DataFrame, uses: DataFrame) -> None:
+        """References from ``uses`` to the callables that arrive at them through ``definitions``; see :mod:`skein.operators.valueflow`."""
+        self.graph = valueflow.references(self.graph, definitions, uses)
+
     def source_at_lines(self, lines: DataFrame, prefixes_: DataFrame | None = None) -> DataFrame:
         """(path, line, node_id): the smallest callable at each of ``lines`` (path, line), paths remapped by ``prefixes_`` (old, new)."""
         if prefixes_ is None:

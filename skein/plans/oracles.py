@@ -317,3 +317,22 @@ ORACLES |= {
     "g_top_critical_whole": _with(GRAPH, _DOWN) + """ SELECT root, node, cc, place::INT AS place FROM (SELECT root, node, cc, row_number() OVER (PARTITION BY root ORDER BY cc DESC, node DESC) AS place
         FROM pairs JOIN nodes ON id = node WHERE cc > 0 AND root LIKE 'customer:%') WHERE place <= 5""",
 }
+
+ORACLES |= {
+    "g_value_flow": """WITH RECURSIVE defs AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (
+          SELECT 'customer:' || o_custkey AS scope, o_orderkey AS pos, 'v' || o_orderkey % 4 AS name, CASE WHEN o_orderkey % 5 < 2 THEN 'callable' WHEN o_orderkey % 5 < 4 THEN 'name' ELSE 'other' END AS kind,
+            CASE WHEN o_orderkey % 5 < 2 THEN 'part:' || o_orderkey % 7 ELSE 'v' || (o_orderkey * 3 + 1) % 4 END AS value, o_orderpriority <> '1-URGENT' AS always FROM orders WHERE o_orderkey % 4 <> 3
+          UNION ALL SELECT 'nation:' || c_nationkey, c_custkey, 'v3', 'callable', 'part:' || c_custkey % 3, c_custkey % 2 = 0 FROM customer WHERE c_custkey % 29 = 0)),
+        ups AS (SELECT 'customer:' || c_custkey AS scope, 'nation:' || c_nationkey AS up FROM customer),
+        asks AS MATERIALIZED (SELECT 'u' || l_orderkey || '/' || l_linenumber AS use_id, 'customer:' || min(o_custkey) AS scope, min(o_orderkey) AS pos, 'v' || min(l_partkey % 4) AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, l_linenumber
+          UNION ALL SELECT 'd' || id, scope, pos, value FROM defs WHERE kind = 'name'),
+        kills AS MATERIALIZED (SELECT a.use_id, a.scope, a.pos, a.name, max(d.pos) AS kill FROM asks a LEFT JOIN defs d ON d.scope = a.scope AND d.name = a.name AND d.always AND d.pos < a.pos GROUP BY ALL),
+        last AS (SELECT scope, name, max(pos) AS kill FROM defs WHERE always GROUP BY ALL),
+        meets AS MATERIALIZED (SELECT k.use_id, d.id FROM kills k JOIN defs d ON d.scope = k.scope AND d.name = k.name AND d.pos < k.pos AND (k.kill IS NULL OR d.pos >= k.kill)
+          UNION SELECT k.use_id, d.id FROM kills k JOIN ups USING (scope) JOIN defs d ON d.scope = ups.up AND d.name = k.name LEFT JOIN last l ON l.scope = d.scope AND l.name = d.name WHERE k.kill IS NULL AND (l.kill IS NULL OR d.pos >= l.kill)),
+        walk AS (SELECT use_id, id FROM meets WHERE use_id LIKE 'u%' UNION SELECT w.use_id, m.id FROM walk w JOIN meets m ON m.use_id = 'd' || w.id)
+        SELECT substr(use_id, 2) AS use_id, count(DISTINCT CASE WHEN kind = 'callable' THEN value END) AS n,
+          CASE WHEN count(DISTINCT CASE WHEN kind = 'callable' THEN value END) = 1 AND NOT bool_or(kind = 'other' OR kind = 'name' AND 'd' || id NOT IN (SELECT use_id FROM meets)) THEN min(CASE WHEN kind = 'callable' THEN value END) END AS node_id,
+          bool_or(kind = 'other' OR kind = 'name' AND 'd' || id NOT IN (SELECT use_id FROM meets)) AS unknown
+        FROM walk JOIN defs USING (id) GROUP BY use_id""",
+}

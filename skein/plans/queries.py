@@ -11,7 +11,7 @@ from ..bundle import GraphBundle
 from ..engine import QueryEngine
 from ..functions.storage import cut
 from ..functions.text import escaped
-from ..operators import binaries, diffing, exports, inheritance, intervals, linking, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, views, visibility
+from ..operators import binaries, diffing, exports, inheritance, intervals, linking, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, valueflow, views, visibility
 from . import projection as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -645,3 +645,18 @@ def g_top_critical_whole(spark, d):
     """Of what each class reaches over the whole call graph the five most complex."""
     g = P.graph(spark, d)
     return preanalysis.critical(views.projected(g), g.nodes).where("root like 'customer:%'")
+
+
+@query
+def g_value_flow(spark, d):
+    """Orders bind three names of their customers (and one of nations) to parts, to each other, or to something unknown; lines use them."""
+    o, li, c = P.table(spark, d, "orders"), P.table(spark, d, "lineitem"), P.table(spark, d, "customer")
+    name = lambda key: F.concat(F.lit("v"), key % 4)
+    holder = F.concat(F.lit("customer:"), F.col("o_custkey"))
+    kind = F.when(F.col("o_orderkey") % 5 < 2, "callable").when(F.col("o_orderkey") % 5 < 4, "name").otherwise("other")
+    value = F.when(kind == "callable", F.concat(F.lit("part:"), F.col("o_orderkey") % 7)).otherwise(name(F.col("o_orderkey") * 3 + 1))
+    bound = o.select(holder.alias("scope"), F.col("o_orderkey").alias("position"), name(F.col("o_orderkey")).alias("name"), kind.alias("kind"), value.alias("value"), (F.col("o_orderpriority") != "1-URGENT").alias("always")).where("name <> 'v3'")
+    outer = c.where("c_custkey % 29 = 0").select(F.concat(F.lit("nation:"), F.col("c_nationkey")).alias("scope"), F.col("c_custkey").alias("position"), F.lit("v3").alias("name"), F.lit("callable").alias("kind"), F.concat(F.lit("part:"), F.col("c_custkey") % 3).alias("value"), (F.col("c_custkey") % 2 == 0).alias("always"))
+    parents = c.select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("node"), F.concat(F.lit("nation:"), F.col("c_nationkey")).alias("up"))
+    uses = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("use_id"), holder.alias("scope"), F.col("o_orderkey").alias("position"), name(F.col("l_partkey")).alias("name")).groupBy("use_id").agg(F.min("scope").alias("scope"), F.min("position").alias("position"), F.min("name").alias("name"))
+    return valueflow.arriving(bound.unionByName(outer), uses, parents)
