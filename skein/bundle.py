@@ -57,8 +57,16 @@ class GraphBundle:
                 found[name] = cls.conform(spark.read.parquet(f"{path}/{name}"), name)
         return cls(spark, found)
 
-    def merge(self, other: GraphBundle) -> GraphBundle:
-        """Nodes, tags and evidence: the later wins. Edges, diagnostics and annotations append; subgraphs unite; dependencies keep their first order."""
+    def merge(self, other: GraphBundle, apart: bool = False) -> GraphBundle:
+        """Nodes, tags and evidence: the later wins. Edges, diagnostics and annotations append; subgraphs unite; dependencies keep their first order.
+
+        With ``apart``, as for graphs of different languages, a node id that both have is an error unless both are proxies.
+        """
+        if apart:
+            own = lambda g, name: self.conform(g.nodes, "nodes").select("id", F.col("kind").alias(name), F.col("language").alias(f"{name}_language"))
+            both = own(self, "one").join(own(other, "two"), "id").where("one <> 'proxy' or two <> 'proxy'").orderBy("id").first()
+            if both is not None:
+                raise ValueError(f"node id {both['id']} is in both graphs ({both['one_language']} and {both['two_language']}); parse them apart or rename the modules")
         out = {name: last_wins(getattr(self, name), getattr(other, name), key) for name, key in (("nodes", "id"), ("entrypoints", "node_id"), ("evidence", "evidence_id"), ("binary_artifacts", "id"))}
         clash = self.binary_artifacts.select("id", F.col("sha256").alias("x")).join(other.binary_artifacts.select("id", F.col("sha256").alias("y")), "id").where(~F.col("x").eqNullSafe(F.col("y")))
         if clash.limit(1).count():

@@ -53,7 +53,7 @@ class QueryEngine:
 
     def diff_against(self, before: QueryEngine) -> dict[str, DataFrame]:
         a, b = before.graph, self.graph
-        return {"summary": diffing.summaries(a, b), "nodes": diffing.nodes(a, b), "edges": diffing.edges(a.edges, b.edges), "entrypoints": diffing.entrypoints(a.entrypoints, b.entrypoints)}
+        return {"source_coverage": diffing.coverage(a, b), "summary": diffing.summaries(a, b), "nodes": diffing.nodes(a, b), "edges": diffing.edges(a.edges, b.edges), "entrypoints": diffing.entrypoints(a.entrypoints, b.entrypoints)}
 
     # -- lookup -----------------------------------------------------------
 

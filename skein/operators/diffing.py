@@ -53,6 +53,13 @@ def summaries(before: GraphBundle, after: GraphBundle) -> DataFrame:
     return both.withColumn("delta", F.col("after") - F.col("before")).where("delta <> 0")
 
 
+def coverage(before: GraphBundle, after: GraphBundle) -> DataFrame:
+    """(language, before, after): how many files of each language either graph was read from."""
+    counted = lambda g, name: g.source_files.where("language is not null").groupBy("language").agg(F.count("*").alias(name))
+    both = counted(before, "before").join(counted(after, "after"), "language", "full")
+    return both.select("language", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
 def report(before: GraphBundle, after: GraphBundle, cap: int = 20) -> str:
     """A text report; each section names at most ``cap`` items and counts the rest."""
     lines = []

@@ -83,6 +83,8 @@ def lexical_calls(graph: GraphBundle) -> GraphBundle:
     nodes, edges = graph.nodes, GraphBundle.conform(graph.edges, "edges")
     bare = F.get_json_object("attrs", "$.bare_name")
     calls = edges.where("kind = 'calls'").where(bare.isNotNull() & _unblocked("binding_blocked"))
+    if calls.isEmpty():
+        return graph
     contains = edges.where("kind = 'contains'").select("src", "dst")
     callables = nodes.where("kind in ('function', 'method')").select(F.col("id").alias("dst"), "name")
     declared = contains.join(callables, "dst").select(F.col("src").alias("scope"), "name", F.col("dst").alias("id"))
@@ -199,6 +201,8 @@ def inheritance_links(graph: GraphBundle) -> GraphBundle:
     edges = GraphBundle.conform(graph.edges, "edges")
     types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id", "language")
     bases = edges.where(F.col("kind").isin("inherits", "implements")).where(_unblocked("exact_target"))
+    if bases.isEmpty():
+        return graph
     raw = F.substring_index("dst", ":", -1)
     # Types around the deriving one, from its owner outwards; what modules declare is left to the steps after.
     tree, declared = _type_scopes(graph, types)

@@ -43,6 +43,8 @@ def lookup(refs: DataFrame, parents: DataFrame, declared: DataFrame) -> DataFram
     index = cut(declared.where("scope is not null").groupBy("scope", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only")))
     known = index.select("name").distinct()
     pairs = cut(refs.where("scope is not null").select("scope", "name").distinct().join(known, "name", "left_semi"))
+    if pairs.isEmpty():
+        return refs.select("ref_id", F.lit(None).cast(dict(declared.dtypes)["id"]).alias("node_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("distance")).where("false")
     around = ancestors(parents, pairs.select("scope"))
     hits = pairs.join(around, "scope").join(index.withColumnRenamed("scope", "ancestor"), ["ancestor", "name"])
     best = hits.groupBy("scope", "name").agg(F.min_by(F.struct("n", "only", "distance"), "distance").alias("b"))

@@ -38,3 +38,24 @@ def test_instructions_become_calls(spark):
         assert got == [("one", "three", "certain"), ("one", "two", "inferred"), ("one", "two", "inferred"), ("two", f"address:{artifact}:5000", "uncertain")]
     spans = spark.createDataFrame([(artifact, 0, 120)], "artifact string, s_start long, s_end long")
     assert rows(engine.binary_gaps(spans), "start", "end") == [(16, 64), (80, 100), (116, 120)]
+
+
+def test_merging_graphs_of_languages(spark):
+    import pytest
+
+    one = ingest.parse_text(spark, {"a.py": ("python", "def f():\n    gone()\n")})
+    two = ingest.parse_text(spark, {"a.go": ("go", "package p\nfunc f() { gone() }\n")})
+    with pytest.raises(ValueError, match="node id a"):
+        one.merge(two, apart=True)
+    other = ingest.parse_text(spark, {"b.go": ("go", "package p\nfunc g() { }\n")})
+    merged = one.merge(other, apart=True)
+    assert {"a:f", "b:g"} <= {r["id"] for r in merged.nodes.collect()}
+
+
+def test_coverage_of_a_diff(spark, tmp_path):
+    for k, files in enumerate((["a.py"], ["a.py", "b.py", "c.go"])):
+        (tmp_path / str(k)).mkdir()
+        for f in files:
+            (tmp_path / str(k) / f).write_text("package p\n" if f.endswith("go") else "x = 1\n")
+    before, after = (QueryEngine.from_directory(spark, str(tmp_path / str(k)), detect=False) for k in (0, 1))
+    assert rows(after.diff_against(before)["source_coverage"], "language", "before", "after") == [("go", 0, 1), ("python", 1, 2)]
