@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` stored in ranges of ``columns`` of about equal size, with the range's number, which rises with them, in ``block``.
+
+    Without ``parts`` there are as many as a shuffle has, and small ones are put together.
+    """
+    by = [F.col(f"`{c}`") for c in columns]
+    placed = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return cut(placed.withColumn("block", F.spark_partition_id()))

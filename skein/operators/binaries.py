@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import ranged
 from . import intervals, overlay
 
 
@@ -28,7 +28,7 @@ def gaps(functions: DataFrame, spans: DataFrame) -> DataFrame:
     return overlay.overlay(own.unionByName(free), ["artifact"], 2).where("source = 1").drop("source")
 
 
-def pc_relative(instructions: DataFrame, parts: int = overlay.PARTS) -> DataFrame:
+def pc_relative(instructions: DataFrame, parts: int | None = None) -> DataFrame:
     """``instructions`` with how and target of the second words of call pairs that add to the program counter (RISC-V, LoongArch64).
 
     ``instructions``: artifact, architecture, byte_order, address, size, bytes (hexadecimal), how, target. The word before
@@ -37,7 +37,7 @@ def pc_relative(instructions: DataFrame, parts: int = overlay.PARTS) -> DataFram
     little = F.coalesce(F.col("byte_order") == "little", F.lit(False))
     swapped = F.concat(*[F.substring("bytes", k, 2) for k in (7, 5, 3, 1)])
     words = instructions.withColumn("word", F.conv(F.when(little, swapped).otherwise(F.col("bytes")), 16, 10).cast("long"))
-    placed = cut(words.repartitionByRange(parts, "artifact", "address").withColumn("block", F.spark_partition_id()))
+    placed = ranged(words, ["artifact", "address"], parts)
     own = Window.partitionBy("artifact", "block").orderBy("address")
     state = F.struct("address", "size", "word")
     tops = placed.groupBy("artifact", "block").agg(F.max_by(state, "address").alias("top"))

@@ -14,11 +14,9 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import cut, ranged
 
 FAN, TOP = 16, 1 << 60
-#: Blocks that the starts of spans are dealt to where they are coalesced.
-PARTS = 256
 
 
 def _widths(width: int) -> list[int]:
@@ -86,15 +84,15 @@ def tightest(hits: DataFrame, by: list[str], span: Column, tie: list[Column], ke
     return hits.groupBy(*by).agg(F.min_by(keep, F.struct(span.alias("span"), *tie)).alias(keep))
 
 
-def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, parts: int = PARTS) -> DataFrame:
+def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str = "end", gap: int = 0, parts: int | None = None) -> DataFrame:
     """Spans of equal ``by`` that touch or overlap (or lie at most ``gap`` apart) as one: by, start, end, n.
 
-    The spans are dealt to ``parts`` ranges of (key, start) of about equal size; they are ordered within a range only, and
+    The spans are dealt to ranges (``parts`` of them) of (key, start) of about equal size; they are ordered within a range only, and
     what reaches into a range comes from the ranges' summaries. So no key, however many spans it has and wherever they
     lie, is one task; only spans with one start are together (equal ones as one row with their number).
     """
     spans = spans.groupBy(*by, F.col(start).alias("s"), F.col(end).alias("e")).agg(F.count("*").alias("k"))
-    blocked = cut(spans.repartitionByRange(parts, *[F.col(c) for c in by], F.col("s")).withColumn("block", F.spark_partition_id()))
+    blocked = ranged(spans, [*by, "s"], parts)
     same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*by, "block").orderBy("s", "e")

@@ -15,14 +15,11 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut
+from ..functions.storage import cut, ranged
 from . import intervals
 
-#: Ranges that the events are dealt to.
-PARTS = 256
 
-
-def swept(events: DataFrame, by: list[str], sources: int, parts: int = PARTS) -> DataFrame:
+def swept(events: DataFrame, by: list[str], sources: int, parts: int | None = None) -> DataFrame:
     """``by``, start, end, active (array: how many spans of each source cover the piece) and mark, a row a piece between neighbouring events.
 
     ``events`` has ``by``, at, source (0 and on, or null), delta (1 where a span begins, -1 where it ends) and mark: what
@@ -30,7 +27,7 @@ def swept(events: DataFrame, by: list[str], sources: int, parts: int = PARTS) ->
     """
     sums = [F.coalesce(F.sum(F.when(F.col("source") == k, F.col("delta"))), F.lit(0)).alias(f"d{k}") for k in range(sources)]
     points = events.groupBy(*by, "at").agg(*sums, F.max("mark").alias("mark"))
-    placed = cut(points.repartitionByRange(parts, *[F.col(c) for c in by], F.col("at")).withColumn("block", F.spark_partition_id()))
+    placed = ranged(points, [*by, "at"], parts)
     totals = placed.groupBy(*by, "block").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(sources)], F.min("at").alias("first"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("mark"))
     blocks = Window.partitionBy(*by).orderBy("block")
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
@@ -50,14 +47,14 @@ def ends(spans: DataFrame, by: list[str], source: Column, start: str = "start",
     return kept.select(*by, "e.at", "source", "e.delta", F.lit(None).cast("string").alias("mark"))
 
 
-def overlay(spans: DataFrame, by: list[str], sources: int, source: str = "source", start: str = "start", end: str = "end", parts: int = PARTS) -> DataFrame:
+def overlay(spans: DataFrame, by: list[str], sources: int, source: str = "source", start: str = "start", end: str = "end", parts: int | None = None) -> DataFrame:
     """``by``, start, end, source: disjoint pieces that cover what the spans cover, each of the first source (0 and on) that has a span there."""
     pieces = swept(ends(spans, by, F.col(source), start, end), by, sources, parts)
     best = F.array_position(F.transform("active", lambda n: n > 0), True) - 1
     return pieces.select(*by, "start", "end", best.cast("int").alias("source")).where("source >= 0")
 
 
-def mapped(spans: DataFrame, by: list[str], sources: int, width: int = 4096, parts: int = PARTS) -> DataFrame:
+def mapped(spans: DataFrame, by: list[str], sources: int, width: int = 4096, parts: int | None = None) -> DataFrame:
     """The pieces of :func:`overlay` with the columns of the spans of the winning source there: several, if its spans overlap."""
     pieces = overlay(spans, by, sources, parts=parts).withColumnsRenamed({"start": "p_start", "end": "p_end"})
     rest = [c for c in spans.columns if c not in (*by, "start", "end", "source")]
@@ -80,7 +77,7 @@ def on_one_axis(ranges: DataFrame, artifacts: DataFrame, segments: DataFrame) ->
     return out.unionByName(files)
 
 
-def scan_spans(selected: DataFrame, marks: DataFrame, mode: str = "", data: str = "data", width: int = 4096, parts: int = PARTS) -> DataFrame:
+def scan_spans(selected: DataFrame, marks: DataFrame, mode: str = "", data: str = "data", width: int = 4096, parts: int | None = None) -> DataFrame:
     """(artifact, start, end, mode): ``selected`` (artifact, start, end, mode) cut at the marks within, without data.
 
     ``marks`` (artifact, at, mode) hold from their address to the next one or the span's end; a span's own mode goes

@@ -39,7 +39,7 @@ def test_calls_lie_in_all_images(spark, duck):
     assert len({r[0] for r in got}) > 50 and max(r[0] for r in got) > 90
 
 
-@pytest.mark.parametrize("name", ["g_interval_overlap_whole", "g_tightest_owner_whole"])
+@pytest.mark.parametrize("name", ["g_interval_overlap_whole", "g_tightest_owner"])
 def test_events_meet_units_of_all_files(spark, duck, name):
     met = ",".join(str(r[0]) for r in both(spark, duck, name))
     files = "SELECT count(DISTINCT user_id % (SELECT count(*) FROM supplier)) FROM events"
