@@ -1,9 +1,11 @@
 """One tolerant scanner for the languages without a frontend of their own.
 
 A small description of each language steers it: how comments, strings, types,
-callables and branches look. Every pass over a text is linear: brackets are matched
-once, units are nested with a stack, and what is found in bodies (branches, calls,
-exceptions, variables with a type) is given to the innermost unit by bisection.
+callables and branches look. Brackets are matched once, units are nested with a stack,
+and what is found in bodies (branches, calls, exceptions, variables with a type) is
+given to the innermost unit by bisection. Time grows with a text's length for the odd
+texts that the tests name; a file of thousands of typed variables may still take
+longer than that.
 """
 
 from __future__ import annotations
@@ -89,7 +91,7 @@ _NOT_CALLED = frozenset("if for while switch catch return sizeof function fn fun
 _NOT_DEFINED = frozenset("if for while switch catch return sizeof elif else elsif elseif match new throw await foreach using lock fixed synchronized unchecked checked do try when with".split())
 #: Names before a parenthesis that belong to a unit's head, not to the unit.
 _QUALIFIERS = frozenset("__attribute__ __declspec alignas _Alignas __asm__ asm decltype noexcept throw explicit extern requires".split())
-_BEFORE = re.compile(r"(?P<mark>@?)(?P<name>~?[A-Za-z_$][\w$]*(?:\s*::\s*~?\w+)*)\s*\(")
+_BEFORE = re.compile(r"(?P<mark>@?)(?<![\w$])(?<!::)(?P<name>~?[A-Za-z_$][\w$]*(?:\s*::\s*~?\w+)*)\s*\(")
 _SELF = ("this.", "self.", "self::", "Self::", "$this->", "this->", "super.", "parent::")
 _MARKED = ("@", "#[", "[", "//go:")
 
@@ -232,7 +234,7 @@ SCANNED_EVENTS = ("raise", "rethrow", "handler", "cleanup")
 EXCEPTIONS = ("java", "c_sharp", "kotlin", "javascript", "typescript", "php", "cpp", "swift", "dart", "ruby", "solidity", "objc", "powershell", "vb")
 _DECORATOR = re.compile(r"@[\w.:$]+[ \t]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\))?")
 _REGISTERS = re.compile(r"\.(?:HandleFunc|Handle|HandlerFunc|GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Any|Get|Post|Put|Delete|Patch|Head|Options|All|Methods)\s*\(\s*[^()\n]*?,(?P<given>[^\n]*)")
-_IMPORTED = re.compile(r"""\bimport\s+(?:type\s+)?(?P<what>[^;'"]*?)\s*from\s*['"](?P<from>[^'"\n]+)['"]|\b(?:const|let|var)\s+(?P<bound>[\w$]+|\{[^{}]*\})\s*=\s*require\s*\(\s*['"](?P<required>[^'"\n]+)['"]\s*\)""")
+_IMPORTED = re.compile(r"""\bimport\s+(?:type\s+)?(?P<what>(?:(?!\bimport\b)[^;'"])*?)\s*from\s*['"](?P<from>[^'"\n]+)['"]|\b(?:const|let|var)\s+(?P<bound>[\w$]+|\{[^{}]*\})\s*=\s*require\s*\(\s*['"](?P<required>[^'"\n]+)['"]\s*\)""")
 
 
 def _decorated(page: Page, code: str, look: Look, begin: int, stop: int) -> tuple[str, str]:
