@@ -18,6 +18,9 @@ from .policy import SourcePolicy
 
 TABLES = ("nodes", "edges", "type_refs", "dependencies", "diagnostics")
 
+#: A worker hands on so many facts, or files of so many characters, at a time.
+FACTS, CHARACTERS = 10_000, 4 << 20
+
 
 def named_modules(files: DataFrame) -> DataFrame:
     """``files`` (path, language) with their module ids; all files of a group that would share one are named by their full file name."""
@@ -51,6 +54,9 @@ def parsed(files: DataFrame) -> DataFrame:
             for path, language, content, module in zip(batch["path"], batch["language"], batch["content"], batch["module"]):
                 text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
                 rows += [(table, path, k, json.dumps(row)) for k, (table, row) in enumerate(facts(path, language, text, module))]
+                if len(rows) >= FACTS:
+                    yield pd.DataFrame(rows, columns=["table", "path", "seq", "payload"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["table", "path", "seq", "payload"])
 
     return files.select("path", "language", "content", "module").mapInPandas(run, "table string, path string, seq long, payload string")
@@ -120,11 +126,14 @@ def parse_directory(spark: SparkSession, root: str, language: str | list[str] |
 
         def run(batches, top=top):
             for batch in batches:
-                texts = []
-                for path in batch["path"]:
+                texts, begin, size = [], 0, 0
+                for k, path in enumerate(batch["path"], 1):
                     with open(os.path.join(top, path), encoding="utf-8", errors="replace") as f:
                         texts.append(f.read())
-                yield batch.assign(content=texts)
+                    size += len(texts[-1])
+                    if size >= CHARACTERS or k == len(batch):
+                        yield batch.iloc[begin:k].assign(content=texts)
+                        texts, begin, size = [], k, 0
 
         read = named_modules(own.select("path", "language")).mapInPandas(run, "path string, language string, module string, content string")
         graph = linked(assembled(spark, parsed(read)))
