@@ -303,8 +303,7 @@ ORACLES |= {
         SELECT path, b.p AS prefix, b.v AS value FROM hit WHERE b.k = 1""",
 }
 
-_DOWN = """lines AS (SELECT DISTINCT o_custkey AS c, l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-        sold AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), has AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+_DOWN = """sold AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'A'), has AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_returnflag = 'A'),
         pairs AS (SELECT DISTINCT 'part:' || p AS root, 'supplier:' || s AS node FROM sold
           UNION ALL SELECT DISTINCT 'order:' || o, 'part:' || p FROM has UNION ALL SELECT DISTINCT 'order:' || o, 'supplier:' || s FROM has JOIN sold USING (p)
           UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders

@@ -634,16 +634,23 @@ def g_longest_prefix(spark, d):
     return prefixes.longest(paths, table)
 
 
+def _certain(spark, d):
+    """The whole graph with the calls that are certain."""
+    g = P.graph(spark, d)
+    return g.having(edges=g.edges.where("confidence = 'certain'"))
+
+
 @query
 def g_blast_radius_whole(spark, d):
-    g = P.graph(spark, d)
+    """What each node reaches, and is reached by, over all certain calls."""
+    g = _certain(spark, d)
     return preanalysis.blast_radius(views.projected(g), g.nodes)
 
 
 @query
 def g_top_critical_whole(spark, d):
-    """Of what each class reaches over the whole call graph the five most complex."""
-    g = P.graph(spark, d)
+    """Of what each class reaches over all certain calls the five most complex."""
+    g = _certain(spark, d)
     return preanalysis.critical(views.projected(g), g.nodes).where("root like 'customer:%'")
 
 
