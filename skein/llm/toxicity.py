@@ -7,7 +7,8 @@ before a letter or digit, the text is also read with it as i, and counts by its
 the log odds of their document counts among labelled rows. One automaton finds all
 of them and the exception phrases; a word counts once, by its heaviest entry, and
 not at all inside an exception phrase. The sum is divided by a slowly growing
-function of the text's length and turned into a probability by a logistic curve.
+function of the text's length, cut at a ceiling and turned into a probability by a
+logistic curve.
 
 Fitting uses at most ``sample`` labelled rows of each class (those whose id hashes
 lowest; the shares of the classes are put right afterwards) and keeps at most
@@ -40,6 +41,10 @@ THRESHOLD = 0.7
 #: Standard errors taken off the log odds, and the floors tried for what is left.
 DOUBT = 2.5
 FLOORS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
+#: What a single point may add to the loss by which a floor is chosen.
+MOST = 5.0
+#: Parts of the sample; each is measured with the entries of the others.
+FOLDS = 8
 #: Word beginnings of these lengths are entries besides whole words.
 STEMS = (4, 5, 6)
 #: Phrases in which a listed word means no harm.
@@ -77,6 +82,8 @@ class Lexicon:
     slope: float = 0.0
     offset: float = 0.0
     exceptions: tuple[str, ...] = EXCEPTIONS
+    #: A density beyond this makes a text no more toxic.
+    ceiling: float = math.inf
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
@@ -130,7 +137,7 @@ class Lexicon:
         return [math.fsum(w for w in found.values() if w > floor) / size for floor in floors]
 
     def score(self, text: str) -> float:
-        x = max(-30.0, min(30.0, self.slope * self.density(text) + self.offset))
+        x = max(-30.0, min(30.0, self.slope * min(self.ceiling, self.density(text)) + self.offset))
         return 1 / (1 + math.exp(-x))
 
 
@@ -163,28 +170,30 @@ def terms(text: str) -> set[str]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn entries, weights and curve from the rows that are not held out.
 
-    How sure an entry has to be (``FLOORS``) and the curve come from crossing two
-    halves of the sample: entries of one half, measured on the other.
+    How sure an entry has to be (``FLOORS``) and the curve come from crossing ``FOLDS``
+    parts of the sample: each is measured with the entries of all others, which are nearly
+    as many and as heavy as those of the whole.
     """
     rows = labelled_sample(docs, labels, "toxic", ~held_out(F.col("doc_id")), sample)
-    rows = common.stored(rows.withColumn("half", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)).cast("int")), "toxic-sample")
-    sizes = {(r["y"], r["half"]): r["n"] for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
-    if not all(any((y, half) in sizes for half in (0, 1)) for y in (0, 1)):
+    rows = common.stored(rows.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(FOLDS)).cast("int")), "toxic-sample")
+    sizes = {(r["y"], r["fold"]): r["n"] for r in rows.groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
+    if {y for y, _ in sizes} != {0, 1}:
         return Lexicon({}, exceptions=exceptions)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by = {(y, half): Counter() for y in (0, 1) for half in (0, 1)}
-        for text, y, half in zip(batch.column("text"), batch.column("y"), batch.column("half")):
-            by[y.as_py(), half.as_py()].update(terms(text.as_py()))
+        by = {(y, fold): Counter() for y in (0, 1) for fold in range(FOLDS)}
+        for text, y, fold in zip(batch.column("text"), batch.column("y"), batch.column("fold")):
+            by[y.as_py(), fold.as_py()].update(terms(text.as_py()))
         names = sorted(set().union(*by.values()))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([by[k][t] for t in names], pa.int64()) for k in sorted(by))], ["term", "good0", "good1", "bad0", "bad1"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([by[k][t] for t in names], pa.int64()) for k in sorted(by))], ["term", *counts])
 
-    counted = common.map_batches(rows, count, "term string, good0 long, good1 long, bad0 long, bad1 long", "text")
+    counts = [f"{kind}{fold}" for kind in ("good", "bad") for fold in range(FOLDS)]
+    counted = common.map_batches(rows, count, "term string, " + ", ".join(f"{c} long" for c in counts), "text")
     counted = common.stored(counted.groupBy("term").agg(*(F.sum(c).alias(c) for c in counted.columns[1:])), "terms")
 
-    def entries_of(halves: tuple[int, ...]) -> list[tuple[str, float]]:
-        bad, good = (sum(F.col(f"{kind}{h}") for h in halves) for kind in ("bad", "good"))
-        all_bad, all_good = (float(sum(sizes.get((y, h), 0) for h in halves)) for y in (1, 0))
+    def entries_of(folds: list[int]) -> list[tuple[str, float]]:
+        bad, good = (sum(F.col(f"{kind}{f}") for f in folds) for kind in ("bad", "good"))
+        all_bad, all_good = (float(sum(sizes.get((y, f), 0) for f in folds)) for y in (1, 0))
         odds = F.log((bad + 0.5) / (F.lit(all_bad + 0.5) - bad)) - F.log((good + 0.5) / (F.lit(all_good + 0.5) - good))
         sure = odds - DOUBT * F.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
         chosen = counted.select("term", sure.alias("weight")).where((F.col("weight") > FLOORS[0]) & (bad >= max(2, all_bad / 400)))
@@ -193,28 +202,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
     # The classes' true shares among the labelled rows weigh the points.
     usable = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("toxic").cast("int").alias("y")).count().collect()
     share = {r["y"]: r["count"] / sum(n for (y, _), n in sizes.items() if y == r["y"]) for r in usable}
-    crossed = {half: Lexicon(dict(entries_of((1 - half,))), exceptions=exceptions) for half in (0, 1)}
+    crossed = {fold: Lexicon(dict(entries_of([f for f in range(FOLDS) if f != fold])), exceptions=exceptions) for fold in range(FOLDS)}
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [crossed[half.as_py()].densities(text.as_py(), FLOORS) for text, half in zip(batch.column("text"), batch.column("half"))]
+        x = [crossed[fold.as_py()].densities(text.as_py(), FLOORS) for text, fold in zip(batch.column("text"), batch.column("fold"))]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
     points = sorted((tuple(r["x"]), r["y"]) for r in common.map_batches(rows, measure, "x array<double>, y int", "text").collect())
-    curves = [curve([(x[k], y) for x, y in points], share) for k in range(len(FLOORS))]
+    # Few labels are wrong, but one of a text full of entries would flatten the whole curve: densities end at a quarter of the toxic ones.
+    tops = [sorted(x[k] for x, y in points if y == 1 and x[k] > 0) for k in range(len(FLOORS))]
+    ceilings = [top[len(top) // 4] if top else math.inf for top in tops]
+    curves = [curve([(min(x[k], ceilings[k]), y) for x, y in points], share) for k in range(len(FLOORS))]
     k = min(range(len(FLOORS)), key=lambda k: curves[k][2])
     slope, offset, _ = curves[k]
-    return Lexicon({t: w for t, w in entries_of((0, 1)) if w > FLOORS[k]}, slope, offset, exceptions)
+    return Lexicon({t: w for t, w in entries_of([*range(FOLDS)]) if w > FLOORS[k]}, slope, offset, exceptions, ceilings[k])
 
 
 def curve(points: list[tuple[float, int]], weight: dict[int, float], rounds: int = 60, decay: float = 1e-2) -> tuple[float, float, float]:
-    """Slope, offset and mean loss of the weighted logistic curve, by damped Newton steps."""
+    """Slope, offset and mean loss of the weighted logistic curve, by damped Newton steps.
+
+    Points of class 1 at which no entry was found say nothing about how heavy entries have to be, and would flatten
+    the curve: they count in the loss (no point more than ``MOST``), but the curve is not bent towards them.
+    """
     import numpy as np
 
     x, y = np.array([p[0] for p in points]), np.array([p[1] for p in points], float)
     w = np.where(y == 1, weight[1], weight[0])
     w = w / w.mean()
     scale = max(1e-9, float(np.abs(x).max()))
-    a = np.stack([x / scale, np.ones_like(x)], 1)
+    all_of = np.stack([x / scale, np.ones_like(x)], 1), w, y
+    told = (x > 0) | (y == 0)
+    if not (told & (y == 1)).any():
+        told = np.ones_like(told)
+    a, w, y = (part[told] for part in all_of)
     b = np.zeros(2)
     ridge = np.diag([decay, decay])
     for _ in range(rounds):
@@ -223,8 +243,9 @@ def curve(points: list[tuple[float, int]], weight: dict[int, float], rounds: int
         b = b + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
+    a, w, y = all_of
     z = np.clip(a @ b, -30, 30)
-    return float(b[0] / scale), float(b[1]), float((w * np.logaddexp(0, np.where(y == 1, -z, z))).mean())
+    return float(b[0] / scale), float(b[1]), float((w * np.minimum(MOST, np.logaddexp(0, np.where(y == 1, -z, z)))).mean())
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:

@@ -132,3 +132,13 @@ def test_awkward_rows_and_no_labels(spark, awkward, nothing):
 
 def test_query_schema(spark, sf):
     assert op3_toxicity(spark, sf).dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
+
+
+def test_wrong_labels_do_not_flatten_the_curve():
+    points = [(0.0, 0)] * 900 + [(1.0, 0)] * 40 + [(0.0, 1)] * 5 + [(5.0, 1)] * 55
+    share = {0: 0.94, 1: 0.06}
+    clean = toxicity.curve(points[:940] + points[945:], share)[:2]
+    assert toxicity.curve(points, share)[:2] == pytest.approx(clean, rel=0.05)
+    slope, offset = clean
+    lexicon = toxicity.Lexicon({" idiot ": 5.0}, slope, offset, (), 5.0)
+    assert lexicon.score("idiot idiot idiot") == lexicon.score("idiot idiot") > 0.9
