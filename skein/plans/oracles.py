@@ -335,3 +335,23 @@ ORACLES |= {
           bool_or(kind = 'other' OR kind = 'name' AND 'd' || id NOT IN (SELECT use_id FROM meets)) AS unknown
         FROM walk JOIN defs USING (id) GROUP BY use_id""",
 }
+
+ORACLES |= {
+    "g_formal_links": """WITH RECURSIVE f AS (SELECT count(*) AS k FROM supplier),
+        sym AS MATERIALIZED (SELECT 'part:' || p_partkey AS id, 'supplier:' || p_partkey % k AS module, 's' || p_partkey * 7 % 300 AS name, p_size % 3 = 0 AS sig, p_size % 5 = 0 AS priv, p_size % 7 <> 0 AS run, p_size % 4 = 0 AS ghost FROM part, f),
+        line AS MATERIALIZED (SELECT l_orderkey AS o, l_linenumber AS l, l_orderkey || '/' || l_linenumber AS ref_id, 'part:' || min(l_partkey) AS src, 'supplier:' || min(l_partkey) % any_value(k) AS module, min(l_suppkey) AS s, min(l_returnflag) AS flag, min(l_partkey) % 11 <> 0 AS app FROM lineitem, f GROUP BY l_orderkey, l_linenumber),
+        imp AS (SELECT DISTINCT 'supplier:' || l_suppkey % k AS src, 'supplier:' || l_orderkey % k AS dst FROM lineitem, f WHERE l_quantity >= 49 AND l_linenumber = 1 AND l_returnflag <> 'N'),
+        sees AS (SELECT DISTINCT module AS src, module AS dst FROM line UNION SELECT s.src, i.dst FROM sees s JOIN imp i ON i.src = s.dst),
+        ask AS (SELECT DISTINCT * FROM (SELECT ref_id, module, 0 AS tier, 's' || o % 450 AS name FROM line UNION ALL SELECT ref_id, module, 0, 's' || s * 3 % 450 FROM line UNION ALL SELECT ref_id, module, 1, 's' || o * 7 % 300 FROM line)),
+        cand AS MATERIALIZED (SELECT a.module, a.name, y.id, CASE WHEN y.module = a.module THEN y.sig::INT WHEN y.sig THEN 2 ELSE 3 END AS rank
+          FROM (SELECT DISTINCT module, name FROM ask) a JOIN sym y USING (name) JOIN sees v ON v.src = a.module AND v.dst = y.module WHERE y.module = a.module OR NOT y.priv),
+        hit AS (SELECT ref_id, tier, rank, count(DISTINCT id) AS n, min(id) AS id FROM ask JOIN cand USING (module, name) GROUP BY ref_id, tier, rank),
+        best AS MATERIALIZED (SELECT ref_id, id FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY tier, rank) AS r FROM hit) WHERE r = 1 AND n = 1),
+        own AS MATERIALIZED (SELECT line.*, CASE WHEN b.id IS NULL OR NOT app THEN 1 WHEN NOT run THEN 0 WHEN ghost AND l % 2 = 1 THEN 0 ELSE 2 END AS holds FROM line LEFT JOIN best b USING (ref_id) LEFT JOIN sym ON sym.id = b.id),
+        around AS (SELECT o, l, l - 1 AS pos, 2 AS holds, false AS nested FROM own UNION ALL SELECT a.o, a.l, a.pos - 1, least(a.holds, w.holds), true FROM around a JOIN own w ON w.o = a.o AND w.l = a.pos),
+        chain AS MATERIALIZED (SELECT o, l, arg_min(holds, pos) AS holds, bool_or(nested) AS nested FROM around GROUP BY o, l),
+        runtime AS (SELECT ref_id, CASE WHEN flag = 'A' THEN 2 WHEN flag = 'N' AND nested THEN c.holds ELSE 0 END AS r FROM own JOIN chain c USING (o, l) WHERE app)
+        SELECT ref_id, src, b.id AS dst, 'references' AS kind, 'inferred' AS confidence FROM line JOIN best b USING (ref_id)
+        UNION ALL SELECT ref_id, line.src, b.id, 'calls', CASE WHEN r = 2 THEN 'inferred' ELSE 'uncertain' END FROM line JOIN best b USING (ref_id) JOIN runtime USING (ref_id) JOIN sym x ON x.id = line.src AND x.run JOIN sym y ON y.id = b.id AND y.run WHERE r > 0
+        UNION ALL SELECT NULL, g.id, t.id, 'corresponds_to', 'inferred' FROM sym g JOIN (SELECT name, min(id) AS id FROM sym WHERE NOT sig GROUP BY name HAVING count(*) = 1) t USING (name) WHERE g.sig""",
+}

@@ -11,7 +11,7 @@ from ..bundle import GraphBundle
 from ..engine import QueryEngine
 from ..functions.storage import cut
 from ..functions.text import escaped
-from ..operators import binaries, diffing, exports, inheritance, intervals, linking, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, valueflow, views, visibility
+from ..operators import binaries, diffing, exports, formal, inheritance, intervals, linking, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, valueflow, views, visibility
 from . import projection as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,3 +667,24 @@ def g_value_flow(spark, d):
     parents = c.select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("node"), F.concat(F.lit("nation:"), F.col("c_nationkey")).alias("up"))
     uses = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("use_id"), holder.alias("scope"), F.col("o_orderkey").alias("position"), name(F.col("l_partkey")).alias("name")).groupBy("use_id").agg(F.min("scope").alias("scope"), F.min("position").alias("position"), F.min("name").alias("name"))
     return valueflow.arriving(bound.unionByName(outer), uses, parents)
+
+
+@query
+def g_formal_links(spark, d):
+    """Lines refer from their part to symbols that parts declare in modules, in two tiers; each line stands in an argument of the one before it."""
+    li, part = P.table(spark, d, "lineitem"), P.table(spark, d, "part")
+    files = P.table(spark, d, "supplier").agg(F.count("*").alias("files"))
+    module = lambda key: F.concat(F.lit("supplier:"), key % F.col("files"))
+    called = lambda key: F.concat(F.lit("s"), key)
+    imports = li.where("l_quantity >= 49 and l_linenumber = 1 and l_returnflag <> 'N'").join(files).select(module(F.col("l_suppkey")).alias("src"), module(F.col("l_orderkey")).alias("dst"))
+    own = F.concat(F.lit("part:"), F.col("p_partkey")).alias("id")
+    ghosts = F.when(F.col("p_size") % 4 == 0, F.array(F.lit("a1"))).otherwise(F.array().cast("array<string>"))
+    symbols = part.join(files).select(own, module(F.col("p_partkey")).alias("module"), called(F.col("p_partkey") * 7 % 300).alias("name"), (F.col("p_size") % 3 == 0).alias("signature"), (F.col("p_size") % 5 == 0).alias("private"), (F.col("p_size") % 7 != 0).alias("executable"), ghosts.alias("ghosts"))
+    lines = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_returnflag").alias("flag")).join(files)
+    key = lambda k: F.concat_ws("/", "l_orderkey", k)
+    before = key(F.col("l_linenumber") - 1)
+    tiers = F.array(F.array(called(F.col("l_orderkey") % 450), called(F.col("s") * 3 % 450)), F.array(called(F.col("l_orderkey") * 7 % 300)))
+    context = F.when(F.col("flag") == "A", "body").when(F.col("flag") == "N", "argument").otherwise("proof")
+    refs = lines.select(key("l_linenumber").alias("ref_id"), F.concat(F.lit("part:"), F.col("p")).alias("src"), module(F.col("p")).alias("module"), tiers.alias("tiers"), (F.col("p") % 11 != 0).alias("application"), context.alias("context"), before.alias("enclosing"))
+    arguments = lines.select(key("l_linenumber").alias("scope"), before.alias("up"), key("l_linenumber").alias("callee"), F.concat(F.lit("a"), F.col("l_linenumber") % 2).alias("argument"))
+    return formal.linked(refs, symbols, imports, arguments, lenient=True)
