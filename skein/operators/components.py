@@ -9,7 +9,7 @@ colours are dropped at once, since no cycle crosses them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
@@ -75,3 +75,25 @@ def reach(edges: DataFrame, members: DataFrame, seeds: DataFrame | None = None)
     start = (members.select("component") if seeds is None else seeds.select("component")).distinct()
     roots = start.select(F.col("component").alias("root"), F.col("component").alias("node"))
     return traverse.closure(cut(condensed(edges, members)), roots, with_roots=True).select(F.col("root").alias("component"), F.col("node").alias("target"))
+
+
+def least(edges: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """(component, name, value): for each component and name the ``k`` least distinct values of ``own`` (component, name, value) in what it reaches over ``edges`` (src, dst), itself included.
+
+    Lists of bounded length pass from component to component until none changes, so that no pairs of components are made:
+    the work grows as edges times names.
+    """
+    place = F.row_number().over(Window.partitionBy("component", "name").orderBy("value"))
+    known = fresh = cut(own.select("component", "name", "value").distinct().withColumn("place", place).where(F.col("place") <= k).drop("place"))
+    back = cut(edges.select(F.col("src").alias("to"), F.col("dst").alias("component")))
+    while True:
+        ahead = cut(fresh.join(back, "component").select(F.col("to").alias("component"), "name", "value").distinct())
+        # Only lists that something came to are gone over.
+        touched = ahead.select("component", "name").distinct()
+        some = known.join(touched, ["component", "name"], "left_semi").withColumn("new", F.lit(False)).unionByName(ahead.withColumn("new", F.lit(True)))
+        some = some.groupBy("component", "name", "value").agg(F.min("new").alias("new"))
+        some = cut(some.withColumn("place", place).where(F.col("place") <= k).drop("place"))
+        fresh = some.where("new").drop("new")
+        if fresh.isEmpty():
+            return known
+        known = cut(known.join(touched, ["component", "name"], "left_anti").unionByName(some.drop("new")))

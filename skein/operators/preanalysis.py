@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,32 +14,43 @@ from . import components, traverse, views
 THRESHOLD = 10
 SOURCE = "preanalysis"
 GROUPS = ("high_blast_radius", "entrypoints", "entrypoint_reachable", "privilege_boundary", "tainted")
-#: Roots whose closures are held at once; all-pairs passes take one such block after the other.
-BLOCK = 20_000
+#: Components whose closures are held at once, and into how many blocks of them all pairs are taken at most: each block
+#: goes over all edges, so that their number must not grow with the graph.
+BLOCK = 1_000_000
+BLOCKS = 8
 
 
-def _reaches(proj: DataFrame, nodes: DataFrame, block: int, limit: int | None) -> tuple[DataFrame, DataFrame, Iterator[DataFrame]]:
-    """(members, own components of ``nodes``, blocks of (component, target)): what components reach over what ``proj`` condenses to.
+def _numbered(proj: DataFrame, nodes: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(numbers, edges, members, condensed edges) of the graph that ``proj`` and ``nodes`` make.
 
-    The nodes of a cycle reach the same, so that all pairs are taken between components, for about ``block`` of them at a
-    time; ``limit`` refuses larger graphs if given.
+    ``numbers`` (id, n, asked, cc) counts nodes down by (cc, id), so that of numbers the least is the most complex node;
+    all else is between numbers. ``limit`` refuses larger graphs if given.
     """
-    n = nodes.count()
-    if limit is not None and n > limit:
+    if limit is not None and (n := nodes.count()) > limit:
         raise ValueError(f"all pairs of {n} nodes are asked for; at most {limit} are allowed")
-    proj = cut(proj)
-    members = components.strong_components(proj)
-    own = cut(nodes.select("id").join(members.withColumnRenamed("node", "id"), "id"))
-    asked = cut(own.select("component").distinct())
-    edges, size = cut(components.condensed(proj, members)), asked.count()
-    blocks = max(1, math.ceil(size / block))
-
-    def pairs() -> Iterator[DataFrame]:
-        for k in range(blocks):
-            roots = asked.where(F.pmod(F.xxhash64("component"), F.lit(blocks)) == k).select(F.col("component").alias("root"), F.col("component").alias("node"))
-            yield traverse.closure(edges, roots, with_roots=True).select(F.col("root").alias("component"), F.col("node").alias("target"))
-
-    return members, own, pairs()
+    proj = cut(proj.select("src", "dst"))
+    ends = proj.select(F.col("src").alias("id")).unionByName(proj.select(F.col("dst").alias("id"))).distinct()
+    cc = F.col("cc").cast("int") if "cc" in nodes.columns else F.lit(None).cast("int")
+    both = nodes.select("id", cc.alias("cc"), F.lit(1).alias("asked")).unionByName(ends.select("id", F.lit(None).cast("int").alias("cc"), F.lit(0).alias("asked")))
+    each = both.groupBy("id").agg(F.max("cc").alias("cc"), F.sum("asked").alias("asked"))
+    order = [F.desc("cc"), F.desc("id")]
+    numbers = cut(cut(each).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()))
+    name = lambda end: numbers.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
+    edges = cut(proj.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")).distinct())
+    members = components.strong_components(edges)
+    # Without cycles a graph is what it condenses to.
+    whole = members.where("node <> component").isEmpty()
+    return numbers, edges, members, edges.where("src <> dst") if whole else cut(components.condensed(edges, members))
+
+
+def _sized(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """(component, n): the sum over ``rows`` of the sizes (component, n) of their ``key``; only sizes other than 1 are joined."""
+    other = "target" if key == "component" else "component"
+    odd = cut(sizes.where("n <> 1"))
+    if odd.isEmpty():
+        return rows.groupBy(F.col(other).alias("component")).agg(F.count("*").alias("n"))
+    sized = rows.join(odd.withColumnRenamed("component", key), key, "left")
+    return sized.groupBy(F.col(other).alias("component")).agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
@@ -51,42 +61,47 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 
 
 def blast_radius(proj: DataFrame, nodes: DataFrame, limit: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(node, downstream, upstream) for each node of ``nodes``, with 0 where nothing is reached; upstream counts those of ``nodes`` that reach it."""
-    members, own, reaches = _reaches(proj, nodes, block, limit)
-    sizes = cut(members.groupBy(F.col("component").alias("target")).agg(F.count("*").alias("size")))
-    asking = own.groupBy("component").agg(F.count("*").alias("asking"))
-    downs, ups = [], None
-    for reach in reaches:
-        reach = cut(reach)
-        downs.append(cut(reach.join(sizes, "target").groupBy("component").agg(F.sum("size").alias("downstream"))))
-        up = reach.join(asking, "component").groupBy(F.col("target").alias("component")).agg(F.sum("asking").alias("upstream"))
-        ups = cut(up if ups is None else ups.unionByName(up).groupBy("component").agg(F.sum("upstream").alias("upstream")))
-    both = own.join(_all(downs), "component", "left").join(ups, "component", "left")
+    """(node, downstream, upstream) for each node of ``nodes``, with 0 where nothing is reached; upstream counts those of ``nodes`` that reach it.
+
+    The nodes of a cycle reach the same, so that all pairs are taken between components, for about ``block`` of them at a
+    time, in at most :data:`BLOCKS` blocks.
+    """
+    numbers, edges, members, condensed = _numbered(proj, nodes, limit)
+    own = cut(numbers.join(members, numbers.n == members.node).select("id", "component", "asked"))
+    further = condensed.select(F.col("src").alias("dst")).distinct().withColumn("further", F.lit(True))
+    steps = cut(condensed.join(further, "dst", "left").select("src", "dst", F.coalesce("further", F.lit(False)).alias("more")))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    asking = own.groupBy("component").agg(F.sum("asked").alias("n"))
+    asked = cut(asking.where("n > 0").select("component"))
+    blocks = max(1, min(BLOCKS, math.ceil(asked.count() / block)))
+    downs, ups = [], []
+    for k in range(blocks):
+        roots = asked.where(F.pmod(F.xxhash64("component"), F.lit(blocks)) == k).select(F.col("component").alias("root"), F.col("component").alias("node"))
+        reach = traverse.closure(steps, roots, with_roots=True).select(F.col("root").alias("component"), F.col("node").alias("target"))
+        downs.append(cut(_sized(reach, "target", sizes)))
+        ups.append(cut(_sized(reach, "component", asking)))
+    up = ups[0] if blocks == 1 else _all(ups).groupBy("component").agg(F.sum("n").alias("n"))
+    both = own.where("asked > 0").join(_all(downs).withColumnRenamed("n", "downstream"), "component", "left").join(up.withColumnRenamed("n", "upstream"), "component", "left")
     # A node does not count as reached by itself.
     out = nodes.select("id").join(both.select("id", F.col("downstream") - 1, F.col("upstream") - 1).toDF("id", "downstream", "upstream"), "id", "left")
     return out.select(F.col("id").alias("node"), F.coalesce("downstream", F.lit(0)).alias("downstream"), F.coalesce("upstream", F.lit(0)).alias("upstream"))
 
 
-def _largest(rows: DataFrame, key: str, top: int) -> DataFrame:
-    """The ``top`` rows of each key by (cc, node) falling, found in parts of a key first, so that none is gathered whole."""
-    order = [F.desc("cc"), F.desc("node")]
-    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    some = rows.select(key, "node", "cc").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(32))).withColumn("place", place(key, "part")).where(F.col("place") <= top)
-    return some.withColumn("place", place(key)).where(F.col("place") <= top).select(key, "node", "cc")
-
-
 def critical(proj: DataFrame, nodes: DataFrame, top: int = 5, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """(root, node, cc, place): of what each node reaches the ``top`` most complex (cc above 0), by (cc, id) falling.
 
-    The nodes of a component share one list, of one more than ``top``: each leaves itself out.
+    No pairs are made: lists of one more than ``top`` pass from component to component (:func:`components.least`). The
+    nodes of a component share one list, from which each leaves itself out. ``block`` is for callers of
+    :func:`blast_radius`; bounded lists need no blocks.
     """
-    members, own, reaches = _reaches(proj, nodes, block, limit)
-    complex_ = nodes.where("cc > 0").select(F.col("id").alias("node"), "cc").join(members, "node").withColumnRenamed("component", "target")
-    tops = cut(_largest(complex_, "target", top + 1))
-    lists = _all([cut(_largest(reach.join(tops, "target"), "component", top + 1)) for reach in reaches])
-    rows = own.withColumnRenamed("id", "root").join(lists, "component").where("root <> node")
-    place = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("cc"), F.desc("node")))
-    return rows.withColumn("place", place).where(F.col("place") <= top).select("root", "node", "cc", "place")
+    numbers, _, members, condensed = _numbered(proj, nodes, limit)
+    own = cut(numbers.join(members, numbers.n == members.node).select("id", "n", "component", "asked", "cc"))
+    complex_ = own.where("asked > 0 and cc > 0").select("component", F.lit("").alias("name"), F.col("n").alias("value"))
+    lists = components.least(condensed, complex_, top + 1).select("component", F.col("value").alias("n"))
+    rows = own.where("asked > 0").select(F.col("id").alias("root"), F.col("n").alias("self"), "component").join(lists, "component").where("self <> n")
+    place = F.row_number().over(Window.partitionBy("self").orderBy("n"))
+    best = rows.withColumn("place", place).where(F.col("place") <= top)
+    return best.join(numbers.select("n", F.col("id").alias("node"), "cc"), "n").select("root", "node", "cc", "place")
 
 
 def entrypoint_reach(graph: GraphBundle, by: str = "trust_level") -> DataFrame:

@@ -181,3 +181,21 @@ def test_binary_sets(spark):
     ranges = spark.createDataFrame([("a", "f", 0, 8), ("b", "f", 0, 8), ("a", "q", 4, 4)], "artifact string, node_id string, start long, end long")
     maps = spark.createDataFrame([("a", "f", 2, 4), ("a", "f", 6, 12)], "artifact string, node_id string, start long, end long")
     assert binaries.violations(arts, ranges, maps, nodes).count() == 4
+
+
+def test_blocks_do_not_grow_with_the_graph(spark, monkeypatch):
+    nodes = spark.range(40).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("cc"))
+    proj = spark.range(30).select(F.col("id").cast("string").alias("src"), (F.col("id") + 10).cast("string").alias("dst"))
+    walks, plain = [], traverse.closure
+    monkeypatch.setattr(traverse, "closure", lambda *a, **k: walks.append(1) or plain(*a, **k))
+    found = preanalysis.blast_radius(proj, nodes, block=1)
+    assert len(walks) <= preanalysis.BLOCKS < 40
+    assert {(r["node"], r["downstream"], r["upstream"]) for r in found.collect()} == {(str(n), 3 - n // 10, n // 10) for n in range(40)}
+
+
+def test_critical_takes_no_pairs(spark, monkeypatch):
+    nodes = spark.range(40).select(F.col("id").cast("string").alias("id"), F.col("id").alias("cc"))
+    proj = spark.range(30).select(F.col("id").cast("string").alias("src"), (F.col("id") + 10).cast("string").alias("dst"))
+    monkeypatch.setattr(traverse, "closure", lambda *a, **k: pytest.fail("pairs were made"))
+    found = {(r["root"], r["node"], r["place"]) for r in preanalysis.critical(proj, nodes, 2).collect()}
+    assert found == {(str(n), str(n % 10 + 30 - 10 * k), k + 1) for n in range(30) for k in range(2) if n % 10 + 30 - 10 * k > n}
