@@ -26,7 +26,8 @@ ARGUMENTS = "scope string, up string, callee string, argument string"
 def bound(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(ref_id, node_id, n) of the ``refs`` that some tier answers; ``node_id`` where exactly one symbol does.
 
-    ``imports`` has (src, dst), modules. A null name or tier answers nothing.
+    ``imports`` has (src, dst), modules. A null name or tier answers nothing. ``n`` is exact up to 1: of symbols of other
+    modules no more than two a name are counted, since the second already leaves a reference unbound.
     """
     # A symbol without a flag is an open definition.
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)).alias(name)
@@ -36,12 +37,10 @@ def bound(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     asks = cut(names.select("module", "name").distinct())
     own = asks.join(symbols, ["module", "name"]).groupBy("module", "name", "signature").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"))
     answers = [own.select("module", "name", F.col("signature").cast("int").alias("rank"), "n", "only")]
-    seen = visibility.sight(imports, asks.select("module").distinct())
-    for rank, kind in ((2, "signature"), (3, "not signature")):
-        # A module's own symbols are counted here too, but where it has any of the name an earlier rank has decided.
-        found = visibility.visible(asks, symbols.where(f"not private and {kind}").select("module", "name", "id"), seen)
-        answers.append(found.select("module", "name", F.lit(rank).alias("rank"), "n", "only"))
-    known = cut(answers[0].unionByName(answers[1]).unionByName(answers[2]))
+    # A module's own symbols are counted here too, but where it has any of the name an earlier rank has decided.
+    found = visibility.few_visible(asks, symbols.where("not private").select("module", "name", "id", "signature"), imports, F.when(F.col("signature"), 2).otherwise(3))
+    answers.append(found.select("module", "name", F.col("group").alias("rank"), "n", "only"))
+    known = cut(answers[0].unionByName(answers[1]))
     ranked = names.join(known, ["module", "name"]).groupBy("ref_id", "tier", "rank").agg(F.sum("n").alias("n"), F.min("only").alias("only"))
     best = ranked.groupBy("ref_id").agg(F.min(F.struct("tier", "rank", "n", "only")).alias("b"))
     return best.select("ref_id", F.when(F.col("b.n") == 1, F.col("b.only")).alias("node_id"), F.col("b.n").alias("n"))

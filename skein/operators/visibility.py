@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
@@ -59,6 +59,23 @@ def visible(refs: DataFrame, units: DataFrame, seen: Sight, common: int = COMMON
     return ref.join(found, ["component", "name"]).select("module", "name", "n", "only")
 
 
+def few_visible(refs: DataFrame, units: DataFrame, imports: DataFrame, groups: Column, k: int = 2) -> DataFrame:
+    """(module, name, group, n, only): how many of ``units`` each of ``refs`` (module, name) sees by its name in each group, counted to ``k``, and the least of them.
+
+    ``groups`` is a column over ``units`` (module, name, id). Only the ``k`` least ids of a name pass from component to
+    component, so that what is seen is never paired with who sees it.
+    """
+    loops = refs.select(F.col("module").alias("src"), F.col("module").alias("dst")).distinct()
+    edges = cut(imports.select("src", "dst").unionByName(loops).distinct())
+    members = cut(components.strong_components(edges).select(F.col("node").alias("module"), "component"))
+    wanted = refs.select("name").distinct()
+    own = units.withColumn("group", groups).join(wanted, "name", "left_semi").join(members, "module")
+    own = own.select("component", F.struct("name", "group").alias("name"), F.col("id").alias("value"))
+    lists = components.least(components.condensed(edges, members.withColumnRenamed("module", "node")), own, k)
+    counts = cut(lists.groupBy("component", F.col("name.name").alias("name"), F.col("name.group").alias("group")).agg(F.count("*").alias("n"), F.min("value").alias("only")))
+    return refs.select("module", "name").distinct().join(members, "module").join(counts, ["component", "name"]).select("module", "name", "group", "n", "only")
+
+
 def matches(refs: DataFrame, units: DataFrame, imports: DataFrame, either: bool = False) -> DataFrame:
     """(ref_id, node_id, n) of the ``refs`` (ref_id, module, name) that see a unit of their name; ``node_id`` where it is the only one.
 

@@ -98,3 +98,13 @@ def test_against_a_plain_version(spark, seed):
     refs = [(f"r{k}", rng.choice(symbols)[0], rng.choice(modules), [rng.sample(names, rng.randint(0, 2)) for _ in range(rng.randint(0, 3))], flip(0.8), rng.choice(["body", "argument", "argument", "proof"]), f"a{rng.randrange(34)}") for k in range(80)]
     for lenient in (False, True):
         assert {tuple(r) for r in formal.linked(*tables(spark, refs, symbols, imports, arguments), lenient=lenient).collect()} == plain(refs, symbols, imports, arguments, lenient)
+
+
+def test_what_is_seen_is_not_paired_with_who_sees_it(spark, monkeypatch):
+    from skein.operators import components
+
+    monkeypatch.setattr(components, "reach", lambda *a, **k: pytest.fail("pairs of components were made"))
+    symbols = [symbol(f"m{k}.f", f"m{k}", "f") for k in range(3)] + [symbol("m2.g", "m2", "g")]
+    refs = [("many", "m0.f", "top", [["f"]], False, "proof", None), ("one", "m0.f", "top", [["g"]], False, "proof", None)]
+    own = tables(spark, refs, symbols, [("top", "m0"), ("m0", "m1"), ("m1", "m2")])
+    assert {(r.ref_id, r.node_id, min(r.n, 2)) for r in formal.bound(*own[:3]).collect()} == {("many", None, 2), ("one", "m2.g", 1)}
