@@ -32,26 +32,32 @@ def inherited(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFra
     down = cut(steps.join(within.withColumnRenamed("type", "dst"), "dst", "left_semi").join(within.withColumnRenamed("type", "src"), "src", "left_semi"))
     known = methods.join(asked.select("name").distinct(), "name", "left_semi").join(within, "type", "left_semi")
     known = cut(known.select("type", "name", "signature", "id", "inheritable"))
-    passing = known.where("inheritable").select("type", "name", "signature", "id").distinct()
-    stops = passing.select(F.col("type").alias("src"), "name", "signature").distinct()
-    own = known.select(F.col("type").alias("src"), "name", "signature").distinct()
+    # What moves is the number of a declaration; ``kind`` numbers its name and signature, and so what stops it.
+    passing = cut(known.where("inheritable").select("type", "name", "signature", "id").distinct().withColumn("method", F.monotonically_increasing_id()))
+    kinds = cut(passing.select("name", "signature").distinct().withColumn("kind", F.monotonically_increasing_id()))
+    numbers = cut(passing.alias("p").join(kinds.alias("k"), F.expr("p.name = k.name and p.signature <=> k.signature")).select("p.*", "k.kind"))
+    # A signature that is not known stops nothing.
+    stops = numbers.where("signature is not null").select(F.col("type").alias("src"), "kind").distinct()
+    own = known.join(kinds, ["name", "signature"]).select(F.col("type").alias("src"), "kind").distinct()
     wanted = asked.select(F.col("type").alias("src"), "name").distinct()
 
     def arrived(rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("type").alias("dst"), "name", "signature", "id").join(down, "dst").select("src", "name", "signature", "id").distinct()
+        return rows.select(F.col("type").alias("dst"), "kind", "method").join(down, "dst").select("src", "kind", "method").distinct()
 
-    columns = [F.col("src").alias("type"), "name", "signature", "id"]
-    seen = fresh = cut(passing)
-    found = []
+    fresh = numbers.select("type", "kind", "method")
+    seen, found = [fresh], []
     while True:
         ahead = cut(arrived(fresh))
-        found.append(ahead.join(wanted, ["src", "name"], "left_semi").join(own, ["src", "name", "signature"], "left_anti").select(*columns))
-        fresh = cut(ahead.join(stops, ["src", "name", "signature"], "left_anti").select(*columns).join(seen, ["type", "name", "signature", "id"], "left_anti"))
+        found = [*found, ahead] if len(found) < traverse.PARTS else [cut(traverse._union(found)), ahead]
+        passes = ahead.join(stops, ["src", "kind"], "left_anti").withColumnRenamed("src", "type")
+        fresh = cut(passes.join(traverse._union(seen), ["type", "method"], "left_anti").select("type", "kind", "method"))
         if fresh.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh))
-        found = [cut(traverse._union(found))] if len(found) >= traverse.PARTS else found
-    return traverse._union(found).distinct()
+        # Each round's table is kept apart, so that what is known is not written again round by round.
+        seen = [*seen, fresh] if len(seen) < traverse.PARTS else [cut(traverse._union(seen)), fresh]
+    named = traverse._union(found).join(kinds.select("kind", "name"), "kind").join(wanted, ["src", "name"], "left_semi").join(own, ["src", "kind"], "left_anti")
+    out = named.select("src", "method").distinct().join(passing.drop("type"), "method")
+    return out.select(F.col("src").alias("type"), "name", "signature", "id").distinct()
 
 
 def spread(marks: DataFrame, bases: DataFrame) -> DataFrame:

@@ -75,3 +75,17 @@ def test_methods_of_other_files(spark):
     found = {(r["dst"], r["confidence"]) for r in graph.edges.where("kind = 'calls' and src = 'top:Top.go'").collect()}
     assert ("base:Base.pay", "inferred") in found and ("mid:Mid.ask", "inferred") in found and ("top:Top.own", "certain") in found
     assert not any(d == "base:Base.hidden" for d, _ in found)
+
+
+def test_unknown_signatures_end_on_a_circle(spark, monkeypatch):
+    make, calls, plain_cut = spark.createDataFrame, [], inheritance.cut
+
+    def counted(df):
+        calls.append(1)
+        assert len(calls) < 40, "rounds without end"
+        return plain_cut(df)
+
+    monkeypatch.setattr(inheritance, "cut", counted)
+    methods = make([("b", "f", None, "b.f", True)], "type string, name string, signature string, id string, inheritable boolean")
+    found = inheritance.inherited(make([("a", "f")], "type string, name string"), make([("a", "b"), ("b", "a")], "src string, dst string"), methods)
+    assert [tuple(r) for r in found.collect()] == [("a", "f", None, "b.f")]
