@@ -4,12 +4,14 @@ A definition binds a name of a scope at a position: to a callable, to what anoth
 holds there, or to something unknown. One that always happens ends all before it; one
 that may happen (in a branch) adds to them. So the definitions and uses of a name fall
 into segments, each begun by a definition that always happens, and a use is met by the
-definitions before it in its segment: an equal join on (scope, name, segment), without
-comparing each with each. A name that its scope does not bind before the use is that of
-the scope around it, where all its definitions count.
+definitions before it in its segment. All uses between two neighbouring definitions are
+met by the same ones: they are one state, and an equal join on (scope, name, segment)
+takes states instead of uses. A name that its scope does not bind before the use is that
+of the scope around it, where what it holds in the end counts.
 
-Copies make edges between definitions. What arrives at a use is what it reaches over
-them: the closure ends where nothing is new, also for copies in a circle.
+Copies make edges between states. Callables pass over them from state to state until
+nothing is new, also for copies in a circle, so that no pairs of uses and definitions
+are made.
 """
 
 from __future__ import annotations
@@ -24,49 +26,90 @@ from . import scopes, traverse
 DEFINITIONS = "scope string, position long, name string, kind string, value string, always boolean"
 
 
-def met(definitions: DataFrame, uses: DataFrame, parents: DataFrame) -> DataFrame:
-    """(use_id, def_id): the ``definitions`` (def_id and the columns of ``DEFINITIONS``) that may hold at each of ``uses`` (use_id, scope, position, name).
+#: Where no definition that always happens, or none at all, is before a place.
+NONE = -(1 << 63)
 
-    ``parents`` has (node, up), the scopes around scopes.
+
+def _placed(definitions: DataFrame, asks: DataFrame) -> DataFrame:
+    """scope, name, position, def_id, use_id, copy_id, kill, upto: definitions and asks in the order of their scope and name.
+
+    ``kill`` is the position of the last definition so far that always happens, ``upto`` that of the last one at all.
     """
-    marks = definitions.select("scope", "name", "position", F.lit(0).alias("after"), F.when(F.col("always"), 1).otherwise(0).alias("begins"), "def_id", F.lit(None).cast("string").alias("use_id"))
-    asks = uses.select("scope", "name", "position", F.lit(-1).alias("after"), F.lit(0).alias("begins"), F.lit(None).cast("string").alias("def_id"), "use_id")
+    marks = definitions.select("scope", "name", "position", F.lit(0).alias("after"), "always", "def_id", F.lit(None).cast("string").alias("use_id"), F.lit(None).cast("long").alias("copy_id"))
+    rows = marks.unionByName(asks.select("scope", "name", "position", F.lit(-1).alias("after"), F.lit(False).alias("always"), F.lit(None).cast("long").alias("def_id"), "use_id", "copy_id"))
     # A use stands before a definition of its own place: in "f = f" the right side is what f was.
-    order = Window.partitionBy("scope", "name").orderBy("position", "after", "def_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = cut(marks.unionByName(asks).withColumn("segment", F.sum("begins").over(order)))
-    own = placed.where("def_id is not null").select("scope", "name", "segment", "def_id", F.col("position").alias("at"))
-    here = placed.where("use_id is not null").select("use_id", "scope", "name", "segment", "position")
-    inner = cut(here.join(own, ["scope", "name", "segment"]).where("at < position").select("use_id", "def_id"))
-    # Within a segment that no certain definition begins, what is around may hold too.
-    open_ = here.where("segment = 0")
-    bound = definitions.select("scope", "name").distinct()
+    order = Window.partitionBy("scope", "name").orderBy("position", "after", F.desc("always")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = lambda which: F.coalesce(F.max(F.when(which, F.col("position"))).over(order), F.lit(NONE))
+    return cut(rows.select("scope", "name", "position", "def_id", "use_id", "copy_id", latest(F.col("always")).alias("kill"), latest(F.col("def_id").isNotNull()).alias("upto")))
+
+
+def _met(placed: DataFrame, states: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((state, def_id), (src, dst)): the definitions that may hold in each of ``states`` (state, scope, name, kill, upto), and the states whose definitions may hold there too.
+
+    What a name holds in the end of an outer scope is a state of its own, with a negative number.
+    """
+    own = placed.where("def_id is not null").select("scope", "name", "kill", "def_id", F.col("position").alias("at"))
+    inner = states.where(F.col("upto") > NONE).join(own, ["scope", "name", "kill"]).where("at <= upto").select("state", "def_id")
+    # Where no certain definition is before, what is around may hold too.
     up = parents.select(F.col("node").alias("scope"), "up")
-    outside = open_.join(up, "scope").select(F.col("use_id").alias("ref_id"), F.col("up").alias("scope"), "name")
-    holders = scopes.lookup(outside, parents, bound.withColumn("id", F.col("scope"))).where("node_id is not null").select(F.col("ref_id").alias("use_id"), F.col("node_id").alias("scope"))
+    outside = states.where(F.col("kill") == NONE).join(up, "scope").select(F.col("state").alias("ref_id"), F.col("up").alias("scope"), "name")
+    bound = own.select("scope", "name").distinct().withColumn("id", F.col("scope"))
+    refs = cut(outside)
+    holders = scopes.lookup(refs, parents, bound).where("node_id is not null").select("ref_id", F.col("node_id").alias("scope"))
+    held = cut(holders.join(refs.select("ref_id", "name"), "ref_id"))
+    ends = cut(held.select("scope", "name").distinct().withColumn("end", -1 - F.monotonically_increasing_id()))
     # All definitions from the last one that always happens on: what the name holds in the end.
-    final = own.join(own.groupBy("scope", "name").agg(F.max("segment").alias("segment")), ["scope", "name", "segment"]).select("scope", "name", "def_id")
-    around = holders.join(open_.select("use_id", "name"), "use_id").join(final, ["scope", "name"]).select("use_id", "def_id")
-    return inner.unionByName(around).distinct()
+    asked = own.join(ends, ["scope", "name"])
+    last = asked.groupBy("end").agg(F.max("kill").alias("kill"))
+    final = asked.join(last, ["end", "kill"]).select(F.col("end").alias("state"), "def_id")
+    return cut(inner.unionByName(final)), held.join(ends, ["scope", "name"]).select(F.col("ref_id").alias("src"), F.col("end").alias("dst"))
 
 
 def arriving(definitions: DataFrame, uses: DataFrame, parents: DataFrame) -> DataFrame:
     """(use_id, n, node_id, unknown): how many callables arrive at each use that any definition meets, the only one of them, and whether something unknown arrives besides.
 
     ``definitions`` has the columns of ``DEFINITIONS``; ``kind`` is callable (``value`` is a node), name (``value`` is a
-    name of the scope) or anything else, which is unknown.
+    name of the scope) or anything else, which is unknown. ``parents`` has (node, up), the scopes around scopes.
+
+    Uses between the same definitions of a name are one state. What arrives passes from state to state over the copies,
+    each callable once, and only then to the uses.
     """
-    named = cut(definitions.withColumn("def_id", F.concat(F.lit("d"), F.sha2(F.to_json(F.struct("scope", "name", "position", "kind", "value")), 256))).dropDuplicates(["def_id"]))
-    copies = named.where("kind = 'name'").select(F.col("def_id").alias("use_id"), "scope", "position", F.col("value").alias("name"))
-    asked = uses.select(F.concat(F.lit("u"), F.col("use_id").cast("string")).alias("use_id"), "scope", "position", "name")
-    edges = cut(met(named, asked.unionByName(copies), parents).select(F.col("use_id").alias("src"), F.col("def_id").alias("dst")))
+    columns = ["scope", "position", "name", "kind", "value"]
+    named = cut(definitions.groupBy(*columns).agg(F.coalesce(F.bool_or("always"), F.lit(False)).alias("always")).withColumn("def_id", F.monotonically_increasing_id()))
+    copies = named.where("kind = 'name'").select("scope", "position", F.col("value").alias("name"), F.lit(None).cast("string").alias("use_id"), F.col("def_id").alias("copy_id"))
+    asked = uses.select("scope", "position", "name", F.col("use_id").cast("string").alias("use_id"), F.lit(None).cast("long").alias("copy_id"))
+    placed = _placed(named, asked.unionByName(copies))
+    here = placed.where("def_id is null").select("scope", "name", "upto", "use_id", "copy_id", "kill")
+    states = cut(here.select("scope", "name", "upto", "kill").distinct().withColumn("state", F.monotonically_increasing_id()))
+    met, links = _met(placed, states, parents)
+    links = cut(links)
+    met_at_all = cut(met.select("state").unionByName(links.select(F.col("src").alias("state"))).distinct())
     # A copy of a name that nothing defines brings something unknown.
-    empty = copies.join(edges.select(F.col("src").alias("use_id")), "use_id", "left_anti").select(F.col("use_id").alias("def_id"), F.lit(True).alias("empty"))
-    roots = edges.where("src like 'u%'").select(F.col("src").alias("root"), F.col("src").alias("node")).distinct()
-    reached = traverse.closure(edges, roots).select(F.col("root").alias("use_id"), F.col("node").alias("def_id"))
-    ends = named.join(empty, "def_id", "left").select("def_id", F.when(F.col("kind") == "callable", F.col("value")).alias("callable"), (~F.col("kind").isin("callable", "name") | F.coalesce("empty", F.lit(False))).alias("unknown"))
-    by = reached.join(ends, "def_id").groupBy("use_id").agg(F.count_distinct("callable").alias("n"), F.min("callable").alias("only"), F.bool_or("unknown").alias("unknown"))
+    sources = here.where("copy_id is not null").join(states, ["scope", "name", "upto", "kill"]).join(met_at_all, "state").select(F.col("copy_id").alias("def_id"), F.col("state").alias("copied"))
+    brought = F.when(F.col("kind") == "callable", F.concat(F.lit("c"), "value")).when((F.col("kind") == "name") & F.col("copied").isNotNull(), F.lit(None)).otherwise(F.lit("?"))
+    does = cut(met.join(named.join(sources, "def_id", "left").select("def_id", brought.alias("brings"), "copied"), "def_id").select("state", "brings", "copied").distinct())
+    back = does.where("copied is not null").select(F.col("copied").alias("src"), F.col("state").alias("dst")).unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    roots = does.where("brings is not null").select(F.col("brings").alias("root"), F.col("state").alias("node"))
+    reached = traverse.closure(back, roots, with_roots=True).select(F.col("root").alias("brings"), F.col("node").alias("state"))
+
+    def counted(rows: DataFrame, by: str) -> DataFrame:
+        callable_ = F.when(F.col("brings") != "?", F.expr("substring(brings, 2)"))
+        return rows.groupBy(by).agg(F.count(callable_).alias("n"), F.min(callable_).alias("only"), F.coalesce(F.bool_or(F.col("brings") == "?"), F.lit(False)).alias("unknown"))
+
+    used = here.where("use_id is not null")
+    known = states.join(met_at_all, "state", "left_semi").where(F.col("state") >= 0)
+    # A use that stands in several places gets what arrives at any of them.
+    often = cut(used.groupBy("use_id").agg(F.count("*").alias("k")).where("k > 1").select("use_id"))
+    several = not often.isEmpty()
+    once = used.join(often, "use_id", "left_anti") if several else used
+    plain = counted(reached, "state")
+    answers = known.join(plain, "state", "left").select("scope", "name", "upto", F.coalesce("n", F.lit(0)).alias("n"), "only", F.coalesce("unknown", F.lit(False)).alias("unknown"))
+    by = once.join(answers, ["scope", "name", "upto"]).select("use_id", "n", "only", "unknown")
+    if several:
+        again = used.join(often, "use_id", "left_semi").join(known.select("scope", "name", "upto", "state"), ["scope", "name", "upto"])
+        by = by.unionByName(counted(again.join(reached, "state", "left").select("use_id", "brings").distinct(), "use_id"))
     kind = dict(uses.dtypes)["use_id"]
-    return by.select(F.expr("substring(use_id, 2)").cast(kind).alias("use_id"), "n", F.when((F.col("n") == 1) & ~F.col("unknown"), F.col("only")).alias("node_id"), "unknown")
+    return by.select(F.col("use_id").cast(kind).alias("use_id"), "n", F.when((F.col("n") == 1) & ~F.col("unknown"), F.col("only")).alias("node_id"), "unknown")
 
 
 def references(graph: GraphBundle, definitions: DataFrame, uses: DataFrame) -> GraphBundle:

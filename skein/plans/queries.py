@@ -665,7 +665,9 @@ def g_value_flow(spark, d):
     bound = o.select(holder.alias("scope"), F.col("o_orderkey").alias("position"), name(F.col("o_orderkey")).alias("name"), kind.alias("kind"), value.alias("value"), (F.col("o_orderpriority") != "1-URGENT").alias("always")).where("name <> 'v3'")
     outer = c.where("c_custkey % 29 = 0").select(F.concat(F.lit("nation:"), F.col("c_nationkey")).alias("scope"), F.col("c_custkey").alias("position"), F.lit("v3").alias("name"), F.lit("callable").alias("kind"), F.concat(F.lit("part:"), F.col("c_custkey") % 3).alias("value"), (F.col("c_custkey") % 2 == 0).alias("always"))
     parents = c.select(F.concat(F.lit("customer:"), F.col("c_custkey")).alias("node"), F.concat(F.lit("nation:"), F.col("c_nationkey")).alias("up"))
-    uses = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("use_id"), holder.alias("scope"), F.col("o_orderkey").alias("position"), name(F.col("l_partkey")).alias("name")).groupBy("use_id").agg(F.min("scope").alias("scope"), F.min("position").alias("position"), F.min("name").alias("name"))
+    # Grouped by the columns of the key: lines are dealt once, for the join.
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_orderkey", "l_linenumber").agg(F.min("o_custkey").alias("o_custkey"), F.min(F.col("l_partkey") % 4).alias("k"))
+    uses = lines.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("use_id"), holder.alias("scope"), F.col("l_orderkey").alias("position"), F.concat(F.lit("v"), "k").alias("name"))
     return valueflow.arriving(bound.unionByName(outer), uses, parents)
 
 

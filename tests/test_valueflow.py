@@ -78,3 +78,24 @@ def test_edges_and_evidence(spark):
         engine.flow_values(definitions, uses)
         assert [(r["src"], r["dst"]) for r in engine.graph.edges.where("kind = 'references'").collect()] == [("a:main", "a:one")]
         assert [(r["source_id"], r["symbol"], r["binding"]) for r in engine.graph.evidence.where("rule = 'value-flow'").collect()] == [("a:main", "g", "ambiguous")]
+
+
+def test_definitions_of_one_place_hold_together(spark):
+    """One that always happens ends what is before its place, not what is at it."""
+    definitions = [("s", 1, f"n{k}", "callable", "old", True) for k in range(12)]
+    definitions += [("s", 2, f"n{k}", "callable", value, always) for k in range(12) for value, always in (("a", True), ("b", False))]
+    uses = [(str(k), "s", 3, f"n{k}") for k in range(12)]
+    got = valueflow.arriving(spark.createDataFrame(definitions, DEF), spark.createDataFrame(uses, USE), spark.createDataFrame([("s", "t")], "node string, up string"))
+    assert sorted(r["n"] for r in got.collect()) == [2] * 12
+
+
+def test_uses_between_the_same_definitions_are_one(spark, monkeypatch):
+    """What walks over the copies grows with the definitions, not with the uses."""
+    walked = []
+    closure = valueflow.traverse.closure
+    monkeypatch.setattr(valueflow.traverse, "closure", lambda proj, roots, **more: walked.append(roots.distinct().count()) or closure(proj, roots, **more))
+    definitions = [("s", 1, "f", "callable", "a", True), ("s", 2, "g", "name", "f", True)]
+    uses = [(str(k), "s", 3 + k, "g") for k in range(200)] + [("0", "s", 5, "none")]
+    got = valueflow.arriving(spark.createDataFrame(definitions, DEF), spark.createDataFrame(uses, USE), spark.createDataFrame([("s", "t")], "node string, up string"))
+    assert {(r["n"], r["node_id"], r["unknown"]) for r in got.collect()} == {(1, "a", False)}
+    assert got.count() == 200 and max(walked) <= 2
