@@ -28,6 +28,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """The distinct rows of ``df`` stored in buckets of ``column``: joins by it deal only their other side, however often they run."""
+    spark = df.sparkSession
+    name = f"cut_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, column).distinct().write.format("parquet").bucketBy(parts, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def ranged(df: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
     """``df`` stored in ranges of ``columns`` of about equal size, with the range's number, which rises with them, in ``block``.
 

@@ -108,7 +108,8 @@ def entrypoint_reach(graph: GraphBundle, by: str = "trust_level") -> DataFrame:
     """(label, node): nodes that the live entrypoints of each label reach, the entrypoints included."""
     live = graph.entrypoints.join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
     roots = live.select(F.col(by).alias("root"), F.col("node_id").alias("node"))
-    return traverse.closure(views.projected(graph), roots, with_roots=True).select(F.col("root").alias("label"), "node")
+    numbers, found = traverse.sets(views.raw_calls(graph), roots, graph.nodes)
+    return traverse.members(found).join(numbers, "n").select(F.col("root").alias("label"), "node")
 
 
 def trust_sets(reach: DataFrame) -> DataFrame:
@@ -117,18 +118,31 @@ def trust_sets(reach: DataFrame) -> DataFrame:
 
 
 def privilege_boundaries(graph: GraphBundle, reach: DataFrame | None = None) -> DataFrame:
-    """(src, dst, src_trust, dst_trust, edge_seq): call sites whose ends have different, known trust sets."""
+    """(src, dst, src_trust, dst_trust, edge_seq): call sites whose ends have different, known trust sets.
+
+    What is reached exists, so that the joins with the trust sets are the check of both ends.
+    """
     sets = cut(trust_sets(entrypoint_reach(graph) if reach is None else reach))
-    calls = views.call_edges(graph).select("edge_seq", "src", "dst")
+    calls = graph.edges.where("kind = 'calls'").select("edge_seq", "src", "dst")
     a = sets.select(F.col("node").alias("src"), F.col("trust").alias("src_trust"))
     b = sets.select(F.col("node").alias("dst"), F.col("trust").alias("dst_trust"))
     return calls.join(a, "src").join(b, "dst").where("src_trust <> dst_trust").select("src", "dst", "src_trust", "dst_trust", "edge_seq")
 
 
+def _tainting(graph: GraphBundle) -> tuple[DataFrame, DataFrame]:
+    low = graph.entrypoints.where("trust_level <> 'trusted_internal'").join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    return traverse.sets(views.raw_calls(graph), low.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")), graph.nodes)
+
+
 def taint_reach(graph: GraphBundle) -> DataFrame:
     """(root, node): what each entrypoint below internal trust reaches, itself included."""
-    low = graph.entrypoints.where("trust_level <> 'trusted_internal'").join(graph.nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    return traverse.closure(views.projected(graph), low.select(F.col("node_id").alias("root"), F.col("node_id").alias("node")), with_roots=True).select("root", "node")
+    numbers, found = _tainting(graph)
+    return traverse.members(found).join(numbers, "n").select("root", "node")
+
+
+def taint_counts(graph: GraphBundle) -> DataFrame:
+    """(node, n): how many entrypoints below internal trust reach each node that any of them reaches; no pairs are written out."""
+    return _tainting(graph)[1].groupBy("node").agg(F.sum(F.size("roots").cast("long")).alias("n"))
 
 
 def taint(graph: GraphBundle) -> DataFrame:

@@ -21,13 +21,19 @@ def projected(graph: GraphBundle, kinds: Iterable[str] | None = None) -> DataFra
     """Distinct (src, dst) of the kinds, both ends existing; no kinds named means calls, an empty list no edges. Self-loops stay."""
     wanted = ("calls",) if kinds is None else checked_kinds(kinds)
     chosen = graph.edges.where(F.col("kind").isin(*wanted) if wanted else F.lit(False))
-    return linked(chosen.select("src", "dst").distinct(), graph.nodes)
+    # Distinct last: rows are then dealt by one end already.
+    return linked(chosen.select("src", "dst"), graph.nodes).distinct()
 
 
 def call_edges(graph: GraphBundle) -> DataFrame:
     return linked(graph.edges.where("kind = 'calls'"), graph.nodes)
 
 
+def raw_calls(graph: GraphBundle) -> DataFrame:
+    """(src, dst) of all calls as they are stored, for walks that look whether what they reach exists."""
+    return graph.edges.where("kind = 'calls'").select("src", "dst")
+
+
 def neighbours(graph: GraphBundle, node_id: str, kind: str, forward: bool) -> DataFrame:
     """Distinct nodes one edge of a kind away (the node itself on a self-loop)."""
     near, far = ("src", "dst") if forward else ("dst", "src")
@@ -38,7 +44,8 @@ def neighbours(graph: GraphBundle, node_id: str, kind: str, forward: bool) -> Da
 def degrees(graph: GraphBundle, kinds: Iterable[str] | None = None) -> DataFrame:
     """(id, n_out, n_in) of distinct neighbours, for all nodes at once."""
     proj = projected(graph, kinds)
-    ends = proj.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(proj.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    both = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    ends = proj.select(F.explode(both).alias("e")).select("e.*")
     return ends.groupBy("id").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 

@@ -19,11 +19,15 @@ def _id(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, complexity: bool = True) -> DataFrame:
     """Regions are namespaces, nations modules, customers and suppliers classes, orders (cc: 1 + lines) and parts (cc: size) functions."""
     t = lambda name: table(spark, sf_dir, name)
-    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    orders = t("orders").join(lines, "o_orderkey", "left")
+    # What does not ask for complexity is spared the lines of orders, which would be counted all the same.
+    if complexity:
+        lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+        orders = t("orders").join(lines, "o_orderkey", "left")
+    else:
+        orders = t("orders").withColumn("n", F.lit(None).cast("long"))
     none = F.lit(None).cast("int")
 
     def part(df, kind, key, name, node_kind, cc, base):
@@ -34,7 +38,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(t("nation"), "nation", "n_nationkey", "n_name", "module", none, 1),
         part(t("customer"), "customer", "c_custkey", "c_name", "class", none, 2),
         part(t("supplier"), "supplier", "s_suppkey", "s_name", "class", none, 3),
-        part(orders, "order", "o_orderkey", "o_orderkey", "function", 1 + F.coalesce("n", F.lit(0)), 4),
+        part(orders, "order", "o_orderkey", "o_orderkey", "function", 1 + F.coalesce("n", F.lit(0)) if complexity else none, 4),
         part(t("part"), "part", "p_partkey", "p_name", "function", F.col("p_size"), 5),
     ):
         out = out.unionByName(more)
@@ -72,9 +76,10 @@ def entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(_id("customer", "c_custkey").alias("node_id"), F.lit("api").alias("kind"), trust.alias("trust_level"), asset.alias("asset_value"), segment.alias("description"))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> GraphBundle:
+def graph(spark: SparkSession, sf_dir: str, complexity: bool = True) -> GraphBundle:
+    """The tables as a graph; without ``complexity`` orders have none."""
     found = edges(spark, sf_dir).withColumn("edge_seq", F.lit(0).cast("long"))
-    return GraphBundle(spark, {"nodes": nodes(spark, sf_dir).withColumn("attrs", F.lit("{}")), "edges": found.withColumn("attrs", F.lit("{}")).withColumn("file_path", F.lit(None).cast("string")).withColumn("start_line", F.lit(None).cast("int")), "entrypoints": entrypoints(spark, sf_dir)})
+    return GraphBundle(spark, {"nodes": nodes(spark, sf_dir, complexity).withColumn("attrs", F.lit("{}")), "edges": found.withColumn("attrs", F.lit("{}")).withColumn("file_path", F.lit(None).cast("string")).withColumn("start_line", F.lit(None).cast("int")), "entrypoints": entrypoints(spark, sf_dir)})
 
 
 def trade(spark: SparkSession, sf_dir: str) -> GraphBundle:

@@ -199,3 +199,43 @@ def test_critical_takes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(traverse, "closure", lambda *a, **k: pytest.fail("pairs were made"))
     found = {(r["root"], r["node"], r["place"]) for r in preanalysis.critical(proj, nodes, 2).collect()}
     assert found == {(str(n), str(n % 10 + 30 - 10 * k), k + 1) for n in range(30) for k in range(2) if n % 10 + 30 - 10 * k > n}
+
+
+def test_lists_of_roots_reach_what_a_walk_reaches(spark):
+    """Also through what does not exist, over circles, from roots that do not exist, and with lists of a node in several batches."""
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(60)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(90)] + [(n, "hub") for n in names] + [("hub", "gone"), ("gone", "after"), ("hub", "end")]
+    there = [*names[:50], "hub", "after", "end"]
+    roots = [(f"r{k % 40}", rng.choice(names)) for k in range(70)]
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    want = set()
+    for root, node in roots:
+        todo = [node] if node in there else []
+        while todo:
+            at = todo.pop()
+            if (root, at) not in want:
+                want.add((root, at))
+                todo += [b for b in ahead.get(at, ()) if b in there]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        numbers, found = traverse.sets(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(roots, "root string, node string"), spark.createDataFrame([(n,) for n in there], "id string"))
+        got = [tuple(r) for r in traverse.members(found).join(numbers, "n").select("root", "node").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert found.groupBy("node").count().agg({"count": "max"}).first()[0] < 40  # lists, not a row a pair
+
+
+def test_walks_of_one_root_stay_within_the_nodes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "gone"), ("gone", "d"), ("d", "e")], "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in "abcde"], "id string")
+    assert {r["node"] for r in traverse.reachable_from(edges, "a", nodes).collect()} == {"b", "c"}
+    assert {(r["node"], r["hops"]) for r in traverse.ball(edges, "b", 1, nodes=nodes).collect()} == {("b", 0), ("a", 1), ("c", 1)}
+    assert traverse.ball(edges, "gone", 2, nodes=nodes).count() == 0
+    starts = spark.createDataFrame([("a",), ("d",), ("gone",)], "node_id string")
+    found = traverse.paths_to(edges, starts, spark.createDataFrame([("c",), ("e",)], "node_id string"), 4, nodes)
+    assert sorted("".join(r["path"]) for r in found.collect()) == ["abc", "de"]
