@@ -435,7 +435,8 @@ def g_privilege_boundary_whole(spark, d):
 
 @query
 def g_bfs_ball_whole(spark, d):
-    return traverse.ball(views.projected(P.graph(spark, d)), "supplier:1", 2)
+    g = P.graph(spark, d, complexity=False)
+    return traverse.ball(views.raw_calls(g), "supplier:1", 2, nodes=g.nodes)
 
 
 def _program(spark, d):
