@@ -126,8 +126,8 @@ def g_paths_events_d4(spark, d):
 
 @query
 def g_entrypoint_paths(spark, d):
-    g = P.graph(spark, d)
-    return traverse.entrypoint_paths(views.projected(g), g.entrypoints, "supplier:1", 3).select(_path().alias("path"))
+    g = P.graph(spark, d, complexity=False)
+    return traverse.entrypoint_paths(views.raw_calls(g), g.entrypoints, "supplier:1", 3, g.nodes).select(_path().alias("path"))
 
 
 @query
