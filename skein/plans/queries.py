@@ -48,7 +48,7 @@ def g_callers(spark, d):
 
 @query
 def g_degrees(spark, d):
-    return views.degrees(P.graph(spark, d))
+    return views.degrees(P.graph(spark, d, complexity=False))
 
 
 @query
