@@ -104,7 +104,8 @@ def g_ancestors_trade(spark, d):
 
 @query
 def g_reachable_calls(spark, d):
-    return traverse.reachable_from(views.projected(P.graph(spark, d)), "customer:1")
+    g = P.graph(spark, d, complexity=False)
+    return traverse.reachable_from(views.raw_calls(g), "customer:1", g.nodes)
 
 
 @query
