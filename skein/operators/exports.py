@@ -4,16 +4,20 @@ The key of an export is (module, name). A module has it in one of three ways, in
 order: it declares the name; it names another module's export for it (an alias, under
 any name); it re-exports all of some module (a star). A key means what all ways from
 it lead to: chains of aliases have one successor a key and are followed by pointer
-doubling; stars fan out and are followed round by round from the keys asked for. A key
-on a cycle leads nowhere by it. Two ends make a name ambiguous.
+doubling; stars fan out and are followed round by round from the keys asked for, each key
+once; then what is found goes back over them, so that no pairs of requests and keys are
+made. A key on a cycle leads nowhere by it. Two ends make a name ambiguous.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
+from . import traverse
 
 
 def explicit(declared: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -60,20 +64,25 @@ def resolved(requests: DataFrame, declared: DataFrame, aliases: DataFrame, stars
     fan = cut(stars.select("module", "to_module").where("module <> to_module").distinct())
 
     def settle(rows: DataFrame) -> DataFrame:
-        """Moves (root_module, root_name, module, name) to the ends of their alias chains, with what the key there is."""
-        moved = rows.join(ends, ["module", "name"], "left").select("root_module", "root_name", F.coalesce("end_module", "module").alias("module"), F.coalesce("end_name", "name").alias("name"))
-        return moved.distinct().join(named, ["module", "name"], "left")
+        """``rows`` (module, name and others) with the ``key`` (module, name) where their alias chains end."""
+        return rows.join(ends, ["module", "name"], "left").withColumn("key", F.struct(F.coalesce("end_module", "module").alias("module"), F.coalesce("end_name", "name").alias("name"))).drop("end_module", "end_name")
 
-    start = wanted.select(F.col("module").alias("root_module"), F.col("name").alias("root_name"), "module", "name")
-    at = cut(settle(start))
-    seen, found = at.select("root_module", "root_name", "module", "name"), at.where("id is not null").select("root_module", "root_name", "id")
+    start = cut(settle(wanted))
+    # Each key that any request leads to is looked at once, however many lead to it.
+    at, seen, steps, holding = start.select("key").distinct(), None, [], []
     while True:
+        at = cut(at.select("key", "key.*").join(named, ["module", "name"], "left").select("key", "id", "named"))
+        holding.append(at.where("id is not null").select("key", "id"))
+        seen = at.select("key") if seen is None else cut(seen.unionByName(at.select("key")))
         # A key that its module does not name itself is looked for in what the module re-exports whole.
-        ahead = at.where("named is null").where(F.col("name") != default).join(fan, "module").select("root_module", "root_name", F.col("to_module").alias("module"), "name").distinct()
-        at = cut(settle(ahead).join(seen, ["root_module", "root_name", "module", "name"], "left_anti"))
+        open_ = at.where("named is null").select(F.col("key").alias("from"), "key.*").where(F.col("name") != default)
+        steps.append(cut(settle(open_.join(fan, "module").select("from", F.col("to_module").alias("module"), "name")).select("from", "key").distinct()))
+        at = steps[-1].select("key").distinct().join(seen, "key", "left_anti")
         if at.isEmpty():
             break
-        seen = cut(seen.unionByName(at.select(seen.columns)))
-        found = cut(found.unionByName(at.where("id is not null").select(found.columns)))
-    by = found.groupBy(F.col("root_module").alias("module"), F.col("root_name").alias("name")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"))
-    return wanted.join(by, ["module", "name"], "left").select("module", "name", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), F.coalesce("n", F.lit(0)).alias("n"))
+    together = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    # What the keys stand for goes back from key to key, each end once a key.
+    back = together(steps).select(F.col("key").alias("src"), F.col("from").alias("dst"))
+    found = traverse.closure(back, together(holding).select(F.col("id").alias("root"), F.col("key").alias("node")), with_roots=True)
+    by = found.groupBy(F.col("node").alias("key")).agg(F.count("*").alias("n"), F.min("root").alias("only"))
+    return start.join(by, "key", "left").select("module", "name", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), F.coalesce("n", F.lit(0)).alias("n"))
