@@ -84,6 +84,28 @@ def test_visible_units(spark, seed, either, common, monkeypatch):
     assert rows(got, "ref_id", "node_id", "n") == want
 
 
+def test_what_nothing_imports_is_not_paired_with_all_that_a_cycle_sees(spark, monkeypatch):
+    edges = [("c0", "c1"), ("c1", "c0")] + [("c0", f"d{k}") for k in range(9)] + [("d1", "e")]
+    edges += [(f"t{k}", "c1") for k in range(20)] + [(f"t{k}", f"d{k % 9}") for k in range(20)] + [("t3", "x"), ("t5", "t6"), ("lone", "x"), ("lone", "d1")]
+    modules = sorted({m for e in edges for m in e} | {"none"})
+    units = [(m, "f", f"{m}:f", True) for m in modules if m != "t4"] + [("x", "g", "x:g", True)]
+    want = set()
+    for m in modules:
+        for name in "fg":
+            hits = sorted(i for u, x, i, _ in units if x == name and u in reach_of(edges, m) | {m})
+            if hits:
+                want.add((f"{m}/{name}", hits[0] if len(hits) == 1 else None, len(hits)))
+    frame = lambda data, kind: spark.createDataFrame(data, kind)
+    seen = visibility.sight(frame(edges, "src string, dst string"), frame([(m,) for m in modules], "module string"), lean=True)
+    paired, through = {r[0] for r in seen.pairs.select("component").collect()}, dict(rows(seen.through, "component", "via"))
+    assert all(through[f"t{k}"] == "c0" for k in range(20) if k not in (3, 5, 6)) and through["t5"] == "t6" and not paired & set(through) and {"t3", "t6", "lone", "none"} <= paired | set(through)
+    refs = frame([(f"{m}/{name}", m, name) for m in modules for name in "fg"], "ref_id string, module string, name string")
+    for outs in (64, 1):
+        monkeypatch.setattr(visibility, "OUTS", outs)
+        got = visibility.matches(refs, frame(units, "module string, name string, id string, internal boolean"), frame(edges, "src string, dst string"))
+        assert rows(got, "ref_id", "node_id", "n") == want
+
+
 def plain_exports(requests, declared, aliases, stars):
     own = {}
     for m, n, i in declared:
