@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A task gets more than ``FEW`` rows where tasks are fewer than a shuffle has, and not more than some ``ROWS``.
+FEW, ROWS = 1 << 14, 1 << 19
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one is made only where none is set and Spark runs in this process."""
@@ -37,11 +42,37 @@ def dealt(df: DataFrame, column: str) -> DataFrame:
     return spark.table(name)
 
 
-def ranged(df: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+def tasks(stored: DataFrame) -> int:
+    """How many tasks the rows of a stored table are dealt to: as many as a shuffle has, fewer for few rows, and more where each would hold more than ``ROWS``."""
+    rows, usual = stored.count(), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(usual, -(-rows // FEW)), -(-rows // ROWS), 1)
+
+
+def ranged(df: DataFrame, columns: list[str], parts: int | None = None, grouped: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` stored in ranges of ``columns`` of about equal size, with the range's number, which rises with them, in ``block``.
 
-    Without ``parts`` there are as many as a shuffle has, and small ones are put together.
+    Without ``parts`` their number grows with the rows (:func:`tasks`), so that a range stays as large on any table.
+    ``grouped`` groups the rows by ``columns`` (and others) where they come to lie.
     """
     by = [F.col(f"`{c}`") for c in columns]
-    placed = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
-    return cut(placed.withColumn("block", F.spark_partition_id()))
+    if parts is None:
+        df = cut(df)
+        parts = tasks(df)
+    placed = df.repartitionByRange(parts, *by)
+    return cut((grouped(placed) if grouped else placed).withColumn("block", F.spark_partition_id()))
+
+
+def beside(placed: DataFrame, by: list[str], totals: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (from :func:`ranged`, ``by`` first) dealt by (key, block), with the columns of ``totals`` (``by``, block, ...) of theirs, if any.
+
+    ``totals`` are broadcast: they must be of keys that lie in several ranges (:func:`across`), which are two rows a range at most.
+    """
+    rest = [c for c in totals.columns if c not in (*by, "block")]
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
+    dealt_ = placed.repartition(tasks(placed), *by, "block")
+    return dealt_.join(F.broadcast(totals.withColumnsRenamed({c: f"of {c}" for c in (*by, "block")})), same, "left").select(*placed.columns, *rest)
+
+
+def across(totals: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``totals`` (a row a key ``by`` and ``block``) of the keys that lie in several blocks."""
+    return totals.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where("__n > 1").drop("__n")

@@ -14,7 +14,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut, ranged
+from ..functions.storage import across, beside, cut, ranged
 
 FAN, TOP = 16, 1 << 60
 
@@ -91,25 +91,28 @@ def coalesced(spans: DataFrame, by: list[str], start: str = "start", end: str =
     what reaches into a range comes from the ranges' summaries. So no key, however many spans it has and wherever they
     lie, is one task; only spans with one start are together (equal ones as one row with their number).
     """
-    spans = spans.groupBy(*by, F.col(start).alias("s"), F.col(end).alias("e")).agg(F.count("*").alias("k"))
-    blocked = ranged(spans, [*by, "s"], parts)
-    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
+    spans = spans.select(*by, F.col(start).alias("s"), F.col(end).alias("e"))
+    blocked = ranged(spans, [*by, "s"], parts, lambda rows: rows.groupBy(*by, "s", "e").agg(F.count("*").alias("k")))
     before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy(*by, "block").orderBy("s", "e")
 
     def carried(rows: DataFrame, value: Column) -> DataFrame:
-        """The largest ``value`` of all earlier blocks of the key, as ``carry``: a row a block."""
-        tops = rows.groupBy(*by, "block").agg(F.max(value).alias("top"))
-        return tops.withColumn("carry", F.max("top").over(before)).drop("top")
-
-    def beside(rows: DataFrame, table: DataFrame) -> DataFrame:
-        return rows.join(table.withColumnsRenamed({c: f"of {c}" for c in (*by, "block")}), same).select(*rows.columns, "carry")
+        """The largest ``value`` of the block as ``top`` and of all earlier blocks of the key as ``carry``: a row a block."""
+        tops = across(rows.groupBy(*by, "block").agg(F.max(value).alias("top")), by)
+        return cut(tops.withColumn("carry", F.max("top").over(before)))
 
     reach = F.greatest(F.max("e").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("carry"))
-    fresh = beside(blocked, carried(blocked, F.col("e"))).withColumn("fresh", F.when(reach.isNull() | (F.col("s") > reach + gap), F.col("s"))).drop("carry")
-    fresh = cut(fresh)
+    fresh = beside(blocked, by, carried(blocked, F.col("e"))).withColumn("fresh", F.when(reach.isNull() | (F.col("s") > reach + gap), F.col("s")))
     # An island is named by its first start: that of the latest span that began one, equal spans counted whatever their order.
+    # What the block has of an island is one row; those that go on from an earlier block have no name yet.
     peers = Window.partitionBy(*by, "block").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = F.coalesce(F.max("fresh").over(peers), F.col("carry"))
-    island = beside(fresh, carried(fresh, F.col("fresh"))).withColumn("island", latest)
-    return island.groupBy(*by, "island").agg(F.min("s").alias(start), F.max("e").alias(end), F.sum("k").alias("n")).drop("island")
+    sums = lambda rows, *keys: rows.groupBy(*keys).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("k").alias("k"))
+    pieces = cut(sums(fresh.withColumn("island", F.max("fresh").over(peers)), *by, "block", "island"))
+    # Only a block's first and last islands may be parts of longer ones.
+    tops = F.broadcast(carried(pieces, F.col("island")).withColumnsRenamed({c: f"of {c}" for c in (*by, "block")}))
+    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
+    open_ = F.coalesce(F.col("of block").isNotNull() & (F.col("island").isNull() | (F.col("island") == F.col("top"))), F.lit(False))
+    marked = pieces.join(tops, same, "left").withColumn("open", open_).withColumn("island", F.coalesce("island", "carry"))
+    whole = marked.where("not open").select(*by, "s", "e", "k")
+    merged = sums(marked.where("open"), *by, "island").select(*by, "s", "e", "k")
+    return whole.unionByName(merged).select(*by, F.col("s").alias(start), F.col("e").alias(end), F.col("k").alias("n"))

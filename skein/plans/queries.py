@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
 from ..engine import QueryEngine
-from ..functions.storage import cut
+from ..functions.storage import cut, tasks
 from ..functions.text import escaped
 from ..operators import binaries, diffing, exports, formal, inheritance, intervals, linking, lookup, metrics, overlay, preanalysis, prefixes, scopes, traverse, valueflow, views, visibility
 from . import projection as P
@@ -408,9 +408,10 @@ def g_binary_calls_whole(spark, d):
 
 @query
 def g_mapped_spans(spark, d):
-    li = P.table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
+    li = P.table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey")
+    li = li.repartition(tasks(li), "l_suppkey", "l_partkey", "l_linenumber").groupBy("l_suppkey", "l_partkey", "l_linenumber").agg(F.min("l_orderkey").alias("k"))
     none = F.lit(None).cast("int")
-    rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end")).dropDuplicates(["artifact", "line", "start"])
+    rows = li.select(F.col("l_suppkey").alias("artifact"), F.lit("n").alias("node_id"), F.lit("f").alias("source_path"), (F.col("l_partkey") % 3).cast("int").alias("line"), none.alias("col"), F.lit("g").alias("function"), F.lit(0).alias("inline_depth"), (F.col("k") * 4).alias("start"), (F.col("k") * 4 + 4).alias("end"))
     return binaries.mapped_spans(rows).select("artifact", "line", "start", "end")
 
 

@@ -149,3 +149,22 @@ def test_remapped_paths_and_source_lines(spark):
     roots = spark.createDataFrame([("/src",), ("/",), ("/src/deep/",)], "root string")
     files = spark.createDataFrame([("1", "/src/a.c"), ("2", "/src/deep/b.c"), ("3", "/srcs/c.c"), ("4", "rel.c")], "id string, file_path string")
     assert rows(prefixes.owning_roots(files, roots), "id", "root") == [("1", "/src"), ("2", "/src/deep/")]
+
+
+def test_ranges_hold_as_many_rows_on_any_table(spark, monkeypatch):
+    from skein.functions import storage
+
+    monkeypatch.setattr(storage, "ROWS", 50)
+    rng = random.Random(4)
+    spans = [(k % 3, s, s + rng.randrange(1, 9)) for k in range(1200) for s in [rng.randrange(4000)]]
+    df = spark.createDataFrame(spans, "key int, start int, end int")
+    sizes = storage.ranged(df, ["key", "start"]).groupBy("block").count().collect()
+    assert len(sizes) >= 20 and max(r["count"] for r in sizes) < 200
+    want, last = [], None
+    for key, a, b in sorted(spans):
+        if last and last[0] == key and a <= last[2]:
+            last[2], last[3] = max(last[2], b), last[3] + 1
+        else:
+            last = [key, a, b, 1]
+            want.append(last)
+    assert sorted(map(list, intervals.coalesced(df, ["key"]).collect())) == want
