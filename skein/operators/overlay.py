@@ -1,8 +1,8 @@
 """Sweeps over address axes: overlays by precedence, and the selection of spans to scan.
 
-Spans become events at their ends: so many of a source begin or end here. Events of one
-address are added up first, where they are read. Then they are dealt to ranges of (key,
-address) of about equal size, and each range is swept by itself, beginning with what
+Spans become events at their ends: so many of a source begin or end here. They are dealt
+to ranges of (key, address) of about equal size, where those of one address are added
+up, and each range is swept by itself, beginning with what
 earlier ranges of its key carry into it: sums, the last mark, and the address at which
 the next one begins. An axis of any length is many tasks; only the table of ranges is
 ordered as a whole key.
@@ -10,33 +10,31 @@ ordered as a whole key.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import cut, ranged
+from ..functions.storage import across, beside, cut, ranged
 from . import intervals
 
 
-def swept(events: DataFrame, by: list[str], sources: int, parts: int | None = None) -> DataFrame:
-    """``by``, start, end, active (array: how many spans of each source cover the piece) and mark, a row a piece between neighbouring events.
+def swept(events: DataFrame, by: list[str], sources: int, parts: int | None = None, marks: tuple[str, ...] = ("mark",)) -> DataFrame:
+    """``by``, start, end, active (array: how many spans of each source cover the piece) and ``marks``, a row a piece between neighbouring events.
 
-    ``events`` has ``by``, at, source (0 and on, or null), delta (1 where a span begins, -1 where it ends) and mark: what
+    ``events`` has ``by``, at, source (0 and on, or null), delta (1 where a span begins, -1 where it ends) and marks: what
     holds from here on, or null. Of several marks at one address the greatest holds.
     """
     sums = [F.coalesce(F.sum(F.when(F.col("source") == k, F.col("delta"))), F.lit(0)).alias(f"d{k}") for k in range(sources)]
-    points = events.groupBy(*by, "at").agg(*sums, F.max("mark").alias("mark"))
-    placed = ranged(points, [*by, "at"], parts)
-    totals = placed.groupBy(*by, "block").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(sources)], F.min("at").alias("first"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("at"))).alias("mark"))
+    placed = ranged(events, [*by, "at"], parts, lambda rows: rows.groupBy(*by, "at").agg(*sums, *[F.max(m).alias(m) for m in marks]))
+    last = lambda m: F.max_by(m, F.when(F.col(m).isNotNull(), F.col("at"))).alias(m)
+    totals = across(placed.groupBy(*by, "block").agg(*[F.sum(f"d{k}").alias(f"d{k}") for k in range(sources)], F.min("at").alias("first"), *[last(m) for m in marks]), by)
     blocks = Window.partitionBy(*by).orderBy("block")
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*[F.col(c).alias(f"of {c}") for c in (*by, "block")], *[F.coalesce(F.sum(f"d{k}").over(before), F.lit(0)).alias(f"c{k}") for k in range(sources)], F.last("mark", ignorenulls=True).over(before).alias("carried"), F.lead("first").over(blocks).alias("next"))
-    same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"`of {c}`")) for c in (*by, "block")])
+    carried = totals.select(*by, "block", *[F.coalesce(F.sum(f"d{k}").over(before), F.lit(0)).alias(f"c{k}") for k in range(sources)], *[F.last(m, ignorenulls=True).over(before).alias(f"carried {m}") for m in marks], F.lead("first").over(blocks).alias("next"))
     own = Window.partitionBy(*by, "block").orderBy("at")
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    active = F.array(*[F.col(f"c{k}") + F.sum(f"d{k}").over(upto) for k in range(sources)])
-    out = placed.join(carried, same).select(*by, F.col("at").alias("start"), F.coalesce(F.lead("at").over(own), F.col("next")).alias("end"), active.alias("active"), F.coalesce(F.last("mark", ignorenulls=True).over(upto), F.col("carried")).alias("mark"))
+    active = F.array(*[F.coalesce(F.col(f"c{k}"), F.lit(0)) + F.sum(f"d{k}").over(upto) for k in range(sources)])
+    held = [F.coalesce(F.last(m, ignorenulls=True).over(upto), F.col(f"carried {m}")).alias(m) for m in marks]
+    out = beside(placed, by, carried).select(*by, F.col("at").alias("start"), F.coalesce(F.lead("at").over(own), F.col("next")).alias("end"), active.alias("active"), *held)
     return out.where("end is not null")
 
 
@@ -77,22 +75,23 @@ def on_one_axis(ranges: DataFrame, artifacts: DataFrame, segments: DataFrame) ->
     return out.unionByName(files)
 
 
-def scan_spans(selected: DataFrame, marks: DataFrame, mode: str = "", data: str = "data", width: int = 4096, parts: int | None = None) -> DataFrame:
+def scan_spans(selected: DataFrame, marks: DataFrame, mode: str = "", data: str = "data", parts: int | None = None) -> DataFrame:
     """(artifact, start, end, mode): ``selected`` (artifact, start, end, mode) cut at the marks within, without data.
 
     ``marks`` (artifact, at, mode) hold from their address to the next one or the span's end; a span's own mode goes
     before them, and what no mark of the span precedes has ``mode``. Selections that overlap are an error.
     """
-    by, kind = ["artifact"], "struct<at: decimal(20,0), mode: string>"
-    note = F.struct(F.col("at").cast("decimal(20,0)").alias("at"), F.col("mode").alias("mode")).alias("mark")
-    notes = marks.select("artifact", "at", F.lit(None).cast("int").alias("source"), F.lit(0).alias("delta"), note)
-    events = ends(selected, by, F.lit(0)).withColumn("mark", F.lit(None).cast(kind)).unionByName(notes)
-    pieces = cut(swept(events, by, 1, parts).where("active[0] > 0"))
+    by, types = ["artifact"], dict(selected.dtypes) | {"at": dict(marks.dtypes)["at"]}
+    kinds = {"mark": f"struct<at: {types['at']}, mode: string>", "span": f"struct<start: {types['start']}, own: string>"}
+    note = F.struct("at", "mode").cast(kinds["mark"]).alias("mark")
+    notes = marks.select("artifact", "at", F.lit(None).cast("int").alias("source"), F.lit(0).alias("delta"), note, F.lit(None).cast(kinds["span"]).alias("span"))
+    # A span that begins is a mark as well: as no others overlap it, it is the one that what follows lies in.
+    begins = F.when(F.col("delta") > 0, F.struct(F.col("at"), F.col("own")).cast(kinds["span"]))
+    events = ends(selected.withColumn("own", F.col("mode")), [*by, "own"], F.lit(0)).select("artifact", "at", "source", "delta", F.lit(None).cast(kinds["mark"]).alias("mark"), begins.alias("span")).unionByName(notes)
+    pieces = cut(swept(events, by, 1, parts, ("mark", "span")).where("active[0] > 0"))
     clash = pieces.where("active[0] > 1").orderBy("artifact", "start").first()
     if clash is not None:
         raise ValueError(f"selected spans of {clash['artifact']} overlap at {clash['start']}")
-    spans = selected.select("artifact", "start", "end", F.col("mode").alias("own"))
-    held = intervals.stab(pieces.withColumnsRenamed({"start": "p_start", "end": "p_end"}), spans, "p_start", by, width)
-    inside = F.when(F.col("mark.at") >= F.col("start"), F.col("mark.mode"))
-    out = held.select("artifact", F.col("p_start").alias("start"), F.col("p_end").alias("end"), F.coalesce("own", inside, F.lit(mode)).alias("mode"))
+    inside = F.when(F.col("mark.at") >= F.col("span.start"), F.col("mark.mode"))
+    out = pieces.select("artifact", "start", "end", F.coalesce("span.own", inside, F.lit(mode)).alias("mode"))
     return out.where(F.col("mode") != data)

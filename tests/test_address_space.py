@@ -168,3 +168,27 @@ def test_ranges_hold_as_many_rows_on_any_table(spark, monkeypatch):
             last = [key, a, b, 1]
             want.append(last)
     assert sorted(map(list, intervals.coalesced(df, ["key"]).collect())) == want
+
+
+def test_spans_to_scan_are_not_looked_for_again(spark, monkeypatch):
+    from skein.functions import storage
+
+    monkeypatch.setattr(storage, "ROWS", 40)
+    monkeypatch.setattr(intervals, "stab", None)
+    rng = random.Random(5)
+    spans = [(f"a{k % 2}", s, s + rng.randrange(1, 30), rng.choice([None, None, "own"])) for k in range(160) for s in [k * 25 + rng.randrange(3)] if k % 7]
+    spans = [x for x in spans if x[0] == "a0" or x[1] % 2]
+    marks = [(f"a{rng.randrange(2)}", rng.randrange(4200), rng.choice(["arm", "thumb", "data"])) for _ in range(300)]
+    want = set()
+    for a, s, e, own in spans:
+        at = {}
+        for x, p, mode in marks:
+            if x == a and s <= p < e:
+                at[p] = max(mode, at.get(p, ""))
+        points, mode = sorted({s, *at}), "none"
+        for p, q in zip(points, [*points[1:], e]):
+            mode = at.get(p, mode)
+            if (own or mode) != "data":
+                want.add((a, p, q, own or mode))
+    got = overlay.scan_spans(spark.createDataFrame(spans, "artifact string, start long, end long, mode string"), spark.createDataFrame(marks, "artifact string, at long, mode string"), "none")
+    assert rows(got, "artifact", "start", "end", "mode") == sorted(want)
