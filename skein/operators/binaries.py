@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import ranged
+from ..functions.storage import across, beside, ranged
 from . import intervals, overlay
 
 
@@ -40,9 +40,9 @@ def pc_relative(instructions: DataFrame, parts: int | None = None) -> DataFrame:
     placed = ranged(words, ["artifact", "address"], parts)
     own = Window.partitionBy("artifact", "block").orderBy("address")
     state = F.struct("address", "size", "word")
-    tops = placed.groupBy("artifact", "block").agg(F.max_by(state, "address").alias("top"))
+    tops = across(placed.groupBy("artifact", "block").agg(F.max_by(state, "address").alias("top")), ["artifact"])
     carried = tops.select("artifact", "block", F.lag("top").over(Window.partitionBy("artifact").orderBy("block")).alias("carried"))
-    paired = placed.join(carried, ["artifact", "block"]).withColumn("before", F.coalesce(F.lag(state).over(own), F.col("carried")))
+    paired = beside(placed, ["artifact"], carried).withColumn("before", F.coalesce(F.lag(state).over(own), F.col("carried")))
     first, second, at = F.col("before.word"), F.col("word"), F.col("before.address").cast("long")
     bits = lambda word, low, n: F.shiftright(word, low).bitwiseAND(F.lit((1 << n) - 1))
     signed = lambda value, n: value - F.when(bits(value, n - 1, 1) == 1, F.lit(1 << n)).otherwise(F.lit(0))

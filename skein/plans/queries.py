@@ -610,7 +610,8 @@ def g_scan_spans(spark, d):
 @query
 def g_pc_relative(spark, d):
     """Words made of lines: those of odd numbers add to the program counter, the next ones jump."""
-    li = P.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    li = P.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = li.repartition(tasks(li), "l_orderkey", "l_linenumber").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
     artifact, odd = F.col("l_orderkey") % 7, F.col("l_linenumber") % 2 == 1
     register = F.col("l_orderkey") % 32
     wide, low = F.col("l_partkey") * 7919 % (1 << 20), F.col("l_partkey") * 31 % 4096

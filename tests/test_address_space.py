@@ -192,3 +192,14 @@ def test_spans_to_scan_are_not_looked_for_again(spark, monkeypatch):
                 want.add((a, p, q, own or mode))
     got = overlay.scan_spans(spark.createDataFrame(spans, "artifact string, start long, end long, mode string"), spark.createDataFrame(marks, "artifact string, at long, mode string"), "none")
     assert rows(got, "artifact", "start", "end", "mode") == sorted(want)
+
+
+def test_pairs_of_instructions_across_small_ranges(spark, monkeypatch):
+    from skein.functions import storage
+
+    monkeypatch.setattr(storage, "ROWS", 5)
+    words = [("a", "riscv64", "big", 4 * k, 4, f"{0x297 if k % 2 == 0 else 0x000280E7:08X}", "none" if k % 2 == 0 else "indirect", None) for k in range(64)]
+    df = spark.createDataFrame(words, "artifact string, architecture string, byte_order string, address long, size int, bytes string, how string, target long")
+    got = binaries.pc_relative(df)
+    assert {(r["address"], r["target"]) for r in got.where("how = 'pc_relative'").collect()} == {(4 * k, 4 * k - 4) for k in range(1, 64, 2)}
+    assert storage.ranged(df, ["artifact", "address"]).select("block").distinct().count() >= 8
