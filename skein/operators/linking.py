@@ -113,7 +113,7 @@ def _unblocked(*names: str) -> Column:
     out = F.lit(True)
     for name in names:
         out = out & F.coalesce(F.get_json_object("attrs", f"$.{name}"), F.lit("false")).isin("false", "", "0", "null")
-    return out
+    return (F.coalesce("attrs", F.lit("{}")) == "{}") | out
 
 
 def _folder(path: Column) -> Column:
@@ -150,7 +150,7 @@ def cross_file_calls(graph: GraphBundle) -> GraphBundle:
     nodes, edges = GraphBundle.conform(graph.nodes, "nodes"), GraphBundle.conform(graph.edges, "edges")
     loose = edges.where("kind = 'calls'").where(_unblocked(*BLOCKED)).join(nodes.select(F.col("id").alias("dst")), "dst", "left_anti")
     callers = nodes.select(F.col("id").alias("src"), "language", "file_path", F.get_json_object("attrs", "$.go_package").alias("package"))
-    loose = loose.select("edge_seq", "src", "dst").join(callers, "src").where("coalesce(language, '') <> 'erlang'")
+    loose = cut(loose.select("edge_seq", "src", "dst").join(callers, "src").where("coalesce(language, '') <> 'erlang'"))
     tail = F.substring_index("dst", ":", -1)
     bare = ~F.col("dst").contains("::") & ~F.col("dst").contains("->") & ~tail.contains(".")
     in_package = lambda package, key: F.when(package.isNotNull(), F.concat_ws("|", F.lit("go"), _folder(F.col("file_path")), package, key)).otherwise(_within_family(key))
@@ -165,7 +165,10 @@ def cross_file_calls(graph: GraphBundle) -> GraphBundle:
     units = cut(free.select("module", "name", "id", "internal", "header").unionByName(free.where("packaged is not null").select("module", F.col("packaged").alias("name"), "id", "internal", "header")))
     found = visibility.matches(refs, units, visibility.file_imports(graph), either=True).withColumn("unverified", F.lit(False))
     headers = units.where("header").groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"))
-    loosely = refs.join(found.select("ref_id"), "ref_id", "left_anti").join(headers, "name").select("ref_id", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), "n", F.lit(True).alias("unverified"))
+    # What names a header's function is looked at alone.
+    maybe = cut(refs.join(headers.select("name"), "name", "left_semi"))
+    loosely = maybe.join(found.join(maybe.select("ref_id"), "ref_id", "left_semi").select("ref_id"), "ref_id", "left_anti") if not maybe.isEmpty() else maybe
+    loosely = loosely.join(headers, "name").select("ref_id", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), "n", F.lit(True).alias("unverified"))
 
     receivers = loose.where(~bare)
     own = F.regexp_replace(F.substring_index("id", ":", -1), r"@\d+_\d+", "")
@@ -175,7 +178,7 @@ def cross_file_calls(graph: GraphBundle) -> GraphBundle:
     imported = edges.where("kind = 'imports'").select(F.substring_index("src", ":", 1).alias("importer"), F.col("dst").alias("imported")).distinct()
     imported = imported.select("importer", "imported", F.explode(F.array_distinct(F.array("imported", last_segment(F.col("imported"))))).alias("qualifier"))
     qualified = receivers.where("dst like '%.%'").select("edge_seq", F.substring_index("src", ":", 1).alias("importer"), F.expr("substring(dst, 1, length(dst) - length(substring_index(dst, '.', -1)) - 1)").alias("qualifier"), F.substring_index("dst", ".", -1).alias("last"))
-    named = qualified.join(imported, ["importer", "qualifier"]).select("edge_seq", F.concat_ws(":", "imported", "last").alias("id")).join(free.select("id"), "id", "left_semi")
+    named = qualified.join(imported, ["importer", "qualifier"]).select("edge_seq", F.concat_ws(":", "imported", "last").alias("id")).join(units.select("id"), "id", "left_semi")
     modular = named.groupBy(F.col("edge_seq").alias("ref_id")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("only")).select("ref_id", F.when(F.col("n") == 1, F.col("only")).alias("node_id"), "n")
 
     pick = lambda df, unverified: df.select(F.col("ref_id").alias("edge_seq"), "node_id", unverified.alias("unverified"))

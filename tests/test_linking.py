@@ -97,3 +97,16 @@ def test_explicit_mappings(spark):
         with pytest.raises(ValueError):
             engine.augment_binary_mapping(json.dumps(wrong))
     assert engine.graph is before
+
+
+def test_open_calls_are_found_once(spark, monkeypatch):
+    from skein.bundle import GraphBundle
+
+    stored = []
+    real = linking.cut
+    monkeypatch.setattr(linking, "cut", lambda df: stored.append(set(df.columns)) or real(df))
+    nodes = spark.createDataFrame([("a:f", "f", "function", "go", "{}"), ("b:g", "g", "function", "go", "{}"), ("m:h", "h", "function", "go", None)], "id string, name string, kind string, language string, attrs string")
+    edges = [(0, "a:f", "a:g", "calls", "certain", "{}"), (1, "a:f", "a:g", "calls", "certain", '{"binding_blocked":true}'), (2, "a:f", "m.h", "calls", "certain", None), (3, "a", "m", "imports", "certain", "{}"), (4, "b:g", "m.h", "calls", "certain", "{}")]
+    out = linking.cross_file_calls(GraphBundle(spark, {"nodes": nodes, "edges": spark.createDataFrame(edges, "edge_seq long, src string, dst string, kind string, confidence string, attrs string")}))
+    assert {(r["edge_seq"], r["dst"], r["confidence"]) for r in out.edges.collect()} == {(0, "b:g", "inferred"), (1, "a:g", "certain"), (2, "m:h", "inferred"), (3, "m", "certain"), (4, "m.h", "certain")}
+    assert {"edge_seq", "src", "dst", "language", "file_path", "package"} in stored
