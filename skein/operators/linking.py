@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
-from ..functions.storage import cut
+from ..functions.storage import cut, tasks
 from ..functions.text import digest, escaped, last_segment
 from . import scopes, traverse, visibility
 
@@ -270,4 +270,5 @@ def normalised(graph: GraphBundle) -> GraphBundle:
 def overload_ids(units: DataFrame) -> DataFrame:
     """(row, id) columns added to ``units`` (base, start_line, start_col): the last definition keeps the plain id, earlier ones get '@line_col'."""
     last = Window.partitionBy("base").orderBy(F.desc("start_line"), F.desc("start_col"))
-    return units.withColumn("id", F.when(F.row_number().over(last) == 1, F.col("base")).otherwise(F.concat("base", F.lit("@"), "start_line", F.lit("_"), "start_col")))
+    # Dealt by rows: a task sorts as many on any table.
+    return units.repartition(tasks(units), "base").withColumn("id", F.when(F.row_number().over(last) == 1, F.col("base")).otherwise(F.concat("base", F.lit("@"), "start_line", F.lit("_"), "start_col")))

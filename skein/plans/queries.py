@@ -365,7 +365,8 @@ def g_merge_last_wins(spark, d):
 @query
 def g_overload_ids(spark, d):
     units = P.table(spark, d, "lineitem").select(F.concat(F.lit("m:f"), F.col("l_partkey")).alias("base"), F.col("l_orderkey").alias("start_line"), F.col("l_linenumber").alias("start_col"))
-    return linking.overload_ids(units).select("id").groupBy("id").agg(F.count("*").alias("n"))
+    ids = linking.overload_ids(units).select("id")
+    return ids.repartition(tasks(units), "id").groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query

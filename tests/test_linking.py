@@ -99,6 +99,20 @@ def test_explicit_mappings(spark):
     assert engine.graph is before
 
 
+def test_overloads_are_dealt_by_rows(spark, monkeypatch):
+    from skein.functions import storage
+
+    monkeypatch.setattr(storage, "ROWS", 20)
+    units = [(f"f{k % 150}", k % 7, k) for k in range(600)]
+    got = linking.overload_ids(spark.createDataFrame(units, "base string, start_line int, start_col int")).withColumn("task", F.spark_partition_id())
+    last = {}
+    for base, line, col in units:
+        last[base] = max(last.get(base, (-1, -1)), (line, col))
+    found = got.collect()
+    assert sorted(r["id"] for r in found) == sorted(b if (x, y) == last[b] else f"{b}@{x}_{y}" for b, x, y in units)
+    assert len({r["task"] for r in found}) > 15
+
+
 def test_open_calls_are_found_once(spark, monkeypatch):
     from skein.bundle import GraphBundle
 
