@@ -36,10 +36,11 @@ def nodes(before: GraphBundle, after: GraphBundle) -> DataFrame:
 
 
 def edges(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(src, dst, kind, confidence, status): set difference both ways."""
+    """(src, dst, kind, confidence, status): set difference both ways, in one grouping of both sides."""
     columns = ["src", "dst", "kind", "confidence"]
-    a, b = before.select(columns), after.select(columns)
-    return b.subtract(a).withColumn("status", F.lit("added")).unionByName(a.subtract(b).withColumn("status", F.lit("removed")))
+    side = lambda df, old: df.select(*columns, F.lit(old).alias("old"))
+    both = side(before, True).unionByName(side(after, False)).groupBy(*columns).agg(F.min("old").alias("all_old"), F.max("old").alias("any_old"))
+    return both.where(F.col("all_old") == F.col("any_old")).select(*columns, F.when(F.col("all_old"), "removed").otherwise("added").alias("status"))
 
 
 def entrypoints(before: DataFrame, after: DataFrame) -> DataFrame:

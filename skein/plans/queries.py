@@ -284,7 +284,8 @@ def g_diff_nodes(spark, d):
 def g_diff_edges(spark, d):
     e = P.graph(spark, d).edges.where("kind = 'calls' and src like 'order:%'")
     o = P.table(spark, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey")).alias("src"), "o_orderdate")
-    e = e.join(o, "src")
+    # Dealt by rows: the grouping of both sides lies as the join does.
+    e = e.repartition(tasks(P.table(spark, d, "lineitem")), "src").join(o, "src")
     return diffing.edges(e.where("o_orderdate < '1998-01-01'"), e.where("o_orderdate >= '1996-01-01'"))
 
 

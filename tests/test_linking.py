@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skein.operators import linking
+from skein.operators import diffing, linking
 from skein.sources import ingest
 
 
@@ -113,6 +113,16 @@ def test_overloads_are_dealt_by_rows(spark, monkeypatch):
     assert len({r["task"] for r in found}) > 15
 
 
+def test_edge_differences_are_one_grouping(spark, capsys):
+    kind = "src string, dst string, kind string, confidence string"
+    a = [("a", "b", "calls", "certain"), ("a", "b", "calls", "certain"), ("a", None, "calls", None), ("a", "c", "calls", "certain")]
+    b = [("a", "b", "calls", "certain"), ("a", None, "calls", None), ("a", "c", "calls", "inferred"), ("a", "c", "calls", "inferred"), (None, "d", None, "x")]
+    got = diffing.edges(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind))
+    assert {tuple(r) for r in got.collect()} == {("a", "c", "calls", "certain", "removed"), ("a", "c", "calls", "inferred", "added"), (None, "d", None, "x", "added")} and got.count() == 3
+    got.explain()
+    assert "Join" not in capsys.readouterr().out
+
+
 def test_open_calls_are_found_once(spark, monkeypatch):
     from skein.bundle import GraphBundle
 
