@@ -233,16 +233,30 @@ def type_uses(graph: GraphBundle) -> GraphBundle:
 
     types = graph.nodes.where(F.col("kind").isin(*TYPE_KINDS)).select("name", "id", "language")
     index = types.select(_within_family(F.col("name")).alias("name"), "id").unionByName(types.select(F.col("id").alias("name"), "id"))
-    # Equal references of a unit are one; each gets a number that the joins carry.
-    plain = graph.type_refs.select("node_id", "name", "module").distinct().join(graph.nodes.select(F.col("id").alias("node_id"), "language"), "node_id", "left")
-    refs = cut(plain.withColumn("ref_id", F.monotonically_increasing_id()))
+    # Equal references of a unit are one.
+    plain = graph.type_refs.select("node_id", "name", "module").join(graph.nodes.select(F.col("id").alias("node_id"), "language"), "node_id", "left")
+    refs = cut(plain.distinct())
     tree, declared = _type_scopes(graph, types)
-    near = cut(scopes.lookup(refs.where("module is null").select("ref_id", F.col("node_id").alias("scope"), "name"), tree, declared).select("ref_id", "node_id"))
-    rest = refs.join(near.select("ref_id"), "ref_id", "left_anti")
+    near = refs.where("module is null").select(F.struct("node_id", "name").alias("ref_id"), F.col("node_id").alias("scope"), "name").distinct()
+    near = cut(scopes.lookup(near, tree, declared).select("ref_id.node_id", F.col("ref_id.name").alias("name"), F.col("node_id").alias("dst")))
+    if near.isEmpty():
+        rest, bound = refs, None
+    else:
+        inner = refs.where("module is null").join(near, ["node_id", "name"])
+        rest = refs.where("module is not null").unionByName(refs.where("module is null").join(near.select("node_id", "name"), ["node_id", "name"], "left_anti"))
+        bound = inner.where("dst is not null").select(F.col("node_id").alias("src"), "dst")
+    # What is asked for outside depends on the own module, the family and the name alone, which very many references share.
+    keys = ["own", "family", "name", "module"]
+    rest = rest.select(F.col("node_id").alias("src"), F.substring_index("node_id", ":", 1).alias("own"), family().alias("family"), "name", "module")
+    asks = rest.select(*keys).distinct()
     qualified = F.when(F.col("module").isNotNull(), F.array(F.concat_ws(":", "module", "name"))).otherwise(F.array().cast("array<string>"))
-    own = F.array(F.concat(F.substring_index("node_id", ":", 1), F.lit(":"), "name"))
-    found = tiered_matches(rest.select("ref_id", F.array(qualified, own, F.array(_within_family(F.col("name")))).alias("tiers")), index).unionByName(near.where("node_id is not null"))
-    pairs = refs.select("ref_id", F.col("node_id").alias("src")).join(found, "ref_id").select("src", F.col("node_id").alias("dst")).where("src <> dst").distinct()
+    tiers = F.array(qualified, F.array(F.concat("own", F.lit(":"), "name")), F.array(F.concat_ws("|", "family", "name")))
+    found = cut(tiered_matches(asks.select(F.struct(*keys).alias("ref_id"), tiers.alias("tiers")), index).select(*[F.col(f"ref_id.{k}").alias(f"of {k}") for k in keys], F.col("node_id").alias("dst")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k).eqNullSafe(F.col(f"of {k}")) if k == "module" else F.col(k) == F.col(f"of {k}"))
+    pairs = rest.join(found, same).select("src", "dst")
+    pairs = (pairs if bound is None else pairs.unionByName(bound)).where("src <> dst").distinct()
     edges = GraphBundle.conform(graph.edges, "edges")
     fresh = pairs.join(edges.where("kind = 'type_uses'").select("src", "dst"), ["src", "dst"], "left_anti")
     high = edges.agg(F.max("edge_seq")).first()[0] or 0

@@ -134,3 +134,17 @@ def test_open_calls_are_found_once(spark, monkeypatch):
     out = linking.cross_file_calls(GraphBundle(spark, {"nodes": nodes, "edges": spark.createDataFrame(edges, "edge_seq long, src string, dst string, kind string, confidence string, attrs string")}))
     assert {(r["edge_seq"], r["dst"], r["confidence"]) for r in out.edges.collect()} == {(0, "b:g", "inferred"), (1, "a:g", "certain"), (2, "m:h", "inferred"), (3, "m", "certain"), (4, "m.h", "certain")}
     assert {"edge_seq", "src", "dst", "language", "file_path", "package"} in stored
+
+
+def test_equal_type_names_are_looked_up_once(spark, monkeypatch):
+    from skein.bundle import GraphBundle
+
+    asked = []
+    real = linking.tiered_matches
+    monkeypatch.setattr(linking, "tiered_matches", lambda refs, index: asked.append(refs.count()) or real(refs, index))
+    nodes = [(f"m:u{k}", f"u{k}", "function", "go") for k in range(60)] + [("n:T", "T", "class", "go"), ("x:T", "T", "class", "rust"), ("n:S", "S", "class", "go"), ("o:S", "S", "class", "go"), ("m:O", "O", "class", "go"), ("n:O", "O", "class", "go")]
+    refs = [(f"m:u{k}", name, None) for k in range(60) for name in ("T", "S", "O")] + [("m:u1", "S", "o"), ("m:u1", "T", None), ("n:T", "T", None)]
+    graph = GraphBundle(spark, {"nodes": spark.createDataFrame(nodes, "id string, name string, kind string, language string"), "edges": spark.createDataFrame([], "edge_seq long, src string, dst string, kind string, confidence string, attrs string"), "type_refs": spark.createDataFrame(refs, "node_id string, name string, module string")})
+    got = sorted((r["src"], r["dst"]) for r in linking.type_uses(graph).edges.where("kind = 'type_uses'").collect())
+    assert got == sorted([(f"m:u{k}", x) for k in range(60) for x in ("n:T", "m:O")] + [("m:u1", "o:S")])
+    assert asked == [5]
