@@ -14,12 +14,20 @@ from pyspark.sql import functions as F
 from ..functions.storage import cut
 
 
+def _jumps(parents: DataFrame) -> DataFrame:
+    return cut(parents.where("up is not null").groupBy("node").agg(F.min("up").alias("up")))
+
+
 def ancestors(parents: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(scope, ancestor, distance) for each of ``seeds`` (scope), all nodes of ``parents`` if left out; each is its own ancestor at distance 0.
 
     ``parents`` has (node, up); of several parents the smallest counts. A cycle ends where it began.
     """
-    jump = cut(parents.where("up is not null").groupBy("node").agg(F.min("up").alias("up")))
+    return _ancestors(_jumps(parents), seeds)
+
+
+def _ancestors(jump: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """:func:`ancestors` over stored steps (node, up), one a node."""
     if seeds is None:
         seeds = jump.select(F.col("node").alias("scope")).unionByName(jump.select(F.col("up").alias("scope")))
     known = cut(seeds.select("scope").where("scope is not null").distinct().select("scope", F.col("scope").alias("ancestor"), F.lit(0).cast("long").alias("distance")))
@@ -41,14 +49,20 @@ def lookup(refs: DataFrame, parents: DataFrame, declared: DataFrame) -> DataFram
     once: then ``node_id`` is null. Equal references of one scope are looked up once.
     """
     index = cut(declared.where("scope is not null").groupBy("scope", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only")))
-    known = index.select("name").distinct()
-    pairs = cut(refs.where("scope is not null").select("scope", "name").distinct().join(known, "name", "left_semi"))
-    if pairs.isEmpty():
-        return refs.select("ref_id", F.lit(None).cast(dict(declared.dtypes)["id"]).alias("node_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("distance")).where("false")
-    around = ancestors(parents, pairs.select("scope"))
+    kind = dict(declared.dtypes)["id"]
+    if index.isEmpty():
+        return refs.select("ref_id", F.lit(None).cast(kind).alias("node_id"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("distance")).where("false")
+    known, jump = index.select("name").distinct(), _jumps(parents)
+    # References of scopes that declare nothing begin in the next scope, which many may share.
+    asked = refs.where("scope is not null").select("ref_id", "scope", "name").join(known, "name", "left_semi")
+    silent = jump.join(index.select(F.col("scope").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("scope"), "up")
+    asked = asked.join(silent, "scope", "left").select("ref_id", F.coalesce("up", "scope").alias("scope"), "name", F.when(F.col("up").isNull(), 0).otherwise(1).alias("lift"))
+    asked = cut(asked)
+    pairs = cut(asked.select("scope", "name").distinct())
+    around = _ancestors(jump, pairs.select("scope"))
     hits = pairs.join(around, "scope").join(index.withColumnRenamed("scope", "ancestor"), ["ancestor", "name"])
     best = hits.groupBy("scope", "name").agg(F.min_by(F.struct("n", "only", "distance"), "distance").alias("b"))
-    return refs.join(best, ["scope", "name"]).select("ref_id", F.when(F.col("b.n") == 1, F.col("b.only")).alias("node_id"), F.col("b.n").alias("n"), F.col("b.distance").alias("distance"))
+    return asked.join(best, ["scope", "name"]).select("ref_id", F.when(F.col("b.n") == 1, F.col("b.only")).alias("node_id"), F.col("b.n").alias("n"), (F.col("b.distance") + F.col("lift")).alias("distance"))
 
 
 def tree(contains: DataFrame) -> DataFrame:

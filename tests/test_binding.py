@@ -66,6 +66,20 @@ def test_one_long_cycle_and_a_chain(spark):
     assert {found[f"c{k}"] for k in range(12)} == {"c0"} and all(found[f"d{k}"] == f"d{k}" for k in range(9))
 
 
+def test_scopes_that_declare_nothing_share_the_next_one(spark, monkeypatch):
+    seeds = []
+    real = scopes._ancestors
+    monkeypatch.setattr(scopes, "_ancestors", lambda jump, some: seeds.append({r[0] for r in some.distinct().collect()}) or real(jump, some))
+    parents = [(f"o{k}", "c") for k in range(50)] + [("c", "n"), ("n", "r"), ("p", "c"), ("s", "s"), ("q", "t"), ("t", "q")]
+    declared = [("c", "x", "c1"), ("r", "y", "r1"), ("p", "z", "p1"), ("r", "z", "r2"), ("t", "w", "t1"), ("n", "v", "n1"), ("n", "v", "n2")]
+    refs = [(f"o{k}{name}", f"o{k}", name) for k in range(50) for name in "xyv"] + [("pz", "p", "z"), ("px", "p", "x"), ("oz", "o1", "z"), ("sx", "s", "x"), ("qw", "q", "w"), ("no", None, "x"), ("gone", "g", "x")]
+    frame = lambda data, kind: spark.createDataFrame(data, kind)
+    got = scopes.lookup(frame(refs, "ref_id string, scope string, name string"), frame(parents, "node string, up string"), frame(declared, "scope string, name string, id string"))
+    want = {(f"o{k}{name}", *x) for k in range(50) for name, x in zip("xyv", [("c1", 1, 1), ("r1", 1, 3), (None, 2, 2)])}
+    assert rows(got, "ref_id", "node_id", "n", "distance") == want | {("pz", "p1", 1, 0), ("px", "c1", 1, 1), ("oz", "r2", 1, 3), ("qw", "t1", 1, 1)}
+    assert seeds == [{"c", "p", "s", "t", "g"}]
+
+
 @pytest.mark.parametrize("seed,either,common", [(1, False, 64), (2, True, 64), (3, False, 1), (4, True, 0)])
 def test_visible_units(spark, seed, either, common, monkeypatch):
     rng, edges = random.Random(seed), random_edges(seed, 12, 14)
