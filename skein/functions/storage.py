@@ -33,15 +33,33 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, column: str) -> DataFrame:
-    """The distinct rows of ``df`` stored in buckets of ``column``: joins by it deal only their other side, however often they run."""
+def dealt(df: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """The distinct rows of ``df`` stored in buckets of ``column``: joins by it deal only their other side, however often they run.
+
+    There are as many buckets as a shuffle has tasks, or ``parts`` (:func:`wide`).
+    """
     spark = df.sparkSession
     name = f"cut_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(parts, column).distinct().write.format("parquet").bucketBy(parts, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def wide(df: DataFrame) -> int:
+    """How many tasks the rows of ``df``, which must be cheap to count, are dealt to: as many as a shuffle has, more where each would hold more than four times ``ROWS``."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // (4 * ROWS)))
+
+
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` stored with numbers from 0 without gaps in ``column``, which rise in the order in which its rows lie."""
+    placed = cut(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    # A row a task that wrote: few enough for one window.
+    before = cut(sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before")))
+    return placed.join(F.broadcast(before), part == F.col("__part")).select(*df.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias(column))
+
+
 def tasks(stored: DataFrame) -> int:
     """How many tasks the rows of a stored table are dealt to: as many as a shuffle has, fewer for few rows, and more where each would hold more than ``ROWS``."""
     rows, usual = stored.count(), int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))

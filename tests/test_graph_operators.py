@@ -239,3 +239,19 @@ def test_walks_of_one_root_stay_within_the_nodes(spark):
     starts = spark.createDataFrame([("a",), ("d",), ("gone",)], "node_id string")
     found = traverse.paths_to(edges, starts, spark.createDataFrame([("c",), ("e",)], "node_id string"), 4, nodes)
     assert sorted("".join(r["path"]) for r in found.collect()) == ["abc", "de"]
+
+
+def test_lists_do_not_split_with_the_tasks_that_number(spark):
+    """A node's roots are in as few rows as they fill, however many tasks numbered them; no row grows without bound."""
+    edges = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("hub").alias("dst")).unionByName(spark.createDataFrame([("hub", "end"), ("hub", "end")], "src string, dst string"))
+    roots = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("root"), F.concat(F.lit("n"), "id").alias("node"))
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers, found = traverse.sets(edges, roots, nodes)
+        rows = {(r["node"], r["n"], r["total"], r["largest"]) for r in found.where("node in ('hub', 'end')").groupBy("node").agg(F.count("*").alias("n"), F.sum(F.size("roots")).alias("total"), F.max(F.size("roots")).alias("largest")).collect()}
+        pairs = traverse.members(found).join(numbers, "n").where("node = 'end'")
+        assert pairs.select("root").distinct().count() == pairs.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rows == {(node, -(-3000 // traverse.LONG), 3000, traverse.LONG) for node in ("hub", "end")}
