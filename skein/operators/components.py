@@ -23,12 +23,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); a component is named by its smallest node."""
     pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     nodes = cut(pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct())
+    named = untrimmed(pairs)
+    if named is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return cut(nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+
+
+def untrimmed(pairs: DataFrame) -> DataFrame | None:
+    """(node, component), as :func:`strong_components` has it, of a few nodes of ``pairs`` (src, dst; stored), among them all on cycles; None if trimming alone shows that there are no cycles."""
     left, found = pairs.where("src <> dst"), []
     while True:
         for _ in range(TRIMS):
-            left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = cut(left)
+            # Stored each time: what is left is read twice by the next join.
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+            left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+            if left.isEmpty():
+                break
         if left.isEmpty():
             break
         colours = _colours(left)
@@ -40,13 +50,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         done = members.select("node")
         left = cut(left.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     if not found:
-        return nodes.select("node", F.col("node").alias("component"))
+        return None
     members = found[0]
     for more in found[1:]:
         members = members.unionByName(more)
     names = members.groupBy("colour").agg(F.min("node").alias("component"))
-    named = members.join(names, "colour").select("node", "component")
-    return cut(nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    return members.join(names, "colour").select("node", "component")
 
 
 def _colours(edges: DataFrame) -> DataFrame:

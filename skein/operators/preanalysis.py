@@ -2,89 +2,105 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
-from ..functions.storage import cut
+from ..functions.storage import cut, dealt, numbered, wide
 from . import components, traverse, views
 
 THRESHOLD = 10
 SOURCE = "preanalysis"
 GROUPS = ("high_blast_radius", "entrypoints", "entrypoint_reachable", "privilege_boundary", "tainted")
-#: Components whose closures are held at once, and into how many blocks of them all pairs are taken at most: each block
-#: goes over all edges, so that their number must not grow with the graph.
-BLOCK = 1_000_000
+#: How many numbers of components a block of lists has, if there are then at most BLOCKS blocks: a list that crosses an
+#: edge is a row for each block, so that their number must not grow with the graph.
+BLOCK = 1 << traverse.BITS
 BLOCKS = 8
 
 
-def _numbered(proj: DataFrame, nodes: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(numbers, edges, members, condensed edges) of the graph that ``proj`` and ``nodes`` make.
+def _numbered(proj: DataFrame, nodes: DataFrame, limit: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(numbers, members, condensed edges) of the graph that ``proj`` and ``nodes`` make.
 
     ``numbers`` (id, n, asked, cc) counts nodes down by (cc, id), so that of numbers the least is the most complex node;
     all else is between numbers. ``limit`` refuses larger graphs if given.
     """
-    if limit is not None and (n := nodes.count()) > limit:
-        raise ValueError(f"all pairs of {n} nodes are asked for; at most {limit} are allowed")
+    _limited(nodes, limit)
     proj = cut(proj.select("src", "dst"))
-    ends = proj.select(F.col("src").alias("id")).unionByName(proj.select(F.col("dst").alias("id"))).distinct()
-    cc = F.col("cc").cast("int") if "cc" in nodes.columns else F.lit(None).cast("int")
-    both = nodes.select("id", cc.alias("cc"), F.lit(1).alias("asked")).unionByName(ends.select("id", F.lit(None).cast("int").alias("cc"), F.lit(0).alias("asked")))
-    each = both.groupBy("id").agg(F.max("cc").alias("cc"), F.sum("asked").alias("asked"))
     order = [F.desc("cc"), F.desc("id")]
-    numbers = cut(cut(each).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id()))
-    name = lambda end: numbers.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
-    edges = cut(proj.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst")).distinct())
+    numbers = numbered(cut(_asked(proj, nodes)).repartitionByRange(*order).sortWithinPartitions(*order), "n")
+    edges = cut(_between(proj, numbers).distinct())
     members = components.strong_components(edges)
     # Without cycles a graph is what it condenses to.
     whole = members.where("node <> component").isEmpty()
-    return numbers, edges, members, edges.where("src <> dst") if whole else cut(components.condensed(edges, members))
+    return numbers, members, edges.where("src <> dst") if whole else cut(components.condensed(edges, members))
 
 
-def _sized(rows: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
-    """(component, n): the sum over ``rows`` of the sizes (component, n) of their ``key``; only sizes other than 1 are joined."""
-    other = "target" if key == "component" else "component"
-    odd = cut(sizes.where("n <> 1"))
-    if odd.isEmpty():
-        return rows.groupBy(F.col(other).alias("component")).agg(F.count("*").alias("n"))
-    sized = rows.join(odd.withColumnRenamed("component", key), key, "left")
-    return sized.groupBy(F.col(other).alias("component")).agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+def _limited(nodes: DataFrame, limit: int | None) -> None:
+    if limit is not None and (n := nodes.count()) > limit:
+        raise ValueError(f"all pairs of {n} nodes are asked for; at most {limit} are allowed")
+
 
+def _asked(proj: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """(id, cc, asked): the nodes, each once, and the ends of ``proj`` that are none (0 asked)."""
+    cc = F.col("cc").cast("int") if "cc" in nodes.columns else F.lit(None).cast("int")
+    both = nodes.select("id", cc.alias("cc"), F.lit(1).alias("asked"))
+    if proj is not None:
+        ends = proj.select(F.col("src").alias("id")).unionByName(proj.select(F.col("dst").alias("id"))).distinct()
+        both = both.unionByName(ends.select("id", F.lit(None).cast("int").alias("cc"), F.lit(0).alias("asked")))
+    return both.groupBy("id").agg(F.max("cc").alias("cc"), F.sum("asked").alias("asked"))
 
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+
+def _between(proj: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(src, dst): the edges between numbers; those whose ends have none are left out."""
+    name = lambda end: numbers.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
+    return proj.join(name("src"), "src").join(name("dst"), "dst").select(F.col("src_n").alias("src"), F.col("dst_n").alias("dst"))
 
 
-def blast_radius(proj: DataFrame, nodes: DataFrame, limit: int | None = None, block: int = BLOCK) -> DataFrame:
+def blast_radius(proj: DataFrame, nodes: DataFrame, limit: int | None = None, block: int = BLOCK, within: bool = False) -> DataFrame:
     """(node, downstream, upstream) for each node of ``nodes``, with 0 where nothing is reached; upstream counts those of ``nodes`` that reach it.
 
-    The nodes of a cycle reach the same, so that all pairs are taken between components, for about ``block`` of them at a
-    time, in at most :data:`BLOCKS` blocks.
+    The nodes of a cycle reach the same, so that pairs are taken between components, and never written out: the numbers
+    of components travel as lists (:func:`traverse.lists`), in blocks of about ``block`` numbers, at most :data:`BLOCKS`
+    of them. With ``within`` any edges of a stored table may be given: only those between nodes count.
     """
-    numbers, edges, members, condensed = _numbered(proj, nodes, limit)
-    own = cut(numbers.join(members, numbers.n == members.node).select("id", "component", "asked"))
-    further = condensed.select(F.col("src").alias("dst")).distinct().withColumn("further", F.lit(True))
-    steps = cut(condensed.join(further, "dst", "left").select("src", "dst", F.coalesce("further", F.lit(False)).alias("more")))
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
-    asking = own.groupBy("component").agg(F.sum("asked").alias("n"))
-    asked = cut(asking.where("n > 0").select("component"))
-    blocks = max(1, min(BLOCKS, math.ceil(asked.count() / block)))
-    downs, ups = [], []
-    for k in range(blocks):
-        roots = asked.where(F.pmod(F.xxhash64("component"), F.lit(blocks)) == k).select(F.col("component").alias("root"), F.col("component").alias("node"))
-        reach = traverse.closure(steps, roots, with_roots=True).select(F.col("root").alias("component"), F.col("node").alias("target"))
-        downs.append(cut(_sized(reach, "target", sizes)))
-        ups.append(cut(_sized(reach, "component", asking)))
-    up = ups[0] if blocks == 1 else _all(ups).groupBy("component").agg(F.sum("n").alias("n"))
-    both = own.where("asked > 0").join(_all(downs).withColumnRenamed("n", "downstream"), "component", "left").join(up.withColumnRenamed("n", "upstream"), "component", "left")
-    # A node does not count as reached by itself.
-    out = nodes.select("id").join(both.select("id", F.col("downstream") - 1, F.col("upstream") - 1).toDF("id", "downstream", "upstream"), "id", "left")
-    return out.select(F.col("id").alias("node"), F.coalesce("downstream", F.lit(0)).alias("downstream"), F.coalesce("upstream", F.lit(0)).alias("upstream"))
+    _limited(nodes, limit)
+    proj = proj.select("src", "dst") if within else cut(proj.select("src", "dst"))
+    numbers = numbered(_asked(None if within else proj, nodes).drop("cc"), "n")
+    steps = dealt(_between(proj, numbers), "src", wide(proj))
+    cyclic = components.untrimmed(steps)
+    if cyclic is None:
+        # Without cycles a graph is what it condenses to.
+        own = numbers.select("id", "asked", F.col("n").alias("component"))
+        sizes = own.select("component", F.lit(1).cast("long").alias("size"), F.col("asked").alias("asking"))
+        steps = steps.where("src <> dst")
+    else:
+        members = numbers.select(F.col("n").alias("node")).join(cyclic, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        members = cut(members)
+        own = cut(numbers.join(members, F.col("n") == F.col("node")).select("id", "asked", "component"))
+        sizes = cut(own.groupBy("component").agg(F.count("*").alias("size"), F.sum("asked").alias("asking")))
+        condensed = cut(components.condensed(steps, members))
+        steps = dealt(condensed, "src", wide(condensed))
+    total = numbers.count()
+    bits = max(1, (max(block, -(-total // BLOCKS)) - 1).bit_length())
+    found = traverse.lists(steps, sizes.where("asking > 0").select(F.col("component").alias("n"), F.col("component").alias("node")), apart=True, bits=bits)
+    down = traverse.counted(found, bits).select(F.col("n").alias("component"), F.col("times").alias("downstream"), F.lit(0).alias("upstream"))
+    up = found.select(F.col("node").alias("component"), F.lit(0).alias("downstream"), F.size("roots").alias("upstream"))
+    both = down.unionByName(up)
+    # Each component counted as one node so far; what others have more or less is added for the pairs that they are in.
+    odd = cut(sizes.where("size <> 1 or asking <> 1"))
+    plain = odd.isEmpty()
+    if not plain:
+        more = odd.select("component", F.col("size") - 1, F.col("asking") - 1).toDF("of", "size", "asking")
+        ends = traverse.members(found.join(more, F.col("node") == F.col("of"), "left_semi"), bits).join(more, F.col("node") == F.col("of"))
+        starts = traverse.members(found, bits).join(more.where("asking <> 0"), F.col("n") == F.col("of"))
+        both = both.unionByName(ends.select(F.col("n").alias("component"), F.col("size").alias("downstream"), F.lit(0).alias("upstream")))
+        both = both.unionByName(starts.select(F.col("node").alias("component"), F.lit(0).alias("downstream"), F.col("asking").alias("upstream")))
+        # A node does not count as reached by itself, but by the others of its component.
+        both = both.unionByName(more.select(F.col("of").alias("component"), F.col("size").alias("downstream"), F.col("asking").alias("upstream")))
+    counts = cut(both.groupBy("component").agg(F.sum("downstream").alias("downstream"), F.sum("upstream").alias("upstream")))
+    out = own.where("asked > 0").join(counts, "component", "left")
+    node = F.col("id") if plain else F.explode(F.array_repeat("id", F.col("asked").cast("int")))
+    return out.select(node.alias("node"), F.coalesce("downstream", F.lit(0)).cast("long").alias("downstream"), F.coalesce("upstream", F.lit(0)).cast("long").alias("upstream"))
 
 
 def critical(proj: DataFrame, nodes: DataFrame, top: int = 5, limit: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -94,7 +110,7 @@ def critical(proj: DataFrame, nodes: DataFrame, top: int = 5, limit: int | None
     nodes of a component share one list, from which each leaves itself out. ``block`` is for callers of
     :func:`blast_radius`; bounded lists need no blocks.
     """
-    numbers, _, members, condensed = _numbered(proj, nodes, limit)
+    numbers, members, condensed = _numbered(proj, nodes, limit)
     own = cut(numbers.join(members, numbers.n == members.node).select("id", "n", "component", "asked", "cc"))
     complex_ = own.where("asked > 0 and cc > 0").select("component", F.lit("").alias("name"), F.col("n").alias("value"))
     lists = components.least(condensed, complex_, top + 1).select("component", F.col("value").alias("n"))

@@ -639,17 +639,17 @@ def g_longest_prefix(spark, d):
     return prefixes.longest(paths, table)
 
 
-def _certain(spark, d):
+def _certain(spark, d, complexity=True):
     """The whole graph with the calls that are certain."""
-    g = P.graph(spark, d)
+    g = P.graph(spark, d, complexity)
     return g.having(edges=g.edges.where("confidence = 'certain'"))
 
 
 @query
 def g_blast_radius_whole(spark, d):
     """What each node reaches, and is reached by, over all certain calls."""
-    g = _certain(spark, d)
-    return preanalysis.blast_radius(views.projected(g), g.nodes)
+    g = _certain(spark, d, complexity=False)
+    return preanalysis.blast_radius(views.raw_calls(g), g.nodes, within=True)
 
 
 @query

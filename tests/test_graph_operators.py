@@ -255,3 +255,13 @@ def test_lists_do_not_split_with_the_tasks_that_number(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert rows == {(node, -(-3000 // traverse.LONG), 3000, traverse.LONG) for node in ("hub", "end")}
+
+
+def test_blast_radius_takes_no_pairs(spark, monkeypatch):
+    """Counts over lists of any block; edges that lead outside and loops of one node count only where nodes are not asked for alone."""
+    monkeypatch.setattr(traverse, "closure", lambda *a, **k: pytest.fail("pairs were made"))
+    nodes = spark.range(40).select(F.col("id").cast("string").alias("id"))
+    proj = spark.range(30).select(F.col("id").cast("string").alias("src"), (F.col("id") + 10).cast("string").alias("dst"))
+    proj = proj.unionByName(proj).unionByName(spark.createDataFrame([("39", "gone"), ("gone", "0"), ("5", "5")], "src string, dst string"))
+    found = preanalysis.blast_radius(proj, nodes, block=3, within=True)
+    assert {(r["node"], r["downstream"], r["upstream"]) for r in found.collect()} == {(str(n), 3 - n // 10, n // 10) for n in range(40)}
