@@ -3,9 +3,12 @@
 A method passes from a type to those that derive from it until, on that branch, a type
 declares the name with the same signature. So the tables hold, for each type, what
 comes to it, and never the pairs of a type and its ancestors. Only names that somebody
-asks for move, and only through types from which an asker derives. Each round joins
-what was new in the last one; a hierarchy that runs in a circle ends where nothing is
-new.
+asks for move, and only through types from which an asker derives.
+
+Types are gone over by levels: when a type's turn comes, all that it derives from is
+known, and what its bases pass on comes to it once, as a list for each name. Only types
+that derive from a circle have no turn: for them each round joins what was new in the
+last one, and ends where nothing is new.
 """
 
 from __future__ import annotations
@@ -14,10 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bundle import GraphBundle
-from ..functions.storage import cut
+from ..functions.storage import cut, numbered
 from . import traverse
 
 
+def _within(asked: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((type), (src, dst)): the types from which some asker derives, without who derives from whom, and the bases between them."""
+    steps = cut(bases.select("src", "dst").where("src <> dst").distinct())
+    start = asked.select(F.lit(0).alias("root"), F.col("type").alias("node")).distinct()
+    within = cut(traverse.closure(steps, start, with_roots=True).select(F.col("node").alias("type")).distinct())
+    return within, cut(steps.join(within.withColumnRenamed("type", "dst"), "dst", "left_semi").join(within.withColumnRenamed("type", "src"), "src", "left_semi"))
+
+
 def inherited(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
     """(type, name, signature, id): the methods that each of ``asked`` (type, name) inherits, its own left out.
 
@@ -25,11 +36,7 @@ def inherited(asked: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFra
     inheritable ones pass on, or stop others, but any of the asking type's own stops its signature. What several
     branches bring is kept, each once.
     """
-    steps = cut(bases.select("src", "dst").where("src <> dst").distinct())
-    # The types from which some asker derives, without who derives from whom.
-    start = asked.select(F.lit(0).alias("root"), F.col("type").alias("node")).distinct()
-    within = cut(traverse.closure(steps, start, with_roots=True).select(F.col("node").alias("type")).distinct())
-    down = cut(steps.join(within.withColumnRenamed("type", "dst"), "dst", "left_semi").join(within.withColumnRenamed("type", "src"), "src", "left_semi"))
+    within, down = _within(asked, bases)
     known = methods.join(asked.select("name").distinct(), "name", "left_semi").join(within, "type", "left_semi")
     known = cut(known.select("type", "name", "signature", "id", "inheritable"))
     # What moves is the number of a declaration; ``kind`` numbers its name and signature, and so what stops it.
@@ -74,17 +81,90 @@ def nearest(asked: DataFrame, bases: DataFrame, methods: DataFrame, states: Data
     type's own, and that all types that it derives from are ``known`` (type).
     """
     asked = cut(asked.select("type", "name").distinct())
+    strange = bases.select(F.col("dst").alias("type")).distinct().join(known, "type", "left_anti")
+    within, down = _within(asked, bases)
+    levels = cut(traverse.levels(down, within.withColumnRenamed("type", "node")).withColumnRenamed("node", "type"))
+    late = cut(within.join(levels, "type", "left_anti"))
+    if late.isEmpty():
+        found = _by_levels(asked, down, levels, methods, states, strange)
+    else:
+        found = _by_levels(asked.join(late, "type", "left_anti"), down, levels, methods, states, strange)
+        found = found.unionByName(_by_rounds(cut(asked.join(late, "type", "left_semi")), bases, methods, states, strange))
+    status = F.when(F.col("blocked"), "state").when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "uncertain")
+    node = F.when(status == "resolved", F.col("only"))
+    return found.select("type", "name", status.alias("status"), node.alias("node_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), (node.isNotNull() & F.col("local") & F.col("open").isNull()).alias("own")).where("status is not null")
+
+
+def _by_rounds(asked: DataFrame, bases: DataFrame, methods: DataFrame, states: DataFrame, strange: DataFrame) -> DataFrame:
+    """(type, name, n, only, local, blocked, open) for each of ``asked``, on any hierarchy."""
     local = methods.select("type", "name", "id").join(asked, ["type", "name"], "left_semi")
     some = cut(local.withColumn("local", F.lit(True)).unionByName(inherited(asked, bases, methods).select("type", "name", "id", F.lit(False).alias("local"))))
     counted = some.groupBy("type", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("only"), F.bool_and("local").alias("local"))
     named = states.join(asked.select("name").distinct(), "name", "left_semi")
     blocked = spread(named.select("type", F.col("name").alias("mark")), bases).select("type", F.col("mark").alias("name"), F.lit(True).alias("blocked")).distinct()
-    strange = bases.select(F.col("dst").alias("type")).distinct().join(known, "type", "left_anti").withColumn("mark", F.lit(""))
-    open_ = spread(strange, bases).select("type", F.lit(True).alias("open")).distinct()
-    out = asked.join(counted, ["type", "name"], "left").join(blocked, ["type", "name"], "left").join(open_, "type", "left")
-    status = F.when(F.col("blocked"), "state").when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "uncertain")
-    node = F.when(status == "resolved", F.col("only"))
-    return out.select("type", "name", status.alias("status"), node.alias("node_id"), F.coalesce("n", F.lit(0)).alias("n"), (node.isNotNull() & F.col("local") & F.col("open").isNull()).alias("own")).where("status is not null")
+    open_ = spread(strange.withColumn("mark", F.lit("")), bases).select("type", F.lit(True).alias("open")).distinct()
+    return asked.join(counted, ["type", "name"], "left").join(blocked, ["type", "name"], "left").join(open_, "type", "left")
+
+
+def _by_levels(asked: DataFrame, down: DataFrame, levels: DataFrame, methods: DataFrame, states: DataFrame, strange: DataFrame) -> DataFrame:
+    """What :func:`_by_rounds` returns, for types that have a level (type, level).
+
+    A row holds what comes to a type under one name: numbers made of that of an id, in the order of ids, and that of the
+    name and signature, which say what stops it. -1 is a state variable's mark, which nothing stops. The mark of types
+    that derive from a ``strange`` one (type) comes under no name.
+    """
+    names = cut(asked.select("name").distinct())
+    some = cut(methods.join(names, "name", "left_semi").join(levels, "type", "left_semi").select("type", "name", "signature", "id", "inheritable"))
+    ids = numbered(some.select("id").distinct().repartitionByRange("id").sortWithinPartitions("id"), "i")
+    kinds = numbered(some.select("name", "signature").distinct(), "kind")
+    width = max(1, kinds.count().bit_length())
+    made = some.alias("s").join(kinds.alias("k"), F.expr("s.name = k.name and s.signature <=> k.signature")).select("s.*", "k.kind").join(ids, "id")
+    item = F.shiftleft("i", width) + F.col("kind")
+    none, yes = F.lit(None).cast("long"), F.lit(True)
+    known, own = F.col("signature").isNotNull(), F.coalesce("inheritable", F.lit(False))
+    # A signature that is not known stops nothing; what is not inheritable stops only what would come to the type itself.
+    rows = made.select("type", "name", F.when(own, item).alias("given"), F.when(own & known, F.col("kind")).alias("stop"), F.when(known, F.col("kind")).alias("hide"), F.col("i").alias("local"), F.lit(None).cast("boolean").alias("asked"))
+    marks = states.join(names, "name", "left_semi").select("type", "name").unionByName(strange.select("type", F.lit(None).cast("string").alias("name")))
+    rows = rows.unionByName(marks.select("type", "name", F.lit(-1).cast("long").alias("given"), none.alias("stop"), none.alias("hide"), none.alias("local"), F.lit(None).cast("boolean").alias("asked")))
+    rows = rows.unionByName(asked.select("type", "name", none.alias("given"), none.alias("stop"), none.alias("hide"), none.alias("local"), yes.alias("asked")))
+    rows = rows.groupBy("type", "name").agg(*[F.collect_set(c).alias(c) for c in ("given", "stop", "hide", "local")], F.max("asked").alias("asked"))
+    own_rows = cut(rows.join(levels, "type").repartitionByRange("level", "type"))
+    level = lambda end: levels.select(F.col("type").alias(end), F.col("level").alias(f"{end}_level"))
+    pulls = cut(down.join(level("src"), "src").join(level("dst"), "dst").repartitionByRange("src_level", "src"))
+    bases_of, last = {}, levels.agg(F.max("level")).first()[0]
+    for to, of in pulls.select("src_level", "dst_level").distinct().collect():
+        bases_of.setdefault(to, []).append(of)
+    # Types from which none derives pass nothing on.
+    leads = cut(down.select(F.col("dst").alias("type"), yes.alias("leads")).distinct())
+    mask = F.lit((1 << width) - 1)
+    stopped = lambda by: lambda x: (x < 0) | ~F.array_contains(by, x.bitwiseAND(mask))
+    passed, out = {}, []
+    for k in range((-1 if last is None else last) + 1):
+        here = own_rows.where(F.col("level") == k).drop("level").withColumn("came", F.lit(None).cast("array<long>"))
+        if k in bases_of:
+            above = traverse._union([passed[j].select(F.col("type").alias("dst"), "name", F.col("given").alias("came")) for j in sorted(bases_of[k])])
+            came = above.join(pulls.where(F.col("src_level") == k).select("src", "dst"), "dst").select(F.col("src").alias("type"), "name", "came")
+            here = here.unionByName(came, allowMissingColumns=True)
+        merged = here.groupBy("type", "name").agg(F.array_distinct(F.flatten(F.collect_list("came"))).alias("came"), *[F.flatten(F.collect_list(c)).alias(c) for c in ("given", "stop", "hide", "local")], F.max("asked").alias("asked"))
+        merged = merged.join(leads, "type", "left")
+        let = F.when(F.size("stop") == 0, F.col("came")).otherwise(F.filter("came", stopped(F.col("stop"))))
+        given = F.when(F.col("leads"), F.when(F.size("given") == 0, let).otherwise(F.array_union("given", let)))
+        marked = F.array_contains("came", F.lit(-1).cast("long")) | F.array_contains("given", F.lit(-1).cast("long"))
+        wanted = F.col("asked") | F.col("name").isNull()
+        seen = F.when(F.col("asked"), F.filter("came", lambda x: (x >= 0) & ~F.array_contains(F.col("hide"), x.bitwiseAND(mask))))
+        merged = merged.select("type", "name", given.alias("given"), wanted.alias("wanted"), marked.alias("marked"), seen.alias("seen"), "local")
+        found = F.array_distinct(F.concat(F.transform("seen", lambda x: F.shiftright(x, width)), "local"))
+        merged = merged.select("type", "name", "given", "wanted", "marked", F.size("seen").alias("others"), found.alias("found"))
+        done = cut(merged.select("type", "name", "given", "wanted", "marked", F.when(F.size("found") > 0, F.size("found")).alias("n"), F.array_min("found").alias("i"), (F.col("others") == 0).alias("local")))
+        passed[k] = done.where("given is not null and size(given) > 0")
+        out.append(done.where("wanted").select("type", "name", "marked", "n", "i", "local"))
+        if len(out) > traverse.PARTS:
+            out = [cut(traverse._union(out))]
+    if not out:
+        return asked.select("type", "name", F.lit(0).alias("n"), F.lit("").alias("only"), yes.alias("local"), yes.alias("blocked"), yes.alias("open")).where("false")
+    every = traverse._union(out)
+    open_ = every.where("name is null and marked").select("type", yes.alias("open"))
+    return every.where("name is not null").join(ids.withColumnRenamed("id", "only"), "i", "left").join(open_, "type", "left").select("type", "name", "n", "only", "local", F.col("marked").alias("blocked"), "open")
 
 
 def inherited_calls(graph: GraphBundle, language: str = "solidity") -> GraphBundle:

@@ -89,3 +89,24 @@ def test_unknown_signatures_end_on_a_circle(spark, monkeypatch):
     methods = make([("b", "f", None, "b.f", True)], "type string, name string, signature string, id string, inheritable boolean")
     found = inheritance.inherited(make([("a", "f")], "type string, name string"), make([("a", "b"), ("b", "a")], "src string, dst string"), methods)
     assert [tuple(r) for r in found.collect()] == [("a", "f", None, "b.f")]
+
+
+def test_levels_and_circles(spark, monkeypatch):
+    """Types above circles are gone over by levels, those on and below them by rounds; without circles there are no rounds."""
+    rng = random.Random(8)
+    types = [f"t{k:02}" for k in range(12)]
+    bases = sorted({(types[k], types[rng.randrange(k)]) for k in range(1, 12) for _ in range(2)} | {("t04", "gone"), ("t07", "t07")})
+    methods = [(rng.choice(types), rng.choice("fg"), rng.choice(["x", "y", None]), f"m{k % 20}", rng.random() < 0.8) for k in range(24)]
+    methods = [m for m in methods if m[2]] + [("t00", "f", None, "m90", True)]
+    states, asked = {("t01", "g")}, [(t, n) for t in [*types, "alone"] for n in "fgh"]
+    frame = lambda data, kind: spark.createDataFrame(sorted(data, key=str), kind)
+
+    def found(bases):
+        got = inheritance.nearest(frame(asked, "type string, name string"), frame(bases, "src string, dst string"), frame(methods, "type string, name string, signature string, id string, inheritable boolean"), frame(states, "type string, name string"), frame([(t,) for t in types], "type string"))
+        return {tuple(r[c] for c in ("type", "name", "status", "node_id", "n", "own")) for r in got.collect()}
+
+    circle = [*bases, ("t08", "t11"), ("t11", "t08")]
+    assert found(circle) == plain(asked, circle, methods, states, set(types))
+    for rounds in ("inherited", "spread"):
+        monkeypatch.setattr(inheritance, rounds, lambda *a: pytest.fail("rounds without a circle"))
+    assert found(bases) == plain(asked, bases, methods, states, set(types))
